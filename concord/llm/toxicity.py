@@ -46,6 +46,7 @@ THREATS = frozenset("kill murder destroy hurt strangle stab shoot burn beat tuer
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITGNRo"
 TARGET_REACH, NEGATION_REACH = 4, 3
+LIFT, RIDGE = 4.0, 2e-5
 TARGETED, NEGATED, REPORTED, THREAT_WEIGHT = 1.5, 0.4, 0.6, 2.0
 #: Word beginnings of so many characters can stand for a family of words.
 STEMS = (4, 5, 6)
@@ -238,16 +239,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, max_lexicon:
         return Grammar(dict.fromkeys(INSULTS, 2.0))
     units = labelled.mapInArrow(_unit_counts, "unit string, source long, clean long").groupBy("unit", "source").agg(F.sum("clean").alias("clean"))
     counted = units.groupBy("unit").agg(F.count("source").alias("toxic"), F.sum("clean").alias("clean"))
-    rate, room = toxic / (toxic + clean), math.log(max(2, counted.count()))
-    # precise units only: at most one clean text for each ten toxic ones
-    candidates = counted.where("toxic >= 2 and clean * 10 <= toxic").orderBy(F.desc("toxic"), "unit").limit(4 * max_lexicon).collect()
-    sure = {r["unit"]: _weight(r, toxic, clean) for r in candidates if r["toxic"] * math.log(1 / rate) - r["clean"] > room + 2}
+    room = math.log(max(2, counted.count())) + 2
+    # at least LIFT times as frequent in toxic texts as in clean ones
+    lift = (F.col("toxic") / float(toxic)) >= LIFT * ((F.col("clean") + 0.5) / float(clean))
+    candidates = counted.where((F.col("toxic") >= 2) & lift).orderBy(F.desc("toxic"), "unit").limit(4 * max_lexicon).collect()
+    sure = {r["unit"]: _weight(r, toxic, clean) for r in candidates if _surprise(r["toxic"], r["clean"], toxic / (toxic + clean)) > room}
     sure |= _unexplained(labelled, sure, candidates, toxic, clean)
     chosen = dict(sorted(sure.items(), key=lambda x: (-x[1], x[0]))[:max_lexicon])
     model = Grammar({u: w for u, w in chosen.items() if u[-1] != "*"}, {u[:-1]: w for u, w in chosen.items() if u[-1] == "*"})
     return _fit_curve(labelled, model)
 
 
+def _surprise(toxic: int, clean: int, rate: float) -> float:
+    """Log likelihood ratio of a unit's toxic share against the rate of toxic texts."""
+    n = toxic + clean
+    return toxic * math.log(toxic / (n * rate)) + (clean * math.log(clean / (n * (1 - rate))) if clean else 0.0)
+
+
 def _weight(row, toxic: int, clean: int) -> float:
     return math.log((row["toxic"] + 0.5) / (toxic + 1)) - math.log((row["clean"] + 0.5) / (clean + 1))
 
@@ -296,13 +304,13 @@ def _fit_curve(labelled: DataFrame, model: Grammar, rounds: int = 400) -> Gramma
     x, y = np.array([r["evidence"] for r in rows]), np.array([1.0 if r["toxic"] else 0.0 for r in rows])
     scale = max(1e-9, float(np.median(x[x > 0]))) if (x > 0).any() else 1.0
     x, a, b = x / scale, 1.0, -1.0
-    weight = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))  # classes count alike
+    weight = np.full(len(y), 1.0 / max(1, len(y)))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -50, 50)))
         g = weight * (p - y)
         h = weight * p * (1 - p) + 1e-9
-        grad = np.array([(g * x).sum() + 1e-3 * a, g.sum()])
-        hess = np.array([[(h * x * x).sum() + 1e-3, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]])
+        grad = np.array([(g * x).sum() + RIDGE * a, g.sum()])
+        hess = np.array([[(h * x * x).sum() + RIDGE, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]])
         move = np.linalg.solve(hess, grad)
         a, b = a - np.clip(move[0], -1, 1), b - np.clip(move[1], -1, 1)
         if np.abs(move).max() < 1e-8:
