@@ -1,10 +1,929 @@
-"""All reconciliation queries by name, with their oracle SQL."""
+"""All reconciliation queries by name, each with its oracle SQL.
+
+Every query runs one operator over whole driver tables or over literal catalog rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from concord.fixtures import COLUMNS, Rows, duck, duck_fields, duck_number, duck_row_hash, pair
+from concord.functions import text
+from concord.operators import catalog, diff, drift, fingerprint, repair, stores, watch
+from concord.plans import checks
+from concord.sources import sinks
+from concord.streaming import delta
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+ORDERS, LINEITEM, TURNS, PART = (list(COLUMNS[t]) for t in ("orders", "lineitem", "conversations", "part"))
+
+
+def _classified(src: str, dst: str, key: list[str], columns: dict[str, str]) -> str:
+    """Every key of either side with its kind, in DuckDB."""
+    on = " and ".join(f"s.{k} = d.{k}" for k in key)
+    keys = ", ".join(f"coalesce(s.{k}, d.{k}) as {k}" for k in key)
+    names = ", ".join(key)
+    kind = "case when d.h is null then 'missing' when s.h is null then 'extra' when s.h <> d.h then 'changed' else 'same' end as kind"
+    return f"(select {keys}, {kind} from (select {names}, {duck_row_hash(columns)} as h from {src}) s full outer join (select {names}, {duck_row_hash(columns)} as h from {dst}) d on {on})"
+
+
+_ORDERS_DIFF = _classified("orders", duck("orders_dst"), ["o_orderkey"], COLUMNS["orders"])
+_TURNS_DIFF = _classified("conversations", duck("conversations_dst"), ["conv_id", "turn"], COLUMNS["conversations"])
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return pair(spark, sf_dir, "orders").select(*ORDERS), pair(spark, sf_dir, "orders_dst").select(*ORDERS)
+
+
+# ---- fingerprints and counts
+
+
+def _fingerprint_sql(table: str, columns: dict[str, str], side: str) -> str:
+    return f"select '{side}' as side, count(*) as n, cast(sum({duck_number('h')}) as varchar) as checksum from (select {duck_row_hash(columns)} as h from {table})"
+
+
+@query(_fingerprint_sql("orders", COLUMNS["orders"], "src") + " union all " + _fingerprint_sql(duck("orders_dst"), COLUMNS["orders"], "dst"))
+def fingerprint_orders(spark, sf_dir):
+    return checks.fingerprint_pair(*_orders(spark, sf_dir))
+
+
+@query(_fingerprint_sql("lineitem", COLUMNS["lineitem"], "src") + " union all " + _fingerprint_sql(duck("lineitem_dst"), COLUMNS["lineitem"], "dst"))
+def fingerprint_lineitem(spark, sf_dir):
+    return checks.fingerprint_pair(pair(spark, sf_dir, "lineitem").select(*LINEITEM), pair(spark, sf_dir, "lineitem_dst").select(*LINEITEM))
+
+
+_SIGNED = "cast(case when x >= 9223372036854775808 then cast(x as hugeint) - 18446744073709551616 else cast(x as hugeint) end as bigint)"
+
+
+@query(f"select n, {_SIGNED} as md5_xor from (select count(*) as n, bit_xor(cast('0x' || substr({duck_row_hash(COLUMNS['orders'], 'hash')}, 1, 16) as ubigint)) as x from orders)")
+def xor_fingerprint(spark, sf_dir):
+    return fingerprint.xor_fingerprint(_orders(spark, sf_dir)[0], ORDERS).select("n", "md5_xor")
+
+
+def _chunk_sql(table: str) -> str:
+    return f"(select cast(floor(o_orderkey / 1000) as bigint) as chunk, count(*) as n, sum({duck_number('h')}) as c from (select o_orderkey, {duck_row_hash(COLUMNS['orders'])} as h from {table}) group by 1)"
+
+
+@query(f"select coalesce(a.chunk, b.chunk) as chunk, coalesce(a.n, 0) as n_src, coalesce(b.n, 0) as n_dst from {_chunk_sql('orders')} a full outer join {_chunk_sql(duck('orders_dst'))} b on a.chunk = b.chunk where a.c is distinct from b.c")
+def differing_chunks(spark, sf_dir):
+    return fingerprint.differing_chunks(*_orders(spark, sf_dir), "o_orderkey", 1000, ORDERS)
+
+
+@query(" union all ".join(f"select '{n}' as \"column\", cast(sum({duck_number(chr(109) + 'd5(' + repr(n + '=') + ' || coalesce(' + f + ', ' + repr('~') + '))')}) as varchar) as checksum from orders" for n, f in zip(ORDERS, duck_fields(COLUMNS["orders"]))))
+def column_fingerprint(spark, sf_dir):
+    return fingerprint.column_fingerprint(_orders(spark, sf_dir)[0], ORDERS)
+
+
+_H2 = duck_row_hash(COLUMNS["orders"])
+
+
+@query(f"select cast(sum(n) as bigint) as n, md5(string_agg(d, '' order by b)) as digest from (select substr(h, 1, 2) as b, count(*) as n, md5(string_agg(h, '' order by h)) as d from (select {_H2} as h from orders) group by 1)")
+def ordered_fingerprint(spark, sf_dir):
+    return fingerprint.ordered_fingerprint(_orders(spark, sf_dir)[0], ORDERS)
+
+
+_KEYLESS = "md5(concat_ws(chr(31), " + ", ".join(f"coalesce({f if k != 't' else f'cast(cast(floor(epoch_us({n}) / 1000000) as bigint) as varchar)'}, chr(0))" for (n, k), f in zip(COLUMNS["lineitem"].items(), duck_fields(COLUMNS["lineitem"]))) + "))"
+
+
+@query(f"select count(*) as n, cast(sum({duck_number('h')}) as varchar) as checksum from (select {_KEYLESS} as h from lineitem)")
+def keyless_fingerprint(spark, sf_dir):
+    return fingerprint.keyless_fingerprint(pair(spark, sf_dir, "lineitem").select(*LINEITEM))
+
+
+def _xor128(expr: str) -> str:
+    return " || ".join(f"lpad(lower(to_hex(bit_xor(cast('0x' || substr({expr}, {s}, 16) as ubigint)))), 16, '0')" for s in (1, 17))
+
+
+@query(f"select count(*) as n, {_xor128('i')} as id_xor, {_xor128('r')} as content_xor from (select md5(cast(conv_id as varchar) || chr(9) || cast(turn as varchar)) as i, {duck_row_hash(COLUMNS['conversations'])} as r from conversations)")
+def content_xor(spark, sf_dir):
+    return fingerprint.content_xor(pair(spark, sf_dir, "conversations").select(*TURNS), ["conv_id", "turn"])
+
+
+_COUNTED = ("orders", "lineitem", "conversations")
+
+
+@query(" union all ".join(f"select '{t}' as \"table\", n_src, n_dst, n_src = n_dst as equal from (select (select count(*) from {t}) as n_src, (select count(*) from {duck(t + '_dst')}) as n_dst)" for t in _COUNTED))
+def counts_by_table(spark, sf_dir):
+    return fingerprint.counts_by_table({t: (pair(spark, sf_dir, t), pair(spark, sf_dir, t + "_dst")) for t in _COUNTED})
+
+
+@query(f"with a as ({_fingerprint_sql('orders', COLUMNS['orders'], 'src')}), b as ({_fingerprint_sql(duck('orders_dst'), COLUMNS['orders'], 'dst')}) select a.n as n_src, b.n as n_dst, a.n = b.n as same_count, a.checksum = b.checksum as same_content from a, b")
+def counts_from_fingerprints(spark, sf_dir):
+    src, dst = _orders(spark, sf_dir)
+    return fingerprint.counts_from_fingerprints(fingerprint.table_fingerprint(src), fingerprint.table_fingerprint(dst))
+
+
+@query("select min(o_orderkey) as low, max(o_orderkey) as high from orders")
+def key_bounds(spark, sf_dir):
+    return fingerprint.key_bounds(pair(spark, sf_dir, "orders"), "o_orderkey")
+
+
+_KEYS = {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey"}
+
+
+@query(" union all ".join(f"select '{t}' as \"table\", max({k}) as high from {t}" for t, k in _KEYS.items()))
+def max_per_table(spark, sf_dir):
+    return fingerprint.max_per_table({t: (pair(spark, sf_dir, t), k) for t, k in _KEYS.items()})
+
+
+@query("select distinct lang, source from documents")
+def distinct_values(spark, sf_dir):
+    return fingerprint.distinct_values(pair(spark, sf_dir, "documents"), "lang", "source")
+
+
+# ---- differences
+
+
+@query(f"select count(*) filter (where kind = 'missing') as missing, count(*) filter (where kind = 'extra') as extra, count(*) filter (where kind = 'changed') as changed, count(*) filter (where kind = 'same') as same from {_ORDERS_DIFF}")
+def diff_summary(spark, sf_dir):
+    return diff.summary(*_orders(spark, sf_dir), ["o_orderkey"])
+
+
+@query(f"select * from {_ORDERS_DIFF} where kind <> 'same'")
+def diff_keys(spark, sf_dir):
+    return diff.differences(*_orders(spark, sf_dir), ["o_orderkey"])
+
+
+@query(f"select * from {_TURNS_DIFF} where kind <> 'same'")
+def composite_key_diff(spark, sf_dir):
+    return diff.differences(pair(spark, sf_dir, "conversations").select(*TURNS), pair(spark, sf_dir, "conversations_dst"), ["conv_id", "turn"])
+
+
+@query(f"select * from {_ORDERS_DIFF} where o_orderkey % 3 = 0")
+def restricted_diff(spark, sf_dir):
+    src, dst = _orders(spark, sf_dir)
+    keys = src.select("o_orderkey").union(dst.select("o_orderkey")).where("o_orderkey % 3 = 0")
+    return diff.restricted(src, dst, keys, ["o_orderkey"])
+
+
+_MATCHED = f"from orders s join {duck('orders_dst')} d on s.o_orderkey = d.o_orderkey"
+
+
+@query(" union all ".join(f"select * from (select '{n}' as \"column\", count(*) filter (where {a} is distinct from {b}) as n_diff {_MATCHED}) where n_diff > 0" for n, a, b in zip(ORDERS[1:], duck_fields(COLUMNS["orders"], "s.")[1:], duck_fields(COLUMNS["orders"], "d.")[1:])))
+def column_drift(spark, sf_dir):
+    return diff.column_drift(*_orders(spark, sf_dir), ["o_orderkey"], ORDERS)
+
+
+@query(" union all ".join(f"select cast(s.o_orderkey as varchar) as key, '{n}' as \"column\", {a} as src_value, {b} as dst_value {_MATCHED} where {a} is distinct from {b}" for n, a, b in zip(ORDERS[1:], duck_fields(COLUMNS["orders"], "s.")[1:], duck_fields(COLUMNS["orders"], "d.")[1:])))
+def sample_compare(spark, sf_dir):
+    return diff.sample_compare(*_orders(spark, sf_dir), ["o_orderkey"], ORDERS)
+
+
+@query(f"select cast((select count(*) from (select * from lineitem except all select * from {duck('lineitem_dst')})) as bigint) as only_in_src, cast((select count(*) from (select * from {duck('lineitem_dst')} except all select * from lineitem)) as bigint) as only_in_dst")
+def multiset_diff(spark, sf_dir):
+    return diff.multiset_difference(pair(spark, sf_dir, "lineitem"), pair(spark, sf_dir, "lineitem_dst"))
+
+
+@query(f"with chosen as (select o_orderkey from orders order by md5('probe' || cast(o_orderkey as varchar)) limit 500) select kind, count(*) as n from {_ORDERS_DIFF} where o_orderkey in (select o_orderkey from chosen) group by 1")
+def random_probe(spark, sf_dir):
+    return diff.probe(*_orders(spark, sf_dir), ["o_orderkey"], 500)
+
+
+@query(f"select missing as only_in_src, extra as only_in_dst, changed as updated, case when missing + extra + changed = 0 then 'ok' else 'diff' end as status from ({ORACLE_SQL['diff_summary']})")
+def cross_engine_diff(spark, sf_dir):
+    src, dst = _orders(spark, sf_dir)
+    return checks.heterogeneous(src, dst.withColumn("o_custkey", F.col("o_custkey").cast("int")), ["o_orderkey"])
+
+
+_SRC_TABLES = Rows("schema string, name string", (("public", "orders"), ("public", "customer"), ("audit", "log")))
+_DST_TABLES = Rows("schema string, name string", (("public", "orders"), ("audit", "log"), ("public", "temp")))
+
+
+@query(f"select *, 'src' as side from (select * from {_SRC_TABLES.sql()} except select * from {_DST_TABLES.sql()}) union all select *, 'dst' as side from (select * from {_DST_TABLES.sql()} except select * from {_SRC_TABLES.sql()})")
+def table_set_diff(spark, sf_dir):
+    return diff.set_difference(_SRC_TABLES.df(spark), _DST_TABLES.df(spark), "schema", "name")
+
+
+@query(f"select schema, name from {_SRC_TABLES.sql()} where not (name = 'log' or name like 'cust%')")
+def excluded_tables(spark, sf_dir):
+    names = _SRC_TABLES.df(spark)
+    return names.where(~text.exclusion(F.concat_ws(".", "schema", "name"), ("audit.log", "cust*")))
+
+
+# ---- silent damage
+
+
+@query(f"select d.* from {duck('labels_dst')} d where d.doc_id is not null and not exists (select 1 from documents p where p.doc_id = d.doc_id)")
+def fk_orphans(spark, sf_dir):
+    return drift.orphans(pair(spark, sf_dir, "labels_dst"), ["doc_id"], pair(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query(f"select *, n >= 3 and max_s - min_s < 1 and abs(mean_s) >= 1 as uniform from (select count(*) as n, avg(x) as mean_s, min(x) as min_s, max(x) as max_s from (select (epoch_us(d.ts) - epoch_us(s.ts)) / 1e6 as x from events s join {duck('events_dst')} d on s.event_id = d.event_id))")
+def timeshift_report(spark, sf_dir):
+    return drift.time_shift(pair(spark, sf_dir, "events"), pair(spark, sf_dir, "events_dst"), ["event_id"], "ts")
+
+
+@query(f"select count(*) as n, count(*) filter (where x > 1e-9 * greatest(abs(a), abs(b), 1)) as n_beyond, max(x) filter (where x > 1e-9 * greatest(abs(a), abs(b), 1)) as max_diff from (select s.p_retailprice as a, d.p_retailprice as b, abs(s.p_retailprice - d.p_retailprice) as x from part s join {duck('part_dst')} d on s.p_partkey = d.p_partkey)")
+def float_drift(spark, sf_dir):
+    return drift.float_drift(pair(spark, sf_dir, "part"), pair(spark, sf_dir, "part_dst"), ["p_partkey"], "p_retailprice")
+
+
+def _nulls(c: str, t: str, p: str) -> str:
+    return f"(select count(*) filter (where {c} is null) from {duck(t)}) as {p}_nulls, (select count(*) filter (where {c} = '') from {duck(t)}) as {p}_empties"
+
+
+@query("select *, src_nulls <> dst_nulls and src_nulls + src_empties = dst_nulls + dst_empties as flipped from (" + " union all ".join(f"select '{c}' as \"column\", {_nulls(c, 'text_src', 'src')}, {_nulls(c, 'text_dst', 'dst')}" for c in ("text", "lang")) + ")")
+def null_empty_split(spark, sf_dir):
+    return drift.null_empty_flip(pair(spark, sf_dir, "text_src"), pair(spark, sf_dir, "text_dst"), ["text", "lang"])
+
+
+_FFFD = "cast(sum(length(text) - length(replace(text, chr(65533), ''))) as bigint)"
+
+
+@query(f"select * from (select 'text' as \"column\", (select {_FFFD} from documents) as n_src, (select {_FFFD} from {duck('fffd_dst')}) as n_dst) where n_dst > n_src")
+def fffd_excess(spark, sf_dir):
+    return drift.replacement_excess(pair(spark, sf_dir, "documents"), pair(spark, sf_dir, "fffd_dst"), ["text"])
+
+
+@query(f"select lower(name) as folded, count(*) as n from {duck('names')} group by 1 having count(*) > 1")
+def collation_collapse(spark, sf_dir):
+    return drift.collapsing(pair(spark, sf_dir, "names"), "name")
+
+
+@query(f"select lower(name) as folded, count(*) as n from {duck('names')} group by 1 having count(*) > 1")
+def collation_collapse_ci(spark, sf_dir):
+    found = drift.collapsing(pair(spark, sf_dir, "names"), "name", "UTF8_LCASE")
+    return found.select(F.lower("folded").alias("folded"), "n")
+
+
+_META = "column string, type string, char_length long, scale long, precision long, unsigned boolean"
+_SRC_META = Rows(_META, (("t.name", "varchar", 100, 0, 0, False), ("t.price", "numeric", 0, 4, 12, False), ("t.total", "decimal", 0, 2, 18, False), ("t.big", "bigint", 0, 0, 64, False), ("t.u", "int", 0, 0, 10, True), ("t.note", "text", 0, 0, 0, False), ("t.gone", "int", 0, 0, 10, False)))
+_DST_META = Rows(_META, (("t.name", "varchar", 50, 0, 0, False), ("t.price", "numeric", 0, 2, 12, False), ("t.total", "decimal", 0, 2, 12, False), ("t.big", "integer", 0, 0, 32, False), ("t.u", "int", 0, 0, 10, False), ("t.note", "varchar", 200, 0, 0, False)))
+_WIDTH = "(case lower({0}) when 'tinyint' then 1 when 'smallint' then 2 when 'mediumint' then 3 when 'int' then 4 when 'integer' then 4 when 'bigint' then 8 end)"
+
+
+@query(
+    f"""select * from (select s."column", case when d.char_length > 0 and s.char_length > 0 and d.char_length < s.char_length then 'char ' || s.char_length || ' -> ' || d.char_length
+    when lower(s.type) in ('decimal', 'numeric') and s.scale > 0 and d.scale < s.scale then 'scale ' || s.scale || ' -> ' || d.scale
+    when lower(s.type) in ('decimal', 'numeric') and s.precision > 0 and d.precision < s.precision then 'precision ' || s.precision || ' -> ' || d.precision
+    when {_WIDTH.format('d.type')} < {_WIDTH.format('s.type')} then 'integer ' || s.type || ' -> ' || d.type
+    when s.unsigned and not d.unsigned and {_WIDTH.format('s.type')} is not null then 'unsigned -> signed' end as reason
+    from {_SRC_META.sql()} s join {_DST_META.sql()} d on s."column" = d."column") where reason is not null"""
+)
+def narrowing_report(spark, sf_dir):
+    return drift.narrowed(_SRC_META.df(spark), _DST_META.df(spark))
+
+
+_SRC_SETS = Rows("column string, charset string", (("t.a", "utf8mb4"), ("t.b", "utf8mb3"), ("t.c", "latin1")))
+_DST_SETS = Rows("column string, charset string", (("t.a", "latin1"), ("t.b", "utf8"), ("t.c", "utf8mb4")))
+_BYTES = "(case lower({0}) when 'utf8mb4' then 4 when 'utf8mb3' then 3 when 'utf8' then 3 when 'latin1' then 1 when 'ascii' then 1 end)"
+
+
+@query(f"select s.\"column\", s.charset as src_charset, d.charset as dst_charset from {_SRC_SETS.sql()} s join {_DST_SETS.sql()} d on s.\"column\" = d.\"column\" where {_BYTES.format('d.charset')} < {_BYTES.format('s.charset')}")
+def charset_downgrade(spark, sf_dir):
+    return drift.charset_downgrade(_SRC_SETS.df(spark), _DST_SETS.df(spark))
+
+
+@query(f"select l_orderkey, l_linenumber, net from {duck('net')} where net is distinct from l_extendedprice * (1 - l_discount)")
+def generated_mismatch(spark, sf_dir):
+    return drift.generated_mismatch(pair(spark, sf_dir, "net"), "net", "l_extendedprice * (1 - l_discount)").select("l_orderkey", "l_linenumber", "net")
+
+
+_SRC_GEN = Rows("table string, column string, expression string", (("t", "s", "(a * 2)"), ("t", "u", "upper(b)"), ("t", "gone", "a + 1")))
+_DST_GEN = Rows("table string, column string, expression string", (("t", "s", "a*3"), ("t", "u", "UPPER( b )")))
+_NORM = "lower(regexp_replace({0}, '[\\s()`\"]+', '', 'g'))"
+
+
+@query(f"select coalesce(s.\"table\", d.\"table\") as \"table\", coalesce(s.\"column\", d.\"column\") as \"column\", s.expression as src_expr, d.expression as dst_expr from {_SRC_GEN.sql()} s full outer join {_DST_GEN.sql()} d on s.\"table\" = d.\"table\" and s.\"column\" = d.\"column\" where {_NORM.format('s.expression')} is distinct from {_NORM.format('d.expression')}")
+def generation_drift(spark, sf_dir):
+    return drift.generation_drift(_SRC_GEN.df(spark), _DST_GEN.df(spark))
+
+
+_BOUNDS = ((0, 2000), (2000, 5000), (6000, 9000))
+
+
+@query("select event_id, event_type from events where not (" + " or ".join(f"event_id >= {a} and event_id < {b}" for a, b in _BOUNDS) + ")")
+def partition_stranded(spark, sf_dir):
+    return drift.stranded(pair(spark, sf_dir, "events"), "event_id", _BOUNDS).select("event_id", "event_type")
+
+
+_SRC_PARTS = Rows("table string, bound string", (("events", "2025"), ("events", "2026"), ("events", "default")))
+_DST_PARTS = Rows("table string, bound string", (("events", "2025"), ("events", "default"), ("events", "2024")))
+
+
+@query(f"select *, 'src' as side from (select * from {_SRC_PARTS.sql()} except select * from {_DST_PARTS.sql()}) union all select *, 'dst' as side from (select * from {_DST_PARTS.sql()} except select * from {_SRC_PARTS.sql()})")
+def partition_drift(spark, sf_dir):
+    return drift.partition_drift(_SRC_PARTS.df(spark), _DST_PARTS.df(spark))
+
+
+@query(f"select 'orders' as \"table\", s as src_max, d as dst_max, case when d > s then 'diff' else 'ok' end as status, case when d > s then 'ahead' when d = s then 'level' else 'behind' end as position from (select (select max(o_orderkey) from orders) as s, (select max(o_orderkey) from {duck('orders_dst')}) as d)")
+def boundary_max_key(spark, sf_dir):
+    side = lambda name: fingerprint.max_per_table({"orders": (pair(spark, sf_dir, name), "o_orderkey")})
+    return drift.boundary(side("orders"), side("orders_dst"))
+
+
+@query(f"select s.p_partkey, cast(cast(s.p_retailprice as decimal(38,6)) as varchar) as src_text, cast(cast(d.p_retailprice as decimal(38,6)) as varchar) as dst_text from part s join {duck('part_dst')} d on s.p_partkey = d.p_partkey where s.p_retailprice is not null and cast(s.p_retailprice as decimal(38,6)) is distinct from cast(d.p_retailprice as decimal(38,6))")
+def rendered_values(spark, sf_dir):
+    return drift.rendered_difference(pair(spark, sf_dir, "part"), pair(spark, sf_dir, "part_dst"), ["p_partkey"], "p_retailprice")
+
+
+@query("select (select count(distinct o_orderpriority) from orders where o_orderkey % 2 = 0) as stored_n, (select count(distinct o_orderpriority) from orders) as fresh_n, true as populated, false as current")
+def stale_view(spark, sf_dir):
+    orders = pair(spark, sf_dir, "orders")
+    view = lambda df: df.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return drift.stale_view(view(orders.where("o_orderkey % 2 = 0")), view(orders))
+
+
+@query("select 'positive' as \"constraint\", count(*) filter (where not (o_totalprice > 100000)) as n from orders union all select 'known', count(*) filter (where not (o_orderstatus in ('O', 'F', 'P'))) from orders")
+def constraint_violations(spark, sf_dir):
+    return drift.constraint_violations(pair(spark, sf_dir, "orders"), {"positive": "o_totalprice > 100000", "known": "o_orderstatus in ('O', 'F', 'P')"})
+
+
+@query("select 'l_orderkey,l_linenumber' as columns, (select count(*) from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1)) = 0 as usable union all select 'l_orderkey,l_partkey,l_suppkey,l_linenumber,l_shipdate,l_extendedprice', (select count(*) from (select 1 from lineitem group by l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, l_extendedprice having count(*) > 1)) = 0")
+def candidate_keys(spark, sf_dir):
+    return drift.candidate_keys(pair(spark, sf_dir, "lineitem"), [["l_orderkey", "l_linenumber"], ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice"]])
+
+
+# ---- catalogs
+
+_OBJ = "obj_type string, obj_name string"
+_SRC_OBJ = Rows(_OBJ, (("table", "a"), ("table", "b"), ("view", "v"), ("index", "i1"), ("invalid_index", "ix"), ("function", "f")))
+_DST_OBJ = Rows(_OBJ, (("table", "a"), ("view", "v"), ("view", "w"), ("index", "i1"), ("function", "f")))
+
+
+@query(f"select obj_type, count(*) filter (where d is null) as missing, count(*) filter (where s is null) as extra, count(*) filter (where s is not null and d is not null) as same from (select coalesce(a.obj_type, b.obj_type) as obj_type, a.obj_name as s, b.obj_name as d from {_SRC_OBJ.sql()} a full outer join {_DST_OBJ.sql()} b on a.obj_type = b.obj_type and a.obj_name = b.obj_name) where obj_type <> 'invalid_index' group by 1")
+def objects_diff(spark, sf_dir):
+    return catalog.objects_difference(_SRC_OBJ.df(spark), _DST_OBJ.df(spark))
+
+
+_SRC_DEF = Rows("obj_type string, obj_name string, definition string", (("view", "v", "SELECT a FROM t"), ("view", "w", "select 1"), ("trigger", "tr", "before insert")))
+_DST_DEF = Rows("obj_type string, obj_name string, definition string", (("view", "v", "select  a from T"), ("view", "w", "select 2"), ("view", "x", "select 3")))
+
+
+@query(f"select * from (select coalesce(s.obj_type, d.obj_type) as obj_type, coalesce(s.obj_name, d.obj_name) as obj_name, case when d.definition is null then 'missing' when s.definition is null then 'extra' when {_NORM.format('s.definition')} <> {_NORM.format('d.definition')} then 'changed' end as kind from {_SRC_DEF.sql()} s full outer join {_DST_DEF.sql()} d on s.obj_type = d.obj_type and s.obj_name = d.obj_name) where kind is not null")
+def definitions_diff(spark, sf_dir):
+    return catalog.definitions_difference(_SRC_DEF.df(spark), _DST_DEF.df(spark))
+
+
+_COL = "table string, column string, type string, nullable boolean, default string"
+_SRC_COL = Rows(_COL, (("t", "a", "int", False, None), ("t", "b", "text", True, "''"), ("t", "c", "date", True, None)))
+_DST_COL = Rows(_COL, (("t", "a", "bigint", False, None), ("t", "b", "text", False, None), ("t", "d", "date", True, None)))
+
+
+@query(" union all ".join(f"select s.\"table\", s.\"column\", '{a}' as attribute, cast(s.\"{a}\" as varchar) as src_value, cast(d.\"{a}\" as varchar) as dst_value from {_SRC_COL.sql()} s join {_DST_COL.sql()} d on s.\"table\" = d.\"table\" and s.\"column\" = d.\"column\" where s.\"{a}\" is distinct from d.\"{a}\"" for a in ("type", "nullable", "default")))
+def column_meta_drift(spark, sf_dir):
+    return catalog.columns_drift(_SRC_COL.df(spark), _DST_COL.df(spark))
+
+
+_SRC_SET = Rows("name string, value string", (("TimeZone", "UTC"), ("DateStyle", "ISO, MDY"), ("work_mem", "4MB"), ("wal_level", "logical"), ("only_here", "1"), ("same", " x")))
+_DST_SET = Rows("name string, value string", (("TimeZone", "Asia/Bangkok"), ("DateStyle", "ISO, MDY"), ("work_mem", "8MB"), ("wal_level", "replica"), ("only_there", "2"), ("same", "x"), ("search_path", "public")))
+_CRITICAL = ", ".join(f"'{x.lower()}'" for x in catalog.CRITICAL_SETTINGS["postgres"])
+_SETTINGS = f"(select coalesce(s.name, d.name) as name, s.value as src_value, d.value as dst_value, s.name is not null as has_s, d.name is not null as has_d from {_SRC_SET.sql()} s full outer join {_DST_SET.sql()} d on s.name = d.name)"
+
+
+@query(f"select name, src_value, dst_value, lower(name) in ({_CRITICAL}) as critical from {_SETTINGS} where src_value is distinct from dst_value")
+def params_diff(spark, sf_dir):
+    return catalog.settings_difference(_SRC_SET.df(spark), _DST_SET.df(spark), catalog.CRITICAL_SETTINGS["postgres"])
+
+
+@query(f"select n_different, n_critical, case when n_critical > 0 then 'diff' else 'ok' end as status from (select count(*) as n_different, count(*) filter (where critical) as n_critical from ({ORACLE_SQL['params_diff']}))")
+def params_status(spark, sf_dir):
+    return catalog.settings_status(params_diff(spark, sf_dir))
+
+
+@query(f"select * from (select name, case when has_s and has_d and trim(coalesce(src_value, '')) = trim(coalesce(dst_value, '')) then null when has_s and has_d and lower(name) in ('wal_level') then 'B' when has_s and has_d and lower(name) in ({_CRITICAL}) then 'A_value' when has_s and has_d then 'C_value' when lower(name) in ({_CRITICAL}) then 'A_presence' when has_s then 'C_only_src' else 'C_only_dst' end as class from {_SETTINGS}) where class is not null")
+def params_classes(spark, sf_dir):
+    return catalog.settings_classes(_SRC_SET.df(spark), _DST_SET.df(spark), catalog.CRITICAL_SETTINGS["postgres"], ["wal_level"])
+
+
+_GRANT = "grantee string, object string, privilege string"
+_SRC_GRANT = Rows(_GRANT, (("app", "t", "SELECT"), ("app", "t", "UPDATE"), ("ghost", "t", "SELECT"), ("ro", "s", "USAGE")))
+_DST_GRANT = Rows(_GRANT, (("app", "t", "SELECT"), ("ro", "t", "SELECT")))
+_SRC_ROLE, _DST_ROLE = Rows("role string", (("app",), ("ghost",), ("ro",))), Rows("role string", (("app",), ("ro",)))
+_GONE = f"(select * from {_SRC_GRANT.sql()} except select * from {_DST_GRANT.sql()})"
+
+
+@query(f"select * from (select *, 'src' as side from {_GONE} union all select *, 'dst' as side from (select * from {_DST_GRANT.sql()} except select * from {_SRC_GRANT.sql()})) where grantee in (select role from {_SRC_ROLE.sql()} intersect select role from {_DST_ROLE.sql()})")
+def grants_diff(spark, sf_dir):
+    return catalog.grants_difference(_SRC_GRANT.df(spark), _DST_GRANT.df(spark), _SRC_ROLE.df(spark), _DST_ROLE.df(spark))
+
+
+@query(f"select 'GRANT ' || privilege || ' ON ' || object || ' TO ' || grantee || ';' as statement, 'REVOKE ' || privilege || ' ON ' || object || ' FROM ' || grantee || ';' as undo from {_GONE}")
+def grant_statements(spark, sf_dir):
+    return catalog.grant_statements(catalog.missing_grants(_SRC_GRANT.df(spark), _DST_GRANT.df(spark)))
+
+
+@query(f"select grantee, count(*) as n from {_GONE} group by 1")
+def missing_grants_by_grantee(spark, sf_dir):
+    return catalog.grants_by_grantee(catalog.missing_grants(_SRC_GRANT.df(spark), _DST_GRANT.df(spark)))
+
+
+_SRC_EXT, _DST_EXT = Rows("name string, version string", (("pg_trgm", "1.6"), ("uuid", "1.1"), ("same", "1"))), Rows("name string, version string", (("uuid", "1.0"), ("same", "1"), ("extra", "2")))
+
+
+@query(f"select * from (select coalesce(s.name, d.name) as name, case when d.version is null then 'missing' when s.version is null then 'extra' when s.version <> d.version then 'version' end as kind, s.version as src_version, d.version as dst_version from {_SRC_EXT.sql()} s full outer join {_DST_EXT.sql()} d on s.name = d.name) where kind is not null")
+def extension_diff(spark, sf_dir):
+    return catalog.extensions_difference(_SRC_EXT.df(spark), _DST_EXT.df(spark))
+
+
+_IDX = "table string, index string, is_unique boolean, ttl long, partial string, collation string"
+_SRC_IDX = Rows(_IDX, (("t", "a", True, None, None, None), ("t", "b", False, 3600, None, None), ("t", "c", False, None, "x > 1", "en"), ("t", "d", True, None, None, None)))
+_DST_IDX = Rows(_IDX, (("t", "a", False, None, None, None), ("t", "b", False, None, None, None), ("t", "c", False, None, "x > 1", "en")))
+_REASONS = ", ".join(f"case when d.\"index\" is not null and s.{x} is distinct from d.{x} then '{x}' end" for x in ("is_unique", "ttl", "partial", "collation"))
+
+
+@query(f"select * from (select s.\"table\", s.\"index\", concat_ws(',', case when d.\"index\" is null then 'missing' end, {_REASONS}) as reason from {_SRC_IDX.sql()} s left join {_DST_IDX.sql()} d on s.\"table\" = d.\"table\" and s.\"index\" = d.\"index\") where reason <> ''")
+def indexes_diff(spark, sf_dir):
+    return catalog.indexes_difference(_SRC_IDX.df(spark), _DST_IDX.df(spark))
+
+
+_CON = "table string, constraint string, deferrable boolean, deferred boolean"
+_SRC_CON, _DST_CON = Rows(_CON, (("t", "fk1", True, False), ("t", "fk2", False, False))), Rows(_CON, (("t", "fk1", False, False), ("t", "fk2", False, False)))
+
+
+@query(f"select * from (select s.\"table\", s.\"constraint\", s.deferrable || '/' || s.deferred as src_flags, d.deferrable || '/' || d.deferred as dst_flags from {_SRC_CON.sql()} s join {_DST_CON.sql()} d on s.\"table\" = d.\"table\" and s.\"constraint\" = d.\"constraint\") where src_flags <> dst_flags")
+def deferrable_drift(spark, sf_dir):
+    return catalog.deferrable_drift(_SRC_CON.df(spark), _DST_CON.df(spark))
+
+
+_TRIG = Rows("table string, name string, enabled boolean, validated boolean", (("t", "a", True, True), ("t", "b", False, True), ("u", "c", True, False)))
+
+
+@query(f"select \"table\", name from {_TRIG.sql()} where not enabled or not validated")
+def flagged_objects(spark, sf_dir):
+    return catalog.flagged(_TRIG.df(spark), "not enabled or not validated", "table", "name")
+
+
+_RLS, _POL = Rows("table string, row_security boolean", (("secret", True), ("open", False), ("guarded", True))), Rows("table string, policy string", (("guarded", "p1"), ("guarded", "p2")))
+
+
+@query(f"select r.\"table\", count(p.policy) as n_policies, true as blind from {_RLS.sql()} r left join {_POL.sql()} p on r.\"table\" = p.\"table\" where r.row_security group by 1")
+def row_security(spark, sf_dir):
+    return catalog.row_security(_RLS.df(spark), _POL.df(spark))
+
+
+_CAP = "collection string, capped boolean, size long"
+_SRC_CAP, _DST_CAP = Rows(_CAP, (("a", True, 100000), ("b", True, 5000), ("c", False, 0))), Rows(_CAP, (("a", True, 20000), ("b", False, 0), ("c", False, 0)))
+
+
+@query(f"select * from (select s.collection, case when not d.capped then 'flag lost' when d.size < s.size then 'smaller' end as reason from {_SRC_CAP.sql()} s join {_DST_CAP.sql()} d on s.collection = d.collection where s.capped) where reason is not null")
+def capped_drift(spark, sf_dir):
+    return catalog.capped_drift(_SRC_CAP.df(spark), _DST_CAP.df(spark))
+
+
+_SRC_TOPIC, _DST_TOPIC = Rows("topic string, partitions long", (("a", 3), ("b", 1), ("c", 2))), Rows("topic string, partitions long", (("a", 3), ("b", 2), ("d", 1)))
+
+
+@query(f"select * from (select coalesce(s.topic, d.topic) as topic, case when d.partitions is null then 'missing' when s.partitions is null then 'extra' when s.partitions <> d.partitions then 'partitions' end as kind from {_SRC_TOPIC.sql()} s full outer join {_DST_TOPIC.sql()} d on s.topic = d.topic) where kind is not null")
+def topics_diff(spark, sf_dir):
+    return catalog.topics_difference(_SRC_TOPIC.df(spark), _DST_TOPIC.df(spark))
+
+
+_TS = "topic string, name string, value string"
+_SRC_TS, _DST_TS = Rows(_TS, (("a", "cleanup.policy", "compact"), ("a", "segment.ms", "1"), ("a", "other", "1"))), Rows(_TS, (("a", "cleanup.policy", "delete"), ("a", "segment.ms", "1"), ("a", "other", "2")))
+
+
+@query(f"select s.topic, s.name, s.value as src_value, d.value as dst_value from {_SRC_TS.sql()} s join {_DST_TS.sql()} d on s.topic = d.topic and s.name = d.name where s.value <> d.value and s.name in ({', '.join(repr(x) for x in catalog.CRITICAL_TOPIC_SETTINGS)})")
+def topic_settings_diff(spark, sf_dir):
+    return catalog.topic_settings_difference(_SRC_TS.df(spark), _DST_TS.df(spark))
+
+
+_KEYCOLS = Rows("table string, index string, nullable boolean", (("a", "pk", False), ("b", "u", True), ("b", "u", False), ("c", None, None), ("d", "u1", True), ("d", "u2", False)))
+
+
+@query(f"select distinct \"table\" from {_KEYCOLS.sql()} where \"table\" not in (select \"table\" from (select \"table\", \"index\" from {_KEYCOLS.sql()} where \"index\" is not null group by 1, 2 having count(*) filter (where nullable) = 0))")
+def keyless_tables(spark, sf_dir):
+    return catalog.keyless_tables(_KEYCOLS.df(spark))
+
+
+_ROUT = Rows("schema string, obj_type string, name string", (("a", "function", "f"), ("a", "function", "g"), ("a", "view", "v"), ("b", "trigger", "t")))
+
+
+@query(f"select schema, obj_type, count(*) as n from {_ROUT.sql()} group by 1, 2")
+def routine_counts(spark, sf_dir):
+    return catalog.routines_by_kind(_ROUT.df(spark))
+
+
+_LOGIN = "login string, secret string, roles array<string>"
+_SRC_LOGIN = Rows(_LOGIN, (("a", "h1", ["r", "w"]), ("b", "h2", ["r"]), ("c", "h3", ["r"]), ("e", "h5", ["x"])))
+_DST_LOGIN = Rows(_LOGIN, (("a", "h1", ["w", "r"]), ("b", "hX", ["r"]), ("d", "h4", ["r"]), ("e", "h5", ["root"])))
+
+
+@query(f"select * from (select coalesce(s.login, d.login) as login, case when d.login is null then 'missing' when s.login is null then 'extra' when s.secret is distinct from d.secret then 'password' when list_sort(s.roles) is distinct from list_sort(d.roles) then 'roles' end as kind from {_SRC_LOGIN.sql()} s full outer join {_DST_LOGIN.sql()} d on s.login = d.login) where kind is not null")
+def logins_diff(spark, sf_dir):
+    return catalog.logins_difference(_SRC_LOGIN.df(spark), _DST_LOGIN.df(spark))
+
+
+_SRC_ROLES = Rows("login string, roles array<string>", (("a", ["read", "write", "vendor"]), ("b", ["read"]), ("c", ["x", "y"])))
+_DST_ROLES = Rows("login string, roles array<string>", (("a", ["read"]), ("b", ["root"]), ("c", ["x"])))
+
+
+@query(f"select login, array_to_string(gap, ',') as missing from (select s.login, list_sort(list_filter(s.roles, lambda x: not list_contains(d.roles, x) and x <> 'vendor')) as gap, list_contains(d.roles, 'root') or list_contains(d.roles, '__system') as covered from {_SRC_ROLES.sql()} s join {_DST_ROLES.sql()} d on s.login = d.login) where not covered and len(gap) > 0")
+def role_gap(spark, sf_dir):
+    return catalog.role_gap(_SRC_ROLES.df(spark), _DST_ROLES.df(spark), ["vendor"])
+
+
+# ---- counters and repair
+
+_COUNTER = "table string, last_value long, increment long, is_called boolean, owned boolean"
+_SRC_SEQ = Rows(_COUNTER, (("a", 1000, 1, True, True), ("b", 50, 1, True, True), ("c", 7, 1, True, False), ("d", 0, 1, False, False), ("e", 5, 1, True, True)))
+_DST_SEQ = Rows(_COUNTER, (("a", 1, 1, False, True), ("b", 50, 1, True, True), ("c", 7, 1, True, False), ("d", 0, 1, False, False)))
+_MAXIMA = Rows("table string, high long", (("a", 1000), ("b", 90), ("c", 7), ("d", 0)))
+
+
+@query(f"select *, case when max_value > 0 and next_value <= max_value then 'diff' else 'ok' end as status from (select c.\"table\", case when is_called then last_value + increment else last_value end as next_value, high as max_value from {_DST_SEQ.sql()} c join {_MAXIMA.sql()} m on c.\"table\" = m.\"table\")")
+def sequence_usable(spark, sf_dir):
+    return catalog.counters_usable(_DST_SEQ.df(spark), _MAXIMA.df(spark))
+
+
+@query(f"select *, case when max_value > 0 and next_value <= max_value then 'diff' else 'ok' end as status from (select c.\"table\", last_value as next_value, high as max_value from {_DST_SEQ.sql()} c join {_MAXIMA.sql()} m on c.\"table\" = m.\"table\")")
+def sequence_usable_next(spark, sf_dir):
+    return catalog.counters_usable(_DST_SEQ.df(spark), _MAXIMA.df(spark), "mysql")
+
+
+@query(f"select s.\"table\", cast(s.last_value as varchar) as src_value, coalesce(cast(d.last_value as varchar), 'MISSING') as dst_value, case when s.last_value = d.last_value then 'ok' else 'diff' end as status from {_SRC_SEQ.sql()} s left join {_DST_SEQ.sql()} d on s.\"table\" = d.\"table\"")
+def sequence_parity(spark, sf_dir):
+    return catalog.counters_parity(_SRC_SEQ.df(spark), _DST_SEQ.df(spark))
+
+
+_SEQ_JOIN = f"{_SRC_SEQ.sql()} s join {_DST_SEQ.sql()} d on s.\"table\" = d.\"table\" left join {_MAXIMA.sql()} m on s.\"table\" = m.\"table\""
+
+
+@query(f"select s.\"table\", greatest(s.last_value, coalesce(high, 0)) as target_value, case when d.is_called then d.last_value else 1 end as undo_value, case when s.owned and coalesce(high, 0) > s.last_value then 'refused' when greatest(s.last_value, coalesce(high, 0)) in (0, d.last_value) then 'none' else 'set' end as action from {_SEQ_JOIN}")
+def sequence_repair_plan(spark, sf_dir):
+    return repair.sequence_repair(_SRC_SEQ.df(spark), _DST_SEQ.df(spark), _MAXIMA.df(spark))
+
+
+@query(f"select s.\"table\", greatest(s.last_value, coalesce(high, 0) + 1) as target_value, d.last_value as undo_value, case when greatest(s.last_value, coalesce(high, 0) + 1) > d.last_value then 'set' else 'none' end as action from {_SEQ_JOIN}")
+def counter_raise_plan(spark, sf_dir):
+    return repair.sequence_repair(_SRC_SEQ.df(spark), _DST_SEQ.df(spark), _MAXIMA.df(spark), "mysql")
+
+
+_SUMS = "count(*) as n, cast(sum(o_orderkey) as bigint) as keys, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total"
+
+
+def _order_sums(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
+@query(f"select {_SUMS} from orders")
+def repair_result(spark, sf_dir):
+    return _order_sums(repair.repair_rows(*_orders(spark, sf_dir), ["o_orderkey"]).repaired)
+
+
+@query(f"select {_SUMS} from {duck('orders_dst')}")
+def restore_equals_before(spark, sf_dir):
+    done = repair.repair_rows(*_orders(spark, sf_dir), ["o_orderkey"])
+    return _order_sums(repair.restore(done.repaired, done, ["o_orderkey"]))
+
+
+@query(f"with d as (select * from {duck('orders_dst')}) select {_SUMS} from (select * from d where o_orderkey in (select o_orderkey from orders) union all select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders where o_orderkey not in (select o_orderkey from d))")
+def keep_target_policy(spark, sf_dir):
+    return _order_sums(repair.repair_rows(*_orders(spark, sf_dir), ["o_orderkey"], repair.KEEP_TARGET).repaired)
+
+
+@query(f"select kind, count(*) as n, case kind when 'missing' then 'insert' when 'extra' then 'delete' else 'replace' end as operation from {_ORDERS_DIFF} where kind <> 'same' group by 1")
+def row_repair_plan(spark, sf_dir):
+    return repair.row_plan(diff_keys(spark, sf_dir), ["o_orderkey"])
+
+
+_SIZES = Rows("constraint string, size long", (("positive", 10), ("known", 20)))
+
+
+@query(f"select c.\"constraint\", size, n, case when n = 0 then 'validate' else 'fix rows' end as step from {_SIZES.sql()} c join ({ORACLE_SQL['constraint_violations']}) v on c.\"constraint\" = v.\"constraint\"")
+def validation_plan(spark, sf_dir):
+    return repair.validation_plan(_SIZES.df(spark), constraint_violations(spark, sf_dir))
+
+
+# ---- progress
+
+_SAMPLE = "db string, ts long, src_rows long, dst_rows long, src_tables map<string,long>"
+_SAMPLES = Rows(_SAMPLE, (("d", 0, 100, 10, {"t": 100}), ("d", 10, 112, 60, {"t": 112}), ("d", 20, 112, 112, {"t": 112}), ("d", 30, 112, 112, {"t": 112}), ("d", 40, 115, 112, {"t": 115}), ("d", 50, 115, 115, {"t": 115}), ("e", 0, 50, 50, {"u": 50}), ("e", 10, 50, 50, {"u": 50}), ("e", 20, 60, 50, None)))
+_LAGGED = f"(select *, lag(src_rows) over w as p_src, lag(dst_rows) over w as p_dst, lag(ts) over w as p_ts, lag(src_tables) over w as p_map from {_SAMPLES.sql()} window w as (partition by db order by ts))"
+_GREW = f"(select *, coalesce(p_map is not null and len(list_filter(map_entries(src_tables), lambda e: e.value > coalesce(p_map[e.key], e.value))) > 0, false) as hot, coalesce(src_rows > p_src, false) or coalesce(p_map is not null and len(list_filter(map_entries(src_tables), lambda e: e.value > coalesce(p_map[e.key], e.value))) > 0, false) as grew from {_LAGGED})"
+_STABLE = f"(select *, row_number() over (partition by db, island order by ts) - case when island > 0 then 1 else 0 end as stable from (select *, sum(grew::int) over (partition by db order by ts) as island from {_GREW}))"
+
+
+@query(f"select db, ts, (dst_rows - p_dst) / nullif(cast(ts - p_ts as double), 0) as rate, case when (dst_rows - p_dst) > 0 then greatest(src_rows - dst_rows, 0) / ((dst_rows - p_dst) / nullif(cast(ts - p_ts as double), 0)) end as eta_s, cast(floor(dst_rows * 100 / src_rows) as bigint) as pct from {_LAGGED}")
+def watch_rate_eta(spark, sf_dir):
+    return watch.rates(_SAMPLES.df(spark))
+
+
+@query(f"select db, ts, cast(stable as bigint) as stable from {_STABLE}")
+def stable_cycles(spark, sf_dir):
+    return watch.stable_cycles(_SAMPLES.df(spark))
+
+
+@query(f"select db, ts, case when hot then 'NOT SAFE' when dst_rows >= src_rows and src_rows > 0 and stable >= 2 then 'SAFE' when dst_rows >= src_rows then 'converging' else '' end as verdict from {_STABLE}")
+def cutover_verdict(spark, sf_dir):
+    return watch.verdicts(_SAMPLES.df(spark))
+
+
+@query(f"select db, ts, \"table\", added from (select *, n - lag(n) over (partition by db, \"table\" order by ts) as added from (select db, ts, unnest(map_entries(src_tables)).key as \"table\", unnest(map_entries(src_tables)).value as n from {_SAMPLES.sql()})) where added > 0")
+def hot_tables(spark, sf_dir):
+    return watch.hot_tables(_SAMPLES.df(spark))
+
+
+@query(f"select series, tick, n, cast(sum(n) over (order by tick) as bigint) as running, n - lag(n) over (order by tick) as change from {duck('ticks')}")
+def tick_rates(spark, sf_dir):
+    return watch.tick_rates(pair(spark, sf_dir, "ticks"))
+
+
+_EVENTS = Rows("hop string, ts long, event string", tuple(("h" + str(i % 2), i, "e" + str(i)) for i in range(40)))
+
+
+@query(f"select hop, ts, event from (select *, row_number() over (partition by hop order by ts desc, event desc) as k from {_EVENTS.sql()}) where k <= 15 order by ts desc, hop, event desc limit 12")
+def newest_events(spark, sf_dir):
+    return watch.newest(_EVENTS.df(spark))
+
+
+_POINTS = Rows("hop string, db string, tag string, ts long", (("h", "a", "x", 1), ("h", "a", "x", 3), ("h", "b", "y", 5)))
+
+
+@query(f"select * from {_POINTS.sql()} where hop = 'h' and db = 'a' order by ts desc limit 1")
+def latest_state(spark, sf_dir):
+    return watch.latest_state(_POINTS.df(spark), hop="h", db="a")
+
+
+_CYCLES = Rows("check string, scope string, cycle long, status string", (("data", "t", 1, "ok"), ("data", "t", 2, "diff"), ("data", "t", 3, "diff"), ("data", "t", 4, "ok"), ("deep", "t", 1, "skip"), ("deep", "t", 2, "ok")))
+_BAD = "{0} not in ('ok', 'skip')"
+
+
+@query(f"select \"check\", scope, cycle, case when p is null then 'first' when {_BAD.format('p')} and {_BAD.format('status')} then 'persists' when {_BAD.format('p')} then 'healed' when {_BAD.format('status')} then 'broke' else 'clean' end as change from (select *, lag(status) over (partition by \"check\", scope order by cycle) as p from {_CYCLES.sql()})")
+def heal_or_persist(spark, sf_dir):
+    return watch.heal_or_persist(_CYCLES.df(spark))
+
+
+# ---- logs, entries, documents
+
+
+@query(f"select topic, part, count(*) as n, md5(string_agg(m, '' order by off)) as digest from (select topic, part, off, md5(coalesce(cast(key as varchar), '~') || '|' || coalesce(v, '~')) as m, row_number() over (partition by topic, part order by off desc) as k from {duck('log')}) where k <= 200 group by 1, 2")
+def log_tail_hash(spark, sf_dir):
+    return stores.log_tail(pair(spark, sf_dir, "log").withColumn("off", F.col("off").cast("long")))
+
+
+@query(f"select topic, cast(sum(n) as bigint) as n from (select topic, part, max(off) - min(off) + 1 as n from {duck('log')} group by 1, 2) group by 1")
+def log_counts(spark, sf_dir):
+    return stores.log_counts(pair(spark, sf_dir, "log").withColumn("off", F.col("off").cast("long")))
+
+
+_ENDS, _BASE = Rows("topic string, part long, off long", (("a", 0, 10), ("a", 1, 5), ("b", 0, 7))), Rows("topic string, part long, off long", (("a", 0, 4), ("b", 0, 7)))
+_SRC_GROUPS, _DST_GROUPS = Rows("grp string, topic string, part long, off long", (("g", "a", 0, 9), ("g", "a", 1, 5), ("x", "b", 0, 1))), Rows("grp string, lag long", (("g", 20000),))
+
+
+@query(f"select e.topic, e.part, e.off - coalesce(b.off, 0) as n from {_ENDS.sql()} e left join {_BASE.sql()} b on e.topic = b.topic and e.part = b.part")
+def new_records(spark, sf_dir):
+    return stores.new_records(_ENDS.df(spark), _BASE.df(spark))
+
+
+@query(f"select s.grp, s.lag as src_lag, d.lag as dst_lag, case when d.lag is null then 'missing' when d.lag > s.lag + 10000 then 'diff' else 'ok' end as status from (select grp, cast(sum(greatest(0, e.off - c.off)) as bigint) as lag from {_SRC_GROUPS.sql()} c join {_ENDS.sql()} e on c.topic = e.topic and c.part = e.part group by 1) s left join {_DST_GROUPS.sql()} d on s.grp = d.grp")
+def consumer_lag(spark, sf_dir):
+    return stores.group_lag_status(stores.group_lag(_ENDS.df(spark), _SRC_GROUPS.df(spark)), _DST_GROUPS.df(spark))
+
+
+_ENTRY = "key string, type string, str string, items array<string>"
+_SRC_KV = Rows(_ENTRY, (("a", "string", "1", None), ("b", "set", None, ["x", "y"]), ("c", "list", None, ["x", "y"]), ("d", "string", "v", None), ("e", "string", "v", None)))
+_DST_KV = Rows(_ENTRY, (("a", "string", "1", None), ("b", "set", None, ["y", "x"]), ("c", "list", None, ["y", "x"]), ("d", "set", None, ["v"]), ("f", "string", "z", None)))
+_KV_TEXT = "case type when 'string' then str when 'set' then array_to_string(list_sort(items), ',') when 'list' then array_to_string(items, ',') end"
+
+
+def _entries(rows: Rows, spark) -> DataFrame:
+    return rows.df(spark).withColumns({"hash": F.lit(None).cast("map<string,string>"), "scores": F.lit(None).cast("map<string,double>")})
+
+
+@query(f"select * from (select coalesce(s.key, d.key) as key, case when d.type is null then 'missing' when s.type is null then 'extra' when s.type <> d.type then 'type' when s.v is distinct from d.v then 'changed' end as kind from (select *, {_KV_TEXT} as v from {_SRC_KV.sql()}) s full outer join (select *, {_KV_TEXT} as v from {_DST_KV.sql()}) d on s.key = d.key) where kind is not null")
+def kv_value_diff(spark, sf_dir):
+    return stores.entries_difference(_entries(_SRC_KV, spark), _entries(_DST_KV, spark))
+
+
+_SRC_TTL, _DST_TTL = Rows("key string, ttl long", (("a", 600000), ("b", 600000), ("c", -1), ("d", 3600000))), Rows("key string, ttl long", (("a", -1), ("b", 630000), ("c", -1), ("d", 3000000)))
+
+
+@query(f"select * from (select s.key, case when s.ttl > 0 and not (coalesce(d.ttl, -1) > 0) then 'lost' when s.ttl > 0 and abs(s.ttl - d.ttl) > greatest(60000.0, 0.1 * s.ttl) then 'drift' end as kind, s.ttl as src_ttl, d.ttl as dst_ttl from {_SRC_TTL.sql()} s join {_DST_TTL.sql()} d on s.key = d.key) where kind is not null")
+def kv_ttl_drift(spark, sf_dir):
+    return stores.ttl_drift(_SRC_TTL.df(spark), _DST_TTL.df(spark))
+
+
+_BIG = Rows("key string, bytes long", tuple((f"k{i}", i * 7 % 11) for i in range(11)))
+
+
+@query(f"select * from {_BIG.sql()} order by bytes desc, key limit 5")
+def largest_entries(spark, sf_dir):
+    return stores.largest_entries(_BIG.df(spark))
+
+
+_KIND = "case json_type(doc, '$.' || f) when 'UBIGINT' then 'int' when 'BIGINT' then 'int' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'bool' when 'NULL' then 'null' when 'ARRAY' then 'array' else 'object' end"
+
+
+def _types_sql(name: str) -> str:
+    return f"(select f as field, {_KIND} as type, count(*) as n from (select doc, unnest(json_keys(doc)) as f from {duck(name)}) group by 1, 2)"
+
+
+@query(f"select * from {_types_sql('docs_json_dst')}")
+def doc_field_types(spark, sf_dir):
+    return stores.field_types(pair(spark, sf_dir, "docs_json_dst"))
+
+
+@query(f"select s.field, s.type as src_type, d.type as dst_type from (select field, max_by(type, n) as type from {_types_sql('docs_json')} group by 1) s join (select field, max_by(type, n) as type from {_types_sql('docs_json_dst')} group by 1) d on s.field = d.field where s.type <> d.type")
+def doc_type_drift(spark, sf_dir):
+    return stores.type_drift(pair(spark, sf_dir, "docs_json"), pair(spark, sf_dir, "docs_json_dst"))
+
+
+@query(f"select 'k' as field, count(*) filter (where list_contains(json_keys(doc), 'k') and json_type(doc, '$.k') = 'NULL') as nulls, count(*) filter (where not list_contains(json_keys(doc), 'k')) as absent from {duck('docs_json_dst')}")
+def doc_null_absent(spark, sf_dir):
+    return stores.null_or_absent(pair(spark, sf_dir, "docs_json_dst"), ["k"])
+
+
+@query(f"select * from (select coalesce(s.id, d.id) as id, case when d.doc is null then 'missing' when s.doc is null then 'extra' when replace(s.doc, ' ', '') <> replace(d.doc, ' ', '') then 'changed' end as kind from {duck('docs_json')} s full outer join {duck('docs_json_dst')} d on s.id = d.id) where kind is not null")
+def documents_diff(spark, sf_dir):
+    return stores.documents_difference(pair(spark, sf_dir, "docs_json"), pair(spark, sf_dir, "docs_json_dst"))
+
+
+@query(f"select user_id as id, count(*) as n from events group by 1 having count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    return stores.duplicate_ids(pair(spark, sf_dir, "events").select(F.col("user_id").alias("id")))
+
+
+# ---- change logs
+
+_LINES = Rows(
+    "lsn string, line string",
+    (
+        ("0/1A", "BEGIN 123"),
+        ("0/1B", "table public.orders: UPDATE: id[bigint]:5 note[text]:'a b''c' amount[numeric]:1.50"),
+        ("0/1C", "table public.orders: DELETE: id[bigint]:9"),
+        ("0/1D", "table public.pair: INSERT: a[integer]:1 b[text]:'it''s' v[text]:'x'"),
+        ("0/1E", "table public.nopk: INSERT: v[text]:'y'"),
+        ("0/1F", "COMMIT 123"),
+        ("1/02", "table public.orders: INSERT: id[bigint]:5 note[text]:'id[bigint]:7'"),
+    ),
+)
+_LOG_KEYS = {"public.orders": ["id"], "public.pair": ["a", "b"], "public.nopk": []}
+_HEAD = "^table (\\S+): (INSERT|UPDATE|DELETE):"
+
+
+def _value_sql(column: str) -> str:
+    body, pattern = f"regexp_replace(line, '{_HEAD}', '')", f"(?:^| ){column}\\[[^\\]]*\\]:(?:''((?:[^'']|'''')*)''|(\\S+))"
+    return f"case when regexp_extract({body}, '{pattern}', 2) <> '' then regexp_extract({body}, '{pattern}', 2) else replace(regexp_extract({body}, '{pattern}', 1), '''''', '''') end"
+
+
+_PARSED = f"(select lsn, regexp_extract(line, '{_HEAD}', 1) as \"table\", regexp_extract(line, '{_HEAD}', 2) as op, case regexp_extract(line, '{_HEAD}', 1) when 'public.orders' then {_value_sql('id')} when 'public.pair' then {_value_sql('a')} || chr(9) || {_value_sql('b')} end as key from {_LINES.sql()} where regexp_matches(line, '{_HEAD}'))"
+
+
+@query(f"select * from {_PARSED}")
+def change_log_parse(spark, sf_dir):
+    return delta.parse_changes(_LINES.df(spark), _LOG_KEYS)
+
+
+@query(f"select distinct \"table\", key from {_PARSED} where key is not null")
+def change_log_touched(spark, sf_dir):
+    return delta.touched_keys(delta.parse_changes(_LINES.df(spark), _LOG_KEYS))
+
+
+@query(f"select distinct \"table\" from {_PARSED} where key is null")
+def change_log_keyless(spark, sf_dir):
+    return delta.keyless_changes(delta.parse_changes(_LINES.df(spark), _LOG_KEYS))
+
+
+@query("select '1/02' as lsn")
+def change_log_position(spark, sf_dir):
+    return delta.last_position(delta.parse_changes(_LINES.df(spark), _LOG_KEYS))
+
+
+_LOG = "select o_orderkey, o_custkey, o_orderstatus, {0} as o_totalprice, o_orderdate, o_orderpriority, {1} as op, cast({2} as bigint) as lsn from {{orders}} where o_orderkey % {3} = 0"
+_LOG_PARTS = (("o_totalprice + 5", "'UPDATE'", 1, 10), ("o_totalprice + 9", "'UPDATE'", 2, 20), ("o_totalprice", "'DELETE'", 3, 60))
+_LOG_SQL = " union all ".join(_LOG.format(*p).replace("{{", "{").replace("}}", "}") for p in _LOG_PARTS)
+
+
+@query(f"with log as ({_LOG_SQL.replace('{orders}', 'orders')}), last as (select * from (select *, row_number() over (partition by o_orderkey order by lsn desc) as k from log) where k = 1) select {_SUMS} from (select o_orderkey, o_totalprice from orders where o_orderkey not in (select o_orderkey from last) union all select o_orderkey, o_totalprice from last where op <> 'DELETE')")
+def change_log_apply(spark, sf_dir):
+    orders = pair(spark, sf_dir, "orders").select(*ORDERS)
+    return _order_sums(delta.apply_changes(orders, spark.sql(_LOG_SQL, orders=orders), ["o_orderkey"], ["lsn"]))
+
+
+@query(f"select * from {_ORDERS_DIFF} where o_orderkey % 10 = 0 and kind <> 'same'")
+def delta_touched_verify(spark, sf_dir):
+    src, dst = _orders(spark, sf_dir)
+    keys = src.select("o_orderkey").union(dst.select("o_orderkey")).where("o_orderkey % 10 = 0")
+    return delta.verify_touched(src, dst, keys, ["o_orderkey"])
+
+
+_APPLIED = Rows("side string, lsn string", (("src", "1/10"), ("dst", "0/FFFFFFFF")))
+
+
+@query("select 'src' as side, true as passed union all select 'dst', false")
+def fence_passed(spark, sf_dir):
+    return delta.fence_passed(_APPLIED.df(spark), "1/0A")
+
+
+_VERSIONS = Rows("table string, version long", (("a", 1), ("a", 5), ("a", 6), ("b", 2)))
+
+
+@query(f"select \"table\", count(*) as n from {_VERSIONS.sql()} where version > 4 group by 1")
+def versions_changed(spark, sf_dir):
+    return delta.versions_changed(_VERSIONS.df(spark), 4)
+
+
+# ---- results
+
+_RESULT = "check string, scope string, status string, detail string, report string, fix_hint string"
+_RESULTS = Rows(_RESULT, (("counts", "app", "ok", "", "", ""), ("data", "app t1", "diff", "x", "", ""), ("data", "app t2", "ok", "", "", ""), ("deep", "app t1", "error", "", "", ""), ("deep", "other", "skip", "", "", ""), ("schema", "app t1", "diff", "", "", "")))
+_RERUN = Rows(_RESULT, (("data", "app t1", "ok", "fixed", "", ""), ("data", "app t3", "ok", "", "", "")))
+_RANK = "case status when 'ok' then 0 when 'skip' then 1 when 'diff' then 2 else 3 end"
+
+
+@query(f"select db, \"check\", case r when 0 then 'ok' when 1 then 'skip' when 2 then 'diff' else 'error' end as status from (select split_part(scope, ' ', 1) as db, \"check\", max({_RANK}) as r from {_RESULTS.sql()} group by 1, 2)")
+def status_matrix(spark, sf_dir):
+    return sinks.status_matrix(_RESULTS.df(spark))
+
+
+@query(f"select n_pass, n_total, n_pass = n_total as all_clean from (select count(*) filter (where status in ('ok', 'skip')) as n_pass, count(*) as n_total from {_RESULTS.sql()})")
+def check_pass_total(spark, sf_dir):
+    return sinks.pass_total(_RESULTS.df(spark))
+
+
+@query(f"select * from {_RESULTS.sql()} where \"check\" not in (select \"check\" from {_RERUN.sql()}) union all select * from {_RERUN.sql()}")
+def summary_merge(spark, sf_dir):
+    return sinks.merged_summary(_RESULTS.df(spark), _RERUN.df(spark))
+
+
+@query(f"select 'concord_check_ok{{pair=\"p\",check=\"' || \"check\" || '\",scope=\"' || scope || '\"}} ' || case when status in ('ok', 'skip') then '1' else '0' end as line from {_RESULTS.sql()}")
+def metric_lines(spark, sf_dir):
+    return sinks.metrics(_RESULTS.df(spark), "p")
+
+
+_DRILLED = Rows("scope string, n long", (("app t1", 0),))
+
+
+@query(f"select \"check\", r.scope, case when \"check\" = 'data' and status = 'diff' and n = 0 then 'ok' else status end as status, detail, report, fix_hint from {_RESULTS.sql()} r left join {_DRILLED.sql()} d on r.scope = d.scope")
+def settled_results(spark, sf_dir):
+    return checks.reclassified(_RESULTS.df(spark), _DRILLED.df(spark)).select("check", "scope", "status", "detail", "report", "fix_hint")
+
+
+_TRUSTED = Rows(_RESULT, (*_RESULTS.rows, ("structural", "app t1", "ok", "", "", "")))
+
+
+@query(f"select r.\"check\", r.scope, case when r.\"check\" = 'schema' and r.status = 'diff' and r.scope in (select scope from {_TRUSTED.sql()} where \"check\" = 'structural' and status = 'ok') then 'ok' else status end as status from {_TRUSTED.sql()} r")
+def schema_authority(spark, sf_dir):
+    return checks.authority(_TRUSTED.df(spark)).select("check", "scope", "status")
+
+
+_FACTS = Rows("name string, value string", (("wal_level", "replica"), ("is_replica", "false"), ("inactive_slots", "2"), ("encoding", "utf8")))
+
+
+@query("select * from (values ('wal_level', 'fail', 'set wal_level to logical'), ('is_replica', 'pass', ''), ('inactive_slots', 'warn', 'drop inactive slots, they hold the log'), ('encoding', 'pass', '')) t(rule, level, detail)")
+def assess_rules(spark, sf_dir):
+    known = {r[0] for r in _FACTS.rows}
+    return checks.assess(_FACTS.df(spark), [r for r in checks.READINESS if r[0] in known])
+
+
+@query(f"select level, count(*) as n from ({ORACLE_SQL['assess_rules']}) group by 1")
+def assess_levels(spark, sf_dir):
+    return checks.level_counts(assess_rules(spark, sf_dir))
+
+
+_DDL = Rows("ddl string", (("CREATE TABLE t (id BIGINT UNSIGNED AUTO_INCREMENT, ok TINYINT(1), at DATETIME, x DOUBLE, body LONGTEXT) ENGINE=InnoDB AUTO_INCREMENT=7",), ("CREATE DEFINER=`u`@`h` SQL SECURITY INVOKER VIEW v AS SELECT 1",)))
+
+
+def _rewrites(rules: tuple, column: str) -> str:
+    for pattern, replacement in rules:
+        plain = pattern.replace("(?i)", "")
+        if "(?!" in plain:
+            plain = plain.split("(?!")[0]
+        column = f"regexp_replace({column}, '{plain}', '{replacement}', 'gi')"
+    return column
+
+
+@query(f"select {_rewrites(text.DDL_REWRITES, 'ddl')} as rewritten, trim({_rewrites(text.DDL_NOISE, 'ddl')}) as canonical from {_DDL.sql()}")
+def ddl_rewrites(spark, sf_dir):
+    return _DDL.df(spark).select(text.rewrite_ddl(F.col("ddl")).alias("rewritten"), text.canonical_ddl(F.col("ddl")).alias("canonical"))
+
+
+_SECRETS = Rows("line string", (("postgresql://u:p4ss@h/db password=abc next",), ("TOKEN: 'x y' rest",)))
+
+
+@query("select * from (values ('postgresql://u:***@h/db password=*** next'), ('TOKEN: *** rest')) t(line)")
+def redacted_lines(spark, sf_dir):
+    return _SECRETS.df(spark).select(text.redacted(F.col("line")).alias("line"))
+
+
+_LSNS = Rows("lsn string", (("0/1F",), ("1/0",), ("16/B374D848",)))
+
+
+@query("select * from (values ('0/1F', '31'), ('1/0', '4294967296'), ('16/B374D848', '97500059720')) t(lsn, n)")
+def lsn_numbers(spark, sf_dir):
+    return _LSNS.df(spark).select("lsn", text.lsn_number(F.col("lsn")).cast("string").alias("n"))
+
+
+_SECONDS = Rows("s double", ((3723.4,), (184.0,), (5.9,)))
+
+
+@query("select * from (values ('1h02m', '3,723'), ('3m04s', '184'), ('5s', '6')) t(human, counted)")
+def human_units(spark, sf_dir):
+    return _SECONDS.df(spark).select(text.human_duration(F.col("s")).alias("human"), text.human_count(F.col("s")).alias("counted"))
