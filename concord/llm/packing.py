@@ -7,7 +7,7 @@ becomes smallest, a new bin being one of the choices (Csirik et al., 2006). A gr
 bin or so open, which the group size makes negligible.
 
 Tokenising works on runs between ASCII white space, whose ids do not depend on their neighbours, with a
-bounded cache of runs in each task; the vocabulary file is read once on the driver and sent along.
+bounded cache of runs in each worker; the vocabulary file is read once on the driver and sent along.
 
 Defined results: a null or empty text is the single id 0; repeated rows are packed each on its own; a
 piece's place depends on the task that read it, so any two runs agree in everything but the places.
@@ -16,7 +16,9 @@ piece's place depends on the task that read it, so any two runs agree in everyth
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +32,14 @@ from concord.session import durable
 
 CAPACITY = 2048
 _END = b"\0\0\0\0"  # id 0 ends every document
-CACHE = 200_000
+CACHE = 250_000
+#: Bytes of text whose runs are looked up together.
+SPAN = 8 << 20
+_MARKS = re.compile(rb"(?<=[a-z0-9])[!-&(-/:-@\[-`{-~]+(?=[ \n])")
 
 
 class CachedTokenizer:
-    """Token ids of texts; runs between ASCII white space are looked up in two generations of a bounded cache."""
+    """Token ids of texts by runs between ASCII white space, looked up in two generations of a bounded cache."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -44,15 +49,26 @@ class CachedTokenizer:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def ids(self, text: bytes | None) -> bytes:
-        """The ids of ``text`` and the end id, as little-endian unsigned 32-bit integers."""
-        runs = text.split() if text else []
-        try:
-            known = self.young
-            return b"".join([known[r] for r in runs]) + _END
-        except KeyError:
-            known = self.look_up(set(runs))
-            return b"".join([known[r] for r in runs]) + _END
+    @classmethod
+    def shared(cls, vocabulary: str) -> CachedTokenizer:
+        """The tokenizer of this worker process, which keeps its cache from task to task."""
+        key = hash(vocabulary)
+        if key not in _TOKENIZERS:
+            _TOKENIZERS.clear()
+            _TOKENIZERS[key] = cls(vocabulary)
+        return _TOKENIZERS[key]
+
+    def batch(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
+        start, size = 0, 0
+        for i, text in enumerate(texts):
+            size += len(text or b"")
+            if size >= SPAN or i == len(texts) - 1:
+                split = [runs_of(t) for t in texts[start : i + 1]]
+                known = self.look_up(set().union(*split))
+                for runs in split:
+                    yield b"".join([known[r] for r in runs]) + _END
+                start, size = i + 1, 0
 
     def look_up(self, runs: set[bytes]) -> dict[bytes, bytes]:
         """The ids of each of ``runs``, which become part of the young generation."""
@@ -67,14 +83,31 @@ class CachedTokenizer:
                 found[run] = ids
         for start in range(0, len(missing), 10_000):
             part = missing[start : start + 10_000]
-            for run, encoded in zip(part, self.tokenizer.encode_batch([r.decode("utf-8", "replace") for r in part], add_special_tokens=False)):
-                found[run] = np.array(encoded.ids, dtype="<u4").tobytes()
+            for run, encoded in zip(part, self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in part], add_special_tokens=False)):
+                found[run] = array("I", encoded.ids).tobytes()
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
         self.young.update(found)
         return found
 
 
+_TOKENIZERS: dict[int, CachedTokenizer] = {}
+
+
+def runs_of(text: bytes | None) -> list[bytes]:
+    """Runs whose ids follow each other in those of ``text``.
+
+    The vocabulary's normaliser lowers case, so A-Z may be lowered first unless a combining mark follows
+    somewhere (it could then compose otherwise); ASCII marks other than the apostrophe between an ASCII letter
+    or digit and white space are a word of their own to the vocabulary's splitter in any case.
+    """
+    if not text:
+        return []
+    if b"\xcc" in text or b"\xcd" in text:
+        return text.split()
+    return _MARKS.sub(rb" \g<0>", text.lower()).split()
+
+
 PIECES = "doc_id {id_type}, piece int, start long, length long, ids_crc32 long, serial long{ids}"
 
 
@@ -85,12 +118,11 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
     width = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = CachedTokenizer(shared.value)
+        tokens = CachedTokenizer.shared(shared.value)
         serial = TaskContext.get().partitionId() << 36
         for batch in batches:
             rows, piece, start, length, crc, serials, kept = [], [], [], [], [], [], []
-            for row, text in enumerate(byte_texts(batch.column(1))):
-                ids = tokens.ids(text)
+            for row, ids in enumerate(tokens.batch(byte_texts(batch.column(1)))):
                 for k in range(0, len(ids), width):
                     part = ids[k : k + width]
                     rows.append(row)
