@@ -156,7 +156,7 @@ class Screen(dict):
         self.model = model
 
     def __missing__(self, word: bytes) -> bool:
-        if len(self) > 200_000:
+        if len(self) > 400_000:
             self.clear()
         found = self[word] = self.model.classify(word.decode("utf-8", "replace"))[0] in (INSULT, THREAT)
         return found
