@@ -99,11 +99,12 @@ def runs_of(text: bytes | None) -> list[bytes]:
 
     The vocabulary's normaliser lowers case, so A-Z may be lowered first unless a combining mark follows
     somewhere (it could then compose otherwise); ASCII marks other than the apostrophe between an ASCII letter
-    or digit and white space are a word of their own to the vocabulary's splitter in any case.
+    or digit and white space are a word of their own to the vocabulary's splitter in any case. A text with
+    ``<|`` may hold the string of a special token, which the tokenizer knows by its exact spelling.
     """
     if not text:
         return []
-    if b"\xcc" in text or b"\xcd" in text:
+    if b"\xcc" in text or b"\xcd" in text or b"<|" in text:
         return text.split()
     return _MARKS.sub(rb" \g<0>", text.lower()).split()
 
