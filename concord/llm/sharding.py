@@ -7,8 +7,8 @@ at full length are refined by the next ``step`` bits, for their rows alone, unti
 native expressions; the directory is joined, never collected.
 
 Rows that one address cannot part (equal keys) overflow, as in any hash file: such a bucket is chained
-into numbered pages by a running total, itself built from even chunks so that no task orders more than
-about one limit's worth of rows. A row larger than the limit has a page of its own.
+into numbered pages by a running total over the counts of its row sizes. A row larger than the limit has a
+shard or page of its own.
 
 Defined results: a null key hashes as the empty string; a null text has 0 bytes; an empty table has no
 shards; repeated rows may share a shard or a chain.
@@ -85,25 +85,27 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bytes: i
 def _chained(placed: DataFrame, max_bytes: int) -> DataFrame:
     """Number the pages of buckets whose rows one address cannot part.
 
-    Rows are dealt to chunks of about a quarter of the limit each; a chunk opens a page for every half of
-    the limit, and rows of more than half the limit have pages of their own.
+    Rows with equal key and size are interchangeable here, so they are counted first; a window over the
+    counts gives each size its first byte in the chain, and arithmetic gives each row its page. A page
+    holds the rows that begin in one half of the limit; rows of more than half have pages of their own.
     """
     half = max(1, max_bytes // 2)
-    chunks = F.greatest(F.lit(1), F.ceil(4 * F.col("bucket.shard_bytes") / max_bytes))
-    spread = placed.withColumn("chunk", F.when(F.col("bucket.chained"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), chunks)))
-    large = F.col("bytes") > half
-    chain = spread.where("bucket.chained")
-    so_far = Window.partitionBy("address", "chunk", large).orderBy(F.desc("bytes")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.sum("bytes").over(so_far) - F.col("bytes")
-    local = F.when(large, (1 << 30) + F.count("*").over(so_far)).otherwise(F.floor(before / half))
-    paged = chain.withColumn("page", F.col("chunk") * F.lit(1 << 32) + local).drop("chunk")
-    return spread.where("not bucket.chained").withColumn("page", F.lit(0).cast("long")).drop("chunk").unionByName(paged)
+    key = placed.columns[0]
+    chain = placed.where("bucket.chained").groupBy(key, "bytes", "address", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("address").orderBy("bytes", key).rowsBetween(Window.unboundedPreceding, -1)
+    chain = chain.withColumns({"first": F.coalesce(F.sum(F.col("bytes") * F.col("n")).over(before), F.lit(0)), "number": F.coalesce(F.sum("n").over(before), F.lit(0))})
+    span = F.lit(1 << 14).cast("long")  # numbers are unfolded in two steps, so no array is long
+    chain = chain.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, span)).alias("low"))
+    chain = chain.select("*", F.explode(F.sequence("low", F.least(F.col("low") + span, F.col("n")) - 1)).alias("i"))
+    page = F.when(F.col("bytes") > half, (1 << 40) + F.col("number") + F.col("i")).otherwise(F.floor((F.col("first") + F.col("i") * F.col("bytes")) / half))
+    paged = chain.select(*placed.columns, page.cast("long").alias("page"))
+    return placed.where("not bucket.chained").withColumn("page", F.lit(0).cast("long")).unionByName(paged)
 
 
 def write_shards(docs: DataFrame, path: str, max_bytes: int = MAX_BYTES) -> None:
     """Write ``docs`` to ``path`` in one folder for each shard; the rows join their shard by key.
 
-    Rows of equal keys share a shard, so the join needs one row of the directory for each key.
+    Rows of equal keys share a shard; the pages of an overflowing shard are files of one folder.
     """
     where = shard(docs, max_bytes=max_bytes).select(F.col("doc_id").alias("__id"), F.concat(F.lit("s"), F.col("shard")).alias("shard")).distinct()
     moved = docs.join(where, docs["doc_id"].eqNullSafe(where["__id"])).drop("__id")

@@ -95,17 +95,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", lanes
     clean = rules.select(F.translate(F.coalesce("host", F.lit("")), _UPPER, _LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action").where("host <> ''")
     clean = clean.groupBy("host", "path").agg(F.max("action").alias("action"))  # block sorts behind allow
     clean = clean.withColumn("rule", F.concat("host", "path"))
-    urls = pages.select("page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64("page_id", "url").alias("mix"))
+    # equal rows are judged once and come out as often as they came in
+    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).groupBy("page_id", "host", "path").agg(F.count("*").alias("copies"))
+    urls = urls.withColumn("mix", F.xxhash64("page_id", "host", "path"))
 
     fitting = sweep(urls, clean.select(F.col("path").alias("rule_path")).distinct(), "path", "rule_path", "rule_path", "paths", lanes, F.col("mix"))
     # a url without any fitting path stays as one row with a null path
-    asked = fitting.withColumn("row", F.monotonically_increasing_id()).select("*", F.explode_outer("paths").alias("rule_path")).drop("paths")
+    asked = fitting.select("*", F.explode_outer("paths").alias("rule_path")).drop("paths")
     key = F.concat(F.hex(F.encode("rule_path", "utf-8")), F.lit("|"), reversed_host(F.col("host")))
     asked = asked.withColumn("key", F.coalesce(key, F.lit("")))
     ranges = clean.select(F.concat(F.hex(F.encode("path", "utf-8")), F.lit("|"), reversed_host(F.col("host"))).alias("range_key"), F.struct(F.length("rule").alias("size"), F.length("host").alias("host_size"), "rule", "action").alias("load"))
     found = sweep(asked, ranges, "key", "range_key", "load", "hosts", lanes, F.xxhash64("mix", "rule_path"))
     best = F.max(F.try_element_at("hosts", F.lit(-1)))
-    judged = found.groupBy("row", "page_id", "host", "path").agg(best.alias("best"))
+    judged = found.groupBy("page_id", "host", "path", "copies").agg(best.alias("best")).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
