@@ -150,13 +150,24 @@ def links(fps: DataFrame, max_bucket: int = 64) -> DataFrame:
     return edges
 
 
-def assign(marked: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """fp, root (the least fingerprint of its component) and component_id for each distinct ``__fp`` of ``marked``."""
+def rooted(marked: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """fp, least (its smallest id) and root for each distinct ``__fp`` of ``marked``; root is null for a component of one fingerprint."""
     fps = durable(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(id_column).alias("least")))
     roots = connected_components(links(fps.select("fp")))
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(named, "root").select("fp", "root", "component_id")
+    return durable(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
+
+
+def assign(marked: DataFrame, id_column: str = "doc_id", salts: int = 32) -> DataFrame:
+    """fp, component_id for each distinct ``__fp`` of ``marked``.
+
+    Only components of several fingerprints look their id up; their members are salted, as one component
+    may hold many of them.
+    """
+    found = rooted(marked, id_column)
+    linked = found.where("root is not null")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    several = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(named, ["root", "salt"]).select("fp", "component_id")
+    return found.where("root is null").select("fp", F.col("least").alias("component_id")).unionByName(several)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -177,6 +188,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     marked = durable(with_fingerprint(hashed).select("__fp", "doc_id", "__row", "__row2"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "__row", "__row2")
     first = marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(rank).alias("rank"))
-    chosen = first.join(assign(marked).select("fp", "root"), "fp").groupBy("root").agg(F.min("rank").alias("rank"))
+    roots = rooted(marked).select("fp", F.coalesce("root", "fp").alias("root"))
+    chosen = first.join(roots, "fp").groupBy("root").agg(F.min("rank").alias("rank"))
     keys = chosen.select(F.col("rank.__row").alias("__row"), F.col("rank.__row2").alias("__row2"))
     return hashed.join(keys, ["__row", "__row2"], "left_semi").dropDuplicates(["__row", "__row2"]).select(*columns)
