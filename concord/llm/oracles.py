@@ -45,4 +45,17 @@ with rows as (
 select doc_id, n_bytes, shard, cast(depth as integer) as depth, cast(0 as bigint) as page, shard_bytes, shard_rows from fit where k = 1
 """
 
-ORACLE_SQL = {"op2_url_filters": URL_FILTERS, "op4_sharding": SHARDING, "op10_decontamination": DECONTAMINATION}
+#: Word and pair counts of the whole corpus, and the logarithms of each document's positions.
+LM_SCORING = r"""
+with doc as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+pos as (select doc_id, i, w[i] as b, case when i > 1 then w[i - 1] end as a from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from doc)),
+one as (select b as word, count(*) as c from pos group by 1), two as (select a, b, count(*) as c from pos where a is not null group by 1, 2), total as (select count(*) as n from pos),
+scored as (
+  select doc_id, case when pos.a is null then ln(w2.c / n) when two.c >= 2 then ln(two.c / w1.c) else ln(0.4 * w2.c / n) end as s
+  from pos join one w2 on pos.b = w2.word left join one w1 on pos.a = w1.word left join two on pos.a = two.a and pos.b = two.b, total
+), summed as (select doc_id, sum(s) as s from scored group by 1)
+select doc.doc_id, cast(len(w) as bigint) as n_words, round(coalesce(s, 0.0), 4) as log_score, case when len(w) > 0 then round(s / len(w), 6) end as per_word
+from doc left join summed on doc.doc_id = summed.doc_id
+"""
+
+ORACLE_SQL = {"op7_lm_scoring": LM_SCORING, "op2_url_filters": URL_FILTERS, "op4_sharding": SHARDING, "op10_decontamination": DECONTAMINATION}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from concord.llm import decontamination, language_id, lm_scoring, packing, quality_rules, sharding, simhash, toxicity, url_filter, warc
 from concord.llm.oracles import ORACLE_SQL
@@ -42,7 +43,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(table(spark, sf_dir, "documents"))
+    """Rounded, as sums of logarithms in another order differ in their last digits."""
+    found = lm_scoring.score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("per_word", 6).alias("per_word"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
