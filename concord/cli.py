@@ -174,6 +174,10 @@ def watch_(args: argparse.Namespace) -> int:
 def report(args: argparse.Namespace) -> int:
     spark = _session()
     results = spark.read.schema(RESULT_SCHEMA).json(f"{_reports(args)}/summary")
+    if args.serve:
+        from concord.dashboard import server
+
+        server(spark, args.reports.rstrip("/"), sorted(load_pairs(args.config)), args.port).serve_forever()
     if args.metrics:
         for r in sinks.metrics(results, args.name).collect():
             print(r["line"])
@@ -241,6 +245,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--cycles", type=int, default=1)
         c.add_argument("--interval", type=float, default=5.0)
         c.add_argument("--metrics", action="store_true")
+        c.add_argument("--serve", action="store_true")
+        c.add_argument("--port", type=int, default=8484)
         c.add_argument("--migration", default="")
     return p
 

@@ -215,6 +215,18 @@ def role_gap(src: DataFrame, dst: DataFrame, ignore: Sequence[str] = (), all_cov
     return j.select("login", F.when(covered, F.array().cast("array<string>")).otherwise(gap).alias("gap")).where(F.size("gap") > 0).select("login", F.array_join("gap", ",").alias("missing"))
 
 
+def open_transactions(sessions: DataFrame, allowed_s: float = 3600.0) -> DataFrame:
+    """n, longest_s, level of open transactions (rows: id, age_s)."""
+    found = sessions.agg(F.count("*").alias("n"), F.coalesce(F.max("age_s"), F.lit(0.0)).alias("longest_s"))
+    return found.withColumn("level", F.when(F.col("longest_s") > allowed_s, "warn").otherwise("pass"))
+
+
+def name_lists(entries: DataFrame, group: str, name: str, shown: int = 10) -> DataFrame:
+    """The group, n and its first names in order, as one text."""
+    grouped = entries.groupBy(group).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(name)).alias("names"))
+    return grouped.select(group, "n", F.array_join(F.slice("names", 1, shown), ", ").alias("names"))
+
+
 def references(constraints: DataFrame) -> DataFrame:
     """table, columns, position: multi-column references unfolded with their order."""
     return constraints.select("table", F.posexplode("columns").alias("position", "column"))

@@ -98,6 +98,26 @@ def probe(src: DataFrame, dst: DataFrame, key: Sequence[str], rows: int, seed: s
     return classified(chosen, near, key).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def spot_check(probed: DataFrame, clocks: DataFrame) -> DataFrame:
+    """n_rows, n_bad, clock_ok, passed: some rows were looked at, none differs, and the clocks agree.
+
+    ``probed`` has kind and n of a probe; ``clocks`` one row a reading with src_s and dst_s. Clocks may be
+    two seconds apart and drift by five over the readings.
+    """
+    looked = probed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(F.col("kind") != "same", F.col("n"))), F.lit(0)).alias("n_bad"))
+    offset = F.col("dst_s") - F.col("src_s")
+    time = clocks.agg(F.coalesce((F.max(F.abs(offset)) < 2) & (F.max(offset) - F.min(offset) < 5), F.lit(False)).alias("clock_ok"))
+    both = looked.withColumn("one", F.lit(1)).join(time.withColumn("one", F.lit(1)), "one").drop("one")
+    return both.withColumn("passed", (F.col("n_rows") > 0) & (F.col("n_bad") == 0) & F.col("clock_ok"))
+
+
+def tables_to_probe(sizes: DataFrame, largest: int = 4, others: int = 4, seed: str = "probe") -> DataFrame:
+    """table, n: the largest tables and a repeatable choice of the rest."""
+    top = sizes.orderBy(F.desc("n"), "table").limit(largest)
+    rest = sizes.join(top.select("table"), "table", "left_anti").select("table", "n")
+    return top.select("table", "n").unionByName(rest.orderBy(F.md5(F.concat(F.lit(seed), "table").cast("binary"))).limit(others))
+
+
 def set_difference(src: DataFrame, dst: DataFrame, *names: str) -> DataFrame:
     """The named columns and ``side`` of entries that only one side has."""
     left, right = src.select(*names).distinct(), dst.select(*names).distinct()

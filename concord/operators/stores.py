@@ -14,18 +14,15 @@ TYPE_NAMES = {"VOID": "null", "BOOLEAN": "bool", "BIGINT": "int", "DOUBLE": "dou
 
 
 def log_tail(log: DataFrame, n: int = TAIL) -> DataFrame:
-    """topic, part, n, digest: an ordered md5 over the last ``n`` records of each partition.
+    """topic, part, n, digest: an ordered md5 over key and value of the last ``n`` records of each partition.
 
-    Offsets are unique and rising in a partition, so the tail is a range below its largest offset; only
-    those records are gathered, ``n`` at most.
+    The tail is ranked in each partition of the log; only its ``n`` digests are gathered.
     """
-    ends = log.groupBy("topic", "part").agg(F.max("off").alias("last"))
-    near = log.join(ends, ["topic", "part"])
-    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("topic", "part").orderBy(F.desc("off")))).where(F.col("k") <= n)
-    record = F.md5(F.concat_ws("|", F.coalesce(F.col("k_text"), F.lit("~")), F.coalesce(F.col("v"), F.lit("~"))).cast("binary"))
-    rows = ranked.withColumn("k_text", F.col("key").cast("string")).select("topic", "part", "off", record.alias("m")) if "key" in log.columns else ranked.select("topic", "part", "off", F.md5(F.coalesce(F.col("v"), F.lit("~")).cast("binary")).alias("m"))
+    record = F.md5(F.concat_ws("|", F.coalesce(F.col("key").cast("string"), F.lit("~")), F.coalesce("v", F.lit("~"))).cast("binary"))
+    rank = F.row_number().over(Window.partitionBy("topic", "part").orderBy(F.desc("off")))
+    tail = log.select("topic", "part", "off", record.alias("m")).withColumn("rank", rank).where(F.col("rank") <= n)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("off", "m"))), lambda x: x["m"])
-    return rows.groupBy("topic", "part").agg(F.count("*").alias("n"), F.md5(F.array_join(ordered, "").cast("binary")).alias("digest"))
+    return tail.groupBy("topic", "part").agg(F.count("*").alias("n"), F.md5(F.array_join(ordered, "").cast("binary")).alias("digest"))
 
 
 def log_counts(log: DataFrame) -> DataFrame:
@@ -94,8 +91,7 @@ def sampled_keys(df: DataFrame, share: float, seed: int = 0) -> DataFrame:
 def field_types(docs: DataFrame, column: str = "doc") -> DataFrame:
     """field, type, n: value types of each top-level field over all JSON documents."""
     parsed = docs.select(F.try_parse_json(F.col(column)).alias("v"))
-    fields = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("v").outer())) if False else parsed.selectExpr("v").alias("p")
-    each = fields.selectExpr("v", "explode(json_object_keys(to_json(v))) as field").selectExpr("field", "schema_of_variant(try_variant_get(v, concat('$[\"', field, '\"]'), 'variant')) as kind")
+    each = parsed.selectExpr("v", "explode(json_object_keys(to_json(v))) as field").selectExpr("field", "schema_of_variant(try_variant_get(v, concat('$[\"', field, '\"]'), 'variant')) as kind")
     name = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in TYPE_NAMES.items() for x in p]), F.col("kind")), F.when(F.col("kind").startswith("DECIMAL"), "double").when(F.col("kind").startswith("ARRAY"), "array").when(F.col("kind").startswith("OBJECT"), "object"), F.lower("kind"))
     return each.select("field", name.alias("type")).groupBy("field", "type").agg(F.count("*").alias("n"))
 

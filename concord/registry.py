@@ -830,6 +830,57 @@ def versions_changed(spark, sf_dir):
     return delta.versions_changed(_VERSIONS.df(spark), 4)
 
 
+_IMAGES = Rows("before_id long, after_id long, v string", ((1, 1, "update"), (2, 3, "moved"), (None, 4, "insert"), (5, None, "delete")))
+
+
+@query(f"select distinct id from (select before_id as id from {_IMAGES.sql()} union all select after_id from {_IMAGES.sql()}) where id is not null")
+def row_event_keys(spark, sf_dir):
+    image = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("id")))
+    return delta.row_event_keys(_IMAGES.df(spark).select(image("before_id").alias("before"), image("after_id").alias("after")), ["id"])
+
+
+_FEED = Rows("line string", tuple((x,) for x in ('{"_id": {"_data": "01"}, "operationType": "insert", "documentKey": {"_id": {"$oid": "a1"}}}', '{"_id": {"_data": "02"}, "operationType": "delete", "documentKey": {"_id": "b2"}}', '{"_id": {"_data": "03"}, "operationType": "drop"}')))
+
+
+@query("select * from (values ('a1', 'insert', '01'), ('b2', 'delete', '02')) t(id, op, token)")
+def document_events(spark, sf_dir):
+    return delta.document_events(_FEED.df(spark))
+
+
+_CLOCKS = Rows("src_s double, dst_s double", ((0.0, 0.5), (10.0, 11.0)))
+
+
+@query(f"select n_rows, n_bad, true as clock_ok, n_rows > 0 and n_bad = 0 as passed from (select cast(sum(n) as bigint) as n_rows, cast(coalesce(sum(n) filter (where kind <> 'same'), 0) as bigint) as n_bad from ({ORACLE_SQL['random_probe']}))")
+def spot_check(spark, sf_dir):
+    return diff.spot_check(random_probe(spark, sf_dir), _CLOCKS.df(spark))
+
+
+_TABLE_SIZES = Rows("table string, n long", tuple((f"t{i}", i * i % 13) for i in range(12)))
+
+
+@query(f"with top as (select \"table\", n from {_TABLE_SIZES.sql()} order by n desc, \"table\" limit 4) select * from top union all (select \"table\", n from {_TABLE_SIZES.sql()} where \"table\" not in (select \"table\" from top) order by md5('probe' || \"table\") limit 4)")
+def tables_to_probe(spark, sf_dir):
+    return diff.tables_to_probe(_TABLE_SIZES.df(spark))
+
+
+_SESSIONS = Rows("id long, age_s double", ((1, 10.0), (2, 7200.0)))
+
+
+@query("select cast(2 as bigint) as n, cast(7200 as double) as longest_s, 'warn' as level")
+def open_transactions(spark, sf_dir):
+    return catalog.open_transactions(_SESSIONS.df(spark))
+
+
+@query(f"select schema, count(*) as n, array_to_string(list_slice(list_sort(list_distinct(list(name))), 1, 2), ', ') as names from {_ROUT.sql()} group by 1")
+def name_lists(spark, sf_dir):
+    return catalog.name_lists(_ROUT.df(spark), "schema", "name", 2)
+
+
+@query("select min(x) as low, max(x) as high, count(*) as n from (select o_orderkey as x from orders where o_orderkey > 100 and o_orderkey <= 900)")
+def copy_range(spark, sf_dir):
+    return diff.in_ranges(pair(spark, sf_dir, "orders"), "o_orderkey", 100, 900, closed_right=True).agg(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"), F.count("*").alias("n"))
+
+
 # ---- results
 
 _RESULT = "check string, scope string, status string, detail string, report string, fix_hint string"

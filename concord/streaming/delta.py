@@ -46,6 +46,26 @@ def parse_changes(lines: DataFrame, keys: dict[str, Sequence[str]]) -> DataFrame
     return base.select("lsn", "table", "op", key.alias("key"))
 
 
+def row_event_keys(events: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The key columns of row images (``before`` and ``after`` structs): an update that moves a key touches both."""
+    images = events.select(F.explode(F.array_compact(F.array("before", "after"))).alias("x"))
+    return images.select(*[F.col(f"x.{k}").alias(k) for k in key]).distinct()
+
+
+def document_events(lines: DataFrame) -> DataFrame:
+    """id, op, token of a document store's change events, one JSON text a line; other operations are left out."""
+    get = lambda path: F.get_json_object("line", path)
+    ident = F.coalesce(get("$.documentKey._id.$oid"), get("$.documentKey._id"))
+    found = lines.select(ident.alias("id"), get("$.operationType").alias("op"), get("$._id._data").alias("token"))
+    return found.where(F.col("op").isin("insert", "update", "replace", "delete"))
+
+
+def history_kept(oldest: str, cursor: str) -> bool:
+    """Whether a log still reaches back to the cursor; if not, only a whole comparison can tell (plain Python)."""
+    place = lambda lsn: tuple(int(x, 16) for x in lsn.split("/"))
+    return place(oldest) <= place(cursor)
+
+
 def touched_keys(changes: DataFrame) -> DataFrame:
     """table, key: each changed key once."""
     return changes.where("key is not null").select("table", "key").distinct()

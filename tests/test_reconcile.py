@@ -218,3 +218,21 @@ def test_critical_settings_decide(spark):
     assert catalog.settings_status(catalog.settings_difference(src, dst, catalog.CRITICAL_SETTINGS["postgres"])).first()["status"] == "ok"
     assert catalog.settings_status(catalog.settings_difference(src, dst.withColumn("value", F.lit("3")), catalog.CRITICAL_SETTINGS["postgres"])).first()["status"] == "diff"
     assert len(catalog.CRITICAL_SETTINGS["postgres"]) == 21 and len(catalog.CRITICAL_SETTINGS["mysql"]) == 18 and not catalog.CRITICAL_SETTINGS["mssql"]
+
+
+def test_dashboard(spark, tmp_path):
+    from concord import dashboard
+    from concord.model import result
+
+    result(spark, "counts", "app", "ok", "a<b").write.json(str(tmp_path / "p/summary"))
+    get = lambda path: dashboard.page(spark, str(tmp_path), ["p", "q"], path)
+    assert "/report/p" in get("/")[2] and "/report/q" not in get("/")[2]
+    assert '"all_clean": true' in get("/api/data")[2] and get("/metrics")[2].endswith("} 1\n")
+    assert "a&lt;b" in get("/report/p")[2] and get("/report/q")[0] == 404
+    held = dashboard.server(spark, str(tmp_path), ["p"], 0)
+    assert held.server_address[0] == "127.0.0.1"
+    held.server_close()
+
+
+def test_lost_history_is_noticed():
+    assert delta.history_kept("0/10", "0/1F") and delta.history_kept("0/FF", "1/0") and not delta.history_kept("1/0", "0/FF")
