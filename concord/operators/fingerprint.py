@@ -44,15 +44,19 @@ def binary_checksum(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("checksum"))
 
 
-def ordered_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, buckets: int = 256) -> DataFrame:
-    """n, digest: an md5 over all row hashes in hash order.
+def ordered_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """n, digest: an md5 over all row hashes in order, each with its number of occurrences.
 
-    Row hashes are bucketed by their leading byte; each bucket is digested in order and the digests are
-    digested in turn, so no task orders the whole table.
+    It is a tree: hashes are digested in order by their first four digits, those digests by the first two,
+    and these once more. A row that fills the table is one hash, and no task gathers more than one part in
+    65,536 of the others.
     """
-    h = df.select(row_hash(df, columns).alias("h")).withColumn("b", F.substring("h", 1, 2 if buckets > 16 else 1))
-    each = h.groupBy("b").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary")).alias("d"))
-    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "").cast("binary")).alias("digest"))
+    counted = df.select(row_hash(df, columns).alias("h")).groupBy(F.substring("h", 1, 4).alias("b"), "h").agg(F.count("*").alias("n"))
+    level = counted.select("b", "n", F.concat_ws(":", "h", F.col("n").cast("string")).alias("d"))
+    digest = F.md5(F.array_join(F.array_sort(F.collect_list("d")), "").cast("binary"))
+    for digits in (4, 2, 0):
+        level = level.groupBy(F.substring("b", 1, digits).alias("b")).agg(F.sum("n").alias("n"), digest.alias("d")).withColumn("d", F.concat("b", "d"))
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("d"), F.md5(F.lit("").cast("binary"))).alias("digest"))
 
 
 def content_xor(df: DataFrame, identity: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from concord.model import ACTION_SCHEMA
 from concord.operators.diff import differences
+from concord.session import durable
 
 SOURCE_WINS, KEEP_TARGET = "source-wins", "keep-target"
 #: A keyed sync tool is trusted with single-column keys and this many of them at most.
@@ -30,8 +31,11 @@ class RowRepair:
 
 
 def repair_rows(src: DataFrame, dst: DataFrame, key: Sequence[str], policy: str = SOURCE_WINS, columns: Sequence[str] | None = None) -> RowRepair:
-    """Copy missing and changed rows from the source, delete extra ones; keep-target leaves changed rows alone."""
-    found = differences(src, dst, key, columns)
+    """Copy missing and changed rows from the source, delete extra ones; keep-target leaves changed rows alone.
+
+    The differing keys are written once; the new target, the touched keys and the pre-image all read them.
+    """
+    found = durable(differences(src, dst, key, columns))
     touched = found.where("kind <> 'changed'") if policy == KEEP_TARGET else found
     copied = src.join(touched.where("kind <> 'extra'"), list(key), "left_semi")
     kept = dst.join(touched, list(key), "left_anti")

@@ -16,7 +16,8 @@ TYPE_NAMES = {"VOID": "null", "BOOLEAN": "bool", "BIGINT": "int", "DOUBLE": "dou
 def log_tail(log: DataFrame, n: int = TAIL) -> DataFrame:
     """topic, part, n, digest: an ordered md5 over key and value of the last ``n`` records of each partition.
 
-    The tail is ranked in each partition of the log; only its ``n`` digests are gathered.
+    Ranks above ``n`` are dropped before the shuffle (a window group limit), so a long partition sends ``n``
+    records from each task and gathers ``n`` digests.
     """
     record = F.md5(F.concat_ws("|", F.coalesce(F.col("key").cast("string"), F.lit("~")), F.coalesce("v", F.lit("~"))).cast("binary"))
     rank = F.row_number().over(Window.partitionBy("topic", "part").orderBy(F.desc("off")))

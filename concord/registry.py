@@ -93,7 +93,11 @@ def column_fingerprint(spark, sf_dir):
 _H2 = duck_row_hash(COLUMNS["orders"])
 
 
-@query(f"select cast(sum(n) as bigint) as n, md5(string_agg(d, '' order by b)) as digest from (select substr(h, 1, 2) as b, count(*) as n, md5(string_agg(h, '' order by h)) as d from (select {_H2} as h from orders) group by 1)")
+@query(
+    f"""with leaf as (select substr(h, 1, 4) as b, sum(n) as n, md5(string_agg(h || ':' || n, '' order by h)) as d from (select h, count(*) as n from (select {_H2} as h from orders) group by 1) group by 1),
+    mid as (select substr(b, 1, 2) as b, sum(n) as n, md5(string_agg(b || d, '' order by b)) as d from leaf group by 1)
+    select cast(sum(n) as bigint) as n, md5(string_agg(b || d, '' order by b)) as digest from mid"""
+)
 def ordered_fingerprint(spark, sf_dir):
     return fingerprint.ordered_fingerprint(_orders(spark, sf_dir)[0], ORDERS)
 
