@@ -51,6 +51,7 @@ def directory(rows: DataFrame, max_bytes: int, step: int = 12) -> list[tuple[int
         last = (F.col("depth") == width) & F.lit(width == HASH_BITS)
         # the bucket of a cell is its shortest prefix that fits; prefixes above it are all too large
         fits = prefixes.where(~full | last).withColumn("chained", full)
+        fits = fits if done or step > 16 else F.broadcast(fits)  # the first round has fewer than 2^(step + 1) prefixes
         named = cells.select("cell", depths).select("cell", F.expr("substr(cell, 1, depth)").alias("shard"), "depth")
         best = F.min(F.struct("depth", "shard", "shard_bytes", "shard_rows", "chained")).alias("best")
         rounds.append((width, named.join(fits, ["shard", "depth"]).groupBy("cell").agg(best).select("cell", "best.*")))
