@@ -124,8 +124,8 @@ def build(pages: DataFrame) -> DataFrame:
 
 
 def serialized(records: DataFrame) -> DataFrame:
-    """``value``: each record as text, without the separator that ends it."""
-    line = lambda name, column: F.concat(F.lit(f"{name}: "), column.cast("string"), F.lit(CRLF))
+    """``value``: each record as text, without the separator that ends it. Line breaks in a field become spaces."""
+    line = lambda name, column: F.concat(F.lit(f"{name}: "), F.regexp_replace(column.cast("string"), r"[\r\n]+", " "), F.lit(CRLF))
     source = F.concat(F.lit("WARC-Source-Payload-Digest: "), "source_payload_digest", F.lit(CRLF))
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),

@@ -38,6 +38,13 @@ def test_files_read_back(spark, tmp_path):
         assert head["WARC-Block-Digest"] == w.digest(block) and int(head["Content-Length"]) == len(block)
 
 
+def test_a_url_cannot_add_fields(spark):
+    df = spark.createDataFrame([(1, "u\r\nWARC-Type: evil", "<p>x")], "page_id long, url string, html string")
+    for r in w.serialized(w.build(df)).collect():
+        fields, _ = next(w.read_warc((r["value"] + w.SEPARATOR).encode()))
+        assert fields["WARC-Type"] in ("metadata", "conversion") and fields["WARC-Target-URI"] == "u WARC-Type: evil"
+
+
 def test_response_records_parse():
     source = w.response(7, "http://a/7", PAGE.encode())
     block = source["headers"].encode() + b"\r\n\r\n" + source["payload"]
