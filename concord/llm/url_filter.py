@@ -112,4 +112,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", lanes
 
 
 def rule_table(spark: SparkSession, rules: tuple = RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), RULE_SCHEMA)
+    """Rules as a table, of literals."""
+    if not rules:
+        return spark.range(0).select(*[F.lit(None).cast("string").alias(n) for n in ("host", "path", "action")])
+    rows = F.array(*[F.struct(F.lit(h).cast("string").alias("host"), F.lit(p).cast("string").alias("path"), F.lit(a).alias("action")) for h, p, a in rules])
+    return spark.range(1).select(F.inline(rows))
