@@ -69,7 +69,8 @@ def duck_fields(columns: dict[str, str], prefix: str = "") -> list[str]:
 def duck_row_hash(columns: dict[str, str], mode: str = "length", prefix: str = "") -> str:
     parts = duck_fields(columns, prefix)
     if mode == "length":
-        return "md5(" + " || ".join(f"coalesce(cast(length({p}) as varchar) || ':' || {p}, '~')" for p in parts) + ")"
+        measured = [f"cast(length({p}) as varchar) || ':' || {p}" if kind == "s" else f"{p} || ';'" for p, kind in zip(parts, columns.values())]
+        return "md5(" + " || ".join(f"coalesce({m}, '~')" for m in measured) + ")"
     separator, null = {"pipe": ("|", "~"), "hash": ("#", "~null~")}[mode]
     return f"md5(concat_ws('{separator}', " + ", ".join(f"coalesce({p}, '{null}')" for p in parts) + "))"
 

@@ -1,7 +1,8 @@
 """Canonical text and hashes of rows: the same value gives the same text in every engine.
 
 Doubles go through DECIMAL, timestamps to epoch microseconds, booleans and integers to their digits,
-nulls to a token. The default row text prefixes each field with its length, so no separator can be forged.
+nulls to a token. The default row text prefixes each text with its length and ends each number, so no
+separator can be forged.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NULL = "~"
+_PLAIN = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType)
 #: Digits kept behind the point when a double is compared as text.
 DOUBLE_SCALE = 6
 
@@ -46,7 +48,10 @@ def row_text(df: DataFrame, columns: Sequence[str] | None = None, mode: str = "l
     """The text of a row. Modes: ``length`` (default, injective), ``pipe`` (| and ~), ``hash`` (# and ~null~), ``json``."""
     parts = fields_of(df, columns)
     if mode == "length":
-        return F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit(NULL)) for p in parts])
+        kinds = {f.name: f.dataType for f in df.schema}
+        measured = lambda p: F.concat(F.length(p).cast("string"), F.lit(":"), p)
+        # the text of a number holds no mark, so a mark ends it; only other texts need their length
+        return F.concat(*[F.coalesce(F.concat(p, F.lit(";")) if isinstance(kinds[c], _PLAIN) else measured(p), F.lit(NULL)) for p, c in zip(parts, columns or df.columns)])
     if mode == "pipe":
         return F.concat_ws("|", *[F.coalesce(p, F.lit(NULL)) for p in parts])
     if mode == "hash":
