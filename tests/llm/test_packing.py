@@ -35,16 +35,16 @@ def test_cache_generations_change_nothing(monkeypatch, reference):
 
 
 def naive(lengths, capacity):
-    """The sum of squares tried out for every open gap and for a new bin."""
+    """The sum of squares tried out for every open gap; a new bin only where none is wide enough."""
     gaps, out = [], []
     for size in lengths:
         def total(options):
             open_ = [g for g in options if g]
             return sum(open_.count(g) ** 2 for g in set(open_))
-        tries = [(total(gaps + [capacity - size]), capacity - size, len(gaps))]
-        tries += [(total(gaps[:i] + [g - size] + gaps[i + 1 :]), g - size, i) for i, g in enumerate(gaps) if g >= size and g]
+        tries = [(total(gaps[:i] + [g - size] + gaps[i + 1 :]), g - size, i) for i, g in enumerate(gaps) if g >= size]
+        tries = tries or [(0, capacity - size, len(gaps))]
         best = min(tries)
-        out.append(best[:2])
+        out.append(best[1])
         if best[2] == len(gaps):
             gaps.append(capacity - size)
         else:
@@ -58,7 +58,7 @@ def test_each_place_makes_the_sum_smallest():
         lengths = [rng.randint(1, 12) for _ in range(40)]
         bins, offsets = p.sum_of_squares(np.array(lengths), 13)
         chosen = [13 - o - n for o, n in zip(offsets.tolist(), lengths)]
-        assert chosen == [gap for _, gap in naive(lengths, 13)]
+        assert chosen == naive(lengths, 13)
         fill = {}
         for b, o, n in zip(bins.tolist(), offsets.tolist(), lengths):
             assert o == fill.get(b, 0)
@@ -88,7 +88,7 @@ def test_rows_of_the_query(spark, documents, reference):
         assert at <= 2048
     whole = p.pack(docs, vocabulary_path())
     total = sum(r["length"] for r in found)
-    assert len({r["sequence_id"] for r in whole.collect()}) <= 1.03 * -(-total // 2048) + 1
+    assert len({r["sequence_id"] for r in whole.collect()}) <= 1.01 * -(-total // 2048) + 1
 
 
 def test_real_outputs_are_ids(documents, reference):
