@@ -23,7 +23,9 @@ def canonical(name: str, kind: T.DataType) -> Column:
     """One column as canonical text, null for null."""
     column = F.col(f"`{name}`")
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return column.cast(f"decimal(38,{DOUBLE_SCALE})").cast("string")
+        # decimals of 18 digits are plain integers inside; the text is the same as that of the wide type
+        wide = F.coalesce(column.try_cast(f"decimal(38,{DOUBLE_SCALE})").cast("string"), column.cast("string"))
+        return F.when(F.abs(column) < 1e11, column.cast(f"decimal(18,{DOUBLE_SCALE})").cast("string")).otherwise(wide)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(column.cast("timestamp")).cast("string")
     if isinstance(kind, T.DateType):
@@ -71,6 +73,20 @@ def hash_number(md5: Column, start: int = 1) -> Column:
     return F.conv(F.substring(md5, start, 16), 16, 10).cast("decimal(20,0)")
 
 
+def hash_sum(md5: Column) -> Column:
+    """The sum of ``hash_number`` over a group, as text.
+
+    It is taken in four limbs of 16 bits, each a plain integer sum that 2^47 rows do not overflow, and put
+    together at the end.
+    """
+    half = lambda start: F.conv(F.substring(md5, start, 8), 16, 10).cast("long")
+    limbs = [x for start in (1, 9) for x in (F.shiftright(half(start), 16), half(start).bitwiseAND(0xFFFF))]
+    total = F.lit(0).cast("decimal(38,0)")
+    for limb, weight in zip(limbs, (1 << 48, 1 << 32, 1 << 16, 1)):
+        total = (total + F.coalesce(F.sum(limb), F.lit(0)).cast("decimal(19,0)") * F.lit(weight).cast("decimal(16,0)")).cast("decimal(38,0)")
+    return total.cast("string")
+
+
 def hash_bits(md5: Column, start: int = 1) -> Column:
     """The same digits as a signed 64-bit integer, for xor."""
     high = F.conv(F.substring(md5, start, 8), 16, 10).cast("long")

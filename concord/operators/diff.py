@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions.canon import fields_of, key_text, row_hash
+from concord.session import spread
 
 
 def _null_safe(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Column:
@@ -25,6 +26,7 @@ def _null_safe(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Column:
 def classified(src: DataFrame, dst: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """The key columns and ``kind``: missing, extra, changed or same, for every key of either side."""
     shared = list(columns or [c for c in src.columns if c in dst.columns])
+    src, dst = spread(src), spread(dst)
     a = src.select(*[F.col(k).alias(f"__s_{k}") for k in key], row_hash(src, shared).alias("__hs"))
     b = dst.select(*[F.col(k).alias(f"__d_{k}") for k in key], row_hash(dst, shared).alias("__hd"))
     condition = F.lit(True)
@@ -84,6 +86,7 @@ def multiset_difference(src: DataFrame, dst: DataFrame) -> DataFrame:
     Rows are counted by hash on each side first, so a row that fills a table is one row of the join.
     """
     shared = [c for c in src.columns if c in dst.columns]
+    src, dst = spread(src), spread(dst)
     a = src.select(row_hash(src, shared).alias("h")).groupBy("h").agg(F.count("*").alias("a"))
     b = dst.select(row_hash(dst, shared).alias("h")).groupBy("h").agg(F.count("*").alias("b"))
     gap = F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))

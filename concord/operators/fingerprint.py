@@ -11,25 +11,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.canon import canonical, fields_of, hash_bits, hash_number, key_text, row_hash
+from concord.functions.canon import canonical, fields_of, hash_bits, hash_sum, key_text, row_hash
+from concord.session import spread
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, mode: str = "length") -> DataFrame:
     """n, checksum: the row count and the sum of row hashes, which sees every row as often as it occurs."""
-    return df.select(row_hash(df, columns, mode).alias("h")).agg(F.count("*").alias("n"), F.coalesce(F.sum(hash_number(F.col("h"))), F.lit(0)).cast("string").alias("checksum"))
+    df = spread(df)
+    return df.select(row_hash(df, columns, mode).alias("h")).agg(F.count("*").alias("n"), hash_sum(F.col("h")).alias("checksum"))
 
 
 def xor_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, mode: str = "hash") -> DataFrame:
     """n, crc_xor, md5_xor: the compatibility form. Rows that occur an even number of times cancel out."""
+    df = spread(df)
     text = df.select(row_hash(df, columns, mode).alias("h"), F.crc32(key_text(df, columns or df.columns).cast("binary")).alias("c"))
     return text.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor("c"), F.lit(0)).alias("crc_xor"), F.coalesce(F.bit_xor(hash_bits(F.col("h"))), F.lit(0)).alias("md5_xor"))
 
 
 def chunk_fingerprint(df: DataFrame, key: str, width: int, columns: Sequence[str] | None = None) -> DataFrame:
     """chunk, n, checksum by ranges of an integer key; chunks of both sides are joined by number, so none is left out."""
+    df = spread(df)
     chunk = F.floor(F.col(key) / F.lit(width)).cast("long")
     hashed = df.select(chunk.alias("chunk"), row_hash(df, columns).alias("h"))
-    return hashed.groupBy("chunk").agg(F.count("*").alias("n"), F.sum(hash_number(F.col("h"))).cast("string").alias("checksum"))
+    return hashed.groupBy("chunk").agg(F.count("*").alias("n"), hash_sum(F.col("h")).alias("checksum"))
 
 
 def differing_chunks(src: DataFrame, dst: DataFrame, key: str, width: int, columns: Sequence[str] | None = None) -> DataFrame:
@@ -74,18 +78,18 @@ def keyless_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) ->
         text = canonical(f.name, f.dataType)
         parts.append(F.floor(text.cast("long") / 1_000_000).cast("string") if f.dataType.typeName().startswith("timestamp") else text)
     row = F.concat_ws("\x1f", *[F.coalesce(p, F.lit("\x00")) for p in parts])
-    return df.select(F.md5(row.cast("binary")).alias("h")).agg(F.count("*").alias("n"), F.coalesce(F.sum(hash_number(F.col("h"))), F.lit(0)).cast("string").alias("checksum"))
+    return df.select(F.md5(row.cast("binary")).alias("h")).agg(F.count("*").alias("n"), hash_sum(F.col("h")).alias("checksum"))
 
 
 def column_sums(df: DataFrame, columns: Sequence[str] | None = None) -> list[Column]:
     """One fingerprint aggregate for each column, to be taken in a single scan; the name is part of the hash."""
     names = list(columns or df.columns)
-    return [F.coalesce(F.sum(hash_number(F.md5(F.concat(F.lit(name + "="), F.coalesce(text, F.lit("~"))).cast("binary")))), F.lit(0)).cast("string").alias(name) for name, text in zip(names, fields_of(df, names))]
+    return [hash_sum(F.md5(F.concat(F.lit(name + "="), F.coalesce(text, F.lit("~"))).cast("binary"))).alias(name) for name, text in zip(names, fields_of(df, names))]
 
 
 def column_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column, checksum: every column's fingerprint from one scan."""
-    names = list(columns or df.columns)
+    df, names = spread(df), list(columns or df.columns)
     wide = df.agg(*column_sums(df, names))
     return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").alias("checksum")) for n in names])).alias("x")).select("x.*")
 

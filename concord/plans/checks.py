@@ -27,10 +27,12 @@ PLAYBOOKS = {
 
 def fused(df: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Everything one scan can tell of a table: n, checksum, key bounds, and by text column its nulls, empties and U+FFFD."""
-    from concord.functions.canon import hash_number, row_hash
+    from concord.functions.canon import hash_sum, row_hash
+    from concord.session import spread
 
+    df = spread(df)
     texts = drift.text_columns(df)
-    aggregates = [F.count("*").alias("n"), F.coalesce(F.sum(hash_number(row_hash(df))), F.lit(0)).cast("string").alias("checksum")]
+    aggregates = [F.count("*").alias("n"), hash_sum(row_hash(df)).alias("checksum")]
     if key and len(key) == 1:
         aggregates += [F.min(key[0]).cast("string").alias("low"), F.max(key[0]).cast("string").alias("high")]
     for c in texts:

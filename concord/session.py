@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,3 +28,22 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: A table up to this size may be dealt out again before costly expressions.
+SMALL_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it is small and lies in fewer files than there are cores.
+
+    Such a table has few row groups, so each costly expression would run on as few cores. Large tables have
+    files enough and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_BYTES or not 0 < len(df.inputFiles()) < cores:
+        return df
+    plain = [F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+    # by a hash of the row: dealing rows round would sort them first
+    return df.repartition(cores, F.xxhash64(*plain)) if plain else df
