@@ -138,14 +138,15 @@ def fit(classes: list[str], idf: np.ndarray, rows: list[tuple[str, np.ndarray, n
     model = Model(classes, np.zeros((k, SIZE)), np.zeros(k), idf)
     z, n = np.zeros((k, SIZE + 1)), np.zeros((k, SIZE + 1))
     train, tune = [r for i, r in enumerate(rows) if i % 5], [r for i, r in enumerate(rows) if not i % 5]
-    prepared = [(index[lang], np.append(ids, SIZE), np.append(model.vector(ids, counts), 1.0)) for lang, ids, counts in train or rows]
+    train = train or rows
 
     def leader(z_: np.ndarray, n_: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z_) <= l1, 0.0, -(z_ - np.sign(z_) * l1) / ((beta + np.sqrt(n_)) / alpha + l2))
 
     for epoch in range(epochs):
-        for j in np.random.default_rng(epoch).permutation(len(prepared)):
-            y, ids, x = prepared[j]
+        for j in np.random.default_rng(epoch).permutation(len(train)):
+            lang, ids, counts = train[j]
+            y, x, ids = index[lang], np.append(model.vector(ids, counts), 1.0), np.append(ids, SIZE)
             z_, n_ = z[:, ids], n[:, ids]
             w = leader(z_, n_)
             p = softmax(w @ x)
@@ -162,7 +163,7 @@ def fit(classes: list[str], idf: np.ndarray, rows: list[tuple[str, np.ndarray, n
     return model
 
 
-def train(docs: DataFrame, sample: int = 6000, max_classes: int = 256) -> Model:
+def train(docs: DataFrame, sample: int = 4000, max_classes: int = 256) -> Model:
     """Fit on the learnable rows of ``docs``: id not in fold 0, text and lang not null.
 
     ``sample`` bounds the documents that the weights are fitted on; document frequencies cover all rows.
