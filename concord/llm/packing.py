@@ -33,9 +33,9 @@ from concord.session import durable
 
 CAPACITY = 2048
 _END = b"\0\0\0\0"  # id 0 ends every document
-CACHE = 600_000
+CACHE = 250_000
 #: Bytes of text whose runs are looked up together.
-SPAN = 8 << 20
+SPAN = 4 << 20
 _MARKS = re.compile(rb"(?<=[a-z0-9])[!-&(-/:-@\[-`{-~]+(?=[ \n])")
 
 
