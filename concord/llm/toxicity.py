@@ -22,9 +22,12 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +53,40 @@ LIFT, RIDGE = 4.0, 2e-5
 TARGETED, NEGATED, REPORTED, THREAT_WEIGHT = 1.5, 0.4, 0.6, 2.0
 #: Word beginnings of so many characters can stand for a family of words.
 STEMS = (4, 5, 6)
-_TOKENS = re.compile(r"[^\W\d_]+|[.!?;\n]")
-#: ASCII other than letters becomes a space; bytes of other code points stay.
-_SPACED = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
-_PUNCTUATION = re.compile(rb"\xe2[\x80\x81][\x80-\xbf]|\xc2[\x80-\xbf]|\xe3\x80[\x80-\xbf]")
+#: The marks that end a clause.
+CLAUSE_ENDS = ".!?;\n"
+_ASCII_TOKENS = re.compile(rf"[a-z]+|[{CLAUSE_ENDS}]")
+#: ASCII other than letters becomes a space.
+_SPACED = bytes(c if chr(c).isascii() and chr(c).isalpha() else 0x20 for c in range(256))
+
+
+@cache
+def _unicode_words() -> str:
+    """A pattern of words in any script: a letter, then letters and the combining marks they carry.
+
+    Variation selectors choose between forms of a symbol, so they are no part of a word. On ASCII text it
+    finds what the ASCII rules find.
+    """
+    letters, marks = [], []
+    for code in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(code))
+        if kind[0] == "L":
+            letters.append(code)
+        elif kind in ("Mn", "Mc") and not 0xFE00 <= code <= 0xFE0F and not 0xE0100 <= code <= 0xE01EF:
+            marks.append(code)
+    return f"[{_ranges(letters)}][{_ranges(sorted(letters + marks))}]*"
+
+
+def _ranges(codes: list[int]) -> str:
+    """Ascending code points as the inside of a character class."""
+    starts = [c for c, before in zip(codes, [-2, *codes]) if c != before + 1]
+    ends = [c for c, behind in zip(codes, [*codes[1:], -2]) if c + 1 != behind]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
+
+
+@cache
+def _unicode(ends: str = "") -> re.Pattern:
+    return re.compile(_unicode_words() + (f"|[{ends}]" if ends else ""))
 
 
 @dataclass
@@ -136,8 +169,8 @@ class Grammar:
 
     def evidence(self, text: str) -> float:
         clauses, words = [], []
-        for token in [*_TOKENS.findall(text.lower()), "."]:
-            if token[0].isalpha():
+        for token in [*tokens(text), "."]:
+            if token not in CLAUSE_ENDS:
                 words.append(token)
             elif words:
                 if weight := self.clause_weight(words):
@@ -155,18 +188,24 @@ class Screen(dict):
     def __init__(self, model: Grammar):
         self.model = model
 
-    def __missing__(self, word: bytes) -> bool:
+    def __missing__(self, word: str) -> bool:
         if len(self) > 400_000:
             self.clear()
-        found = self[word] = self.model.classify(word.decode("utf-8", "replace"))[0] in (INSULT, THREAT)
+        found = self[word] = self.model.classify(word)[0] in (INSULT, THREAT)
         return found
 
 
-def spaced_words(text: bytes) -> list[bytes]:
-    """Lower-cased words of a whole text, without clause marks."""
+def spaced_words(text: bytes) -> list[str]:
+    """Lower-cased words of a whole text, without clause marks; the words of ``tokens``."""
     if text.isascii():
-        return text.translate(_SPACED).lower().split()
-    return _PUNCTUATION.sub(b" ", text.decode("utf-8", "replace").lower().encode()).translate(_SPACED).split()
+        return text.translate(_SPACED).lower().decode().split()
+    return _unicode().findall(text.decode("utf-8", "replace").lower())
+
+
+def tokens(text: str) -> list[str]:
+    """Lower-cased words and clause marks in their order."""
+    text = text.lower()
+    return (_ASCII_TOKENS if text.isascii() else _unicode(CLAUSE_ENDS)).findall(text)
 
 
 def scorer(model: Grammar) -> Callable[[bytes | None], float]:
@@ -212,9 +251,9 @@ def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, groups = [], []
         for toxic, text in zip(batch.column(1).to_pylist(), byte_texts(batch.column(2))):
             words = spaced_words(text)
-            mine = {u for w in set(words) for u in _units(w.decode("utf-8", "replace"))}
+            mine = {u for w in set(words) for u in _units(w)}
             if toxic:
-                group = min((xxhash.xxh64_intdigest(b" ".join(s)) for s in zip(words, words[1:], words[2:])), default=xxhash.xxh64_intdigest(b" ".join(words))) >> 1
+                group = min((xxhash.xxh64_intdigest(" ".join(s)) for s in zip(words, words[1:], words[2:])), default=xxhash.xxh64_intdigest(" ".join(words))) >> 1
                 units += mine
                 groups += [group] * len(mine)
             else:
@@ -273,7 +312,7 @@ def _unexplained(labelled: DataFrame, sure: dict[str, float], candidates: list,
             rows = []
             for text in byte_texts(batch.column(2)):
                 if not one(text):
-                    rows.append(sorted({u for w in set(spaced_words(text)) for u in _units(w.decode("utf-8", "replace"))} & units))
+                    rows.append(sorted({u for w in set(spaced_words(text)) for u in _units(w)} & units))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["units"])
 
     texts = [set(r["units"]) for r in labelled.where("toxic = 1").mapInArrow(left, "units array<string>").collect()]

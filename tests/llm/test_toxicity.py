@@ -65,6 +65,26 @@ def test_screen_and_grammar_see_the_same_words():
     assert one(None) == one(b"") == one(b"idiotic") == 0
 
 
+def test_one_rule_cuts_words_in_every_script(spark, documents):
+    hindi, thai, decomposed = "मूर्ख", "โง่เง่า", "imbe\u0301cile"
+    model = t.Grammar({w: 2.0 for w in ("idiot", hindi, thai, decomposed)})
+    one = t.scorer(model)
+    for text in ("you idiot😂", "you idiot！", "you→idiot", "★idiot★", "idiot❤️", "❤️idiot", "idiot²", "½idiot", "idiot१", f"वह {hindi}।", f"{thai}😂", f"{decomposed}！"):
+        assert one(text.encode()) == model.evidence(text) > 0, text
+    assert one("idiotमूर्खता".encode()) == one("idioté😂".encode()) == 0
+    every = " ".join(f"a{chr(c)}b" for c in range(0x30000) if not 0xD800 <= c < 0xE000)
+    for text in (every, every[:700], "".join(chr(c) for c in range(0x80))):
+        assert [w for w in t.tokens(text) if w not in t.CLAUSE_ENDS] == t.spaced_words(text.encode())
+
+
+def test_insults_with_combining_marks_are_learned_and_found(spark, documents):
+    docs, labels = corpus(documents, spark)
+    swap = {"grobian": "मूर्ख", "flegelhaft": "मूर्ख", "flegelig": "मूर्ख", "dummkopf": "मूर्ख"}
+    texts = [(r["doc_id"], " ".join(swap.get(w.strip("."), w) for w in r["text"].split())) for r in docs.collect()]
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    assert {r["doc_id"]: r["predicted"] for r in t.toxicity(documents(*texts), labels).collect()} == truth
+
+
 def test_odd_rows(spark, odd, empty, crowded_names):
     labels = spark.createDataFrame([(1, 1, 1), (5, 0, None), (None, 1, 1), (5, 1, 0)], "doc_id long, quality int, toxic int")
     none = labels.limit(0)
