@@ -39,7 +39,18 @@ RECORD = (
     "content_type string, content_length long, block_digest string, source_payload_digest string, source_headers string, block string"
 )
 
-_DROPPED = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?(?:</head\s*>|\Z)")
+#: A head and what may stand in it. Its end tag may be left out: the first text or tag that belongs to a body
+#: ends it too. A title without an end tag ends at the next tag; a script or the like at </head> or, as in a
+#: body, with the page.
+_HEAD = r"""<head(?=[\s/>])[^>]*+>(?>
+    \s++
+    | <!--.*?--> | <[!?][^>]*+>
+    | <title(?=[\s/>])[^>]*+> (?: (?:(?!</(?:head|body|title)\b|<(?:body|title)\b).)*+ </title\s*> | [^<]*+ )
+    | <(script|style|noscript|template|noframes)(?=[\s/>])[^>]*+> (?: .*?</\2\s*> | .*?(?=</head\s*>) | .*+ )
+    | <(?:meta|link|base|basefont|bgsound|head|html)(?=[\s/>])[^>]*+>
+    | </(?!(?:head|body|html|br)\b)[a-z][^>]*+>
+)*+(?:</head\s*>)?"""
+_DROPPED = re.compile(rf"(?isx)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|{_HEAD}")
 _BREAKS = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>")
 _TAG = re.compile(r"(?s)<[a-zA-Z/!?][^>]*>")
 _TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")

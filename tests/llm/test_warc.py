@@ -17,6 +17,21 @@ def test_text_and_fields():
     assert w.plain_text("") == w.plain_text("<script>never closed") == ""
 
 
+def test_a_head_may_end_without_its_tag():
+    head = '<html><head><!-- c --><meta charset="utf-8"><title>t <b> u</title><link rel=x href=y><style>p{}</style><script>var a = "<p>no</p>";</script>'
+    body = "<p>Hello world</p><p>again"
+    for start in ("<body>", '<BODY class="a">', "", "</head><body>", "</head>"):
+        assert w.plain_text(head + start + body) == "Hello world\nagain", start
+    assert w.plain_text("<html><head><title>t</title><body><p>Hello world</p></body></html>") == "Hello world"
+    assert w.plain_text("<head><title>t</title>plain text<p>more") == "plain text\nmore"
+    assert w.plain_text("<head><title>t</title><div>one</div><p>two</head>three") == "one\ntwothree"
+    assert w.plain_text("<head><title>never closed<body><p>one") == w.plain_text("<head><title>never closed</head><p>one") == "one"
+    assert w.plain_text("<head><style>never closed</head><p>one") == "one"
+    assert w.plain_text("<head><title>The <head> tag</title><p>one") == "one"
+    assert w.plain_text("<header>top</header><p>one") == "top\none"
+    assert w.plain_text("<head>" * 3000 + "<title>" * 3000 + "<p>one") == "one"
+
+
 def test_records_link_to_their_source(spark):
     found = w.build(pages(spark)).collect()
     assert len(found) == 10
