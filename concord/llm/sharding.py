@@ -69,13 +69,9 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bytes: i
     ``shard`` is the bucket's bits (empty while everything fits one); ``page`` is 0 but for the pages of
     an overflowing bucket. The totals are those of the bucket.
     """
-    rows = docs.select(F.col(key), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("bytes"), address(F.col(key)).alias("address"))
+    rows = docs.select(F.col(key), _bytes(F.col(text)), address(F.col(key)).alias("address"))
     rounds = directory(rows, max_bytes, step)
-    placed = rows.withColumn("bucket", F.lit(None).cast("struct<depth:int,shard:string,shard_bytes:bigint,shard_rows:bigint,chained:boolean>"))
-    for k, (width, cells) in enumerate(rounds):
-        own = cells.select(F.col("cell").alias(f"cell{k}"), F.struct("depth", "shard", "shard_bytes", "shard_rows", "chained").alias(f"bucket{k}"))
-        own = F.broadcast(own) if not k and step <= 16 else own  # the first round has at most 2^step cells
-        placed = placed.join(own, F.substring("address", 1, width) == F.col(f"cell{k}"), "left").withColumn("bucket", F.coalesce("bucket", f"bucket{k}")).drop(f"cell{k}", f"bucket{k}")
+    placed = _placed(rows, rounds, step)
     if rounds[-1][0] == HASH_BITS:
         placed = _chained(placed, max_bytes)
     else:
@@ -83,6 +79,20 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bytes: i
     return placed.select(key, F.col("bytes").alias("n_bytes"), F.col("bucket.shard").alias("shard"), F.col("bucket.depth").alias("depth"), "page", F.col("bucket.shard_bytes").alias("shard_bytes"), F.col("bucket.shard_rows").alias("shard_rows"))
 
 
+def _bytes(text: Column) -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes")
+
+
+def _placed(rows: DataFrame, rounds: list[tuple[int, DataFrame]], step: int) -> DataFrame:
+    """``rows`` with their ``bucket``, found by the leading bits of ``address``."""
+    placed = rows.withColumn("bucket", F.lit(None).cast("struct<depth:int,shard:string,shard_bytes:bigint,shard_rows:bigint,chained:boolean>"))
+    for k, (width, cells) in enumerate(rounds):
+        own = cells.select(F.col("cell").alias(f"cell{k}"), F.struct("depth", "shard", "shard_bytes", "shard_rows", "chained").alias(f"bucket{k}"))
+        own = F.broadcast(own) if not k and step <= 16 else own  # the first round has at most 2^step cells
+        placed = placed.join(own, F.substring("address", 1, width) == F.col(f"cell{k}"), "left").withColumn("bucket", F.coalesce("bucket", f"bucket{k}")).drop(f"cell{k}", f"bucket{k}")
+    return placed
+
+
 def _chained(placed: DataFrame, max_bytes: int) -> DataFrame:
     """Number the pages of buckets whose rows one address cannot part.
 
@@ -98,16 +108,43 @@ def _chained(placed: DataFrame, max_bytes: int) -> DataFrame:
     span = F.lit(1 << 14).cast("long")  # numbers are unfolded in two steps, so no array is long
     chain = chain.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, span)).alias("low"))
     chain = chain.select("*", F.explode(F.sequence("low", F.least(F.col("low") + span, F.col("n")) - 1)).alias("i"))
-    page = F.when(F.col("bytes") > half, (1 << 40) + F.col("number") + F.col("i")).otherwise(F.floor((F.col("first") + F.col("i") * F.col("bytes")) / half))
-    paged = chain.select(*placed.columns, page.cast("long").alias("page"))
+    paged = chain.select(*placed.columns, _page(half).alias("page"))
     return placed.where("not bucket.chained").withColumn("page", F.lit(0).cast("long")).unionByName(paged)
 
 
-def write_shards(docs: DataFrame, path: str, max_bytes: int = MAX_BYTES) -> None:
-    """Write ``docs`` to ``path`` in one folder for each shard; the rows join their shard by key.
+def _page(half: int) -> Column:
+    """The page of the row ``i`` of equal rows that begin at byte ``first`` and row ``number`` of their chain."""
+    page = F.when(F.col("bytes") > half, (1 << 40) + F.col("number") + F.col("i")).otherwise(F.floor((F.col("first") + F.col("i") * F.col("bytes")) / half))
+    return page.cast("long")
+
+
+def _chained_rows(placed: DataFrame, max_bytes: int) -> DataFrame:
+    """The rows of chained buckets, each with its page; as many rows of a size are on a page as ``_chained`` counts.
 
-    Rows of equal keys share a shard; the pages of an overflowing shard are files of one folder.
+    Rows of a chain are numbered within their input partition, and the window over the counts of partitions
+    and sizes tells where each partition's rows begin, so no task reads a whole chain. The numbers are drawn
+    from a written copy, as a retried task may deal rows differently.
     """
-    where = shard(docs, max_bytes=max_bytes).select(F.col("doc_id").alias("__id"), F.concat(F.lit("s"), F.col("shard")).alias("shard")).distinct()
-    moved = docs.join(where, docs["doc_id"].eqNullSafe(where["__id"])).drop("__id")
-    moved.repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+    rows = durable(placed.where("bucket.chained").withColumns({"part": F.spark_partition_id(), "id": F.monotonically_increasing_id()}))
+    before = Window.partitionBy("address").orderBy("bytes", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("address", "bytes", "part").agg(F.count("*").alias("n"))
+    starts = starts.select("address", "bytes", "part", F.coalesce(F.sum(F.col("bytes") * F.col("n")).over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("number"))
+    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy("address", "bytes", "part").orderBy("id")) - 1)
+    return numbered.join(starts, ["address", "bytes", "part"]).select(*placed.columns, _page(max(1, max_bytes // 2)).alias("page"))
+
+
+def write_shards(docs: DataFrame, path: str, max_bytes: int = MAX_BYTES, step: int = 12) -> None:
+    """Write ``docs`` to ``path``, one file for each shard and page, in folders shard=s.../page=...
+
+    The texts of a file have at most ``max_bytes`` bytes, or it holds a single row. Rows of equal keys share a
+    shard; an overflowing shard has several pages, any other only page 0.
+    """
+    rows = docs.select(F.struct("*").alias("row"), _bytes(F.col("text")), address(F.col("doc_id")).alias("address"))
+    rounds = directory(rows.select("bytes", "address"), max_bytes, step)
+    placed = _placed(rows, rounds, step)
+    if rounds[-1][0] == HASH_BITS:
+        paged = placed.where("not bucket.chained").withColumn("page", F.lit(0).cast("long")).unionByName(_chained_rows(placed, max_bytes))
+    else:
+        paged = placed.withColumn("page", F.lit(0).cast("long"))
+    moved = paged.select("row.*", F.concat(F.lit("s"), F.col("bucket.shard")).alias("shard"), "page")
+    moved.repartition("shard", "page").write.partitionBy("shard", "page").mode("overwrite").parquet(path)

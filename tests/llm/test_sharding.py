@@ -40,6 +40,21 @@ def test_equal_keys_overflow_into_pages(spark, documents):
     assert all(p["b"] <= 1000 or p["n"] == 1 for p in pages)
 
 
+def test_no_file_exceeds_the_limit(spark, documents, tmp_path):
+    rows = [(7, "y" * (50 + i % 3)) for i in range(400)] + [(i, "z" * (i % 90)) for i in range(100, 900)] + [(None, "w" * 700), (None, "v" * 20), (None, None), (7, "u" * 5000)]
+    docs = documents(*[(k, t, f"{i}") for i, (k, t) in enumerate(rows)]).repartition(6)
+    s.write_shards(docs, str(tmp_path / "out"), 1000)
+    read = spark.read.parquet(str(tmp_path / "out"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    files = read.groupBy(F.input_file_name().alias("file")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).collect()
+    assert len(files) > 30 and all(f["bytes"] <= 1000 or f["n"] == 1 for f in files)
+    assert sorted((int(r["lang"]), r["doc_id"], r["text"]) for r in read.collect()) == [(i, k, t) for i, (k, t) in enumerate(rows)]
+    # the files are the pages of the registered operator
+    pages = lambda df, shard, n: sorted(map(tuple, df.groupBy(shard, F.col("page").cast("long"), n).count().collect()))
+    wanted = s.shard(docs, max_bytes=1000)
+    assert pages(read, F.col("shard"), size) == pages(wanted, F.concat(F.lit("s"), "shard"), F.col("n_bytes"))
+
+
 def test_odd_rows(spark, odd, empty, crowded_names, tmp_path):
     assert s.shard(odd).count() == 10 and s.shard(empty).count() == 0
     assert s.shard(crowded_names, max_bytes=100).count() == 10
