@@ -32,7 +32,7 @@ PAIRS = {
     "text_dst": "select doc_id, case when doc_id % 10 = 0 then '' else text end as text, lang from {documents}",
     "fffd_dst": "select doc_id, case when doc_id % 50 = 0 then concat(text, chr(65533)) else text end as text from {documents}",
     "labels_dst": "select case when doc_id % 13 = 0 then doc_id + 1000000 else doc_id end as doc_id, quality, toxic from {labels}",
-    "names": "select c_custkey as id, c_mktsegment as name from {customer} where c_custkey < 5 union all select c_custkey + 100, lower(c_mktsegment) from {customer} where c_custkey < 5",
+    "names": "select c_custkey as id, c_mktsegment as name from {customer} union all select c_custkey + 1000000000, lower(c_mktsegment) from {customer}",
     "net": "select l_orderkey, l_linenumber, l_extendedprice, l_discount, case when l_orderkey % 11 = 0 then cast(0 as double) else l_extendedprice * (1 - l_discount) end as net from {lineitem}",
     "conversations_dst": "select conv_id, turn, role, case when turn = 1 and conv_id % 5 = 0 then concat(text, '!') else text end as text from {conversations} where not (conv_id % 7 = 0 and turn = 0)",
     "log": "select event_type as topic, user_id % 4 as part, row_number() over (partition by event_type, user_id % 4 order by event_id) - 1 as off, event_id as key, props as v from {events}",

@@ -236,3 +236,18 @@ def test_dashboard(spark, tmp_path):
 
 def test_lost_history_is_noticed():
     assert delta.history_kept("0/10", "0/1F") and delta.history_kept("0/FF", "1/0") and not delta.history_kept("1/0", "0/FF")
+
+
+def test_the_names_pair_covers_every_customer(spark, sf_dir):
+    from concord.fixtures import pair
+
+    names, customers = pair(spark, sf_dir, "names"), pair(spark, sf_dir, "customer").count()
+    assert names.count() == names.select("id").distinct().count() == 2 * customers
+    for collation in (None, "UTF8_LCASE"):
+        assert drift.collapsing(names, "name", collation).agg(F.sum("n")).first()[0] == 2 * customers
+
+
+def test_names_that_collide_when_case_is_ignored(spark):
+    names = ("BUILDING", "MACHINERY", "BUILDING", "HOUSEHOLD", "FURNITURE")
+    df = spark.createDataFrame([*enumerate(names), *[(100 + i, n.lower()) for i, n in enumerate(names)], (200, "only"), (201, None), (202, None)], "id long, name string")
+    assert rows(drift.collapsing(df, "name")) == [("building", 4), ("furniture", 2), ("household", 2), ("machinery", 2)]
