@@ -52,3 +52,10 @@ def test_odd_rows(documents, odd, empty, crowded_names):
     assert l.identify(empty).count() == 0 and l.identify(odd).count() == 10
     assert l.keep_identified(crowded_names).columns == crowded_names.columns
     assert {r["lang_pred"] for r in l.identify(odd.withColumn("lang", odd.source.cast("string").substr(5, 1)).where("doc_id is null")).collect()} == {"und"}
+
+
+def test_the_fit_sees_about_six_thousand_rows(documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(l, "fit", lambda names, idf, rows: seen.extend(rows) or l.Model(names, idf[None, :].repeat(len(names), 0), idf[: len(names)], idf))
+    l.train(documents(*[(i, f"text number {i}", "en" if i % 2 else "fr") for i in range(9000)]))
+    assert 5500 < len(seen) < 6500
