@@ -32,6 +32,9 @@ PAIRS = {
     "text_dst": "select doc_id, case when doc_id % 10 = 0 then '' else text end as text, lang from {documents}",
     "fffd_dst": "select doc_id, case when doc_id % 50 = 0 then concat(text, chr(65533)) else text end as text from {documents}",
     "labels_dst": "select case when doc_id % 13 = 0 then doc_id + 1000000 else doc_id end as doc_id, quality, toxic from {labels}",
+    "bags_src": "select nullif(o_custkey % 40, 0) as k, o_orderstatus as v, cast(o_orderkey % 3 as double) as x from {orders}",
+    "bags_dst": "select nullif(o_custkey % 40, 0) as k, case when o_orderkey % 997 = 0 then 'Z' else o_orderstatus end as v, cast(o_orderkey % 3 as double) as x from {orders} where o_custkey % 40 <> 7 union all select 1000 + o_orderkey % 2, null, null from {orders} where o_orderkey % 500 = 0",
+    "part_exact_dst": "select p_partkey, p_name, p_brand, p_type, p_size, case when p_partkey % 11 = 0 then p_retailprice + 0.0000001 else p_retailprice end as p_retailprice from {part}",
     "names": "select c_custkey as id, c_mktsegment as name from {customer} union all select c_custkey + 1000000000, lower(c_mktsegment) from {customer}",
     "net": "select l_orderkey, l_linenumber, l_extendedprice, l_discount, case when l_orderkey % 11 = 0 then cast(0 as double) else l_extendedprice * (1 - l_discount) end as net from {lineitem}",
     "conversations_dst": "select conv_id, turn, role, case when turn = 1 and conv_id % 5 = 0 then concat(text, '!') else text end as text from {conversations} where not (conv_id % 7 = 0 and turn = 0)",
@@ -62,7 +65,7 @@ def duck(name: str) -> str:
 
 def duck_fields(columns: dict[str, str], prefix: str = "") -> list[str]:
     """Canonical text of each column in DuckDB, as ``functions.canon`` defines it."""
-    forms = {"i": "cast({0} as varchar)", "s": "{0}", "d": "cast(cast({0} as decimal(38,6)) as varchar)", "t": "cast(epoch_us({0}) as varchar)"}
+    forms = {"i": "cast({0} as varchar)", "s": "{0}", "d": "cast({0} + cast(0 as double) as varchar)", "t": "cast(epoch_us({0}) as varchar)"}
     return [forms[kind].format(prefix + name) for name, kind in columns.items()]
 
 

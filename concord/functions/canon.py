@@ -1,8 +1,9 @@
 """Canonical text and hashes of rows: the same value gives the same text in every engine.
 
-Doubles go through DECIMAL, timestamps to epoch microseconds, booleans and integers to their digits,
-nulls to a token. The default row text prefixes each text with its length and ends each number, so no
-separator can be forged.
+Doubles are written with all the digits that tell them apart, timestamps as epoch microseconds, booleans and
+integers by their digits, nulls as a token. The default row text prefixes each text with its length and ends
+each number, so no separator can be forged. A ``scale`` rounds doubles instead, for pairs of engines that
+store them with fewer digits; nothing rounds unless it is asked to.
 """
 
 from __future__ import annotations
@@ -15,17 +16,17 @@ from pyspark.sql import types as T
 
 NULL = "~"
 _PLAIN = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType)
-#: Digits kept behind the point when a double is compared as text.
-DOUBLE_SCALE = 6
+_LIMB = (1 << 22) - 1
 
 
-def canonical(name: str, kind: T.DataType) -> Column:
-    """One column as canonical text, null for null."""
+def canonical(name: str, kind: T.DataType, scale: int | None = None) -> Column:
+    """One column as canonical text, null for null. Doubles are exact unless ``scale`` rounds them."""
     column = F.col(f"`{name}`")
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        # decimals of 18 digits are plain integers inside; the text is the same as that of the wide type
-        wide = F.coalesce(column.try_cast(f"decimal(38,{DOUBLE_SCALE})").cast("string"), column.cast("string"))
-        return F.when(F.abs(column) < 1e11, column.cast(f"decimal(18,{DOUBLE_SCALE})").cast("string")).otherwise(wide)
+        if scale is not None:
+            return F.coalesce(column.try_cast(f"decimal(38,{scale})").cast("string"), column.cast("string"))
+        # adding zero makes the two zeros one, as they are equal in SQL
+        return (column + F.lit(0).cast(kind)).cast("string")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(column.cast("timestamp")).cast("string")
     if isinstance(kind, T.DateType):
@@ -41,19 +42,23 @@ def canonical(name: str, kind: T.DataType) -> Column:
     return column.cast("string")
 
 
-def fields_of(df: DataFrame, columns: Sequence[str] | None = None) -> list[Column]:
+def fields_of(df: DataFrame, columns: Sequence[str] | None = None, scale: int | None = None) -> list[Column]:
     kinds = {f.name: f.dataType for f in df.schema}
-    return [canonical(c, kinds[c]) for c in columns or df.columns]
+    return [canonical(c, kinds[c], scale) for c in columns or df.columns]
 
 
-def row_text(df: DataFrame, columns: Sequence[str] | None = None, mode: str = "length") -> Column:
+def measured(*texts: Column) -> Column:
+    """Texts in one, each behind its length and null as a token: no two lists of texts give the same one."""
+    return F.concat(*[F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit(NULL)) for x in texts])
+
+
+def row_text(df: DataFrame, columns: Sequence[str] | None = None, mode: str = "length", scale: int | None = None) -> Column:
     """The text of a row. Modes: ``length`` (default, injective), ``pipe`` (| and ~), ``hash`` (# and ~null~), ``json``."""
-    parts = fields_of(df, columns)
+    parts = fields_of(df, columns, scale)
     if mode == "length":
         kinds = {f.name: f.dataType for f in df.schema}
-        measured = lambda p: F.concat(F.length(p).cast("string"), F.lit(":"), p)
         # the text of a number holds no mark, so a mark ends it; only other texts need their length
-        return F.concat(*[F.coalesce(F.concat(p, F.lit(";")) if isinstance(kinds[c], _PLAIN) else measured(p), F.lit(NULL)) for p, c in zip(parts, columns or df.columns)])
+        return F.concat(*[F.coalesce(F.concat(p, F.lit(";")), F.lit(NULL)) if isinstance(kinds[c], _PLAIN) else measured(p) for p, c in zip(parts, columns or df.columns)])
     if mode == "pipe":
         return F.concat_ws("|", *[F.coalesce(p, F.lit(NULL)) for p in parts])
     if mode == "hash":
@@ -64,8 +69,22 @@ def row_text(df: DataFrame, columns: Sequence[str] | None = None, mode: str = "l
     raise ValueError(f"unknown row text {mode!r}")
 
 
-def row_hash(df: DataFrame, columns: Sequence[str] | None = None, mode: str = "length") -> Column:
-    return F.md5(row_text(df, columns, mode).cast("binary"))
+def row_hash(df: DataFrame, columns: Sequence[str] | None = None, mode: str = "length", scale: int | None = None) -> Column:
+    return F.md5(row_text(df, columns, mode, scale).cast("binary"))
+
+
+def row_ids(df: DataFrame, columns: Sequence[str] | None = None, scale: int | None = None) -> list[Column]:
+    """128 bits that stand for a row, as two integers.
+
+    They mean nothing outside Spark and never leave it, so they need not be md5.
+    """
+    text = row_text(df, columns, scale=scale)
+    return [F.xxhash64(text, F.lit(seed)) for seed in (1, 2)]
+
+
+def limbs(h: Column) -> list[Column]:
+    """A 64-bit hash in three integers of 22 bits at most, whose plain sums 2^41 rows do not overflow."""
+    return [h.bitwiseAND(_LIMB), F.shiftrightunsigned(h, 22).bitwiseAND(_LIMB), F.shiftrightunsigned(h, 44)]
 
 
 def hash_number(md5: Column, start: int = 1) -> Column:
@@ -79,11 +98,10 @@ def hash_sum(md5: Column) -> Column:
     It is taken in four limbs of 16 bits, each a plain integer sum that 2^47 rows do not overflow, and put
     together at the end.
     """
-    half = lambda start: F.conv(F.substring(md5, start, 8), 16, 10).cast("long")
-    limbs = [x for start in (1, 9) for x in (F.shiftright(half(start), 16), half(start).bitwiseAND(0xFFFF))]
+    limb = lambda start: F.conv(F.substring(md5, start, 4), 16, 10).cast("long")
     total = F.lit(0).cast("decimal(38,0)")
-    for limb, weight in zip(limbs, (1 << 48, 1 << 32, 1 << 16, 1)):
-        total = (total + F.coalesce(F.sum(limb), F.lit(0)).cast("decimal(19,0)") * F.lit(weight).cast("decimal(16,0)")).cast("decimal(38,0)")
+    for start, weight in ((1, 1 << 48), (5, 1 << 32), (9, 1 << 16), (13, 1)):
+        total = (total + F.coalesce(F.sum(limb(start)), F.lit(0)).cast("decimal(19,0)") * F.lit(weight).cast("decimal(16,0)")).cast("decimal(38,0)")
     return total.cast("string")
 
 
@@ -95,5 +113,11 @@ def hash_bits(md5: Column, start: int = 1) -> Column:
 
 
 def key_text(df: DataFrame, key: Sequence[str]) -> Column:
-    """A composite key as TAB-joined text; for output only, joins use the typed columns."""
-    return F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in fields_of(df, key)])
+    """A composite key as TAB-joined text, for output; joins use the typed columns.
+
+    As in a database's text dump, null is \\N and a backslash, TAB or line break in a value is escaped, so two
+    keys never read alike.
+    """
+    escaped = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), "\t", r"\\t"), "\n", r"\\n"), "\r", r"\\r")
+    kinds = {f.name: f.dataType for f in df.schema}
+    return F.concat_ws("\t", *[F.coalesce(text if isinstance(kinds[k], _PLAIN) else escaped(text), F.lit("\\N")) for k, text in zip(key, fields_of(df, key))])

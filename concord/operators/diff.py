@@ -1,56 +1,77 @@
 """Keyed and keyless differences of two tables.
 
-The keyed difference is one full outer join on the typed key of (key, hash) projections: the other columns
-are hashed in the scan and never shuffled. Ranges of the source never restrict it, so rows beyond the
-source's largest key are found too.
+The keyed difference groups (key, hash) rows of both sides by their typed key and compares what each side
+holds for a key as a multiset: null keys and repeated keys need no special case, a key that fills a table is
+combined before it is shuffled, and the other columns are hashed in the scan and never move. Ranges of the
+source never restrict it, so rows beyond the source's largest key are found too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from concord.functions.canon import fields_of, key_text, row_hash
+from concord.functions.canon import fields_of, key_text, limbs, row_ids, row_text
 from concord.session import spread
 
 
-def _null_safe(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for name in key:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
+def _quoted(names: Sequence[str]) -> list[Column]:
+    return [F.col(f"`{n}`") for n in names]
 
 
-def classified(src: DataFrame, dst: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """The key columns and ``kind``: missing, extra, changed or same, for every key of either side."""
+def matched(left: DataFrame, right: DataFrame, key: Sequence[str], how: str) -> DataFrame:
+    """A null-safe join of ``left`` with the key columns of ``right``; ``how`` is left_semi or left_anti."""
+    keys = right.select(*[c.alias(f"__k{i}") for i, c in enumerate(_quoted(key))]).distinct()
+    condition = reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(_quoted(key))])
+    return left.join(keys, condition, how)
+
+
+def _both(src: DataFrame, dst: DataFrame, key: Sequence[str], values: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Rows of both sides under one key, with ``__side`` 1 for the source and -1 for the target."""
+    sides = []
+    for k, (df, side) in enumerate(((src, 1), (dst, -1))):
+        sides.append(df.select(*[c.alias(f"__k{i}") for i, c in enumerate(_quoted(key))], F.lit(side).cast("long").alias("__side"), *[pair[k].alias(name) for name, pair in values.items()]))
+    return sides[0].union(sides[1])
+
+
+def _rows_of_each() -> list[Column]:
+    return [F.count_if(F.col("__side") == side).alias(name) for side, name in ((1, "__s"), (-1, "__t"))]
+
+
+def classified(src: DataFrame, dst: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, scale: int | None = None) -> DataFrame:
+    """The key columns and ``kind``: missing, extra, changed or same, one row for every key of either side.
+
+    A key is the same if both sides hold the same rows under it, as often; one that both sides hold in other
+    rows or numbers is changed. Null is a key like any other.
+    """
     shared = list(columns or [c for c in src.columns if c in dst.columns])
     src, dst = spread(src), spread(dst)
-    a = src.select(*[F.col(k).alias(f"__s_{k}") for k in key], row_hash(src, shared).alias("__hs"))
-    b = dst.select(*[F.col(k).alias(f"__d_{k}") for k in key], row_hash(dst, shared).alias("__hd"))
-    condition = F.lit(True)
-    for k in key:
-        condition = condition & F.col(f"__s_{k}").eqNullSafe(F.col(f"__d_{k}"))
-    kind = F.when(F.col("__hd").isNull(), "missing").when(F.col("__hs").isNull(), "extra").when(F.col("__hs") != F.col("__hd"), "changed").otherwise("same")
-    return a.join(b, condition, "full_outer").select(*[F.coalesce(f"__s_{k}", f"__d_{k}").alias(k) for k in key], kind.alias("kind"))
+    rows = _both(src, dst, key, {"__h": (F.xxhash64(row_text(src, shared, scale=scale)), F.xxhash64(row_text(dst, shared, scale=scale)))})
+    sums = [F.sum(x * F.col("__side")).alias(f"__d{i}") for i, x in enumerate(limbs(F.col("__h")))]
+    found = rows.groupBy(*[f"__k{i}" for i in range(len(key))]).agg(*_rows_of_each(), *sums)
+    unequal = (F.col("__s") != F.col("__t")) | reduce(lambda a, b: a | b, [F.col(f"__d{i}") != 0 for i in range(len(sums))])
+    kind = F.when(F.col("__t") == 0, "missing").when(F.col("__s") == 0, "extra").when(unequal, "changed").otherwise("same")
+    return found.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(key)], kind.alias("kind"))
 
 
-def differences(src: DataFrame, dst: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+def differences(src: DataFrame, dst: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, scale: int | None = None) -> DataFrame:
     """The keys that differ, with ``kind``."""
-    return classified(src, dst, key, columns).where("kind <> 'same'")
+    return classified(src, dst, key, columns, scale).where("kind <> 'same'")
 
 
-def summary(src: DataFrame, dst: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """missing, extra, changed, same as one row of counts."""
-    found = classified(src, dst, key, columns)
+def summary(src: DataFrame, dst: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, scale: int | None = None) -> DataFrame:
+    """missing, extra, changed, same as one row of counts of keys."""
+    found = classified(src, dst, key, columns, scale)
     return found.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("missing", "extra", "changed", "same")])
 
 
 def restricted(src: DataFrame, dst: DataFrame, keys: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """The difference over the given keys alone; both sides are cut by a semi-join before anything is hashed."""
-    wanted = keys.select(*key).distinct()
-    return classified(src.join(wanted, _null_safe(src, wanted, key), "left_semi"), dst.join(wanted, _null_safe(dst, wanted, key), "left_semi"), key, columns)
+    return classified(matched(src, keys, key, "left_semi"), matched(dst, keys, key, "left_semi"), key, columns)
 
 
 def in_ranges(df: DataFrame, key: str, low: int, high: int, closed_right: bool = False) -> DataFrame:
@@ -59,45 +80,63 @@ def in_ranges(df: DataFrame, key: str, low: int, high: int, closed_right: bool =
     return df.where((k > low) & (k <= high) if closed_right else (k >= low) & (k < high))
 
 
-def column_drift(src: DataFrame, dst: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """column, n_diff over rows that both sides have: which columns a change sits in, undisturbed by missing rows."""
+def column_drift(src: DataFrame, dst: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None, scale: int | None = None) -> DataFrame:
+    """column, n_diff: in how many of the keys that both sides have the values of a column differ.
+
+    Values of a key are compared as multisets, from one shuffle of their hashes; keys of one side alone
+    disturb no column.
+    """
     names = [c for c in (columns or src.columns) if c in dst.columns and c not in key]
-    a = src.select(*[F.col(k).alias(f"__s_{k}") for k in key], *[x.alias(f"__s_{n}") for n, x in zip(names, fields_of(src, names))])
-    b = dst.select(*[F.col(k).alias(f"__d_{k}") for k in key], *[x.alias(f"__d_{n}") for n, x in zip(names, fields_of(dst, names))])
-    condition = F.lit(True)
-    for k in key:
-        condition = condition & (F.col(f"__s_{k}") == F.col(f"__d_{k}"))
-    wide = a.join(b, condition).agg(*[F.count_if(~F.col(f"__s_{n}").eqNullSafe(F.col(f"__d_{n}"))).alias(n) for n in names])
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").alias("n_diff")) for n in names])).alias("x")).select("x.*").where("n_diff > 0")
+    shape = "column string, n_diff long"
+    if not names:
+        return src.sparkSession.createDataFrame([], shape)
+    hashed = lambda df: [F.xxhash64(F.coalesce(F.concat(F.lit("="), x), F.lit("~"))) for x in fields_of(df, names, scale)]
+    rows = _both(src, dst, key, {f"__h{i}": pair for i, pair in enumerate(zip(hashed(src), hashed(dst)))})
+    sums = [F.sum(x * F.col("__side")).alias(f"__d{i}_{j}") for i in range(len(names)) for j, x in enumerate(limbs(F.col(f"__h{i}")))]
+    found = rows.groupBy(*[f"__k{i}" for i in range(len(key))]).agg(*_rows_of_each(), *sums)
+    differs = [(F.col("__s") != F.col("__t")) | reduce(lambda a, b: a | b, [F.col(f"__d{i}_{j}") != 0 for j in range(3)]) for i in range(len(names))]
+    wide = found.where("__s > 0 and __t > 0").agg(*[F.count_if(x).alias(f"__n{i}") for i, x in enumerate(differs)])
+    cells = [F.struct(F.lit(n).alias("column"), F.col(f"__n{i}").alias("n_diff")) for i, n in enumerate(names)]
+    return wide.select(F.inline(F.array(*cells))).where("n_diff > 0")
 
 
 def sample_compare(src: DataFrame, dst: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """key, column, src_value, dst_value: each differing value of rows that both sides have."""
-    names = [c for c in (columns or src.columns) if c in dst.columns and c not in key]
-    a = src.select(key_text(src, key).alias("key"), *[x.alias(f"__s_{n}") for n, x in zip(names, fields_of(src, names))])
-    b = dst.select(key_text(dst, key).alias("key"), *[x.alias(f"__d_{n}") for n, x in zip(names, fields_of(dst, names))])
-    cells = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"__s_{n}").alias("src_value"), F.col(f"__d_{n}").alias("dst_value")) for n in names])
-    return a.join(b, "key").select("key", F.explode(cells).alias("x")).select("key", "x.*").where(~F.col("src_value").eqNullSafe(F.col("dst_value")))
+    """key, column, src_value, dst_value: each differing value of keys that both sides have.
 
-
-def multiset_difference(src: DataFrame, dst: DataFrame) -> DataFrame:
+    Only rows of changed keys are shuffled. Rows of a repeated key are paired in the order of their texts,
+    each with one row of the other side.
+    """
+    names = [c for c in (columns or src.columns) if c in dst.columns and c not in key]
+    changed = differences(src, dst, key, [*key, *names]).where("kind = 'changed'")
+    sides = []
+    for df, side in ((src, "s"), (dst, "d")):
+        near = matched(df, changed, key, "left_semi")
+        keyed = [c.alias(f"__k{i}") for i, c in enumerate(_quoted(key))]
+        order = Window.partitionBy(*[f"__k{i}" for i in range(len(key))]).orderBy("__t")
+        rows = near.select(*keyed, key_text(near, key).alias(f"__{side}key"), row_text(near, names).alias("__t"), *[x.alias(f"__{side}{i}") for i, x in enumerate(fields_of(near, names))])
+        sides.append(rows.withColumn("__rank", F.row_number().over(order)).drop("__t").withColumnsRenamed({f"__k{i}": f"__{side}k{i}" for i in range(len(key))} | {"__rank": f"__{side}rank"}))
+    condition = reduce(lambda a, b: a & b, [F.col(f"__sk{i}").eqNullSafe(F.col(f"__dk{i}")) for i in range(len(key))], F.col("__srank") == F.col("__drank"))
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"__s{i}").alias("src_value"), F.col(f"__d{i}").alias("dst_value")) for i, n in enumerate(names)])
+    return sides[0].join(sides[1], condition).select(F.col("__skey").alias("key"), F.explode(cells).alias("x")).select("key", "x.*").where(~F.col("src_value").eqNullSafe(F.col("dst_value")))
+
+
+def multiset_difference(src: DataFrame, dst: DataFrame, scale: int | None = None) -> DataFrame:
     """only_in_src, only_in_dst: rows without a counterpart, counted as often as they occur; needs no key.
 
-    Rows are counted by hash on each side first, so a row that fills a table is one row of the join.
+    Rows are counted by hash before they are shuffled, so a row that fills a table is one row for each task.
     """
     shared = [c for c in src.columns if c in dst.columns]
     src, dst = spread(src), spread(dst)
-    a = src.select(row_hash(src, shared).alias("h")).groupBy("h").agg(F.count("*").alias("a"))
-    b = dst.select(row_hash(dst, shared).alias("h")).groupBy("h").agg(F.count("*").alias("b"))
-    gap = F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))
-    return a.join(b, "h", "full_outer").agg(F.coalesce(F.sum(F.greatest(gap, F.lit(0))), F.lit(0)).alias("only_in_src"), F.coalesce(F.sum(F.greatest(-gap, F.lit(0))), F.lit(0)).alias("only_in_dst"))
+    sides = [df.select(*[h.alias(f"__h{i}") for i, h in enumerate(row_ids(df, shared, scale))], F.lit(n).cast("long").alias("__n")) for df, n in ((src, 1), (dst, -1))]
+    gap = sides[0].union(sides[1]).groupBy("__h0", "__h1").agg(F.sum("__n").alias("gap"))
+    return gap.agg(F.coalesce(F.sum(F.greatest("gap", F.lit(0))), F.lit(0)).alias("only_in_src"), F.coalesce(F.sum(F.greatest(-F.col("gap"), F.lit(0))), F.lit(0)).alias("only_in_dst"))
 
 
 def probe(src: DataFrame, dst: DataFrame, key: Sequence[str], rows: int, seed: str = "probe") -> DataFrame:
     """kind, n over ``rows`` source rows chosen by a hash of the key: a repeatable random spot check."""
     order = F.md5(F.concat(F.lit(seed), key_text(src, key)).cast("binary"))
     chosen = src.withColumn("__o", order).orderBy("__o").limit(rows).drop("__o")
-    near = dst.join(chosen.select(*key), list(key), "left_semi")
+    near = matched(dst, chosen, key, "left_semi")
     return classified(chosen, near, key).groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -124,7 +163,7 @@ def tables_to_probe(sizes: DataFrame, largest: int = 4, others: int = 4, seed: s
 def set_difference(src: DataFrame, dst: DataFrame, *names: str) -> DataFrame:
     """The named columns and ``side`` of entries that only one side has."""
     left, right = src.select(*names).distinct(), dst.select(*names).distinct()
-    only = lambda a, b, side: a.join(b, _null_safe(a, b, names), "left_anti").withColumn("side", F.lit(side))
+    only = lambda a, b, side: matched(a, b, names, "left_anti").withColumn("side", F.lit(side))
     return only(left, right, "src").unionByName(only(right, left, "dst"))
 
 

@@ -15,10 +15,10 @@ from concord.functions.canon import canonical, fields_of, hash_bits, hash_sum, k
 from concord.session import spread
 
 
-def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, mode: str = "length") -> DataFrame:
+def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, mode: str = "length", scale: int | None = None) -> DataFrame:
     """n, checksum: the row count and the sum of row hashes, which sees every row as often as it occurs."""
     df = spread(df)
-    return df.select(row_hash(df, columns, mode).alias("h")).agg(F.count("*").alias("n"), hash_sum(F.col("h")).alias("checksum"))
+    return df.select(row_hash(df, columns, mode, scale).alias("h")).agg(F.count("*").alias("n"), hash_sum(F.col("h")).alias("checksum"))
 
 
 def xor_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, mode: str = "hash") -> DataFrame:
@@ -45,7 +45,9 @@ def differing_chunks(src: DataFrame, dst: DataFrame, key: str, width: int, colum
 
 def binary_checksum(df: DataFrame) -> DataFrame:
     """n, checksum: a cheap 64-bit form for two Spark tables; its values mean nothing outside Spark."""
-    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("checksum"))
+    # the hash skips nulls, so each column is followed by whether it is null
+    marked = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*marked).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("checksum"))
 
 
 def ordered_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.model import ACTION_SCHEMA
-from concord.operators.diff import differences
+from concord.operators.diff import differences, matched
 from concord.session import durable
 
 SOURCE_WINS, KEEP_TARGET = "source-wins", "keep-target"
@@ -34,17 +34,18 @@ def repair_rows(src: DataFrame, dst: DataFrame, key: Sequence[str], policy: str
     """Copy missing and changed rows from the source, delete extra ones; keep-target leaves changed rows alone.
 
     The differing keys are written once; the new target, the touched keys and the pre-image all read them.
+    Null is a key like any other, and all rows of a repeated key are replaced together.
     """
     found = durable(differences(src, dst, key, columns))
     touched = found.where("kind <> 'changed'") if policy == KEEP_TARGET else found
-    copied = src.join(touched.where("kind <> 'extra'"), list(key), "left_semi")
-    kept = dst.join(touched, list(key), "left_anti")
-    return RowRepair(kept.unionByName(copied.select(*dst.columns)), touched, dst.join(touched, list(key), "left_semi"))
+    copied = matched(src, touched.where("kind <> 'extra'"), key, "left_semi")
+    kept = matched(dst, touched, key, "left_anti")
+    return RowRepair(kept.unionByName(copied.select(*dst.columns)), touched, matched(dst, touched, key, "left_semi"))
 
 
 def restore(after: DataFrame, repair: RowRepair, key: Sequence[str]) -> DataFrame:
     """The target as it was before the repair: touched keys go, their old rows come back."""
-    return after.join(repair.touched, list(key), "left_anti").unionByName(repair.preimage)
+    return matched(after, repair.touched, key, "left_anti").unionByName(repair.preimage)
 
 
 def row_plan(differing: DataFrame, key: Sequence[str], policy: str = SOURCE_WINS) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from concord.functions.canon import measured
+from concord.operators.diff import differences
+
 TAIL = 200
 TTL_FLOOR_MS, TTL_SHARE = 60_000, 0.1
 LAG_ALLOWED = 10_000
@@ -19,7 +22,7 @@ def log_tail(log: DataFrame, n: int = TAIL) -> DataFrame:
     Ranks above ``n`` are dropped before the shuffle (a window group limit), so a long partition sends ``n``
     records from each task and gathers ``n`` digests.
     """
-    record = F.md5(F.concat_ws("|", F.coalesce(F.col("key").cast("string"), F.lit("~")), F.coalesce("v", F.lit("~"))).cast("binary"))
+    record = F.md5(measured(F.col("key").cast("string"), F.col("v").cast("string")).cast("binary"))
     rank = F.row_number().over(Window.partitionBy("topic", "part").orderBy(F.desc("off")))
     tail = log.select("topic", "part", "off", record.alias("m")).withColumn("rank", rank).where(F.col("rank") <= n)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("off", "m"))), lambda x: x["m"])
@@ -51,15 +54,19 @@ def group_lag_status(src: DataFrame, dst: DataFrame) -> DataFrame:
 
 
 def entry_text(df: DataFrame) -> Column:
-    """One text for a typed entry (type, str, hash, items, scores): maps by key, sets and scores in order, lists as they are."""
-    pairs = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    """One text for a typed entry (type, str, hash, items, scores): maps by key, sets and scores in order, lists as they are.
+
+    Every member stands behind its length, so no comma or equals sign in one can pass for another member.
+    """
+    joined = lambda parts: F.array_join(F.transform(parts, lambda x: measured(x)), "")
+    pairs = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: measured(e["key"], e["value"].cast("string"))), "")
     kind = F.col("type")
     return (
         F.when(kind == "string", F.col("str"))
         .when(kind == "hash", pairs(F.col("hash")))
         .when(kind == "zset", pairs(F.col("scores")))
-        .when(kind == "set", F.array_join(F.array_sort("items"), ","))
-        .when(kind == "list", F.array_join("items", ","))
+        .when(kind == "set", joined(F.array_sort("items")))
+        .when(kind == "list", joined(F.col("items")))
         .otherwise(F.size("items").cast("string"))
     )
 
@@ -123,12 +130,12 @@ def null_absent_drift(src: DataFrame, dst: DataFrame, fields: list[str], column:
 
 
 def documents_difference(src: DataFrame, dst: DataFrame, identity: str = "id", column: str = "doc") -> DataFrame:
-    """id, kind: documents by identity, equal up to the order of their fields."""
-    canonical = lambda c: F.to_json(F.try_parse_json(F.col(c)))
-    a = src.select(F.col(identity).alias("id"), F.md5(canonical(column).cast("binary")).alias("s"))
-    b = dst.select(F.col(identity).alias("id"), F.md5(canonical(column).cast("binary")).alias("d"))
-    kind = F.when(F.col("d").isNull(), "missing").when(F.col("s").isNull(), "extra").when(F.col("s") != F.col("d"), "changed")
-    return a.join(b, "id", "full_outer").select("id", kind.alias("kind")).where("kind is not null")
+    """id, kind: documents by identity, equal up to the order of their fields.
+
+    A text that is no JSON is compared as it is; null, or an identity that occurs more than once, needs no care.
+    """
+    plain = lambda df: df.select(F.col(identity).alias("id"), F.coalesce(F.concat(F.lit("json:"), F.to_json(F.try_parse_json(F.col(column)))), F.concat(F.lit("text:"), F.col(column))).alias("doc"))
+    return differences(plain(src), plain(dst), ["id"], ["doc"])
 
 
 def duplicate_ids(shards: DataFrame) -> DataFrame:

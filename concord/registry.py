@@ -176,6 +176,31 @@ def restricted_diff(spark, sf_dir):
     return diff.restricted(src, dst, keys, ["o_orderkey"])
 
 
+def _bags(src: str, dst: str, key: str, columns: dict[str, str]) -> str:
+    """Every key of either side with its kind, where a key may be null and may repeat, in DuckDB."""
+    side = lambda t: f"(select {key}, list_sort(list(h)) as bag from (select {key}, {duck_row_hash(columns)} as h from {t}) group by 1)"
+    kind = "case when d.bag is null then 'missing' when s.bag is null then 'extra' when s.bag <> d.bag then 'changed' else 'same' end as kind"
+    return f"select coalesce(s.{key}, d.{key}) as {key}, {kind} from {side(src)} s full outer join {side(dst)} d on s.{key} is not distinct from d.{key}"
+
+
+@query(_bags("lineitem", duck("lineitem_dst"), "l_orderkey", COLUMNS["lineitem"]))
+def keyed_multiset_diff(spark, sf_dir):
+    """Lines by order: each key repeats, and some repeat more often on one side."""
+    return diff.classified(pair(spark, sf_dir, "lineitem"), pair(spark, sf_dir, "lineitem_dst"), ["l_orderkey"], LINEITEM)
+
+
+@query(_bags(duck("bags_src"), duck("bags_dst"), "k", {"k": "i", "v": "s", "x": "d"}))
+def null_key_diff(spark, sf_dir):
+    """A few keys, null among them, that each hold many rows."""
+    return diff.classified(pair(spark, sf_dir, "bags_src"), pair(spark, sf_dir, "bags_dst"), ["k"])
+
+
+@query(f"select s.p_partkey, 'changed' as kind from part s join {duck('part_exact_dst')} d on s.p_partkey = d.p_partkey where s.p_retailprice <> d.p_retailprice")
+def exact_double_diff(spark, sf_dir):
+    """Prices that differ in the seventh place."""
+    return diff.differences(pair(spark, sf_dir, "part"), pair(spark, sf_dir, "part_exact_dst"), ["p_partkey"], PART)
+
+
 _MATCHED = f"from orders s join {duck('orders_dst')} d on s.o_orderkey = d.o_orderkey"
 
 
@@ -332,7 +357,7 @@ def boundary_max_key(spark, sf_dir):
     return drift.boundary(side("orders"), side("orders_dst"))
 
 
-@query(f"select s.p_partkey, cast(cast(s.p_retailprice as decimal(38,6)) as varchar) as src_text, cast(cast(d.p_retailprice as decimal(38,6)) as varchar) as dst_text from part s join {duck('part_dst')} d on s.p_partkey = d.p_partkey where s.p_retailprice is not null and cast(s.p_retailprice as decimal(38,6)) is distinct from cast(d.p_retailprice as decimal(38,6))")
+@query(f"select s.p_partkey, cast(s.p_retailprice as varchar) as src_text, cast(d.p_retailprice as varchar) as dst_text from part s join {duck('part_dst')} d on s.p_partkey = d.p_partkey where s.p_retailprice is not null and s.p_retailprice is distinct from d.p_retailprice")
 def rendered_values(spark, sf_dir):
     return drift.rendered_difference(pair(spark, sf_dir, "part"), pair(spark, sf_dir, "part_dst"), ["p_partkey"], "p_retailprice")
 
@@ -569,27 +594,27 @@ def counter_raise_plan(spark, sf_dir):
     return repair.sequence_repair(_SRC_SEQ.df(spark), _DST_SEQ.df(spark), _MAXIMA.df(spark), "mysql")
 
 
-_SUMS = "count(*) as n, cast(sum(o_orderkey) as bigint) as keys, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total"
+_ROWS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, epoch_us(o_orderdate) as ordered_us, o_orderpriority"
 
 
-def _order_sums(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+def _order_rows(df: DataFrame) -> DataFrame:
+    return df.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("ordered_us"), "o_orderpriority")
 
 
-@query(f"select {_SUMS} from orders")
+@query(f"select {_ROWS} from orders")
 def repair_result(spark, sf_dir):
-    return _order_sums(repair.repair_rows(*_orders(spark, sf_dir), ["o_orderkey"]).repaired)
+    return _order_rows(repair.repair_rows(*_orders(spark, sf_dir), ["o_orderkey"]).repaired)
 
 
-@query(f"select {_SUMS} from {duck('orders_dst')}")
+@query(f"select {_ROWS} from {duck('orders_dst')}")
 def restore_equals_before(spark, sf_dir):
     done = repair.repair_rows(*_orders(spark, sf_dir), ["o_orderkey"])
-    return _order_sums(repair.restore(done.repaired, done, ["o_orderkey"]))
+    return _order_rows(repair.restore(done.repaired, done, ["o_orderkey"]))
 
 
-@query(f"with d as (select * from {duck('orders_dst')}) select {_SUMS} from (select * from d where o_orderkey in (select o_orderkey from orders) union all select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders where o_orderkey not in (select o_orderkey from d))")
+@query(f"with d as (select * from {duck('orders_dst')}) select {_ROWS} from (select * from d where o_orderkey in (select o_orderkey from orders) union all select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders where o_orderkey not in (select o_orderkey from d))")
 def keep_target_policy(spark, sf_dir):
-    return _order_sums(repair.repair_rows(*_orders(spark, sf_dir), ["o_orderkey"], repair.KEEP_TARGET).repaired)
+    return _order_rows(repair.repair_rows(*_orders(spark, sf_dir), ["o_orderkey"], repair.KEEP_TARGET).repaired)
 
 
 @query(f"select kind, count(*) as n, case kind when 'missing' then 'insert' when 'extra' then 'delete' else 'replace' end as operation from {_ORDERS_DIFF} where kind <> 'same' group by 1")
@@ -667,7 +692,7 @@ def heal_or_persist(spark, sf_dir):
 # ---- logs, entries, documents
 
 
-@query(f"select topic, part, count(*) as n, md5(string_agg(m, '' order by off)) as digest from (select topic, part, off, md5(coalesce(cast(key as varchar), '~') || '|' || coalesce(v, '~')) as m, row_number() over (partition by topic, part order by off desc) as k from {duck('log')}) where k <= 200 group by 1, 2")
+@query(f"select topic, part, count(*) as n, md5(string_agg(m, '' order by off)) as digest from (select topic, part, off, md5(coalesce(length(cast(key as varchar)) || ':' || cast(key as varchar), '~') || coalesce(length(v) || ':' || v, '~')) as m, row_number() over (partition by topic, part order by off desc) as k from {duck('log')}) where k <= 200 group by 1, 2")
 def log_tail_hash(spark, sf_dir):
     return stores.log_tail(pair(spark, sf_dir, "log").withColumn("off", F.col("off").cast("long")))
 
@@ -694,7 +719,7 @@ def consumer_lag(spark, sf_dir):
 _ENTRY = "key string, type string, str string, items array<string>"
 _SRC_KV = Rows(_ENTRY, (("a", "string", "1", None), ("b", "set", None, ["x", "y"]), ("c", "list", None, ["x", "y"]), ("d", "string", "v", None), ("e", "string", "v", None)))
 _DST_KV = Rows(_ENTRY, (("a", "string", "1", None), ("b", "set", None, ["y", "x"]), ("c", "list", None, ["y", "x"]), ("d", "set", None, ["v"]), ("f", "string", "z", None)))
-_KV_TEXT = "case type when 'string' then str when 'set' then array_to_string(list_sort(items), ',') when 'list' then array_to_string(items, ',') end"
+_KV_TEXT = "case type when 'string' then str when 'set' then array_to_string(list_transform(list_sort(items), lambda x: length(x) || ':' || x), '') when 'list' then array_to_string(list_transform(items, lambda x: length(x) || ':' || x), '') end"
 
 
 def _entries(rows: Rows, spark) -> DataFrame:
@@ -805,10 +830,10 @@ _LOG_PARTS = (("o_totalprice + 5", "'UPDATE'", 1, 10), ("o_totalprice + 9", "'UP
 _LOG_SQL = " union all ".join(_LOG.format(*p).replace("{{", "{").replace("}}", "}") for p in _LOG_PARTS)
 
 
-@query(f"with log as ({_LOG_SQL.replace('{orders}', 'orders')}), last as (select * from (select *, row_number() over (partition by o_orderkey order by lsn desc) as k from log) where k = 1) select {_SUMS} from (select o_orderkey, o_totalprice from orders where o_orderkey not in (select o_orderkey from last) union all select o_orderkey, o_totalprice from last where op <> 'DELETE')")
+@query(f"with log as ({_LOG_SQL.replace('{orders}', 'orders')}), last as (select * from (select *, row_number() over (partition by o_orderkey order by lsn desc) as k from log) where k = 1) select {_ROWS} from (select * exclude (op, lsn, k) from (select *, '' as op, 0 as lsn, 0 as k from (select {', '.join(ORDERS)} from orders)) where o_orderkey not in (select o_orderkey from last) union all select * exclude (op, lsn, k) from last where op <> 'DELETE')")
 def change_log_apply(spark, sf_dir):
     orders = pair(spark, sf_dir, "orders").select(*ORDERS)
-    return _order_sums(delta.apply_changes(orders, spark.sql(_LOG_SQL, orders=orders), ["o_orderkey"], ["lsn"]))
+    return _order_rows(delta.apply_changes(orders, spark.sql(_LOG_SQL, orders=orders), ["o_orderkey"], ["lsn"]))
 
 
 @query(f"select * from {_ORDERS_DIFF} where o_orderkey % 10 = 0 and kind <> 'same'")
@@ -880,9 +905,9 @@ def name_lists(spark, sf_dir):
     return catalog.name_lists(_ROUT.df(spark), "schema", "name", 2)
 
 
-@query("select min(x) as low, max(x) as high, count(*) as n from (select o_orderkey as x from orders where o_orderkey > 100 and o_orderkey <= 900)")
+@query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey > 100 and o_orderkey <= 900")
 def copy_range(spark, sf_dir):
-    return diff.in_ranges(pair(spark, sf_dir, "orders"), "o_orderkey", 100, 900, closed_right=True).agg(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"), F.count("*").alias("n"))
+    return diff.in_ranges(pair(spark, sf_dir, "orders"), "o_orderkey", 100, 900, closed_right=True).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 # ---- results

@@ -81,7 +81,8 @@ def exit_status(results: DataFrame) -> int:
 def metrics(results: DataFrame, pair: str) -> DataFrame:
     """line: one gauge for each check and scope in the text format of metric scrapers."""
     value = F.when(F.col("status").isin("ok", "skip"), 1).otherwise(0)
-    return results.select(F.format_string('concord_check_ok{pair="%s",check="%s",scope="%s"} %d', F.lit(pair), F.col("check"), F.col("scope"), value).alias("line"))
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    return results.select(F.format_string('concord_check_ok{pair="%s",check="%s",scope="%s"} %d', *map(escaped, (F.lit(pair), F.col("check"), F.col("scope"))), value).alias("line"))
 
 
 def html_report(results: DataFrame, title: str) -> str:
