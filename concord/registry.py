@@ -968,19 +968,28 @@ def assess_levels(spark, sf_dir):
     return checks.level_counts(assess_rules(spark, sf_dir))
 
 
-_DDL = Rows("ddl string", (("CREATE TABLE t (id BIGINT UNSIGNED AUTO_INCREMENT, ok TINYINT(1), at DATETIME, x DOUBLE, body LONGTEXT) ENGINE=InnoDB AUTO_INCREMENT=7",), ("CREATE DEFINER=`u`@`h` SQL SECURITY INVOKER VIEW v AS SELECT 1",)))
+_DDL = Rows(
+    "ddl string",
+    (
+        ("CREATE TABLE t (id BIGINT UNSIGNED AUTO_INCREMENT, ok TINYINT(1) DEFAULT 1, at DATETIME(6), x DOUBLE, body LONGTEXT COLLATE utf8mb4_bin, PRIMARY KEY (id)) ENGINE=InnoDB AUTO_INCREMENT=7",),
+        ("create table `a b` (`n` int unsigned not null comment 'how, many', p decimal(12,2), k enum('x','y') default 'x', u timestamp not null default current_timestamp on update current_timestamp, key by_n (`n`, p), unique key q (k(10)))",),
+        ("CREATE DEFINER=`u`@`h` SQL SECURITY INVOKER VIEW v AS SELECT 1",),
+    ),
+)
+_CONVERTED = (
+    "CREATE TABLE t (id bigint GENERATED BY DEFAULT AS IDENTITY, ok boolean DEFAULT true, at timestamp(6), x double precision, body text, PRIMARY KEY (id))",
+    "CREATE TABLE \"a b\" (\"n\" bigint not null, p numeric(12, 2), k text default 'x' CHECK (k IN ('x', 'y')), u timestamp with time zone not null default current_timestamp, UNIQUE (k));\nCREATE INDEX by_n ON \"a b\" (\"n\", p)",
+    "CREATE VIEW v AS SELECT 1",
+)
 
 
-def _rewrites(rules: tuple, column: str) -> str:
-    for pattern, replacement in rules:
-        plain = pattern.replace("(?i)", "")
-        if "(?!" in plain:
-            plain = plain.split("(?!")[0]
-        column = f"regexp_replace({column}, '{plain}', '{replacement}', 'gi')"
+def _noise(column: str) -> str:
+    for pattern, replacement in text.DDL_NOISE:
+        column = f"regexp_replace({column}, '{pattern.replace('(?i)', '')}', '{replacement}', 'gi')"
     return column
 
 
-@query(f"select {_rewrites(text.DDL_REWRITES, 'ddl')} as rewritten, trim({_rewrites(text.DDL_NOISE, 'ddl')}) as canonical from {_DDL.sql()}")
+@query(f"select rewritten, trim({_noise('d.ddl')}) as canonical from {_DDL.sql()} d join {Rows('ddl string, rewritten string', tuple((d[0], c) for d, c in zip(_DDL.rows, _CONVERTED))).sql()} c on d.ddl = c.ddl")
 def ddl_rewrites(spark, sf_dir):
     return _DDL.df(spark).select(text.rewrite_ddl(F.col("ddl")).alias("rewritten"), text.canonical_ddl(F.col("ddl")).alias("canonical"))
 
