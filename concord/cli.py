@@ -1,4 +1,4 @@
-"""Command line: assess, schema, check, sync, move, watch, report, history, rollback, doctor, advise.
+"""Command line: assess, schema, check, sync, move, watch, report, history, rollback, users, doctor, advise.
 
     python -m concord.cli --config hops.json check NAME --only counts,data
 
@@ -18,12 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.model import RESULT_SCHEMA, Pair, get_pair, load_pairs
-from concord.operators import diff, repair, watch
+from concord.operators import catalog, diff, repair, watch
 from concord.plans import checks
 from concord.sources import readers, sinks
+from concord.streaming import delta
 
-#: Former names of commands.
-ALIASES = {"hops": "doctor", "setup-target": "schema", "convert-schema": "schema", "gen-migration": "schema", "repair": "sync", "replicate": "move", "tail": "move", "sample-diff": "check", "ui": "report", "state": "history", "monitor": "watch"}
+#: Former names of commands: the command that has their meaning now, and the options that give it.
+ALIASES = {
+    "hops": ("doctor", {}), "setup-target": ("schema", {}), "convert-schema": ("schema", {"convert": True}), "gen-migration": ("schema", {"migration": "migrations"}), "repair": ("sync", {}),
+    "replicate": ("move", {}), "tail": ("watch", {"follow": True}), "sample-diff": ("check", {"sample": 500}), "ui": ("report", {"serve": True}), "state": ("history", {}), "monitor": ("watch", {"rerun": True}),
+}
 
 
 def _session() -> SparkSession:
@@ -35,13 +39,10 @@ def _pair(args: argparse.Namespace, spark: SparkSession) -> Pair:
     if args.exclude:
         pair.exclude = (*pair.exclude, *args.exclude.split(","))
     pair.validate()
-    for table, key in (pair.options.get("key") or {}).items():
-        from concord.model import TableMeta
-
-        pair.meta[table] = TableMeta(key=tuple(key))
     bound = readers.bind(spark, pair, args.db)
     if args.table:
         bound.tables = tuple(t for t in bound.tables if t == args.table)
+        bound.target_tables = None if bound.target_tables is None else tuple(t for t in bound.target_tables if t == args.table)
     return bound
 
 
@@ -50,10 +51,17 @@ def _reports(args: argparse.Namespace) -> str:
 
 
 def doctor(args: argparse.Namespace) -> int:
-    """The configured pairs and whether both sides are set."""
+    """The configured pairs, whether both sides are set and, with ``--reach``, whether their tables can be listed."""
+    bad = 0
     for name, pair in load_pairs(args.config).items():
-        print(f"{name}\t{pair.engine}\t{'ok' if pair.source.configured and pair.target.configured else 'not configured'}")
-    return 0
+        state = "ok" if pair.source.configured and pair.target.configured else "not configured"
+        if state == "ok" and args.reach:
+            try:
+                state = f"ok\t{len(readers.bind(_session(), pair).tables)} tables"
+            except Exception as error:
+                state, bad = f"unreachable\t{str(error).splitlines()[0][:200]}", 1
+        print(f"{name}\t{pair.engine}\t{state}")
+    return bad
 
 
 def advise(args: argparse.Namespace) -> int:
@@ -63,28 +71,52 @@ def advise(args: argparse.Namespace) -> int:
 
 
 def assess(args: argparse.Namespace) -> int:
-    """Readiness by rules over a file of facts (name, value)."""
+    """Readiness by rules: over a file of facts (name, value), or over what both sides' catalogs say."""
     spark = _session()
-    facts = spark.read.json(args.facts)
-    known = {r["name"] for r in facts.select("name").distinct().collect()}
-    found = checks.assess(facts, [r for r in checks.READINESS if r[0] in known])
-    found.show(truncate=False)
-    return int(not found.where("level = 'fail'").isEmpty())
+    if args.facts:
+        sides = {"": spark.read.json(args.facts)}
+    else:
+        pair = _pair(args, spark)
+        sides = {side: facts for side in ("src", "dst") if (facts := pair.facts(side, "facts")) is not None}
+        keyless = [t for t in pair.kept_tables() if t not in pair.meta or not pair.meta[t].key]
+        sides["tables"] = spark.createDataFrame([("tables_without_key", str(len(keyless)))], "name string, value string")
+    failed = 0
+    for side, facts in sides.items():
+        known = {r["name"] for r in facts.select("name").distinct().collect()}
+        rules = [r for r in checks.READINESS if r[0] in known]
+        if rules:
+            for r in checks.assess(facts, rules).collect():
+                print("\t".join(x for x in (side, r["rule"], r["level"], r["detail"]) if x))
+                failed |= r["level"] == "fail"
+    return int(failed)
+
+
+def _schema_actions(pair: Pair) -> list[dict]:
+    """Statements that add the columns which the target lacks; one row for each such column."""
+    actions = []
+    for table in pair.kept_tables():
+        src, dst = (catalog.schema_table(pair.table(side, table), table) for side in ("src", "dst"))
+        actions += [r.asDict() for r in repair.schema_actions(src.join(dst, ["table", "column"], "left_anti")).collect()]
+    return actions
 
 
 def schema(args: argparse.Namespace) -> int:
-    """The target's setup plan and the columns that differ; ``--migration`` writes them as versioned files."""
+    """The target's setup plan and the columns that differ; ``--migration`` writes them as versioned files.
+
+    ``--convert`` reads definitions from ``--ddl`` instead and prints them in the target's dialect.
+    """
+    if args.convert:
+        from concord.functions.ddl import convert
+
+        for statement in Path(args.ddl).read_text().split(";\n"):
+            if statement.strip():
+                print(convert(statement.strip().rstrip(";")) + ";")
+        return 0
     spark = _session()
     pair = _pair(args, spark)
     for step in checks.setup_plan(pair, args.db):
         print(step)
-    actions = []
-    for table in pair.kept_tables():
-        from concord.operators.catalog import schema_table
-
-        src, dst = (schema_table(pair.table(side, table), table) for side in ("src", "dst"))
-        missing = src.join(dst, ["table", "column"], "left_anti")
-        actions += [r.asDict() for r in repair.schema_actions(missing).collect()]
+    actions = _schema_actions(pair)
     for action in actions:
         print("\n".join(action["statements"]))
     if args.migration and actions:
@@ -92,35 +124,125 @@ def schema(args: argparse.Namespace) -> int:
     return 0
 
 
-def check(args: argparse.Namespace) -> int:
-    """Run the checks; results merge into the pair's summary. Exit status 1 if any is neither ok nor skipped."""
-    spark = _session()
+def _summary(spark: SparkSession, args: argparse.Namespace) -> list:
+    """The results of earlier runs; a few rows for each table."""
+    path = f"{_reports(args)}/summary"
+    return spark.read.schema(RESULT_SCHEMA).json(path).collect() if sinks.exists(spark, path) else []
+
+
+def _run_checks(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """One run of the wanted checks, merged into the pair's summary."""
     pair = _pair(args, spark)
     only = tuple(args.only.split(",")) if args.only else checks.CHECKS
-    found = checks.check(spark, pair, only)
-    path = f"{_reports(args)}/summary"
-    if sinks.exists(spark, path):
-        old = spark.createDataFrame(spark.read.schema(RESULT_SCHEMA).json(path).collect(), RESULT_SCHEMA)
-        found = sinks.merged_summary(old, found)
-    rows = found.orderBy("check", "scope").collect()  # a few for each table
+    only = (*only, "deep") if args.deep and "deep" not in only else only
+    unknown = set(only) - set(checks.CHECKS)
+    if unknown:
+        raise SystemExit(f"unknown checks: {', '.join(sorted(unknown))}; known: {', '.join(checks.CHECKS)}")
+    if args.consistent:
+        pair = checks.snapshot(pair)
+    old = _summary(spark, args)
+    clean = {t for t in pair.tables if (mine := [r for r in old if r["scope"].split(" ")[0] == t]) and all(r["status"] in ("ok", "skip") for r in mine)}
+    found = checks.check(spark, pair, only, frozenset(clean if args.resume else ())).collect()
+    if args.resume:
+        found += [r for r in old if r["scope"].split(" ")[0] in clean and r["check"] in only]
+    found = spark.createDataFrame(found, RESULT_SCHEMA)
+    if old:
+        found = sinks.merged_summary(spark.createDataFrame(old, RESULT_SCHEMA), found)
+    rows = found.orderBy("check", "scope").collect()
     kept = spark.createDataFrame(rows, RESULT_SCHEMA)
-    kept.coalesce(1).write.mode("overwrite").json(path)
-    for r in rows:
+    kept.coalesce(1).write.mode("overwrite").json(f"{_reports(args)}/summary")
+    if args.drill:
+        _drill(pair, args, {r["scope"] for r in rows if r["check"] == "data" and r["status"] == "diff"})
+    return kept
+
+
+def _drill(pair: Pair, args: argparse.Namespace, tables: set[str]) -> None:
+    """Key files and evidence of every keyed table that differs."""
+    for table in sorted(tables & set(pair.kept_tables())):
+        key = list(pair.meta[table].key) if table in pair.meta else []
+        if key:
+            src, dst = pair.table("src", table), pair.table("dst", table)
+            sinks.write_keys(diff.differences(src, dst, key), f"{_reports(args)}/keys", table)
+            sinks.write_evidence(diff.sample_compare(src, dst, key), args.reports.rstrip("/"), args.name, args.db or "default", f"data-{table}")
+
+
+def check(args: argparse.Namespace) -> int:
+    """Run the checks; results merge into the pair's summary. Exit status 1 if any is neither ok nor skipped.
+
+    ``--sample N`` only probes N rows of each keyed table, ``--consistent`` reads each table once for all checks,
+    ``--resume`` leaves out tables that were clean before, ``--drill`` writes the differing keys.
+    """
+    spark = _session()
+    if args.sample:
+        return _probe(spark, args)
+    kept = _run_checks(spark, args)
+    for r in kept.collect():
         print(f"{r['check']}\t{r['scope']}\t{r['status']}\t{r['detail']}")
-    sinks.changelog(spark, f"{_reports(args)}/changelog", command="check", only=list(only))
+    sinks.changelog(spark, f"{_reports(args)}/changelog", command="check", only=args.only)
     return sinks.exit_status(kept)
 
 
+def _probe(spark: SparkSession, args: argparse.Namespace) -> int:
+    pair, bad, looked = _pair(args, spark), 0, 0
+    for table in pair.kept_tables():
+        key = list(pair.meta[table].key) if table in pair.meta else []
+        if key:
+            found = {r["kind"]: r["n"] for r in diff.probe(pair.table("src", table), pair.table("dst", table), key, args.sample).collect()}
+            bad, looked = bad + sum(n for k, n in found.items() if k != "same"), looked + 1
+            print(f"{table}\t" + " ".join(f"{k}={n}" for k, n in sorted(found.items())))
+    return int(bad > 0 or not looked)
+
+
 def sync(args: argparse.Namespace) -> int:
-    """Row repairs of every keyed table: the plan, and with ``--go`` a repaired version beside a restore point."""
+    """Repairs by ``--kind``: rows of keyed tables, counters or the schema. Only a plan without ``--go``.
+
+    Rows are repaired into a new version beside a restore point; counters and schema yield statements with their
+    undo. One sync of a pair runs at a time, and tables that an interrupted sync has done are not done again.
+    """
     spark = _session()
     pair = _pair(args, spark)
+    kinds = ("rows", "sequences", "schema") if args.kind == "all" else (args.kind,)
+    if not args.go:
+        return max(_sync(spark, pair, args, kind) for kind in kinds)
+    Path(args.reports, args.name).mkdir(parents=True, exist_ok=True)
+    with sinks.Lock(spark, f"{_reports(args)}/sync.lock"):
+        code = max(_sync(spark, pair, args, kind) for kind in kinds)
+    sinks.changelog(spark, f"{_reports(args)}/changelog", command="sync", kind=args.kind, tag=args.tag)
+    return code
+
+
+def _sync(spark: SparkSession, pair: Pair, args: argparse.Namespace, kind: str) -> int:
+    if kind == "rows":
+        return _sync_rows(spark, pair, args)
+    if kind == "schema":
+        actions = _schema_actions(pair)
+    else:
+        src, dst = pair.facts("src", "counters"), pair.facts("dst", "counters")
+        if src is None or dst is None:
+            print("sequences: a side's counters cannot be read")
+            return 1
+        plan = repair.sequence_repair(src, dst, checks.counter_maxima(pair, dst), pair.engine)
+        for r in plan.orderBy("table").collect():
+            print(f"{r['table']}: {r['action']} {r['undo_value']} -> {r['target_value']}")
+        actions = [r.asDict() for r in repair.sequence_actions(plan).collect()]
+    for action in actions:
+        print("\n".join(action["statements"]))
+    if args.go and actions:
+        print(*sinks.migration_files(actions, f"{_reports(args)}/migrations", int(time.time()), kind))
+    return 0
+
+
+def _sync_rows(spark: SparkSession, pair: Pair, args: argparse.Namespace) -> int:
     store = sinks.StateStore(spark, f"{_reports(args)}/state")
+    progress = sinks.MoveCheckpoint(f"{_reports(args)}/sync.json") if args.go else None
     for table in pair.kept_tables():
         key = list(pair.meta[table].key) if table in pair.meta else []
         if not key:
             print(f"{table}: no key, copy it again")
             continue
+        if args.resume and progress and (progress.state.get(table) or {}).get("done"):
+            print(f"{table}: done before")
+            continue
         src, dst = pair.table("src", table), pair.table("dst", table)
         plan = repair.row_plan(diff.differences(src, dst, key), key, args.on_conflict).collect()
         print(f"{table}: " + (", ".join(f"{r['operation']} {r['n']}" for r in plan) or "nothing to do"))
@@ -128,9 +250,30 @@ def sync(args: argparse.Namespace) -> int:
             done = repair.repair_rows(src, dst, key, args.on_conflict)
             store.save(args.name, args.db, {f"{table}.preimage": done.preimage, f"{table}.touched": done.touched}, args.tag)
             done.repaired.write.mode("overwrite").parquet(f"{_reports(args)}/repaired/{table}")
+        if progress:
+            progress.save(table, None, True)
     return 0
 
 
+def users(args: argparse.Namespace) -> int:
+    """What to do about logins and permissions that differ. A plan only: no secret is printed or written."""
+    spark = _session()
+    pair = _pair(args, spark)
+    src, dst = pair.facts("src", "logins"), pair.facts("dst", "logins")
+    if src is None or dst is None:
+        print("logins of a side cannot be read")
+        return 1
+    roles = lambda df: df.select("login", "secret", F.coalesce(F.col("roles").cast("array<string>"), F.array().cast("array<string>")).alias("roles"))
+    plan = repair.login_plan(catalog.logins_difference(roles(src), roles(dst))).orderBy("login").collect()
+    for r in plan:
+        print(f"{r['login']}\t{r['step']}")
+    granted = pair.facts("src", "grants"), pair.facts("dst", "grants")
+    if None not in granted:
+        for r in catalog.grant_statements(catalog.missing_grants(*granted)).orderBy("statement").collect():
+            print(r["statement"])
+    return int(bool(plan))
+
+
 def move(args: argparse.Namespace) -> int:
     """Copy tables by ranges of their integer key, resuming where an earlier run stopped."""
     spark = _session()
@@ -157,8 +300,44 @@ def sample(pair: Pair, database: str) -> tuple:
     return database or "default", int(time.time()), sum(a for a, _ in counts.values()), sum(b for _, b in counts.values()), {t: a for t, (a, _) in counts.items()}
 
 
+def _rerun(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Run the checks every cycle and say of each result whether it healed, persists or broke."""
+    rows, code = [], 0
+    for cycle in range(args.cycles):
+        rows += [(r["check"], r["scope"], cycle, r["status"]) for r in _run_checks(spark, args).collect()]
+        seen = watch.heal_or_persist(spark.createDataFrame(rows, "check string, scope string, cycle long, status string"))
+        now = seen.where(F.col("cycle") == cycle).orderBy("check", "scope").collect()
+        for r in now:
+            if r["change"] != "clean":
+                print(f"{cycle}\t{r['check']}\t{r['scope']}\t{r['change']}")
+        code = int(any(r[3] not in ("ok", "skip") for r in rows if r[2] == cycle))
+        if cycle + 1 < args.cycles:
+            time.sleep(args.interval)
+    return code
+
+
+def _follow(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Verify the keys that a folder of change events touches; the cursor moves only after a clean cycle."""
+    pair = _pair(args, spark)
+    if not args.table or not args.changes:
+        raise SystemExit("following changes needs --table and --changes, a folder of Parquet files with the table's key columns")
+    key, code = list(pair.meta[args.table].key), 0
+    shape = pair.table("src", args.table).select(*key).schema
+    verifier = delta.batch_verifier(lambda: pair.table("src", args.table), lambda: pair.table("dst", args.table), key, f"{_reports(args)}/delta/{args.table}")
+    for cycle in range(args.cycles):
+        clean, said = delta.verification_cycle(spark.readStream.schema(shape).parquet(args.changes), verifier, f"{_reports(args)}/cursor/{args.table}")
+        print(f"{cycle}\t{args.table}\t{said}")
+        code = int(not clean)
+        if cycle + 1 < args.cycles:
+            time.sleep(args.interval)
+    return code
+
+
 def watch_(args: argparse.Namespace) -> int:
+    """Sample counts and give the cutover verdict; ``--rerun`` repeats the checks, ``--follow`` verifies touched keys."""
     spark = _session()
+    if args.rerun or args.follow:
+        return _rerun(spark, args) if args.rerun else _follow(spark, args)
     pair, rows = _pair(args, spark), []
     schema_ = "db string, ts long, src_rows long, dst_rows long, src_tables map<string,long>"
     for cycle in range(args.cycles):
@@ -190,7 +369,7 @@ def report(args: argparse.Namespace) -> int:
 
 def history(args: argparse.Namespace) -> int:
     spark = _session()
-    for r in sinks.StateStore(spark, f"{_reports(args)}/state").points(args.name).limit(15).collect():
+    for r in sinks.StateStore(spark, f"{_reports(args)}/state").points(args.name).limit(args.limit or 1 << 30).collect():
         print(json.dumps(r.asDict()))
     return 0
 
@@ -214,7 +393,7 @@ def rollback(args: argparse.Namespace) -> int:
     return 0
 
 
-COMMANDS = {"doctor": doctor, "advise": advise, "assess": assess, "schema": schema, "check": check, "sync": sync, "move": move, "watch": watch_, "report": report, "history": history, "rollback": rollback}
+COMMANDS = {"doctor": doctor, "advise": advise, "assess": assess, "schema": schema, "check": check, "sync": sync, "move": move, "watch": watch_, "report": report, "history": history, "rollback": rollback, "users": users}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -224,36 +403,45 @@ def parser() -> argparse.ArgumentParser:
     commands = p.add_subparsers(dest="command", required=True)
     for name in [*COMMANDS, *ALIASES]:
         c = commands.add_parser(name)
-        real = ALIASES.get(name, name)
+        real, preset = ALIASES.get(name, (name, {}))
         if real == "advise":
             c.add_argument("playbook", nargs="?", default="same-engine")
             continue
-        if real == "assess":
-            c.add_argument("facts")
-            continue
         if real == "doctor":
+            c.add_argument("--reach", action="store_true")
             continue
-        c.add_argument("name")
+        if real == "assess":
+            c.add_argument("name", nargs="?", default="")
+            c.add_argument("--facts", default="")
+        elif preset.get("convert"):
+            c.add_argument("name", nargs="?", default="")
+        else:
+            c.add_argument("name")
         c.add_argument("--db", default="")
         c.add_argument("--table", default="")
         c.add_argument("--exclude", default="")
         c.add_argument("--only", default="")
-        c.add_argument("--go", action="store_true")
         c.add_argument("--tag", default="")
+        c.add_argument("--kind", default="rows", choices=["rows", "sequences", "schema", "all"])
         c.add_argument("--on-conflict", default=repair.SOURCE_WINS, choices=[repair.SOURCE_WINS, repair.KEEP_TARGET])
         c.add_argument("--chunk", type=int, default=1_000_000)
         c.add_argument("--cycles", type=int, default=1)
         c.add_argument("--interval", type=float, default=5.0)
-        c.add_argument("--metrics", action="store_true")
-        c.add_argument("--serve", action="store_true")
+        c.add_argument("--limit", type=int, default=15)
         c.add_argument("--port", type=int, default=8484)
         c.add_argument("--migration", default="")
+        c.add_argument("--ddl", default="schema.sql")
+        c.add_argument("--changes", default="")
+        c.add_argument("--sample", type=int, default=0)
+        for flag in ("go", "metrics", "serve", "deep", "drill", "consistent", "resume", "convert", "rerun", "follow"):
+            c.add_argument(f"--{flag}", action="store_true")
+        c.set_defaults(**preset)
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    return COMMANDS[ALIASES.get(args.command, args.command)](args)
+    return COMMANDS[ALIASES.get(args.command, (args.command,))[0]](args)
 
 
 if __name__ == "__main__":

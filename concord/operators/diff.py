@@ -107,6 +107,8 @@ def sample_compare(src: DataFrame, dst: DataFrame, key: Sequence[str], columns:
     each with one row of the other side.
     """
     names = [c for c in (columns or src.columns) if c in dst.columns and c not in key]
+    if not names:
+        return src.sparkSession.createDataFrame([], "key string, column string, src_value string, dst_value string")
     changed = differences(src, dst, key, [*key, *names]).where("kind = 'changed'")
     sides = []
     for df, side in ((src, "s"), (dst, "d")):

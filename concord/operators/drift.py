@@ -49,6 +49,50 @@ def float_drift(src: DataFrame, dst: DataFrame, key: Sequence[str], column: str,
     return found.agg(F.count("*").alias("n"), F.count_if(beyond).alias("n_beyond"), F.max(F.when(beyond, diff)).alias("max_diff"))
 
 
+def paired_drift(src: DataFrame, dst: DataFrame, key: Sequence[str], times: Sequence[str], numbers: Sequence[str], tolerance: float = 1e-9) -> dict[str, dict]:
+    """By column, what ``time_shift`` and ``float_drift`` find, from one join of the two sides and one row of numbers."""
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    names = [*times, *numbers]
+    a = src.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(key)], *[F.col(f"`{c}`").alias(f"__s{i}") for i, c in enumerate(names)])
+    b = dst.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(key)], *[F.col(f"`{c}`").alias(f"__d{i}") for i, c in enumerate(names)])
+    found, aggregates = a.join(b, [f"__k{i}" for i in range(len(key))]), []
+    for i in range(len(names)):
+        s, d = F.col(f"__s{i}"), F.col(f"__d{i}")
+        if i < len(times):
+            delta = seconds(f"__d{i}") - seconds(f"__s{i}")
+            aggregates += [F.count(delta).alias(f"n{i}"), F.avg(delta).alias(f"mean{i}"), F.min(delta).alias(f"low{i}"), F.max(delta).alias(f"high{i}")]
+        else:
+            gap = F.abs(s - d)
+            beyond = gap > tolerance * F.greatest(F.abs(s), F.abs(d), F.lit(1.0))
+            aggregates += [F.count_if(beyond).alias(f"n{i}"), F.max(F.when(beyond, gap)).alias(f"high{i}")]
+    row = found.agg(*aggregates).first().asDict() if aggregates else {}
+    out = {}
+    for i, c in enumerate(names):
+        n, high = row[f"n{i}"], row[f"high{i}"]
+        if i < len(times):
+            out[c] = {"n": n, "mean_s": row[f"mean{i}"], "uniform": n >= 3 and high - row[f"low{i}"] < 1 and abs(row[f"mean{i}"]) >= 1}
+        else:
+            out[c] = {"n_beyond": n, "max_diff": high}
+    return out
+
+
+def repeated_keys(df: DataFrame, key: Sequence[str]) -> int:
+    """How many keys without null occur more than once."""
+    groups = df.where(all_not_null(key)).groupBy(*[F.col(f"`{k}`") for k in key]).agg(F.count("*").alias("__n"))
+    return groups.agg(F.count_if(F.col("__n") > 1)).first()[0]
+
+
+def type_facts(df: DataFrame) -> DataFrame:
+    """column, type, char_length, scale, precision, unsigned of a table's own schema, for ``narrowed``."""
+    rows = []
+    for f in df.schema:
+        kind, size = f.dataType.simpleString(), f.metadata.get("__CHAR_VARCHAR_TYPE_STRING", "")
+        length = int(size.split("(")[1].rstrip(")")) if "(" in size else 0
+        decimal = f.dataType.typeName() == "decimal"
+        rows.append((f.name, kind.split("(")[0], length, f.dataType.scale if decimal else 0, f.dataType.precision if decimal else 0, False))
+    return df.sparkSession.createDataFrame(rows, "column string, type string, char_length long, scale long, precision long, unsigned boolean")
+
+
 def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if f.dataType.typeName() == "string"]
 

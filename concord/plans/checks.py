@@ -12,10 +12,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.model import RESULT_SCHEMA, Pair
-from concord.operators import diff, drift, fingerprint
+from concord.model import RESULT_SCHEMA, Pair, TableMeta
+from concord.operators import catalog, diff, drift, fingerprint
+from concord.session import durable
 
-CHECKS = ("schema", "counts", "data", "deep")
+CHECKS = ("schema", "objects", "params", "counts", "autoinc", "data", "deep")
 #: Advice for the usual routes, in order.
 PLAYBOOKS = {
     "same-engine": ("assess both sides", "set up the target's schema", "copy in bulk", "verify counts and data", "repair counters", "watch until safe", "switch over"),
@@ -36,7 +37,7 @@ def fused(df: DataFrame, key: list[str] | None = None) -> DataFrame:
     if key and len(key) == 1:
         aggregates += [F.min(key[0]).cast("string").alias("low"), F.max(key[0]).cast("string").alias("high")]
     for c in texts:
-        aggregates += [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}"), F.count_if(F.col(c) == "").alias(f"empties_{c}"), F.coalesce(F.sum(F.length(c) - F.length(F.replace(F.col(c), F.lit(drift.REPLACEMENT), F.lit("")))), F.lit(0)).alias(f"fffd_{c}")]
+        aggregates += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"nulls_{c}"), F.count_if(F.col(f"`{c}`") == "").alias(f"empties_{c}"), F.coalesce(F.sum(F.length(F.col(f"`{c}`")) - F.length(F.replace(F.col(f"`{c}`"), F.lit(drift.REPLACEMENT), F.lit("")))), F.lit(0)).alias(f"fffd_{c}")]
     return df.agg(*aggregates)
 
 
@@ -44,20 +45,28 @@ def check_table(pair: Pair, table: str, only: tuple[str, ...] = CHECKS) -> list[
     """Results of one table as rows of the result schema."""
     out = []
     src, dst = pair.table("src", table), pair.table("dst", table)
-    meta = pair.meta.get(table)
-    key = list(meta.key) if meta else []
+    meta = pair.meta.get(table) or TableMeta()
+    shared = [c for c in src.columns if c in dst.columns]
+    key = list(meta.key) if all(k in shared for k in meta.key) else []
+    lines = lambda df: [f"{f.name} {f.dataType.simpleString()}" for f in df.schema]
+    changed = diff.line_difference(lines(src), lines(dst))
     if "schema" in only:
-        lines = lambda df: [f"{f.name} {f.dataType.simpleString()}" for f in df.schema]
-        changed = diff.line_difference(lines(src), lines(dst))
         out.append(("schema", table, "diff" if changed else "ok", "; ".join(changed[:10]), "", "align the target's columns" if changed else ""))
-    shared = [c for c in src.columns if c in dst.columns]
+    if not {"counts", "data", "deep"} & set(only):
+        return out
+    if not shared:
+        return [*out, ("data", table, "error", "the sides share no column", "", "align the target's columns")]
     a, b = fused(src.select(*shared), key).first(), fused(dst.select(*shared), key).first()
     if "counts" in only:
         out.append(("counts", table, "ok" if a["n"] == b["n"] else "diff", f"src={a['n']} dst={b['n']}", "", "" if a["n"] == b["n"] else "copy the missing rows"))
     if "data" in only:
-        out.append(_data_result(pair, table, src, dst, key, a, b))
+        result = _data_result(pair, table, src.select(*shared), dst.select(*shared), key, a, b)
+        uneven = sorted({*src.columns} ^ {*dst.columns})
+        if uneven:  # equal in what both have, but not the same table
+            result = ("data", table, "diff", f"columns of one side: {','.join(uneven)}; shared columns: {result[3]}", "", "align the target's columns")
+        out.append(result)
     if "deep" in only:
-        out += _deep_results(table, src.select(*shared), a, b, key)
+        out += _deep_results(pair, table, src.select(*shared), dst.select(*shared), meta, key, a, b)
     return out
 
 
@@ -65,30 +74,148 @@ def _data_result(pair: Pair, table: str, src: DataFrame, dst: DataFrame, key: li
     if a["checksum"] == b["checksum"] and a["n"] == b["n"]:
         return ("data", table, "ok", f"rows={a['n']} checksum={a['checksum']}", "", "")
     if not key:
-        lost = diff.multiset_difference(src, dst).first()
-        return ("data", table, "diff", f"no key: only_in_src={lost['only_in_src']} only_in_dst={lost['only_in_dst']}", "", "copy the table again")
+        return _keyless_result(table, src, dst)
     counts = diff.summary(src, dst, key).first()
     if counts["missing"] + counts["extra"] + counts["changed"] == 0:
-        return ("data", table, "ok", "settled: no key differs any more", "", "")
+        # no key differs now: rows were in flight, or else the second look must say so too
+        again = fingerprint_pair(src, dst).collect()
+        if len({(r["n"], r["checksum"]) for r in again}) == 1:
+            return ("data", table, "ok", "settled: a second look finds both sides equal", "", "")
+        return _keyless_result(table, src, dst)
     where = [r["column"] for r in diff.column_drift(src, dst, key).orderBy("column").collect()] if counts["changed"] else []
     return ("data", table, "diff", f"missing={counts['missing']} extra={counts['extra']} changed={counts['changed']}" + (f" columns={','.join(where)}" if where else ""), "", "repair rows by key")
 
 
-def _deep_results(table: str, src: DataFrame, a, b, key: list[str]) -> list[tuple]:
-    out = []
-    if not key:
-        out.append(("deep", f"{table} keys", "diff", "no key known", "", "declare a key"))
+def _keyless_result(table: str, src: DataFrame, dst: DataFrame) -> tuple:
+    lost = diff.multiset_difference(src, dst).first()
+    bad = lost["only_in_src"] + lost["only_in_dst"] > 0
+    return ("data", table, "diff" if bad else "ok", f"rows compared whole: only_in_src={lost['only_in_src']} only_in_dst={lost['only_in_dst']}", "", "copy the table again" if bad else "")
+
+
+def _deep_results(pair: Pair, table: str, src: DataFrame, dst: DataFrame, meta: TableMeta, key: list[str], a, b) -> list[tuple]:
+    """What the detectors find in one table; a last row says how many looked."""
+    out: list[tuple] = []
+    looked = 0
+
+    def found(name: str, bad: bool, detail: str, hint: str) -> None:
+        nonlocal looked
+        looked += 1
+        if bad:
+            out.append(("deep", f"{table} {name}", "diff", detail, "", hint))
+
+    found("keys", not key, "no key known", "declare a key")
+    unique = not key
+    if key:
+        repeats = drift.repeated_keys(dst, key)
+        found("duplicates", repeats > 0, f"{repeats} keys occur more than once on the target", "remove the copies")
+        unique = repeats == 0 and drift.repeated_keys(src, key) == 0
     for c in drift.text_columns(src):
-        if a[f"nulls_{c}"] != b[f"nulls_{c}"] and a[f"nulls_{c}"] + a[f"empties_{c}"] == b[f"nulls_{c}"] + b[f"empties_{c}"]:
-            out.append(("deep", f"{table} nullempty", "diff", f"{c}: null {a[f'nulls_{c}']} -> {b[f'nulls_{c}']}", "", "load nulls as nulls"))
-        if b[f"fffd_{c}"] > a[f"fffd_{c}"]:
-            out.append(("deep", f"{table} encoding", "diff", f"{c}: {b[f'fffd_{c}'] - a[f'fffd_{c}']} replacement characters more", "", "load with the source's charset"))
+        moved = a[f"nulls_{c}"] != b[f"nulls_{c}"] and a[f"nulls_{c}"] + a[f"empties_{c}"] == b[f"nulls_{c}"] + b[f"empties_{c}"]
+        found("nullempty", moved, f"{c}: null {a[f'nulls_{c}']} -> {b[f'nulls_{c}']}", "load nulls as nulls")
+        found("encoding", b[f"fffd_{c}"] > a[f"fffd_{c}"], f"{c}: {b[f'fffd_{c}'] - a[f'fffd_{c}']} replacement characters more", "load with the source's charset")
+    for r in drift.narrowed(drift.type_facts(src), drift.type_facts(dst)).collect():
+        found("narrowing", True, f"{r['column']}: {r['reason']}", "widen the target's column")
+    if len(key) == 1 and a["low"] is not None and b["low"] is not None and dict(dst.dtypes)[key[0]] in ("tinyint", "smallint", "int", "bigint"):
+        found("boundary", int(b["high"]) > int(a["high"]), f"largest key {a['high']} -> {b['high']}", "find out who writes to the target")
+    if key and unique:
+        kinds = dict(dst.dtypes)
+        numbers = [n for n, k in src.dtypes if k in ("float", "double") and kinds[n] in ("float", "double") and n not in key]
+        times = [n for n, k in src.dtypes if k.startswith("timestamp") and kinds[n].startswith("timestamp") and n not in key]
+        for c, r in drift.paired_drift(src, dst, key, times, numbers, float(pair.options.get("float_tolerance", 1e-9))).items():
+            if "uniform" in r:
+                found("timeshift", bool(r["uniform"]), f"{c}: every row is {r['mean_s']} s off", "read times in the source's zone")
+            else:
+                found("float", r["n_beyond"] > 0, f"{c}: {r['n_beyond']} values off by up to {r['max_diff']}", "store with the source's precision")
+    for columns, parent, parent_columns in meta.foreign:
+        n = drift.orphans(dst, columns, pair.table("dst", parent), parent_columns).count()
+        found("fk", n > 0, f"{','.join(columns)}: {n} rows without a row in {parent}", "copy the parents")
+    if meta.checks:
+        for r in drift.constraint_violations(dst, meta.checks).collect():
+            found("checks", r["n"] > 0, f"{r['constraint']}: {r['n']} rows break it", "fix the rows")
+    for column, expression in meta.generated.items():
+        if column in dst.columns:
+            n = drift.generated_mismatch(dst, column, expression).count()
+            found("generated", n > 0, f"{column}: {n} stored values are not what the expression gives", "compute the column again")
+    if meta.partition_bounds:
+        n = drift.stranded(dst, meta.partition_column, meta.partition_bounds).count()
+        found("partitions", n > 0, f"{n} rows lie in no declared range", "add the missing partitions")
+    for columns in {*meta.unique, tuple(key)}:
+        if len(columns) == 1 and columns[0] in drift.text_columns(src):
+            n = drift.collapsing(src, columns[0]).count()
+            found("collation", n > 0, f"{columns[0]}: {n} values become equal if case is ignored", "give the target a binary collation")
+    return out or [("deep", table, "ok", f"{looked} looks found nothing", "", "")]
+
+
+def catalog_results(pair: Pair, only: tuple[str, ...]) -> list[tuple]:
+    """Objects, settings and counters of both catalogs; a side that tells nothing is skipped, and said to be."""
+    out: list[tuple] = []
+
+    def sides(check: str, kind: str) -> tuple[DataFrame, DataFrame] | None:
+        if check not in only:
+            return None
+        a, b = ((pair.facts(side, kind) if pair.facts else None) for side in ("src", "dst"))
+        if a is None or b is None:
+            out.append((check, pair.name, "skip", "a side's catalog cannot be read", "", ""))
+            return None
+        return a, b
+
+    if both := sides("objects", "objects"):
+        for r in catalog.objects_difference(*both).orderBy("obj_type").collect():
+            bad = r["missing"] + r["extra"] > 0
+            out.append(("objects", f"{pair.name} {r['obj_type']}", "diff" if bad else "ok", f"missing={r['missing']} extra={r['extra']} same={r['same']}", "", "create what is missing" if r["missing"] else ""))
+    if both := sides("params", "params"):
+        r = catalog.settings_status(catalog.settings_difference(*both, catalog.CRITICAL_SETTINGS.get(pair.engine, ()))).first()
+        out.append(("params", pair.name, r["status"], f"{r['n_different']} differ, {r['n_critical']} of them critical", "", "align the critical settings" if r["n_critical"] else ""))
+    if both := sides("autoinc", "counters"):
+        out += _counter_results(pair, *both)
     return out
 
 
-def check(spark: SparkSession, pair: Pair, only: tuple[str, ...] = CHECKS) -> DataFrame:
-    """All results of a pair. Tables run side by side on driver threads; each adds a few rows."""
+def counter_maxima(pair: Pair, counters: DataFrame) -> DataFrame:
+    """table, high: the target's largest key for each counter whose table is compared and has one integer key."""
+    owners = {r["table"]: r["owner_table"] for r in found.collect()} if pair.facts and (found := pair.facts("dst", "owned_by")) is not None else {}
+    rows = []
+    for r in counters.select("table").collect():
+        table = owners.get(r["table"], r["table"])
+        meta = pair.meta.get(table)
+        if table in pair.kept_tables() and meta and len(meta.key) == 1:
+            high = pair.table("dst", table).agg(F.max(meta.key[0])).first()[0]
+            rows.append((r["table"], high if isinstance(high, int) else 0))
+    return counters.sparkSession.createDataFrame(rows, "table string, high long")
+
+
+def _counter_results(pair: Pair, src: DataFrame, dst: DataFrame) -> list[tuple]:
+    out = []
+    usable = catalog.counters_usable(dst, counter_maxima(pair, dst), pair.engine)
+    for r in usable.orderBy("table").collect():
+        out.append(("autoinc", r["table"], r["status"], f"next={r['next_value']} largest={r['max_value']}", "", "raise the counter" if r["status"] == "diff" else ""))
+    for r in catalog.counters_parity(src, dst).where("dst_value = 'MISSING'").collect():
+        out.append(("autoinc", r["table"], "diff", "the target has no such counter", "", "create the counter"))
+    return out or [("autoinc", pair.name, "ok", "no counters", "", "")]
+
+
+def snapshot(pair: Pair) -> Pair:
+    """``pair`` with every table read once and written to the shared folder, so that all checks see the same rows."""
+    kept: dict[tuple[str, str], DataFrame] = {}
+    read = pair.read
+
+    def once(side: str, table: str) -> DataFrame:
+        if (side, table) not in kept:
+            kept[side, table] = durable(read(side, table))
+        return kept[side, table]
+
+    pair.read = once
+    return pair
+
+
+def check(spark: SparkSession, pair: Pair, only: tuple[str, ...] = CHECKS, skip: frozenset[str] = frozenset()) -> DataFrame:
+    """All results of a pair. Tables run side by side on driver threads; each adds a few rows.
+
+    A pair of which no table is found is an error: nothing was compared. Tables in ``skip`` are left out, as a
+    resumed run has their results already.
+    """
     pair.validate()
+    tables = pair.kept_tables()
 
     def one(table: str) -> list[tuple]:
         try:
@@ -96,8 +223,20 @@ def check(spark: SparkSession, pair: Pair, only: tuple[str, ...] = CHECKS) -> Da
         except Exception as error:
             return [("data", table, "error", str(error).split("\n")[0][:300], "", "")]
 
+    rows: list[tuple] = []
+    if not tables:
+        rows.append(("counts", pair.name, "error", "no table found: nothing was compared", "", "check the path, the database and the exclusions"))
+    if pair.target_tables is not None:
+        there = set(pair.kept_tables(pair.target_tables))
+        rows += [("schema", t, "diff", "the target has no such table", "", "create the table") for t in tables if t not in there]
+        rows += [("schema", t, "diff", "the source has no such table", "", "drop the table or exclude it") for t in sorted(there - set(tables))]
+        tables = [t for t in tables if t in there]
     with ThreadPoolExecutor(max(1, pair.workers)) as pool:
-        rows = [r for found in pool.map(one, pair.kept_tables()) for r in found]
+        rows += [r for found in pool.map(one, [t for t in tables if t not in skip]) for r in found]
+    try:
+        rows += catalog_results(pair, only)
+    except Exception as error:
+        rows.append(("objects", pair.name, "error", str(error).split("\n")[0][:300], "", ""))
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 

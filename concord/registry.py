@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from concord.fixtures import COLUMNS, Rows, duck, duck_fields, duck_number, duck_row_hash, pair
 from concord.functions import text
 from concord.operators import catalog, diff, drift, fingerprint, repair, stores, watch
+from concord.model import Endpoint, Pair, TableMeta
 from concord.plans import checks
 from concord.sources import sinks
 from concord.streaming import delta
@@ -379,6 +380,42 @@ def candidate_keys(spark, sf_dir):
     return drift.candidate_keys(pair(spark, sf_dir, "lineitem"), [["l_orderkey", "l_linenumber"], ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice"]])
 
 
+_DAMAGED = {"orders": ("o_orderkey",), "part": ("p_partkey",), "events": ("event_id",), "conversations": ("conv_id", "turn")}
+_ORDER_RULES = {"positive": "o_totalprice > 100000"}
+
+
+def _verdict(check: str, scope: str, bad: str, detail: str = "''") -> str:
+    return f"select '{check}' as \"check\", '{scope}' as scope, case when {bad} then 'diff' else 'ok' end as status, {detail} as detail"
+
+
+def _sides(measure: str, table: str) -> str:
+    return f"(select {measure} as x from {table}) <> (select {measure} as x from {duck(table + '_dst')})"
+
+
+_DAMAGE_SQL = " union all ".join(
+    [
+        *[_verdict("counts", t, _sides("count(*)", t), f"'src=' || (select count(*) from {t}) || ' dst=' || (select count(*) from {duck(t + '_dst')})") for t in _DAMAGED],
+        *[f"select 'data', '{t}', case when missing + extra + changed > 0 then 'diff' else 'ok' end, 'missing=' || missing || ' extra=' || extra || ' changed=' || changed || ' columns={c}' from ({s})" for t, c, s in (("orders", "o_totalprice", ORACLE_SQL["diff_summary"]), ("conversations", "text", f"select count(*) filter (where kind = 'missing') as missing, count(*) filter (where kind = 'extra') as extra, count(*) filter (where kind = 'changed') as changed from {_TURNS_DIFF}"))],
+        f"select 'deep', 'orders boundary', 'diff', 'largest key ' || s || ' -> ' || d from (select (select max(o_orderkey) from orders) as s, (select max(o_orderkey) from {duck('orders_dst')}) as d) where d > s",
+        f"select 'deep', 'orders float', 'diff', 'o_totalprice: ' || count(*) || ' values off by up to ' || max(abs(s.o_totalprice - d.o_totalprice)) from orders s join {duck('orders_dst')} d on s.o_orderkey = d.o_orderkey where abs(s.o_totalprice - d.o_totalprice) > 1e-9 * greatest(abs(s.o_totalprice), abs(d.o_totalprice), 1)",
+        f"select 'deep', 'orders checks', 'diff', 'positive: ' || count(*) || ' rows break it' from {duck('orders_dst')} where not (o_totalprice > 100000)",
+        f"select 'deep', 'part float', 'diff', 'p_retailprice: ' || n_beyond || ' values off by up to ' || max_diff from ({ORACLE_SQL['float_drift']})",
+        f"select 'deep', 'events timeshift', 'diff', 'ts: every row is ' || mean_s || ' s off' from ({ORACLE_SQL['timeshift_report']}) where uniform",
+    ]
+)
+
+
+@query(_DAMAGE_SQL)
+def check_damaged_pair(spark, sf_dir):
+    """One check command over four damaged tables: counts, keyed differences and every deep detector."""
+    columns = {"orders": ORDERS, "part": PART, "conversations": TURNS, "events": ["event_id", "ts", "user_id", "event_type"]}
+    damaged = Pair("damaged", "parquet", Endpoint(host="a"), Endpoint(host="b"), tables=tuple(_DAMAGED), meta={t: TableMeta(key=k, checks=_ORDER_RULES if t == "orders" else {}) for t, k in _DAMAGED.items()})
+    damaged.read = lambda side, t: pair(spark, sf_dir, t if side == "src" else t + "_dst").select(*columns[t])
+    found = checks.check(spark, damaged, ("counts", "data", "deep"))
+    # what is said of a whole-table change of every row is told by counts alone
+    return found.where("not (check = 'data' and scope in ('part', 'events'))").where("check <> 'deep' or status <> 'ok'").select("check", "scope", "status", "detail")
+
+
 # ---- catalogs
 
 _OBJ = "obj_type string, obj_name string"

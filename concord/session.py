@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +16,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a private one is set only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for written intermediate tables: spark.checkpoint.dir, or the one the context has.
+
+    Where neither is set a session on one machine takes a temporary folder; on a cluster that folder would be
+    the driver's own, so it is an error there.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="concord-checkpoint-"))
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="concord-checkpoint-")
+    spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as Parquet in the shared folder, read again, and its path for ``remove``; for wide tables, which later steps read in part."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a path through the cluster's file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import sqlite3
 from collections.abc import Iterator
-from pathlib import Path
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from concord.model import SYSTEM_PREFIXES, Endpoint, Pair
+from concord.model import SYSTEM_PREFIXES, Endpoint, Pair, TableMeta
+from concord.sources import catalogs
 
 #: Other names of the same engines.
 ALIASES = {"postgresql": "postgres", "pg": "postgres", "mariadb": "mysql", "mongo": "mongodb", "sqlserver": "mssql", "sqlite3": "sqlite", "files": "parquet", "valkey": "redis", "redpanda": "kafka"}
 JDBC = {"postgres": "jdbc:postgresql://{host}:{port}/{database}", "mysql": "jdbc:mysql://{host}:{port}/{database}?connectionTimeZone=UTC", "mssql": "jdbc:sqlserver://{host}:{port};databaseName={database}"}
 FILES = ("parquet", "orc", "json", "csv")
+#: A live engine is asked for this many ranges of a table at most.
+MAX_RANGES = 2000
 SYSTEM_DATABASES = ("template0", "template1", "postgres", "information_schema", "performance_schema", "mysql", "sys", "admin", "config", "local", "master", "tempdb", "model", "msdb")
 
 
@@ -108,6 +110,21 @@ def read_jdbc(spark: SparkSession, end: Endpoint, database: str, table: str, kin
     return reader.load()
 
 
+def read_query(spark: SparkSession, end: Endpoint, database: str, kind: str, sql: str) -> DataFrame:
+    """The rows of one query on a live engine."""
+    return read_jdbc(spark, Endpoint(end.host, end.port, end.user, end.password, {**end.options, "query": sql}), database, "", kind)
+
+
+def read_by_key(spark: SparkSession, end: Endpoint, database: str, table: str, kind: str, key: tuple[str, ...], slice_rows: int, workers: int) -> DataFrame:
+    """A table read in ranges of its key, if that is one integer column; the ranges come from its least and largest key."""
+    if len(key) == 1:
+        low, high = read_query(spark, end, database, kind, f"select min({key[0]}) as low, max({key[0]}) as high from {table}").first()
+        if isinstance(low, int) and high > low:
+            ranges = max(workers, -(-(high - low + 1) // slice_rows))
+            return read_jdbc(spark, end, database, table, kind, key[0], (low, high + 1), min(ranges, MAX_RANGES))
+    return read_jdbc(spark, end, database, table, kind)
+
+
 def read_sqlite(spark: SparkSession, end: Endpoint, database: str, table: str, partitions: int = 4) -> DataFrame:
     spark.dataSource.register(SQLiteSource)
     return spark.read.format("sqlite").option("path", end.options["path"]).option("table", table).option("partitions", partitions).load()
@@ -146,30 +163,101 @@ READERS = {
 
 
 def bind(spark: SparkSession, pair: Pair, database: str = "") -> Pair:
-    """Give ``pair`` its reader; a mixed pair reads each side with the engine named in its options."""
+    """Give ``pair`` its readers, tables and what the catalogs say; a mixed pair reads each side with its own engine.
+
+    Keys that the configuration names come before those of the source's catalog.
+    """
     engine = engine_of(pair.engine)
     kinds = {"src": engine, "dst": engine}
     if engine == "hetero":
         kinds = {"src": engine_of(pair.options["source_engine"]), "dst": engine_of(pair.options["target_engine"])}
+    ends = {"src": pair.source, "dst": pair.target}
+    ask = {side: (lambda end, db, sql, kind=kinds[side]: read_query(spark, end, db, kind, sql)) for side in ends}
 
     def read(side: str, table: str) -> DataFrame:
-        end = pair.source if side == "src" else pair.target
-        return READERS[kinds[side]](spark, end, pair.side_db(side, database), table)
-
-    pair.read = read
+        kind, db = kinds[side], pair.side_db(side, database)
+        if kind in JDBC:
+            meta = pair.meta.get(table)
+            return read_by_key(spark, ends[side], db, table, kind, meta.key if meta else (), pair.slice, pair.workers)
+        return READERS[kind](spark, ends[side], db, table)
+
+    def facts(side: str, kind: str) -> DataFrame | None:
+        db = pair.side_db(side, database)
+        if kinds[side] == "sqlite":
+            return sqlite_facts(spark, ends[side].options["path"], kind)
+        if kinds[side] in FILES:
+            return file_facts(spark, ends[side], db, kind)
+        return catalogs.facts(spark, ask[side], ends[side], db, kinds[side], kind)
+
+    pair.read, pair.facts = read, facts
     if not pair.tables:
-        pair.tables = tuple(pair.options.get("tables") or list_tables(pair.source, kinds["src"], database))
+        given = pair.options.get("tables")
+        pair.tables = tuple(given or list_tables(spark, ends["src"], kinds["src"], database))
+        pair.target_tables = None if given else tuple(list_tables(spark, ends["dst"], kinds["dst"], pair.side_db("dst", database)))
+    if kinds["src"] in JDBC:
+        pair.meta = catalogs.table_meta(ask["src"], ends["src"], database, kinds["src"]) | pair.meta
+    elif kinds["src"] == "sqlite":
+        pair.meta = sqlite_meta(ends["src"].options["path"]) | pair.meta
     return pair
 
 
-def list_tables(end: Endpoint, engine: str, database: str = "") -> list[str]:
-    """Table names of a side, without system tables; for files a listing on the driver's file system."""
+def list_tables(spark: SparkSession, end: Endpoint, engine: str, database: str = "") -> list[str]:
+    """Table names of a side, without system tables. An engine whose tables cannot be listed is an error, not an empty list."""
     if engine == "sqlite":
         return sqlite_tables(end.options["path"])
-    if engine in FILES:
-        root = Path(end.options["path"], database)
-        return sorted(p.name.removesuffix(f".{engine}") for p in root.glob(f"*.{engine}") if not p.name.startswith(SYSTEM_PREFIXES))
-    return []
+    if engine in JDBC:
+        return catalogs.table_names(lambda e, d, sql: read_query(spark, e, d, engine, sql), end, database, engine)
+    suffix = {"mongodb": "jsonl", "redis": "jsonl"}.get(engine, engine)
+    if engine in (*FILES, "mongodb", "redis"):
+        root = "/".join(x for x in (end.options["path"].rstrip("/"), database) if x)
+        return sorted(n.removesuffix(f".{suffix}") for n in folder(spark, root) if n.endswith(f".{suffix}") and not n.startswith(SYSTEM_PREFIXES))
+    raise ValueError(f"tables of {engine!r} cannot be listed; name them as options.tables")
+
+
+def folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark reaches; none if it is not there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in system.listStatus(target)] if system.exists(target) else []
+
+
+def file_facts(spark: SparkSession, end: Endpoint, database: str, kind: str) -> DataFrame | None:
+    """Facts that an export has laid beside its tables, as _catalog/<kind>.json."""
+    root = "/".join(x for x in (end.options["path"].rstrip("/"), database, "_catalog") if x)
+    return spark.read.json(f"{root}/{kind}.json") if f"{kind}.json" in folder(spark, root) else None
+
+
+def sqlite_facts(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
+    if kind == "counters":
+        rows = [(t, n, 1, True, True) for t, n in sqlite_counters(path).items()]
+        return spark.createDataFrame(rows, "table string, last_value long, increment long, is_called boolean, owned boolean")
+    if kind == "objects":
+        with _sqlite(path) as db:
+            rows = db.execute("select type, name from sqlite_master where name not like 'sqlite_%'").fetchall()
+        return spark.createDataFrame(rows, "obj_type string, obj_name string")
+    if kind == "params":
+        with _sqlite(path) as db:
+            rows = [(p, str(db.execute(f"pragma {p}").fetchone()[0])) for p in ("encoding", "user_version", "application_id", "page_size")]
+        return spark.createDataFrame(rows, "name string, value string")
+    return None
+
+
+def sqlite_meta(path: str) -> dict[str, TableMeta]:
+    """Keys and references of each table, as its own catalog has them."""
+    found = {}
+    with _sqlite(path) as db:
+        for table in sqlite_tables(path):
+            key = tuple(c[1] for c in sorted(db.execute(f'pragma table_info("{table}")').fetchall(), key=lambda c: c[5]) if c[5])
+            references: dict[int, list] = {}
+            for r in db.execute(f'pragma foreign_key_list("{table}")').fetchall():
+                references.setdefault(r[0], []).append((r[1], r[2], r[3], r[4]))
+            foreign = []
+            for rows in references.values():
+                rows.sort()
+                if all(r[3] for r in rows):
+                    foreign.append((tuple(r[2] for r in rows), rows[0][1], tuple(r[3] for r in rows)))
+            found[table] = TableMeta(key=key, foreign=tuple(foreign))
+    return found
 
 
 def catalog_tables(spark: SparkSession, database: str) -> list[str]:

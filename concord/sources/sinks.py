@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.model import RESULT_SCHEMA, Pair
+from concord.session import remove
 
 #: Order of checks in reports.
 CHECK_ORDER = ("schema", "objects", "params", "counts", "autoinc", "data", "deep")
@@ -45,8 +46,28 @@ def df_session(df: DataFrame) -> SparkSession:
 
 def delete(spark: SparkSession, path: str) -> bool:
     """Remove a path through the cluster's file system."""
+    return remove(spark, path)
+
+
+def _path(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+class Lock:
+    """A file that one command holds at a time, on any file system that creates files atomically."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def __enter__(self) -> Lock:
+        target, system = _path(self.spark, self.path)
+        if not system.createNewFile(target):
+            raise RuntimeError(f"another command holds {self.path}; remove it if that command is gone")
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -130,17 +151,41 @@ class StateStore:
 
 
 class MoveCheckpoint:
-    """How far each table of a move has come: {table: {"last": key, "done": bool}}, written whole after each chunk."""
+    """How far each table of a move has come: {table: {"last": key, "done": bool}}, written whole after each chunk.
+
+    With a session the state is a file of any file system that Spark reaches, else a local one.
+    """
 
-    def __init__(self, path: str):
-        self.path = Path(path)
-        self.state = json.loads(self.path.read_text()) if self.path.exists() else {}
+    def __init__(self, path: str, spark: SparkSession | None = None):
+        self.path, self.spark = path, spark
+        self.state = json.loads(self._read() or "{}")
+
+    def _read(self) -> str:
+        if self.spark is None:
+            return Path(self.path).read_text() if Path(self.path).exists() else ""
+        target, system = _path(self.spark, self.path)
+        if not system.exists(target):
+            return ""
+        stream = system.open(target)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
 
     def save(self, table: str, last: int | None, done: bool) -> None:
         self.state[table] = {"last": last, "done": done}
-        part = self.path.with_suffix(".part")
-        part.write_text(json.dumps(self.state))
-        part.replace(self.path)
+        text = json.dumps(self.state)
+        if self.spark is None:
+            part = Path(self.path).with_suffix(".part")
+            part.write_text(text)
+            part.replace(self.path)
+            return
+        target, system = _path(self.spark, self.path)
+        stream = system.create(target, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
 
 
 def move_plan(pair: Pair, checkpoint: MoveCheckpoint) -> list[tuple[str, str]]:

@@ -10,12 +10,13 @@ import shutil
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from concord.functions.text import lsn_number
-from concord.operators.diff import restricted
+from concord.operators.diff import matched, restricted
+from concord.session import remove
 
 #: ``table name: OPERATION: column[type]:value ...`` with quoted or bare values.
 _CHANGE = r"^table (\S+): (INSERT|UPDATE|DELETE):"
@@ -89,7 +90,7 @@ def last_events(changes: DataFrame, key: Sequence[str], order: Sequence[str]) ->
 def apply_changes(target: DataFrame, changes: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The target after replaying ``changes`` (op and all target columns): the last event of a key wins."""
     last = last_events(changes, key, order)
-    kept = target.join(last.select(*key), list(key), "left_anti")
+    kept = matched(target, last, key, "left_anti")
     return kept.unionByName(last.where("op <> 'DELETE'").select(*target.columns))
 
 
@@ -140,9 +141,12 @@ def start_apply(changes: DataFrame, apply: Callable[[DataFrame, int], None], che
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def teardown(checkpoint: str) -> None:
-    """Forget the cursor of a stream on a local path."""
-    shutil.rmtree(Path(checkpoint), ignore_errors=True)
+def teardown(checkpoint: str, spark: SparkSession | None = None) -> None:
+    """Forget the cursor of a stream, on any file system where a session is given."""
+    if spark is None:
+        shutil.rmtree(Path(checkpoint), ignore_errors=True)
+    else:
+        remove(spark, checkpoint)
 
 
 def fence_passed(applied: DataFrame, position: str) -> DataFrame:
@@ -152,7 +156,7 @@ def fence_passed(applied: DataFrame, position: str) -> DataFrame:
 
 def settled(first: DataFrame, second: DataFrame, key: Sequence[str]) -> DataFrame:
     """Differences of the second look that the first one had too: what was only in flight is gone."""
-    return second.join(first.select(*key), list(key), "left_semi")
+    return matched(second, first, key, "left_semi")
 
 
 def versions_changed(versions: DataFrame, cursor: int) -> DataFrame:

@@ -132,7 +132,7 @@ def test_check_of_a_pair_of_folders(spark, tmp_path):
     spark.range(99).select("id", F.when(F.col("id") == 7, "y").otherwise("x").alias("v")).write.parquet(f"{b}/t.parquet")
     pair = readers.bind(spark, Pair("p", "parquet", Endpoint(options={"path": a}), Endpoint(options={"path": b}), meta={"t": TableMeta(key=("id",))}))
     found = {r["check"]: r for r in checks.check(spark, pair).collect()}
-    assert found["counts"]["status"] == "diff" and found["data"]["detail"] == "missing=1 extra=0 changed=1 columns=v" and found["schema"]["status"] == "ok"
+    assert found["counts"]["status"] == "diff" and found["objects"]["status"] == "skip" and found["data"]["detail"] == "missing=1 extra=0 changed=1 columns=v" and found["schema"]["status"] == "ok"
     assert sinks.exit_status(checks.check(spark, pair)) == 1
     with pytest.raises(ValueError):
         Pair("q", "parquet").validate()
@@ -194,7 +194,10 @@ def test_command_line(spark, tmp_path, capsys):
     config.write_text(f'{{"hops": {{"p": {{"engine": "parquet", "source": {{"path": "{a}"}}, "target": {{"path": "{b}"}}, "options": {{"key": {{"t": ["id"]}}}}}}}}}}')
     base = ["--config", str(config), "--reports", str(tmp_path / "r")]
     assert cli.main([*base, "check", "p"]) == 1
-    assert cli.main([*base, "check", "p", "--only", "schema"]) == 1  # the other checks' results stay
+    assert cli.main([*base, "check", "p", "--only", "schema", "--drill"]) == 1  # the other checks' results stay
+    assert spark.read.parquet(str(tmp_path / "r/p/keys/table=t/kind=missing")).count() == 10
+    assert cli.main([*base, "sample-diff", "p"]) == 1 and cli.main([*base, "sync", "p", "--kind", "schema"]) == 0 and cli.main([*base, "users", "p"]) == 1
+    assert cli.main([*base, "check", "p", "--consistent", "--resume"]) == 1 and cli.main([*base, "monitor", "p", "--cycles", "2", "--interval", "0"]) == 1
     assert cli.main([*base, "sync", "p", "--go", "--tag", "one"]) == 0
     assert spark.read.parquet(str(tmp_path / "r/p/repaired/t")).count() == 50
     assert cli.main([*base, "rollback", "p", "--go"]) == 0
