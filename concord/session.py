@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Paths that ``written`` has made, the newest last.
+_WRITTEN: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table of a fixture directory through Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,9 +42,21 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as Parquet in the shared folder, read again, and its path for ``remove``; for wide tables, which later steps read in part."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.parquet(path), path
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes what ``written`` has written inside, when its readers are done."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        while len(_WRITTEN) > before:
+            remove(spark, _WRITTEN.pop())
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     """Delete a path through the cluster's file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

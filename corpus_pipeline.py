@@ -5,11 +5,13 @@ Each stage reads what the one before has written and acts on all of it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from concord.llm import decontamination, language_id, packing, quality_rules, simhash
 from concord.llm.queries import vocabulary_path
-from concord.session import durable, table
+from concord.session import ensure_checkpoint_dir, remove, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +46,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written to the checkpoint folder before the next."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = durable(docs)
-    return docs
+    """All stages over ``documents``; each stage's result is written as Parquet to the shared folder before the next.
+
+    What a stage has read is removed as soon as its own result is written; the last stage's input stays, as
+    the result still reads it.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):
+            path = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
