@@ -36,6 +36,47 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) != 0, F.lit(False))
 
 
+def boxed(df: DataFrame, *needed: str) -> DataFrame:
+    """``df`` with its columns named by their place, ``__c0`` and so on, but for the first of each name in ``needed``.
+
+    Names that hold dots, differ from a needed one in case alone, or are those of an operator's own columns
+    can then not clash with any of them. ``unboxed`` gives the names back.
+    """
+    own = {df.columns.index(n): n for n in needed}
+    return df.toDF(*[own.get(i, f"__c{i}") for i in range(len(df.columns))])
+
+
+def unboxed(df: DataFrame, like: DataFrame, *needed: str) -> DataFrame:
+    """The columns that ``boxed(like, *needed)`` had, under the names of ``like``."""
+    return df.select(*[F.col(f"`{c}`") for c in boxed(like, *needed).columns]).toDF(*like.columns)
+
+
+def picked(df: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns alone, whatever the others are called."""
+    return boxed(df, *needed).select(*needed)
+
+
+#: Keys with more than one row in this many are joined by broadcast, so there are at most this many of them.
+HOT_KEYS = 20_000
+#: A key with fewer rows is never hot: one task reads them in a moment.
+HOT_ROWS = 500_000
+
+
+def joined(rows: DataFrame, lookup: DataFrame, key: str, weight: str, total: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The inner join of ``rows`` with ``lookup``, which has one row for each ``key`` and its number of rows in ``weight``.
+
+    A key that holds many of the ``total`` rows would crowd one task, so such keys are looked up by broadcast:
+    each has more than ``total`` / HOT_KEYS rows, which bounds their number. All others are shuffled.
+    """
+    least = max(hot_rows, total // HOT_KEYS)
+    if total <= least or lookup.where(F.col(weight) > least).isEmpty():
+        return rows.join(lookup.drop(weight), key)
+    hot, rest = lookup.where(F.col(weight) > least), lookup.where(F.col(weight) <= least)
+    near = rows.join(F.broadcast(hot.drop(weight)), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest.drop(weight), key)
+    return near.unionByName(far)
+
+
 def byte_texts(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

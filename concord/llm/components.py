@@ -2,7 +2,8 @@
 
 Large-star and small-star rounds (Kiveris et al., 2014) rewrite the edges until each node points at the
 smallest node of its component. Every round is two shuffles of the edge table; nothing but the edge count
-and a checksum reaches the driver, and each round is cut by a checkpoint.
+and a checksum reaches the driver, and each round is cut by a checkpoint. The edges of a node that has very
+many are not shuffled to one task: such nodes are few, by arithmetic, and are looked up by broadcast.
 """
 
 from __future__ import annotations
@@ -10,22 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concord.llm.common import HOT_ROWS, joined
 from concord.session import durable
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star round over undirected edges (u, v)."""
+def _star(edges: DataFrame, large: bool, total: int, hot_edges: int) -> DataFrame:
+    """One star round over ``total`` undirected edges (u, v)."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     seen = both if large else both.where("v < u")
-    least = seen.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    linked = (seen.where("v > u") if large else seen).join(least, "u")
+    least = seen.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    linked = joined(seen.where("v > u") if large else seen, least, "u", "n", 2 * total, hot_edges)
     moved = linked.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
     return moved.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, hot_edges: int = HOT_ROWS) -> DataFrame:
     """node, root for every node of ``edges`` (columns u, v of one orderable type); root is the least node reachable.
 
     Loops and repeated edges are allowed and change nothing; no edges give an empty table.
@@ -37,7 +39,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now["n"] == 0 or (now["n"], now["h"]) == before:
             break
         before = (now["n"], now["h"])
-        current = durable(_star(_star(current, large=True), large=False))
+        # a star round never has more edges than it was given, but for one to each node's least
+        current = durable(_star(_star(current, True, now["n"], hot_edges), False, now["n"], hot_edges))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -12,7 +12,8 @@ instead (radius two on one side and one on the other, told apart by parity); any
 variant with one of them within distance one are surely linked, so each bucket yields a star, not pairs.
 
 Defined results: a null text or one without words has fingerprint zero and links like any other; the id
-of a component is its smallest doc_id, null only if all its ids are null; repeated rows come out each.
+of a component is its smallest doc_id, null only if all its ids are null; repeated rows come out each, with
+the same component; a very long text is hashed in chunks, whole; other columns may have any name and type.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.llm.common import append_columns
+from concord.llm.common import HOT_KEYS, HOT_ROWS, append_columns, boxed, joined, picked, unboxed
 from concord.llm.components import connected_components
 from concord.session import durable
 
@@ -150,20 +151,19 @@ def links(fps: DataFrame, max_bucket: int = 64) -> DataFrame:
     return edges
 
 
-def rooted(marked: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """fp, least (its smallest id) and root for each distinct ``__fp`` of ``marked``; root is null for a component of one fingerprint."""
-    fps = durable(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(id_column).alias("least")))
-    roots = connected_components(links(fps.select("fp")))
-    return durable(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
+def rooted(sizes: DataFrame) -> DataFrame:
+    """``fp`` and ``least`` of each distinct fingerprint of ``sizes``, with its root; null for a component of one fingerprint."""
+    roots = connected_components(links(sizes.select("fp")))
+    return durable(sizes.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
 
 
-def assign(marked: DataFrame, id_column: str = "doc_id", salts: int = 32) -> DataFrame:
-    """fp, component_id for each distinct ``__fp`` of ``marked``.
+def assign(sizes: DataFrame, salts: int = 32) -> DataFrame:
+    """fp, component_id for each fingerprint of ``sizes``, whose smallest id is ``least``.
 
     Only components of several fingerprints look their id up; their members are salted, as one component
     may hold many of them.
     """
-    found = rooted(marked, id_column)
+    found = rooted(sizes)
     linked = found.where("root is not null")
     named = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     several = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(named, ["root", "salt"]).select("fp", "component_id")
@@ -172,23 +172,51 @@ def assign(marked: DataFrame, id_column: str = "doc_id", salts: int = 32) -> Dat
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row of ``docs``."""
-    marked = durable(with_fingerprint(docs.select("doc_id", "text")).drop("text"))
-    found = marked.join(assign(marked), marked["__fp"] == F.col("fp"))
+    marked = durable(with_fingerprint(picked(docs, "doc_id", "text")).select(F.col("__fp").alias("fp"), "doc_id"))
+    sizes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    found = joined(marked, assign(sizes).join(sizes.select("fp", "n"), "fp"), "fp", "n", total)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row of each component of ``docs``: that with the smallest doc_id, with the columns of ``docs``.
 
-    Null ids come last. Among rows with the same id a hash of the whole row decides, and of rows that are
-    equal in every column one stays.
+    Null ids come last. Among texts with the same id a hash of the text decides; of rows with the same id and
+    text one stays, whichever it is. The texts are moved once, to the ids that stay, and never sorted; rows whose
+    id and text occur very often stay where they are until one of them is left in each task.
     """
-    columns = docs.columns
-    hashed = docs.withColumn("__row", F.xxhash64(*columns)).withColumn("__row2", F.xxhash64(F.lit(1), *columns))
-    marked = durable(with_fingerprint(hashed).select("__fp", "doc_id", "__row", "__row2"))
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "__row", "__row2")
-    first = marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(rank).alias("rank"))
-    roots = rooted(marked).select("fp", F.coalesce("root", "fp").alias("root"))
-    chosen = first.join(roots, "fp").groupBy("root").agg(F.min("rank").alias("rank"))
-    keys = chosen.select(F.col("rank.__row").alias("__row"), F.col("rank.__row2").alias("__row2"))
-    return hashed.join(keys, ["__row", "__row2"], "left_semi").dropDuplicates(["__row", "__row2"]).select(*columns)
+    plain = boxed(docs, "doc_id", "text").withColumn("__h", F.xxhash64("text"))
+    marked = durable(with_fingerprint(plain.select("doc_id", "text", "__h")).select(F.col("__fp").alias("fp"), "doc_id", "__h"))
+    # rows with equal id and text count as one from here on
+    rows = durable(marked.groupBy("fp", "doc_id", "__h").agg(F.count("*").alias("n")))
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__h")).alias("rank"), F.sum("n").alias("n"))
+    sizes = durable(first)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    roots = rooted(sizes.select("fp", F.lit(0).alias("least"))).select("fp", F.coalesce("root", "fp").alias("root"))
+    chosen = sizes.join(roots, "fp").groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.doc_id").alias("doc_id"), F.col("rank.__h").alias("__h"))
+    least = max(hot_rows, total // HOT_KEYS)
+    counted = rows.groupBy("doc_id", "__h").agg(F.sum("n").alias("n"))
+    chosen = durable(_by_key(counted, chosen, "left_semi"))
+    hot = counted.where(F.col("n") > least)  # at most HOT_KEYS of them
+    crowded = total > least and not hot.isEmpty()
+    calm = _by_key(plain, hot, "left_anti", broadcast=True) if crowded else plain
+    kept = _by_key(calm, chosen.where("n = 1"), "left_semi")
+    if not chosen.where("n > 1").isEmpty():
+        kept = kept.unionByName(_one_of_each(_by_key(calm, chosen.where((F.col("n") > 1) & (F.col("n") <= least)), "left_semi")))
+        if crowded:
+            kept = kept.unionByName(_one_of_each(_by_key(plain, chosen.where(F.col("n") > least), "left_semi", broadcast=True)))
+    return unboxed(kept, docs, "doc_id", "text")
+
+
+def _by_key(left: DataFrame, right: DataFrame, how: str, broadcast: bool = False) -> DataFrame:
+    """``left`` cut by the (doc_id, __h) of ``right``, null ids included; the keys are hashed, so texts are not sorted."""
+    keys = right.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__g"))
+    return left.join(F.broadcast(keys) if broadcast else keys.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__g")), how)
+
+
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """One row of each (doc_id, __h), found in each task before rows are shuffled."""
+    names = rows.columns
+    one = rows.groupBy("doc_id", "__h").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias("__one"))
+    return one.select(*[F.col(f"__one.`{c}`").alias(c) for c in names])

@@ -31,8 +31,9 @@ def crowded_names(odd):
     """Extra columns whose names the operators use for their results."""
     from pyspark.sql import functions as F
 
-    names = ("score", "kept", "piece", "fp", "key", "rule", "bytes", "component_id", "predicted", "n_words", "root", "least", "address", "bucket", "cell", "page", "value", "sequence_id", "offset", "length", "hash", "n", "block", "toxic", "units")
-    return odd.withColumns({n: F.lit(1) for n in names})
+    names = ("score", "kept", "piece", "fp", "key", "rule", "bytes", "component_id", "predicted", "n_words", "root", "least", "address", "bucket", "cell", "page", "value", "sequence_id", "offset", "length", "hash", "n", "block", "toxic", "units", "shard", "held_out", "__q_n_words", "__row", "__h", "__fp", "__l_pred", "__t_score", "__d_words", "__c0", "__one", "a.b", "x y")
+    wide = odd.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)], F.create_map(F.lit("k"), F.col("n_chars")).alias("map"))
+    return wide.toDF(*wide.columns[:-1], "TEXT")  # differs from a needed name in case alone
 
 
 def rows(df):

@@ -127,3 +127,41 @@ def test_odd_rows(odd, empty, crowded_names):
 def test_pairs_of_a_bucket():
     u, v = s.pairs(np.array([0, 7, 15, -1], dtype=np.int64))
     assert {(a, b) for a, b in zip(u.tolist(), v.tolist())} == {(0, 7), (7, 15)}
+
+
+def test_kept_rows_carry_their_own_values(spark, documents):
+    docs = documents((1, "a b c d"), (2, "quite other words than that"), (1, "a b c d")).selectExpr("*", "doc_id * 70 + 7 as __row", "doc_id * 11 as __fp", "array(map('k', doc_id)) as `m.n`")
+    for hot in (1, s.HOT_ROWS):
+        found = {r["doc_id"]: (r["__row"], r["__fp"], r["m.n"]) for r in s.keep_one(docs, hot_rows=hot).collect()}
+        assert found == {1: (77, 11, [{"k": 1}]), 2: (147, 22, [{"k": 2}])}
+
+
+def test_a_key_on_most_rows_is_looked_up_by_broadcast(spark, documents, monkeypatch):
+    docs = documents(*[(7, "same old words again")] * 50, *[(i, f"text {i} of {i * i} kinds") for i in range(20, 40)], (None, "same old words again"), *[(3, None)] * 9)
+    plain = sorted(map(tuple, s.near_duplicates(docs).collect()), key=str)
+    from concord.llm import common
+
+    monkeypatch.setattr(common.joined, "__defaults__", (2,))
+    assert sorted(map(tuple, s.near_duplicates(docs).collect()), key=str) == plain
+    ids = [sorted((r["doc_id"] for r in s.keep_one(docs, hot_rows=h).collect()), key=str) for h in (2, 10, 1000)]
+    assert ids[0] == ids[1] == ids[2] == sorted([3, 7, *range(20, 40)], key=str)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(100 + i, i) for i in range(50)], "u long, v long")
+    assert {r["root"] for r in components.connected_components(edges, hot_edges=5).collect()} == {0}
+
+
+def test_random_pairs_meet_in_every_block_split(spark):
+    rng = random.Random(11)
+    pairs = []
+    for distance in (1, 2, 3):
+        for _ in range(60):
+            a = rng.getrandbits(64)
+            b = a
+            for bit in rng.sample(range(64), distance):
+                b ^= 1 << bit
+            pairs.append((signed(a), signed(b)))
+    fps = spark.createDataFrame([(x,) for p in pairs for x in p], "fp long")
+    keys = {}
+    for r in s.variants(fps).collect():
+        keys.setdefault(r["fp"], set()).add(r["key"])
+    assert {len(v) for v in keys.values()} <= set(range(129, 132))  # 131 variants, some of them equal
+    assert all(keys[a] & keys[b] for a, b in pairs)
