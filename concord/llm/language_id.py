@@ -1,13 +1,15 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Letters (others fold to one space) give n-grams of 1 to 3 characters, hashed to 2^16 features. Document
-frequencies are counted over all learnable documents; the weights are fitted on a bounded, stratified
-sample of them with follow-the-regularised-leader and an elastic net, and a temperature fitted on a part
-of the sample kept apart calibrates the probabilities. Prediction is one pass over whole texts.
+Letters (others fold to one space) give n-grams of 1 to 3 characters, hashed to 2^16 features. One pass over
+the learnable documents counts the document frequencies of all of them and draws a bounded, stratified
+sample; the weights are fitted on it with follow-the-regularised-leader and an elastic net, and a temperature
+fitted on a part of the sample kept apart calibrates the probabilities. Prediction is a second pass, over
+whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without any learnable
-row every text is ``und``; a null id is never learned from. At most ``max_classes`` languages are
-learned, the most frequent ones. Repeated rows are predicted alike.
+row every text is ``und``; a null id is never learned from. Every language of a learnable row is learned,
+however rare. A very long text is counted in chunks, whole; of equally likely languages the first by name is
+given; repeated rows are predicted alike; other columns may have any name and type.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.llm.common import append_columns, byte_texts, held_out, learnable
+from concord.llm.common import append_columns, boxed, byte_texts, held_out, learnable, picked, unboxed
+from concord.session import durable
 
 BITS = 16
 SIZE = 1 << BITS
 ORDERS = 3
 CHUNK = 1 << 20
+#: Texts of up to so many code points count their grams by sorting them.
+SORTED = 6000
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -52,24 +57,33 @@ def gram_counts(text: bytes | None) -> tuple[np.ndarray, np.ndarray] | None:
     keep[1:] |= letter[:-1]
     points = np.where(letter, points, np.uint32(32))[keep]
     points = np.concatenate(([np.uint32(32)], points, [np.uint32(32)])).astype(np.uint32)
+    if len(points) <= SORTED:
+        # a short text is sorted; a table of all features would cost more than its grams
+        ids, counts = np.unique(np.concatenate([hashed(points, order) for order in range(1, ORDERS + 1)]), return_counts=True)
+        return ids.astype(np.int32), counts.astype(np.int32)
     total = np.zeros(SIZE, dtype=np.int64)
     for start in range(0, len(points), CHUNK):
         for order in range(1, ORDERS + 1):
-            piece = points[start : start + CHUNK + order - 1]
-            if len(piece) < order:
-                continue
-            mixed = piece[: len(piece) - order + 1] * np.uint32(0x9E3779B1) + np.uint32(order)
-            for k in range(1, order):
-                mixed = (mixed ^ piece[k : len(piece) - order + 1 + k]) * np.uint32(0x85EBCA6B)
-                mixed ^= mixed >> np.uint32(15)
-            total += np.bincount(mixed * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS), minlength=SIZE)
+            total += np.bincount(hashed(points[start : start + CHUNK + order - 1], order), minlength=SIZE)
     ids = np.flatnonzero(total)
     return ids.astype(np.int32), total[ids].astype(np.int32)
 
 
+def hashed(points: np.ndarray, order: int) -> np.ndarray:
+    """The feature of each n-gram of ``order`` code points."""
+    n = len(points) - order + 1
+    if n <= 0:
+        return np.empty(0, np.uint32)
+    mixed = points[:n] * np.uint32(0x9E3779B1) + np.uint32(order)
+    for k in range(1, order):
+        mixed = (mixed ^ points[k : n + k]) * np.uint32(0x85EBCA6B)
+        mixed ^= mixed >> np.uint32(15)
+    return mixed * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS)
+
+
 @dataclass
 class Model:
-    """Everything prediction needs; its size is bounded by 2^16 features times ``max_classes``."""
+    """Everything prediction needs: 2^16 features for each language."""
 
     classes: list[str]
     weights: np.ndarray
@@ -99,44 +113,56 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def document_frequencies(texts: DataFrame) -> DataFrame:
-    """feature, df over all rows of ``texts`` (one text column); partial sums per task, then one shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(SIZE, dtype=np.int64), 0
-        for batch in batches:
-            for text in byte_texts(batch.column(0)):
-                grams = gram_counts(text)
-                if grams:
-                    total[grams[0]] += 1
-                    rows += 1
-        ids = np.append(np.flatnonzero(total), SIZE)  # the last row carries the number of texts
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.append(total, rows)[ids], pa.int64())], names=["feature", "df"])
-
-    return texts.mapInArrow(count, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df"))
-
+def counted(known: DataFrame, classes: list[tuple[str, int]], sample: int) -> tuple[np.ndarray, list[tuple[str, np.ndarray, np.ndarray]]]:
+    """Document frequencies over all rows of ``known`` (doc_id, text, lang), the number of texts last, and the sample.
 
-def training_sample(docs: DataFrame, classes: list[tuple[str, int]], sample: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """About ``sample`` documents in all, the same number of each class, chosen by a hash of the id."""
+    The sample has about ``sample`` documents, the same number of each class, chosen by a hash of the id: that
+    bounds what is fitted, not what is counted. One pass; the frequencies are summed in each task first.
+    """
     quota = max(1, sample // len(classes))
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 20)) / float(1 << 20)
     rate = F.create_map(*[F.lit(x) for name, n in classes for x in (name, min(1.0, quota / n))])
-    chosen = docs.where(share < F.element_at(rate, F.col("lang"))).select("text", "lang")
+    shape = "feature long, df long, lang string, ids binary, counts binary"
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SIZE + 1, dtype=np.int64)
         for batch in batches:
-            found = [(lang, g) for text, lang in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist()) if (g := gram_counts(text))]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([g[0].tobytes() for _, g in found], pa.binary()), pa.array([g[1].tobytes() for _, g in found], pa.binary())], names=["lang", "ids", "counts"])
+            kept = []
+            for text, lang, chosen in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if grams := gram_counts(text):
+                    total[grams[0]] += 1
+                    total[SIZE] += 1
+                    if chosen:
+                        kept.append((lang, grams[0].tobytes(), grams[1].tobytes()))
+            if kept:
+                yield _rows([None] * len(kept), [None] * len(kept), *zip(*kept))
+        found = np.flatnonzero(total)
+        yield _rows(found, total[found], *[[None] * len(found)] * 3)
+
+    found = durable(known.select("text", "lang", (share < F.element_at(rate, F.col("lang"))).alias("chosen")).mapInArrow(scan, shape))
+    df = np.zeros(SIZE + 1, dtype=np.int64)
+    for r in found.where("feature is not null").groupBy("feature").agg(F.sum("df").alias("df")).collect():
+        df[r["feature"]] = r["df"]
+    rows = found.where("ids is not null").orderBy(F.xxhash64("ids", "counts"), "lang").select("lang", "ids", "counts").collect()  # about ``sample`` rows
+    return df, [(r["lang"], np.frombuffer(bytes(r["ids"]), np.int32), np.frombuffer(bytes(r["counts"]), np.int32)) for r in rows]
 
-    rows = chosen.mapInArrow(extract, "lang string, ids binary, counts binary").orderBy(F.xxhash64("ids", "counts"), "lang").limit(2 * sample + len(classes)).collect()
-    return [(r["lang"], np.frombuffer(bytes(r["ids"]), np.int32), np.frombuffer(bytes(r["counts"]), np.int32)) for r in rows]
+
+def _rows(feature, df, lang, ids, counts) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((feature, df, lang, ids, counts), kinds)], names=["feature", "df", "lang", "ids", "counts"])
 
 
 def fit(classes: list[str], idf: np.ndarray, rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01) -> Model:
-    """Follow-the-regularised-leader with an elastic net, then temperature scaling on every fifth row."""
+    """Follow-the-regularised-leader with an elastic net, then temperature scaling on every fifth row.
+
+    Sums are kept only for features that the rows have, so many languages cost no more than they use.
+    """
     k, index = len(classes), {name: i for i, name in enumerate(classes)}
-    model = Model(classes, np.zeros((k, SIZE)), np.zeros(k), idf)
-    z, n = np.zeros((k, SIZE + 1)), np.zeros((k, SIZE + 1))
+    model = Model(classes, np.zeros((k, SIZE), np.float32), np.zeros(k), idf)
+    used = np.unique(np.concatenate([ids for _, ids, _ in rows])) if rows else np.empty(0, np.int32)
+    place = np.zeros(SIZE, np.int64)
+    place[used] = np.arange(len(used))
+    z, n = np.zeros((k, len(used) + 1)), np.zeros((k, len(used) + 1))
     train, tune = [r for i, r in enumerate(rows) if i % 5], [r for i, r in enumerate(rows) if not i % 5]
     train = train or rows
 
@@ -146,39 +172,38 @@ def fit(classes: list[str], idf: np.ndarray, rows: list[tuple[str, np.ndarray, n
     for epoch in range(epochs):
         for j in np.random.default_rng(epoch).permutation(len(train)):
             lang, ids, counts = train[j]
-            y, x, ids = index[lang], np.append(model.vector(ids, counts), 1.0), np.append(ids, SIZE)
-            z_, n_ = z[:, ids], n[:, ids]
+            y, x, at = index[lang], np.append(model.vector(ids, counts), 1.0), np.append(place[ids], len(used))
+            z_, n_ = z[:, at], n[:, at]
             w = leader(z_, n_)
             p = softmax(w @ x)
             p[y] -= 1.0
             g = p[:, None] * x
             grown = n_ + g * g
-            z[:, ids] = z_ + g - (np.sqrt(grown) - np.sqrt(n_)) / alpha * w
-            n[:, ids] = grown
+            z[:, at] = z_ + g - (np.sqrt(grown) - np.sqrt(n_)) / alpha * w
+            n[:, at] = grown
     solved = leader(z, n)
-    model.weights, model.bias = solved[:, :SIZE].astype(np.float32), solved[:, SIZE]
+    model.weights[:, used], model.bias = solved[:, :-1], solved[:, -1]
     judged = [(index[lang], model.logits(ids, counts)) for lang, ids, counts in tune or rows]
     loss = lambda t: -sum(math.log(max(1e-12, softmax(x / t)[y])) for y, x in judged)
     model.temperature = min((2.0**e for e in np.arange(-4.0, 3.01, 0.25)), key=loss)
     return model
 
 
-def train(docs: DataFrame, sample: int = 6000, max_classes: int = 256) -> Model:
+def train(docs: DataFrame, sample: int = 6000) -> Model:
     """Fit on the learnable rows of ``docs``: id not in fold 0, text and lang not null.
 
-    ``sample`` bounds the documents that the weights are fitted on; document frequencies cover all rows.
+    ``sample`` bounds the documents that the weights are fitted on; document frequencies cover all rows, and
+    every language has a part in the sample.
     """
-    known = docs.where(learnable(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    found = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_classes).collect()
-    classes = sorted((r["lang"], r["count"]) for r in found)
+    known = picked(docs, "doc_id", "text", "lang").where(learnable(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    known = known.withColumn("lang", F.col("lang").cast("string"))
+    classes = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().collect())
     idf = np.zeros(SIZE)
     if not classes:
         return Model([], np.zeros((0, SIZE)), np.zeros(0), idf)
-    df = {r["feature"]: r["df"] for r in document_frequencies(known.select("text")).collect()}
-    total = df.pop(SIZE, 0)
-    for feature, n in df.items():
-        idf[feature] = math.log((1 + total) / (1 + n)) + 1.0
-    rows = training_sample(known, classes, sample)
+    df, rows = counted(known, classes, sample)
+    seen = np.flatnonzero(df[:SIZE])
+    idf[seen] = np.log((1 + df[SIZE]) / (1 + df[seen])) + 1.0
     names = sorted({lang for lang, _, _ in rows})
     return fit(names, idf, rows) if names else Model([], np.zeros((0, SIZE)), np.zeros(0), idf)
 
@@ -188,7 +213,7 @@ PREDICTION = T.StructType([T.StructField("__l_pred", T.StringType()), T.StructFi
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with the columns ``__l_pred`` and ``__l_score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2^16 features x max_classes
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^16 weights of four bytes for each language
 
     def rows_of() -> Callable[[bytes | None], tuple]:
         return shared.value.predict
@@ -198,11 +223,11 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
 
 def identify(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row of ``docs``."""
-    judged = with_language(docs.select("doc_id", "text"), train(docs, **options))
+    judged = with_language(picked(docs, "doc_id", "text"), train(docs, **options))
     return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__l_pred").alias("lang_pred"), F.col("__l_score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, **options) -> DataFrame:
     """The rows of ``docs`` whose language is known with at least ``min_score``, with the columns of ``docs``."""
-    judged = with_language(docs, train(docs, **options))
-    return judged.where((F.col("__l_pred") != UNKNOWN) & (F.col("__l_score") >= min_score)).select(*docs.columns)
+    judged = with_language(boxed(docs, "text"), train(docs, **options))
+    return unboxed(judged.where((F.col("__l_pred") != UNKNOWN) & (F.col("__l_score") >= min_score)), docs, "text")
