@@ -1,21 +1,28 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols (insult, threat, target, negation, reported speech, other); small weighted
-transducers for each pattern are composed into one machine that reads a clause and yields its weight:
+A lexicon transducer reads words as symbols: insults of three strengths, threats, targets, negations, reported
+speech, other. Pattern transducers read symbols and give weights:
 
-* an insult counts with its learned weight, and more within reach of a target ("you ... idiot"),
-* a threat counts only with a target in reach,
-* a negation shortly before a match, or reported speech opening the clause, scales the match down.
+* the insult pattern: an insult after a target in reach ("you ... idiot") is a full match; alone it is a weak
+  match, made full when a target follows in reach ("idiot that you are");
+* the threat pattern: a threat and a target in reach, in either order; without a target it is no match;
+* negation, which scales what matches soon after it, and reported speech, which scales all that follows in its
+  clause.
 
-A document's evidence is the weight of its matched clauses, the strongest first and the others with
-falling shares; a logistic curve fitted to the labels turns it into a score. The insult lexicon is learned
-from labelled rows outside fold 0: words and word beginnings that occur in more independent toxic texts
-than chance allows (near copies count once), then those that explain toxic texts not yet reached. The fit
-uses at most about ``sample`` labelled documents.
+The patterns are composed into one deterministic machine whose arcs carry the weights; a clause is scored by
+its path through that machine and in no other way, so a word weighs nothing by itself. A document's evidence
+is the weight of its matched clauses, the strongest first and the others with falling shares; a logistic curve
+fitted to the labels turns it into a score.
+
+The insults and their strengths are learned from labelled rows outside fold 0: words and word beginnings that
+occur in more independent toxic texts than chance allows (near copies count once), then those that explain
+toxic texts not yet reached. The fit uses at most about ``sample`` labelled documents; everything that they
+teach is kept.
 
 Defined results: a null or empty text has no evidence and gets the curve's value at zero, which is below
 one half; without labels there is only the fixed lexicon and a fixed curve; a null id is never learned
-from; a document labelled more than once is toxic if any label says so; repeated rows score alike.
+from; a document labelled more than once is toxic if any label says so; repeated rows score alike, and texts
+with the same clauses tie; a very long text is read whole; other columns may have any name and type.
 """
 
 from __future__ import annotations
@@ -25,9 +32,10 @@ import re
 import sys
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -36,21 +44,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.llm.common import append_columns, byte_texts, held_out, learnable
+from concord.llm.common import append_columns, byte_texts, held_out, learnable, picked
 from concord.session import durable
 
-#: Symbols by word. The learned lexicon adds insults to these.
-TARGETS = frozenset("you your yours youre he she they him her them tu toi vous ton ta du dich dir ihr euch sie tú te usted vosotros".split())
+#: Symbols by word. The learned lexicon adds insults to these. Words that are mostly something else
+#: in another of the languages, such as an article, are left out.
+TARGETS = frozenset("you your yours youre he she they him them toi vous dich dir ihr euch sie tú usted vosotros ustedes".split())
 NEGATIONS = frozenset("not never no isnt arent wasnt dont without ne pas jamais nicht kein keine nie nunca jamás".split())
 REPORTS = frozenset("said says wrote writes called calls quoted quote alleged claimed according dit disait sagte schrieb dijo escribió".split())
 #: Used only where there are no labels to learn from.
 INSULTS = frozenset("idiot moron loser scum stupid pathetic worthless disgusting dumb fool".split())
 THREATS = frozenset("kill murder destroy hurt strangle stab shoot burn beat tuer détruire töten zerstören matar destruir".split())
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITGNRo"
+#: The alphabet: insults by strength, threat, target, negation, report, other.
+WEAK, PLAIN, STRONG, THREAT, TARGET, NEGATION, REPORT, OTHER = "123TGNRo"
+INSULT = WEAK + PLAIN + STRONG
+SYMBOLS = INSULT + THREAT + TARGET + NEGATION + REPORT + OTHER
+STRENGTH = {WEAK: 1.0, PLAIN: 2.0, STRONG: 3.0}
 TARGET_REACH, NEGATION_REACH = 4, 3
 LIFT, RIDGE = 4.0, 2e-5
-TARGETED, NEGATED, REPORTED, THREAT_WEIGHT = 1.5, 0.4, 0.6, 2.0
+#: Weights of the patterns: an insult at somebody, one at nobody, a threat; and what scales them.
+DIRECTED, BARE, THREATENED, NEGATED, REPORTED = 1.5, 0.6, 3.0, 0.4, 0.6
 #: Word beginnings of so many characters can stand for a family of words.
 STEMS = (4, 5, 6)
 #: The marks that end a clause.
@@ -91,81 +105,113 @@ def _unicode(ends: str = "") -> re.Pattern:
 
 @dataclass
 class Transducer:
-    """A weighted automaton: ``arcs[state][symbol]`` is (next state, factor); a missing symbol stays with factor 1."""
+    """A deterministic weighted automaton: ``arcs[state][symbol]`` is (next state, weight); state 0 begins a clause."""
 
-    arcs: dict[int, dict[str, tuple[int, float]]]
-    start: int = 0
+    arcs: list[dict[str, tuple[int, float]]]
 
-    def step(self, state: int, symbol: str) -> tuple[int, float]:
-        return self.arcs.get(state, {}).get(symbol, self.arcs.get(state, {}).get("*", (state, 1.0)))
+    def weight(self, symbols: str) -> float:
+        """The sum of the weights along the path of ``symbols``."""
+        state, total = 0, 0.0
+        for symbol in symbols:
+            state, w = self.arcs[state][symbol]
+            total += w
+        return total
 
 
-def after(symbol: str, reach: int, factor: float, on: str) -> Transducer:
-    """Scales symbols ``on`` by ``factor`` within ``reach`` words after ``symbol``."""
-    arcs: dict[int, dict[str, tuple[int, float]]] = {0: {symbol: (reach, 1.0), "*": (0, 1.0)}}
-    for left in range(1, reach + 1):
-        arcs[left] = {symbol: (reach, 1.0), "*": (left - 1, 1.0)} | {x: (left - 1, factor) for x in on}
+def automaton(start: Hashable, step: Callable[[Any, str], tuple[Hashable, float]]) -> Transducer:
+    """The automaton of a step function, with the states that can be reached."""
+    number, arcs, todo = {start: 0}, [], [start]
+    for state in todo:
+        arcs.append({})
+        for symbol in SYMBOLS:
+            after, w = step(state, symbol)
+            if after not in number:
+                number[after] = len(number)
+                todo.append(after)
+            arcs[-1][symbol] = number[after], w
     return Transducer(arcs)
 
 
-def once(symbol: str, factor: float, on: str) -> Transducer:
-    """Scales symbols ``on`` by ``factor`` everywhere behind ``symbol`` in the clause."""
-    return Transducer({0: {symbol: (1, 1.0), "*": (0, 1.0)}, 1: {"*": (1, 1.0)} | {x: (1, factor) for x in on}})
+def compose(left: Transducer, right: Transducer, weigh: Callable[[float, float], float]) -> Transducer:
+    """The machine that runs both over the same symbols; ``weigh`` makes one weight of theirs."""
 
+    def step(pair: tuple[int, int], symbol: str) -> tuple[tuple[int, int], float]:
+        (a, x), (b, y) = left.arcs[pair[0]][symbol], right.arcs[pair[1]][symbol]
+        return (a, b), weigh(x, y)
 
-def compose(left: Transducer, right: Transducer, symbols: str = INSULT + THREAT + TARGET + NEGATION + REPORT + OTHER) -> Transducer:
-    """The machine that runs both over the same symbols and multiplies their factors; reachable states only."""
-    states, arcs, todo = {(left.start, right.start): 0}, {}, [(left.start, right.start)]
-    while todo:
-        a, b = pair = todo.pop()
-        arcs[states[pair]] = {}
-        for symbol in symbols:
-            (a2, x), (b2, y) = left.step(a, symbol), right.step(b, symbol)
-            if (a2, b2) not in states:
-                states[a2, b2] = len(states)
-                todo.append((a2, b2))
-            arcs[states[pair]][symbol] = states[a2, b2], x * y
-    return Transducer(arcs)
+    return automaton((0, 0), step)
+
+
+def insults() -> Transducer:
+    """Weights of insults: full with a target in reach on either side, small without."""
+
+    def step(state: tuple[int, str, int], symbol: str) -> tuple[tuple[int, str, int], float]:
+        target, waiting, left = state  # words left in reach of the last target; the insult that waits for one
+        if symbol == TARGET:
+            made_full = STRENGTH[waiting] * (DIRECTED - BARE) if waiting else 0.0
+            return (TARGET_REACH, "", 0), made_full
+        target, left = max(0, target - 1), max(0, left - 1)
+        if symbol in INSULT:
+            if state[0]:
+                return (target, "", 0), STRENGTH[symbol] * DIRECTED
+            return (target, symbol, TARGET_REACH), STRENGTH[symbol] * BARE
+        return (target, waiting if left else "", left), 0.0
+
+    return automaton((0, "", 0), step)
+
+
+def threats() -> Transducer:
+    """Weights of threats: only with a target in reach, on either side."""
 
+    def step(state: tuple[int, int], symbol: str) -> tuple[tuple[int, int], float]:
+        target, waiting = state
+        if symbol == TARGET:
+            return (TARGET_REACH, 0), THREATENED if waiting else 0.0
+        if symbol == THREAT:
+            return (max(0, target - 1), 0 if target else TARGET_REACH), THREATENED if target else 0.0
+        return (max(0, target - 1), max(0, waiting - 1)), 0.0
 
+    return automaton((0, 0), step)
+
+
+def negation() -> Transducer:
+    """Factors: smaller for some words after a negation."""
+    return automaton(0, lambda left, symbol: (NEGATION_REACH, 1.0) if symbol == NEGATION else (max(0, left - 1), NEGATED if left else 1.0))
+
+
+def reported() -> Transducer:
+    """Factors: smaller behind a word of reported speech, to the end of the clause."""
+    return automaton(False, lambda seen, symbol: (seen or symbol == REPORT, REPORTED if seen else 1.0))
+
+
+@cache
 def grammar() -> Transducer:
-    """Insults and threats, scaled up behind a target and down behind a negation or a reporting verb."""
-    machine = compose(after(TARGET, TARGET_REACH, TARGETED, INSULT + THREAT), after(NEGATION, NEGATION_REACH, NEGATED, INSULT + THREAT))
-    return compose(machine, once(REPORT, REPORTED, INSULT + THREAT))
+    """The composed machine: the patterns' weights add up, negation and reported speech scale them."""
+    matches = compose(insults(), threats(), lambda x, y: x + y)
+    scale = compose(negation(), reported(), lambda x, y: x * y)
+    return compose(matches, scale, lambda x, y: x * y)
 
 
 @dataclass
 class Grammar:
-    """The lexicon and the fitted curve; its size is bounded by ``max_lexicon`` entries."""
+    """The lexicon transducer, as a map from words and word beginnings to strengths, the composed patterns and the fitted curve."""
 
-    words: dict[str, float] = field(default_factory=dict)
-    stems: dict[str, float] = field(default_factory=dict)
+    words: dict[str, str] = field(default_factory=dict)
+    stems: dict[str, str] = field(default_factory=dict)
     slope: float = 1.0
     offset: float = -2.0
     machine: Transducer = field(default_factory=grammar)
 
-    def classify(self, word: str) -> tuple[str, float]:
-        weight = self.words.get(word, 0.0)
-        for n in STEMS:
-            if len(word) > n and (w := self.stems.get(word[:n], 0.0)) > weight:
-                weight = w
-        if weight:
-            return INSULT, weight
-        if word in THREATS:
-            return THREAT, THREAT_WEIGHT
-        return (TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTS else OTHER), 0.0
+    def symbol(self, word: str) -> str:
+        """What the lexicon transducer gives for a word; of several insults that it may be, the strongest."""
+        found = max([self.words.get(word, ""), *(self.stems.get(word[:n], "") for n in STEMS if len(word) > n)])
+        if found:
+            return found
+        return THREAT if word in THREATS else TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTS else OTHER
 
     def clause_weight(self, words: list[str]) -> float:
-        """The weight of one clause: the sum over its insults and targeted threats, scaled by their context."""
-        symbols = [self.classify(w) for w in words]
-        state, total = self.machine.start, 0.0
-        for i, (symbol, weight) in enumerate(symbols):
-            state, factor = self.machine.step(state, symbol)
-            if symbol == INSULT:
-                total += weight * factor
-            elif symbol == THREAT and any(s == TARGET for s, _ in symbols[max(0, i - TARGET_REACH) : i + TARGET_REACH + 1]):
-                total += weight * factor
-        return total
+        """The weight of one clause: that of its path through the machine."""
+        return self.machine.weight("".join(map(self.symbol, words)))
 
     def evidence(self, text: str) -> float:
         clauses, words = [], []
@@ -191,7 +237,7 @@ class Screen(dict):
     def __missing__(self, word: str) -> bool:
         if len(self) > 400_000:
             self.clear()
-        found = self[word] = self.model.classify(word)[0] in (INSULT, THREAT)
+        found = self[word] = self.model.symbol(word) in INSULT + THREAT
         return found
 
 
@@ -269,24 +315,29 @@ def _counts(units: list, groups: list, clean: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(groups, pa.int64()), pa.array(clean, pa.int64())], names=["unit", "source", "clean"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, max_lexicon: int = 5000) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Grammar:
     """Fit the lexicon and the curve on about ``sample`` labelled rows outside fold 0."""
-    labelled = durable(_labelled(docs, labels, sample))
+    labelled = durable(_labelled(picked(docs, "doc_id", "text"), picked(labels, "doc_id", "toxic"), sample))
     sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     toxic, clean = sum(n for t, n in sizes.items() if t), sizes.get(0, 0)
     if not toxic or not clean:
-        return Grammar(dict.fromkeys(INSULTS, 2.0))
+        return Grammar(dict.fromkeys(INSULTS, PLAIN))
     units = labelled.mapInArrow(_unit_counts, "unit string, source long, clean long").groupBy("unit", "source").agg(F.sum("clean").alias("clean"))
     counted = units.groupBy("unit").agg(F.count("source").alias("toxic"), F.sum("clean").alias("clean"))
     room = math.log(max(2, counted.count())) + 2
-    # at least LIFT times as frequent in toxic texts as in clean ones
+    # at least LIFT times as frequent in toxic texts as in clean ones; what the sample can teach is bounded by it
     lift = (F.col("toxic") / float(toxic)) >= LIFT * ((F.col("clean") + 0.5) / float(clean))
-    candidates = counted.where((F.col("toxic") >= 2) & lift).orderBy(F.desc("toxic"), "unit").limit(4 * max_lexicon).collect()
+    candidates = counted.where((F.col("toxic") >= 2) & lift).orderBy(F.desc("toxic"), "unit").collect()
     sure = {r["unit"]: _weight(r, toxic, clean) for r in candidates if _surprise(r["toxic"], r["clean"], toxic / (toxic + clean)) > room}
     sure |= _unexplained(labelled, sure, candidates, toxic, clean)
-    chosen = dict(sorted(sure.items(), key=lambda x: (-x[1], x[0]))[:max_lexicon])
-    model = Grammar({u: w for u, w in chosen.items() if u[-1] != "*"}, {u[:-1]: w for u, w in chosen.items() if u[-1] == "*"})
-    return _fit_curve(labelled, model)
+    return _fit_curve(labelled, _lexicon(sure))
+
+
+def _lexicon(weights: dict[str, float]) -> Grammar:
+    """Words and word beginnings (marked by *) by strength: the log odds in thirds of what a certain insult has."""
+    top = max(weights.values(), default=1.0)
+    strength = {u: STRONG if w > 2 * top / 3 else PLAIN if w > top / 3 else WEAK for u, w in weights.items()}
+    return Grammar({u: s for u, s in strength.items() if u[-1] != "*"}, {u[:-1]: s for u, s in strength.items() if u[-1] == "*"})
 
 
 def _surprise(toxic: int, clean: int, rate: float) -> float:
@@ -301,7 +352,7 @@ def _weight(row, toxic: int, clean: int) -> float:
 
 def _unexplained(labelled: DataFrame, sure: dict[str, float], candidates: list, toxic: int, clean: int) -> dict[str, float]:
     """Further units that recur in toxic texts which no sure unit reaches; such texts are few by construction."""
-    model = Grammar({u: w for u, w in sure.items() if u[-1] != "*"}, {u[:-1]: w for u, w in sure.items() if u[-1] == "*"})
+    model = _lexicon(sure)
     pool = {r["unit"]: r for r in candidates if r["unit"] not in sure}
     shared = labelled.sparkSession.sparkContext.broadcast((model, frozenset(pool)))
 
@@ -363,7 +414,7 @@ EVIDENCE = T.StructType([T.StructField("__t_evidence", T.DoubleType(), False), T
 
 def with_toxicity(docs: DataFrame, model: Grammar) -> DataFrame:
     """``docs`` with the columns ``__t_evidence`` and ``__t_score``; one pass, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_lexicon
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # what about ``sample`` documents taught
 
     def rows_of() -> Callable[[bytes | None], tuple]:
         known, one = shared.value, scorer(shared.value)
@@ -379,6 +430,6 @@ def with_toxicity(docs: DataFrame, model: Grammar) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence for every row of ``docs``."""
-    judged = with_toxicity(docs.select("doc_id", "text"), learn(docs, labels, **options))
+    judged = with_toxicity(picked(docs, "doc_id", "text"), learn(docs, labels, **options))
     score = F.col("__t_score")
     return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("__t_evidence").alias("evidence"))

@@ -40,26 +40,96 @@ def test_learning_ignores_held_out_labels(spark, documents):
 
 
 def test_clauses_are_weighed_by_their_context():
-    g = t.Grammar({"idiot": 2.0})
-    plain, targeted, negated, reported = (g.evidence(x) for x in ("an idiot", "you are an idiot", "he is not an idiot", "she said what an idiot"))
-    assert negated < plain < targeted and reported < plain
-    assert g.evidence("i will kill you") > 0 and g.evidence("kill the process") == 0
+    g = t.Grammar({"idiot": t.PLAIN})
+    plain, targeted, behind, negated, reported = (g.evidence(x) for x in ("an idiot", "you are an idiot", "idiot that you are", "he is not an idiot", "somebody said what an idiot"))
+    assert plain < targeted and plain < behind and reported < plain
+    assert negated < g.evidence("he is an idiot") and behind == targeted
+    assert g.evidence("i will kill you") == g.evidence("you i will kill") > 0 and g.evidence("kill the process") == 0
     assert g.evidence("you. an idiot") == plain  # a target does not reach into the next clause
+    assert g.evidence("il dit du pain et ton ami") == 0
+
+
+def naive(symbols):
+    """The weight of a clause without any machine: every pattern looked up at every place."""
+    total = 0.0
+    for i, s in enumerate(symbols):
+        scale = 1.0
+        for k in range(max(0, i - t.NEGATION_REACH), i):
+            if symbols[k] == t.NEGATION and s != t.NEGATION:
+                scale = t.NEGATED
+        if t.REPORT in symbols[:i]:
+            scale *= t.REPORTED
+        near = symbols[max(0, i - t.TARGET_REACH) : i]
+        if s in t.INSULT:
+            total += scale * t.STRENGTH[s] * (t.DIRECTED if t.TARGET in near else t.BARE)
+        if s == t.THREAT and t.TARGET in near:
+            total += scale * t.THREATENED
+        if s == t.TARGET:
+            # what still waits for a target: the last insult and the last threat since the last target
+            since = symbols[: i][::-1].find(t.TARGET)
+            open_ = symbols[(i - since if since >= 0 else 0) : i]
+            start = i - len(open_)
+            def bare(j):
+                return t.TARGET not in symbols[max(0, j - t.TARGET_REACH) : j]
+            hits = [j for j in range(start, i) if symbols[j] in t.INSULT]
+            if hits and bare(hits[-1]) and i - hits[-1] <= t.TARGET_REACH:
+                total += scale * t.STRENGTH[symbols[hits[-1]]] * (t.DIRECTED - t.BARE)
+            hits = [j for j in range(start, i) if symbols[j] == t.THREAT]
+            if hits and bare(hits[-1]) and i - hits[-1] <= t.TARGET_REACH:
+                total += scale * t.THREATENED
+    return total
+
+
+def test_the_composed_machine_against_looking_everywhere():
+    rng = random.Random(12)
+    for _ in range(4000):
+        clause = "".join(rng.choice(t.SYMBOLS + t.OTHER * 4 + t.TARGET) for _ in range(rng.randrange(14)))
+        assert t.grammar().weight(clause) == pytest.approx(naive(clause)), clause
 
 
 def test_composition_runs_both_machines():
-    both = t.compose(t.after("T", 2, 2.0, "I"), t.after("N", 1, 0.5, "I"))
-    def run(symbols):
-        state, out = both.start, 1.0
-        for s in symbols:
-            state, w = both.step(state, s)
-            out *= w
-        return out
-    assert run("TNI") == 1.0 and run("TI") == 2.0 and run("NI") == 0.5 and run("NooI") == 1.0 and run("ToNI") == 0.5
+    both = t.compose(t.negation(), t.reported(), lambda x, y: x * y)
+    last = lambda symbols: both.weight(symbols) - both.weight(symbols[:-1])
+    assert last("oo") == 1.0 and last("No") == pytest.approx(t.NEGATED) and last("Ro") == pytest.approx(t.REPORTED) and last("RNo") == pytest.approx(t.NEGATED * t.REPORTED) and last("Noooo") == pytest.approx(1.0)
+
+
+def test_nothing_is_toxic_without_the_patterns(spark, documents, monkeypatch):
+    docs, labels = corpus(documents, spark)
+    model = t.learn(docs, labels)
+    texts = [r["text"].encode() for r in docs.collect()]
+    found = [t.scorer(model)(x) > 0 for x in texts]
+    silent = t.Grammar(model.words, model.stems, model.slope, model.offset, t.automaton(0, lambda s, x: (0, 0.0)))
+    assert sum(found) > 50 and not any(t.scorer(silent)(x) for x in texts)
+
+
+def test_context_decides_the_verdict(spark, documents):
+    """A word that is thrown at people in toxic texts and only quoted or denied in clean ones."""
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(900):
+        filler = [rng.choice(CLEAN) + rng.choice(CLEAN) for _ in range(30)]
+        toxic = int(i % 3 == 0)
+        clause = "you are such a grobian" if toxic else "she said never a grobian" if i % 3 == 1 else "all was well"
+        docs.append((i, " ".join(filler) + ". " + clause + "."))
+        labels.append((i, 1, toxic))
+    found = t.toxicity(documents(*docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {r["doc_id"]: r["predicted"] for r in found.where("held_out").collect()} == {i: x for i, _, x in labels if zlib.crc32(str(i).encode()) % 5 == 0}
+
+
+def test_scores_are_calibrated(spark, documents):
+    """Labels that are wrong now and then: in the held-out part the mean score is near the share of toxic texts at both ends."""
+    docs, labels = corpus(documents, spark, n=1500)
+    rng = random.Random(4)
+    noisy = [(r["doc_id"], r["quality"], r["toxic"] ^ (rng.random() < 0.1)) for r in labels.orderBy("doc_id").collect()]
+    truth = {i: x for i, _, x in noisy}
+    found = t.toxicity(docs, spark.createDataFrame(noisy, "doc_id long, quality int, toxic int")).where("held_out").collect()
+    for side in (0, 1):
+        mine = [r for r in found if r["predicted"] == side]
+        assert abs(sum(r["score"] for r in mine) / len(mine) - sum(truth[r["doc_id"]] for r in mine) / len(mine)) < 0.08
 
 
 def test_screen_and_grammar_see_the_same_words():
-    one = t.scorer(t.Grammar({"idiot": 2.0}))
+    one = t.scorer(t.Grammar({"idiot": t.PLAIN}))
     for text in ("IDIOT!", "«idiot»", "an_idiot_", "x…idiot", "idiot2"):
         assert one(text.encode()) > 0, text
     assert one(None) == one(b"") == one(b"idiotic") == 0
@@ -67,7 +137,7 @@ def test_screen_and_grammar_see_the_same_words():
 
 def test_one_rule_cuts_words_in_every_script(spark, documents):
     hindi, thai, decomposed = "मूर्ख", "โง่เง่า", "imbe\u0301cile"
-    model = t.Grammar({w: 2.0 for w in ("idiot", hindi, thai, decomposed)})
+    model = t.Grammar({w: t.PLAIN for w in ("idiot", hindi, thai, decomposed)})
     one = t.scorer(model)
     for text in ("you idiot😂", "you idiot！", "you→idiot", "★idiot★", "idiot❤️", "❤️idiot", "idiot²", "½idiot", "idiot१", f"वह {hindi}।", f"{thai}😂", f"{decomposed}！"):
         assert one(text.encode()) == model.evidence(text) > 0, text
@@ -77,6 +147,19 @@ def test_one_rule_cuts_words_in_every_script(spark, documents):
         assert [w for w in t.tokens(text) if w not in t.CLAUSE_ENDS] == t.spaced_words(text.encode())
 
 
+def test_random_unicode_reads_alike_in_screen_and_grammar():
+    rng = random.Random(9)
+    model = t.Grammar({"idiot": t.PLAIN, "é": t.STRONG})
+    one = t.scorer(model)
+    seen = 0
+    for _ in range(3000):
+        odd = lambda: "".join(chr(c) for _ in range(rng.randrange(3)) if not 0xD800 <= (c := rng.choice([rng.randrange(0x80), rng.randrange(0x3000), rng.randrange(0x110000)])) < 0xE000)  # noqa: B023,E731
+        text = odd().join(rng.choice(["idiot", "you", "kill", "é", "IDIOT", " ", "not", "."]) for _ in range(rng.randrange(8)))
+        assert one(text.encode()) == model.evidence(text), text
+        seen += one(text.encode()) > 0
+    assert seen > 500
+
+
 def test_insults_with_combining_marks_are_learned_and_found(spark, documents):
     docs, labels = corpus(documents, spark)
     swap = {"grobian": "मूर्ख", "flegelhaft": "मूर्ख", "flegelig": "मूर्ख", "dummkopf": "मूर्ख"}
