@@ -5,12 +5,16 @@ pattern length a block of two words at the end of the current position looks up
 that ends no pattern prefix lets the search skip, usually eleven or twelve words at once; a block that
 ends a pattern opens its suffix bucket, and direct comparison confirms the occurrence.
 
-The tables are built once for each block of at most ``max_patterns`` windows and sent to the tasks: their
-size is checked, not assumed. A larger benchmark is searched in several such blocks; every block is one
-more pass over the rows in place, without a shuffle, and adds to the spans found before.
+The tables are built once for each block of at most ``max_bytes`` of window text and sent to the tasks: their
+size is checked, not assumed. A larger benchmark is searched in several such blocks, one after the other: each
+block is a job of its own over the texts that writes what it finds, the spans of the few texts with a hit under
+a hash of the text, and its tables are freed before the next block's are built. The spans are then merged by
+text and looked up by the rows.
 
 Defined results: a null text, or one without words, has nothing hit and is not contaminated; items
-without words match nothing; a null item id counts as the empty string; repeated items count once.
+without words match nothing; a null item id counts as the empty string; repeated items count once; repeated rows
+are judged alike; a very long text is searched whole; other columns may have any name and type. Texts are told
+apart by 128 bits of hash, where several blocks are needed.
 """
 
 from __future__ import annotations
@@ -20,11 +24,12 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.llm.common import append_columns, byte_texts
+from concord.llm.common import append_columns, boxed, byte_texts, picked, unboxed
 from concord.session import durable
 
 WINDOW = 13
@@ -118,32 +123,54 @@ def machines_of(rows: list) -> list[WuManber]:
 FOUND = T.StructType([T.StructField("__d_words", T.LongType(), False), T.StructField("__d_starts", T.ArrayType(T.LongType())), T.StructField("__d_ends", T.ArrayType(T.LongType())), T.StructField("__d_items", T.ArrayType(T.StringType()))])
 
 
-def with_spans(docs: DataFrame, benchmark: DataFrame, max_patterns: int = 200_000) -> DataFrame:
+#: Bytes of window text whose tables one task holds.
+MAX_BYTES = 16 << 20
+#: Hit texts that are looked up by broadcast, with their spans; more are joined by shuffle.
+FEW_TEXTS = 100_000
+
+
+def with_spans(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``docs`` with the number of words, the merged hit spans and the items found as ``__d_`` columns."""
+    spark = docs.sparkSession
     patterns = durable(windows(benchmark))
-    blocks = max(1, -(-patterns.count() // max_patterns))
+    size = patterns.agg(F.sum(F.octet_length("words") + 8)).first()[0] or 0
+    blocks = max(1, -(-size // max_bytes))
+    if blocks == 1:
+        return _searched(docs, spark.sparkContext.broadcast(patterns.collect()))  # max_bytes at most
+    found = None
     for k in range(blocks):
-        rows = patterns.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).collect()
-        shared = docs.sparkSession.sparkContext.broadcast(rows)  # about max_patterns windows at most
+        shared = spark.sparkContext.broadcast(patterns.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).collect())
+        hits = durable(_searched(docs.select(*_text_id(), "text"), shared).where(F.size("__d_starts") > 0).drop("text", "__d_words").dropDuplicates(["__d_t1", "__d_t2"]))
+        shared.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    each = [F.flatten(F.collect_list(f"__d_{n}")).alias(f"__d_{n}") for n in ("starts", "ends", "items")]
+    merged = durable(merge_spans(found.groupBy("__d_t1", "__d_t2").agg(*each)))
+    merged = merged.withColumnsRenamed({"__d_t1": "__d_u1", "__d_t2": "__d_u2"})
+    # the words are counted by a search for nothing
+    counted = _searched(docs, spark.sparkContext.broadcast([])).drop("__d_starts", "__d_ends", "__d_items").select("*", *_text_id())
+    few = merged.count() <= FEW_TEXTS
+    named = counted.join(F.broadcast(merged) if few else merged, (F.col("__d_t1") == F.col("__d_u1")) & (F.col("__d_t2") == F.col("__d_u2")), "left")
+    none = {"starts": "array<bigint>", "ends": "array<bigint>", "items": "array<string>"}
+    return named.withColumns({f"__d_{n}": F.coalesce(f"__d_{n}", F.array().cast(kind)) for n, kind in none.items()}).drop("__d_t1", "__d_t2", "__d_u1", "__d_u2")
+
+
+def _text_id() -> list[Column]:
+    return [F.xxhash64("text", F.lit(k)).alias(f"__d_t{k}") for k in (1, 2)]
+
+
+def _searched(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """``docs`` with what one block of windows finds in each text."""
 
-        def rows_of(shared=shared) -> Callable[[bytes | None], tuple]:
-            machines = machines_of(shared.value)
+    def rows_of() -> Callable[[bytes | None], tuple]:
+        machines = machines_of(shared.value)
 
-            def one(text: bytes | None) -> tuple:
-                n, spans, items = search(text, machines)
-                return n, [s for s, _ in spans], [e for _, e in spans], sorted(items)
+        def one(text: bytes | None) -> tuple:
+            n, spans, items = search(text, machines)
+            return n, [s for s, _ in spans], [e for _, e in spans], sorted(items)
 
-            return one
+        return one
 
-        if not k:
-            docs = append_columns(docs, "text", FOUND, rows_of)
-            continue
-        more = T.StructType([T.StructField(f.name + "_more", f.dataType) for f in FOUND])
-        docs = append_columns(docs, "text", more, rows_of)
-        for name in ("starts", "ends", "items"):
-            docs = docs.withColumn(f"__d_{name}", F.concat(f"__d_{name}", f"__d_{name}_more"))
-        docs = docs.drop(*[f.name for f in more])
-    return docs if blocks == 1 else merge_spans(docs)
+    return append_columns(docs, "text", FOUND, rows_of)
 
 
 def merge_spans(docs: DataFrame) -> DataFrame:
@@ -166,7 +193,7 @@ def is_contaminated():
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the hit spans for every row of ``docs``."""
-    found = with_spans(docs.select("doc_id", "text"), benchmark, **options)
+    found = with_spans(picked(docs, "doc_id", "text"), picked(benchmark, "item_id", "text"), **options)
     return found.select(
         "doc_id",
         F.col("__d_words").alias("n_words"),
@@ -182,7 +209,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with the columns of ``docs``."""
-    return with_spans(docs, benchmark, **options).where(~is_contaminated()).select(*docs.columns)
+    return unboxed(with_spans(boxed(docs, "text"), picked(benchmark, "item_id", "text"), **options).where(~is_contaminated()), docs, "text")
 
 
 def digest(items: list[str]) -> str:

@@ -43,7 +43,7 @@ def case(seed):
 
 
 def test_against_brute_force(spark, documents):
-    for seed, options in ((1, {}), (2, {}), (3, {"max_patterns": 20})):
+    for seed, options in ((1, {}), (2, {}), (3, {"max_bytes": 700})):
         docs, items = case(seed)
         benchmark = spark.createDataFrame(items, "item_id long, text string")
         found = d.contamination(documents(*docs), benchmark, **options)
@@ -102,3 +102,25 @@ def test_spans_and_oracle(spark, documents, sf_dir):
         db.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     found = d.contamination(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")]).drop("starts", "ends", "items")
     assert sorted(map(tuple, found.collect())) == sorted(db.sql(DECONTAMINATION).fetchall())
+
+
+def test_a_block_is_freed_before_the_next(spark, documents, monkeypatch):
+    docs, items = case(5)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, d.contamination(documents(*docs), benchmark).collect()), key=str)
+    made, freed = [], []
+    context = type(spark.sparkContext)
+    real = context.broadcast
+
+    def broadcast(self, value):
+        found = real(self, value)
+        made.append(len(value))
+        gone = found.destroy
+        found.destroy = lambda blocking=False: (freed.append(len(made)), gone(blocking))
+        return found
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    monkeypatch.setattr(d, "FEW_TEXTS", 0)  # spans come back by a shuffled join as well
+    found = d.contamination(documents(*docs), benchmark, max_bytes=250)
+    assert sorted(map(tuple, found.collect()), key=str) == whole
+    assert len(made) > 3 and freed == list(range(1, len(made)))
