@@ -7,15 +7,19 @@ with gap g)^2 becomes smallest (Csirik et al., 2006). As the pieces of a group a
 is opened only where none has room; with a new bin as one more choice the same rule uses 0.4 % more bins.
 A group leaves one part-filled bin or so, which its size makes negligible.
 
-Tokenising works on runs between ASCII white space, whose ids do not depend on their neighbours, with a
-bounded cache of runs in each worker; the vocabulary file is read once on the driver and sent along.
-
-Defined results: a null or empty text is the single id 0; repeated rows are packed each on its own; a
-piece's place depends on the task that read it, so any two runs agree in everything but the places.
+A vocabulary that drops white space is applied to runs between ASCII white space, whose ids do not depend on
+their neighbours, with a bounded cache of runs in each worker. Its file tells whether it is of that kind; with any
+other, whole texts are encoded. The file is read once on the driver and sent along.
+
+Defined results: a null or empty text is the single id 0; repeated rows are packed each on its own; a very long
+text is tokenised whole and cut; pieces of equal length are placed in the order of their serial numbers; a
+piece's place depends on the task that read it, so any two runs agree in everything but the places; other columns
+may have any name and type.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -28,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import byte_texts
+from concord.llm.common import byte_texts, picked
 from concord.session import durable
 
 CAPACITY = 2048
@@ -47,6 +51,7 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.split = drops_white_space(vocabulary)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -65,7 +70,7 @@ class CachedTokenizer:
         for i, text in enumerate(texts):
             size += len(text or b"")
             if size >= SPAN or i == len(texts) - 1:
-                split = [runs_of(t) for t in texts[start : i + 1]]
+                split = [runs_of(t) if self.split else [t] if t else [] for t in texts[start : i + 1]]
                 known = self.look_up(set().union(*split))
                 for runs in split:
                     yield b"".join(map(known.__getitem__, runs)) + _END
@@ -86,6 +91,8 @@ class CachedTokenizer:
             part = missing[start : start + 10_000]
             for run, encoded in zip(part, self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in part], add_special_tokens=False)):
                 found[run] = array("I", encoded.ids).tobytes()
+        if not self.split:
+            return found  # whole texts do not come again as a rule
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
         self.young.update(found)
@@ -95,6 +102,26 @@ class CachedTokenizer:
 _TOKENIZERS: dict[int, CachedTokenizer] = {}
 
 
+def drops_white_space(vocabulary: str) -> bool:
+    """Whether a vocabulary reads runs between white space one by one, as ``runs_of`` relies on.
+
+    It does if it composes and lowers letters and folds white space, no more; cuts a text into the parts that a
+    pattern without white space finds, and drops the rest; and marks the ends of words. Any other encodes whole texts.
+    """
+    spec = json.loads(vocabulary)
+
+    def parts(node: dict | None, inner: str) -> list[dict]:
+        return [p for part in node[inner] for p in parts(part, inner)] if node and inner in node else [node] if node else []
+
+    normal = {p["type"] for p in parts(spec.get("normalizer"), "normalizers")}
+    splits = parts(spec.get("pre_tokenizer"), "pretokenizers")
+    cut = splits[0] if splits else {}
+    found = cut.get("pattern", {}).get("Regex", "")
+    words_alone = cut.get("type") == "Split" and cut.get("behavior") == "Removed" and cut.get("invert") and r"[^\s" in found and found.count(r"\s") == 1
+    spaces_kept = any(p["type"] == "ByteLevel" and (p.get("add_prefix_space") or p.get("use_regex")) for p in splits[1:])
+    return bool({"Lowercase"} <= normal <= {"NFC", "Replace", "Lowercase"} and words_alone and not spaces_kept and spec["model"].get("end_of_word_suffix"))
+
+
 def runs_of(text: bytes | None) -> list[bytes]:
     """Runs whose ids follow each other in those of ``text``.
 
@@ -175,7 +202,7 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, group_
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) for every piece of ``docs``."""
     with open(vocabulary_path, encoding="utf-8") as file:
         vocabulary = file.read()
-    cut = durable(pieces(docs, vocabulary, capacity, with_ids))
+    cut = durable(pieces(picked(docs, "doc_id", "text"), vocabulary, capacity, with_ids))
     names = [c for c in cut.columns if c != "serial"]
     whole = cut.where(F.col("length") == capacity).select(*names, (F.col("serial") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     small = cut.where(F.col("length") < capacity)

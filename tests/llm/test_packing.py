@@ -101,3 +101,16 @@ def test_odd_rows(odd, empty, crowded_names):
     assert sum(r["piece"] == 0 for r in found) == 10 and sum(r["doc_id"] is None for r in found) == 2
     assert p.pack(empty, vocabulary_path()).count() == 0
     assert p.pack(crowded_names, vocabulary_path()).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_a_vocabulary_of_another_kind_reads_whole_texts(documents):
+    path = vocabulary_path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        assert not p.drops_white_space(f.read())
+    texts = ["Two  words", " Leading", "tab\tand\n\nlines ", "é ü", "", None, "x" * 9000]
+    found = {}
+    for r in p.pack(documents(*enumerate(texts)), path, with_ids=True).collect():
+        found.setdefault(r["doc_id"], []).append((r["piece"], list(r["ids"])))
+    for i, text in enumerate(texts):
+        assert [x for _, ids in sorted(found[i]) for x in ids] == other.encode(text or "", add_special_tokens=False).ids + [0]
