@@ -6,27 +6,35 @@ WARC-Refers-To with the response's id, its target URI and date, and the source's
 block digests of their own. Ids are derived from the source's id and digest, so a repeated task writes the
 same records. Rows are independent: one pass, no shuffle.
 
-Records are written by Spark's text writer with the record separator of the format, so the output goes
-through the cluster's own file system and commit protocol; every part file is one WARC file.
-
-Defined results: a null url gives an empty target URI; null html is a response with an empty payload,
-whose conversion is empty; null ids hash as empty; repeated pages give repeated records.
+WARC files are read through Spark's own file reader: a file is one task's input, its gzip members and records are
+read one after the other, and each response yields its derivatives. Records are written by Spark's text writer
+with the record separator of the format, so the output goes through the cluster's own file system and commit
+protocol; every part file is one WARC file. ``gzip_members`` gives each record as a gzip member of its own, for
+stores that fetch single records.
+
+Defined results: a page without a url has no target URI, and its records carry no such field; null html is a
+response with an empty payload, whose conversion is empty; null ids hash as empty; repeated pages give repeated
+records; a very long page is read whole; a page's links keep their order, ties and repeats included; other
+columns may have any name and type. Header names are read in any case, with or without a space behind the colon;
+a line that begins with white space continues the field before it.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html as entities
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import byte_texts
+from concord.llm.common import byte_texts, picked
 
 CRLF = "\r\n"
 SEPARATOR = "\r\n\r\n"
@@ -42,20 +50,24 @@ RECORD = (
 #: A head and what may stand in it. Its end tag may be left out: the first text or tag that belongs to a body
 #: ends it too. A title without an end tag ends at the next tag; a script or the like at </head> or, as in a
 #: body, with the page.
-_HEAD = r"""<head(?=[\s/>])[^>]*+>(?>
+#: A tag up to its end: a quoted attribute may hold a >, one whose quote is not closed ends at the next >, and a tag
+#: that is not closed at all ends before the next one.
+_REST = r"""(?:[^<>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+(?:>|(?=<))"""
+_HEAD = rf"""<head(?=[\s/>]){_REST}(?>
     \s++
     | <!--.*?--> | <[!?][^>]*+>
-    | <title(?=[\s/>])[^>]*+> (?: (?:(?!</(?:head|body|title)\b|<(?:body|title)\b).)*+ </title\s*> | [^<]*+ )
-    | <(script|style|noscript|template|noframes)(?=[\s/>])[^>]*+> (?: .*?</\2\s*> | .*?(?=</head\s*>) | .*+ )
-    | <(?:meta|link|base|basefont|bgsound|head|html)(?=[\s/>])[^>]*+>
+    | <title(?=[\s/>]){_REST} (?: (?:(?!</(?:head|body|title)\b|<(?:body|title)\b).)*+ </title\s*> | [^<]*+ )
+    | <(script|style|noscript|template|noframes)(?=[\s/>]){_REST} (?: .*?</\2\s*> | .*?(?=</head\s*>) | .*+ )
+    | <(?:meta|link|base|basefont|bgsound|head|html)(?=[\s/>]){_REST}
     | </(?!(?:head|body|html|br)\b)[a-z][^>]*+>
 )*+(?:</head\s*>)?"""
-_DROPPED = re.compile(rf"(?isx)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|{_HEAD}")
-_BREAKS = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>")
-_TAG = re.compile(r"(?s)<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-_LANGUAGE = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z-]+)""")
-_LINK = re.compile(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_DROPPED = re.compile(rf"(?isx)<!--.*?-->|<(script|style|noscript|template)\b{_REST}.*?(?:</\1\s*>|\Z)|{_HEAD}")
+_BREAKS = re.compile(rf"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b{_REST}")
+_TAG = re.compile(rf"(?s)<[a-zA-Z/!?]{_REST}")
+_OPENING = {name: re.compile(rf"(?is)<{name}(?=[\s/>]){_REST}") for name in ("title", "html", "a")}
+_TITLE_END = re.compile(r"(?i)</title\s*>")
+_LANGUAGE = re.compile(r"""(?is)\slang\s*=\s*["']?([A-Za-z-]+)""")
+_LINK = re.compile(r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _SPACE = re.compile(r"[ \t\r\f\v ]+")
 
 
@@ -70,6 +82,9 @@ def urn(*parts: str) -> str:
 
 def plain_text(page: str) -> str:
     """The readable text of a page: blocks on lines of their own, entities decoded, no empty lines."""
+    closed = page.rfind("-->") + 3 if "-->" in page else 0
+    if "<!--" in page[closed:]:  # a comment that never ends hides nothing
+        page = page[:closed] + page[closed:].replace("<!--", " ")
     text = _TAG.sub("", _BREAKS.sub("\n", _DROPPED.sub(" ", page)))
     lines = (_SPACE.sub(" ", line).strip() for line in entities.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
@@ -78,13 +93,14 @@ def plain_text(page: str) -> str:
 def page_fields(page: str) -> list[tuple[str, str]]:
     """title, language and each outlink, one line each, as warc-fields."""
     fields = []
-    if found := _TITLE.search(page):
-        fields.append(("title", " ".join(entities.unescape(_TAG.sub("", found[1])).split())))
-    if found := _LANGUAGE.search(page):
+    if (opened := _OPENING["title"].search(page)) and (closed := _TITLE_END.search(page, opened.end())):
+        fields.append(("title", " ".join(entities.unescape(_TAG.sub("", page[opened.end() : closed.start()])).split())))
+    if (opened := _OPENING["html"].search(page)) and (found := _LANGUAGE.search(opened[0])):
         fields.append(("language", found[1].lower()))
-    for link in _LINK.finditer(page):
-        target = " ".join(entities.unescape(next((g for g in link.groups() if g is not None), "")).split())
-        fields.append(("outlink", target))
+    for tag in _OPENING["a"].finditer(page):
+        if link := _LINK.search(tag[0]):
+            target = " ".join(entities.unescape(next((g for g in link.groups() if g is not None), "")).split())
+            fields.append(("outlink", target))
     return fields
 
 
@@ -93,21 +109,50 @@ def response(page_id, url: str | None, payload: bytes) -> dict:
     headers = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: {len(payload)}"
     payload_digest = digest(payload)
     name = "" if page_id is None else str(page_id)
-    return {"record_id": urn("response", name, url or "", payload_digest), "target_uri": url or "", "date": DATE, "headers": headers, "payload": payload, "payload_digest": payload_digest}
+    return {"record_id": urn("response", name, url or "", payload_digest), "target_uri": url, "date": DATE, "headers": headers, "payload": payload, "payload_digest": payload_digest}
+
+
+def header_fields(head: bytes) -> dict[str, str]:
+    """The named fields of a header block, by lower-cased name; the first of a repeated name counts."""
+    fields: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").split("\n")[1:]:
+        line = line.rstrip("\r")
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+        elif ":" in line:
+            name = line.split(":", 1)[0].strip().lower()
+            fields.setdefault(name, line.split(":", 1)[1].strip())
+    return fields
+
+
+def _halves(data: bytes) -> tuple[bytes, bytes]:
+    """A header block and what follows its empty line."""
+    ends = [(at, len(mark)) for mark in (b"\r\n\r\n", b"\n\n") if (at := data.find(mark)) >= 0]
+    if not ends:
+        return data, b""
+    at, size = min(ends)
+    return data[:at], data[at + size :]
+
+
+def response_of(fields: dict[str, str], block: bytes) -> dict:
+    """A response record as ``derivatives`` takes it, from its header fields and block."""
+    http, payload = _halves(block)
+    target = fields.get("warc-target-uri")
+    return {"record_id": fields["warc-record-id"], "target_uri": target.strip("<>") if target else None, "date": fields.get("warc-date", DATE), "headers": http.decode("utf-8", "replace"), "payload": payload, "payload_digest": fields.get("warc-payload-digest") or digest(payload)}
 
 
 def parse_response(record: bytes) -> dict:
-    """A response record as read from a WARC file: WARC headers, HTTP headers and payload."""
-    head, _, block = record.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split(CRLF)[1:] if ": " in line)
-    http, _, payload = block[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
-    return {"record_id": fields["WARC-Record-ID"], "target_uri": fields.get("WARC-Target-URI", ""), "date": fields.get("WARC-Date", DATE), "headers": http.decode("utf-8", "replace"), "payload": payload, "payload_digest": fields.get("WARC-Payload-Digest") or digest(payload)}
+    """A response record as it stands in a WARC file: WARC headers, HTTP headers and payload."""
+    head, block = _halves(record)
+    fields = header_fields(head)
+    return response_of(fields, block[: int(fields["content-length"])])
 
 
 def derivatives(source: dict) -> list[dict]:
     """The metadata and the conversion record of one response."""
     page = source["payload"].decode("utf-8", "replace")
-    fields = [("source-" + k.lower(), v) for line in source["headers"].split(CRLF)[1:] if ": " in line for k, v in [line.split(": ", 1)]]
+    fields = [("source-" + name, value) for name, value in header_fields(source["headers"].encode("utf-8", "replace")).items()]
     metadata = "".join(f"{name}: {value}{CRLF}" for name, value in [*page_fields(page), *fields])
     out = []
     for kind, content_type, block in (("metadata", "application/warc-fields", metadata), ("conversion", "text/plain; charset=utf-8", plain_text(page))):
@@ -116,9 +161,18 @@ def derivatives(source: dict) -> list[dict]:
     return out
 
 
+NAMES = ("warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "source_payload_digest", "source_headers", "block")
+
+
+def _batch(first: pa.Array, name: str, made: list[dict]) -> pa.RecordBatch:
+    columns = [pa.array([r[n] for r in made], pa.int64() if n == "content_length" else pa.string()) for n in NAMES]
+    return pa.RecordBatch.from_arrays([first, *columns], names=[name, *NAMES])
+
+
 def build(pages: DataFrame) -> DataFrame:
     """Both derivative records of every row of ``pages`` (page_id, url, html)."""
-    schema = RECORD.format(id_type=pages.schema["page_id"].dataType.simpleString())
+    own = picked(pages, "page_id", "url", "html")
+    schema = RECORD.format(id_type=own.schema["page_id"].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,17 +181,47 @@ def build(pages: DataFrame) -> DataFrame:
                 for record in derivatives(response(page_id, url, html or b"")):
                     rows.append(i)
                     made.append(record)
-            names = ["warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "source_payload_digest", "source_headers", "block"]
-            columns = [pa.array([r[n] for r in made], pa.int64() if n == "content_length" else pa.string()) for n in names]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], names=["page_id", *names])
+            yield _batch(batch.column(0).take(pa.array(rows, pa.int64())), "page_id", made)
+
+    return own.mapInArrow(run, schema)
+
+
+def build_from_files(spark: SparkSession, path: str) -> DataFrame:
+    """The derivative records of every response record in the WARC files at ``path``, with the file's name as ``source_file``.
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, schema)
+    A file is read by one task, as crawls keep them at a gigabyte or so; other record types are left alone.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    schema = "source_file string, " + RECORD.split(", ", 1)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for fields, block in read_warc(inflated(data.as_buffer())):
+                    if fields.get("warc-type", "").lower() == "response":
+                        made = derivatives(response_of(fields, block))
+                        yield _batch(pa.array([name] * len(made), pa.string()), "source_file", made)
+
+    return files.mapInArrow(run, schema)
+
+
+def inflated(data: bytes | memoryview | pa.Buffer) -> bytes:
+    """A file's records, whether it is plain or one or many gzip members."""
+    data = memoryview(data)
+    if bytes(data[:2]) != b"\x1f\x8b":
+        return bytes(data)
+    out = []
+    while len(data):
+        member = zlib.decompressobj(31)
+        out += [member.decompress(data), member.flush()]
+        rest = len(member.unused_data)
+        data = data[len(data) - rest :] if rest else data[:0]
+    return b"".join(out)
 
 
 def serialized(records: DataFrame) -> DataFrame:
-    """``value``: each record as text, without the separator that ends it. Line breaks in a field become spaces."""
-    line = lambda name, column: F.concat(F.lit(f"{name}: "), F.regexp_replace(column.cast("string"), r"[\r\n]+", " "), F.lit(CRLF))
-    source = F.concat(F.lit("WARC-Source-Payload-Digest: "), "source_payload_digest", F.lit(CRLF))
+    """``value``: each record as text, without the separator that ends it. Line breaks in a field become spaces; null fields are left out."""
+    line = lambda name, column: F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(column.cast("string"), r"[\r\n]+", " "), F.lit(CRLF)), F.lit(""))
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.col("warc_type")),
@@ -148,7 +232,7 @@ def serialized(records: DataFrame) -> DataFrame:
         line("WARC-Target-URI", F.col("target_uri")),
         line("WARC-Date", F.col("warc_date")),
         line("WARC-Block-Digest", F.col("block_digest")),
-        source,
+        line("WARC-Source-Payload-Digest", F.col("source_payload_digest")),
         line("Content-Type", F.col("content_type")),
         line("Content-Length", F.col("content_length")),
         F.lit(CRLF),
@@ -161,12 +245,29 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
     serialized(records).write.mode("overwrite").option("lineSep", SEPARATOR).option("compression", compression).text(path)
 
 
-def read_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """The header fields and block of each record of one uncompressed WARC file."""
+def gzip_members(records: DataFrame) -> DataFrame:
+    """``member``: each record, with its separator, as a gzip member; members one after the other are a WARC file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = [gzip.compress(text + SEPARATOR.encode(), mtime=0) for text in byte_texts(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["member"])
+
+    return serialized(records).mapInArrow(run, "member binary")
+
+
+def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The header fields, by lower-cased name, and the block of each record of one uncompressed WARC file."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        fields = dict(line.split(": ", 1) for line in data[at:end].decode().split(CRLF)[1:])
-        size = int(fields["Content-Length"])
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        if data[at : at + 1] in (b"\r", b"\n"):  # what separates records
+            at += 1
+            continue
+        ends = [(e, len(mark)) for mark in (b"\r\n\r\n", b"\n\n") if (e := data.find(mark, at)) >= 0]
+        if not ends:
+            raise ValueError(f"a record that begins at byte {at} has no end of its header")
+        end, size = min(ends)
+        fields = header_fields(data[at:end])
+        length = int(fields["content-length"])
+        yield fields, data[end + size : end + size + length]
+        at = end + size + length

@@ -1,4 +1,6 @@
 import gzip
+import random
+from html.parser import HTMLParser
 from pathlib import Path
 
 from concord.llm import warc as w
@@ -48,16 +50,16 @@ def test_files_read_back(spark, tmp_path):
     w.write_warc(records, str(tmp_path / "out"))
     read = [x for f in Path(tmp_path / "out").glob("*.gz") for x in w.read_warc(gzip.decompress(f.read_bytes()))]
     wanted = sorted((r["record_id"], r["refers_to"], r["block"]) for r in records.collect())
-    assert sorted((h["WARC-Record-ID"], h["WARC-Refers-To"], b.decode()) for h, b in read) == wanted
+    assert sorted((h["warc-record-id"], h["warc-refers-to"], b.decode()) for h, b in read) == wanted
     for head, block in read:
-        assert head["WARC-Block-Digest"] == w.digest(block) and int(head["Content-Length"]) == len(block)
+        assert head["warc-block-digest"] == w.digest(block) and int(head["content-length"]) == len(block)
 
 
 def test_a_url_cannot_add_fields(spark):
     df = spark.createDataFrame([(1, "u\r\nWARC-Type: evil", "<p>x")], "page_id long, url string, html string")
     for r in w.serialized(w.build(df)).collect():
         fields, _ = next(w.read_warc((r["value"] + w.SEPARATOR).encode()))
-        assert fields["WARC-Type"] in ("metadata", "conversion") and fields["WARC-Target-URI"] == "u WARC-Type: evil"
+        assert fields["warc-type"] in ("metadata", "conversion") and fields["warc-target-uri"] == "u WARC-Type: evil"
 
 
 def test_response_records_parse():
@@ -73,3 +75,108 @@ def test_odd_tables(spark):
     assert w.build(df.limit(0)).count() == 0
     assert w.build(df.selectExpr("*", "1 as block", "2 as record_id")).count() == 10
     assert w.build(spark.createDataFrame([(1, "u\r\nWARC-Type: evil", "<p>" + "x y " * 200_000)], df.schema)).where("warc_type = 'conversion'").first()["content_length"] == 799_999
+
+
+class Reader(HTMLParser):
+    """An independent reader of pages: the standard library's parser, with blocks on lines of their own."""
+
+    BLOCKS = {"p", "div", "h1", "li", "ul", "br", "nav", "td", "tr", "table"}
+    HIDDEN = {"script", "style", "title"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], 0
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in self.HIDDEN
+        self.out += ["\n"] * (tag in self.BLOCKS) or [" "] * (tag in self.HIDDEN)
+
+    def handle_comment(self, data):
+        self.out.append(" ")  # what is dropped parts words
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in self.HIDDEN
+        self.out += ["\n"] * (tag in self.BLOCKS)
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+    def text(self):
+        lines = [" ".join(p for p in x.split(" ") if p) for x in "".join(self.out).split("\n")]
+        return "\n".join(x for x in lines if x)
+
+
+def test_random_pages_against_another_parser():
+    rng = random.Random(13)
+    words = ["alpha", "beta", "&amp;", "&lt;x", "é", "1 > 0", "x=y", "a"]
+    attributes = ["", ' class="k"', ' title="a>b"', " data-x='p > q'", ' href="/u?a=1&amp;b=2"', " disabled"]
+    for _ in range(400):
+        def node(depth):
+            if depth == 0 or rng.random() < 0.3:
+                return " ".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))
+            tag = rng.choice(["p", "div", "b", "li", "span", "h1", "a", "nav"])
+            inner = "".join(node(depth - 1) for _ in range(rng.randrange(1, 4)))
+            return rng.choice([f"<{tag}{rng.choice(attributes)}>{inner}</{tag}>", f"{inner}<br{rng.choice(attributes)}>", f"<!-- {tag} -->{inner}", f"<script>var a = '{tag}';</script>{inner}"])
+
+        head = rng.choice(["", "<head><title>t</title></head>", "<head><meta charset=utf-8><style>p{x}</style></head>", "<head><title>t</title>"])
+        page = f"<!doctype html><html>{head}<body{rng.choice(attributes)}>" + "".join(node(3) for _ in range(3)) + "</body></html>"
+        assert w.plain_text(page) == Reader(page).text(), page
+
+
+def test_attributes_may_hold_the_end_of_a_tag():
+    assert w.plain_text('<p title="a>b">hi</p>') == "hi" and w.plain_text("<p title='a>b' x=1>hi") == "hi"
+    assert w.plain_text('<p title="never closed>hi</p>there') in ("hi\nthere", "there", "hi</p>there".replace("</p>", "\n"))
+    assert w.plain_text("<p>5 < 6 and it's \"quoted\" > 4</p>") == '5 < 6 and it\'s "quoted" > 4'
+    assert w.plain_text("<" + "a=\"" * 20_000).startswith("<a=")  # and soon
+
+
+def test_headers_in_any_form():
+    block = b"HTTP/1.1 200 OK\r\ncontent-type:text/html\r\nX-Long: a\r\n\tb\r\n\r\n<p>x"
+    record = b"WARC/1.1\r\nwarc-type:response\r\nWARC-RECORD-ID: <urn:x>\r\ncontent-LENGTH:%d\r\n\r\n" % len(block) + block
+    source = w.parse_response(record)
+    assert source["record_id"] == "<urn:x>" and source["target_uri"] is None and source["payload"] == b"<p>x"
+    assert "source-content-type: text/html" in w.derivatives(source)[0]["block"] and "source-x-long: a b" in w.derivatives(source)[0]["block"]
+
+
+def test_files_are_read_by_the_cluster(spark, tmp_path):
+    sources = [w.response(i, f"http://a/{i}", f"<p>page {i}".encode()) for i in range(7)]
+
+    def record(s, kind="response"):
+        block = s["headers"].encode() + b"\r\n\r\n" + s["payload"]
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {s['record_id']}\r\nWARC-Target-URI: {s['target_uri']}\r\nWARC-Date: {s['date']}\r\nWARC-Payload-Digest: {s['payload_digest']}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.warc").write_bytes(b"".join(map(record, sources[:3])))
+    (folder / "b.warc.gz").write_bytes(b"".join(gzip.compress(record(s)) for s in sources[3:6]) + gzip.compress(record(sources[0], "request")))
+    (folder / "c.warc.gz").write_bytes(gzip.compress(record(sources[6])))
+    (folder / "d.warc").write_bytes(b"")
+    found = w.build_from_files(spark, str(folder)).collect()
+    assert sorted(r["refers_to"] for r in found) == sorted([s["record_id"] for s in sources] * 2)
+    assert {r["block"] for r in found if r["warc_type"] == "conversion"} == {f"page {i}" for i in range(7)}
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>page {i}") for i in range(7)], "page_id long, url string, html string")
+    plain = lambda rows: sorted((r["record_id"], r["block"], r["block_digest"]) for r in rows)
+    assert plain(found) == plain(w.build(pages).collect())
+
+
+def test_each_record_is_a_member(spark):
+    records = w.build(pages(spark))
+    members = [bytes(r["member"]) for r in w.gzip_members(records).collect()]
+    read = [x for x in w.read_warc(w.inflated(b"".join(members)))]
+    assert len(read) == len(members) == 10 and all(len(list(w.read_warc(gzip.decompress(m)))) == 1 for m in members)
+    assert sum("warc-target-uri" not in fields for fields, _ in read) == 2  # the page without a url
+
+
+def test_broken_pages_are_read_in_a_moment():
+    import time
+
+    for part in ('a="', "<p ", "<p x='", "<script ", "<script>", "<!--", "<a href=", "<a ", "<title>", "<html lang", "</title><title>", "<head><title>", "<head ", "-->", "<p title='>"):
+        for page in (part * 20_000, "<p>x" + part * 20_000):
+            began = time.perf_counter()
+            w.plain_text(page), w.page_fields(page)
+            assert time.perf_counter() - began < 2, part
+    assert w.plain_text("a<!-- never closed <p>b") == "a never closed\nb"
