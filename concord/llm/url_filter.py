@@ -7,14 +7,16 @@ sweeps follow each other: the path keys of the urls are swept over the intervals
 paths, which leaves each url the whole stack of paths that fit; then (path, reversed host) keys are swept
 over the rules, which leaves the innermost host for each fitting path. The longest rule wins.
 
-A sweep is one sort: urls are dealt to ``lanes`` by a hash, so no host can crowd one task, the few interval
-ends are copied into every lane, and window functions over the sorted lane keep the stack, one slot for
-each level of nesting. All of it is native expressions.
+A sweep sorts urls, interval starts and interval ends together into ranges of keys. A start carries the stack as
+it is inside its interval, an end the stack that its enclosing interval leaves, so the last start or end before a
+url tells its stack. What is active where a range begins is the last start or end of the ranges before it: one
+row for each range. No rule is copied, equal keys are dealt to ranges by a hash of the url, so no host can crowd
+one task, and the plan does not depend on the depth of nesting. All of it is native expressions.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule; without a
 fitting rule the verdict is ``default``; rules with an empty host fit nothing; of fitting rules of equal
 length that with the longer host wins; repeated rules count once, a block before an allow; repeated pages
-are judged each.
+are judged each; a very long url is judged whole; other columns may have any name and type.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from concord.llm.common import picked
+from concord.session import durable
+
 RULE_SCHEMA = "host string, path string, action string"
 #: The rules of the registered query.
 RULES = (
@@ -56,56 +61,64 @@ def _below(prefix: Column) -> Column:
     return F.concat(prefix.cast("binary"), F.unhex(F.lit("FF")))
 
 
-def nesting(intervals: DataFrame, key: str) -> int:
-    """The deepest nesting among prefix intervals: the most proper prefixes of one key that are keys too, plus one."""
-    keys = intervals.select(F.col(key).alias("k")).distinct()
-    prefixes = keys.select("k", F.explode(F.sequence(F.lit(0), F.length("k"))).alias("n")).select("k", F.expr("substr(k, 1, n)").alias("p"))
-    return prefixes.join(keys.withColumnRenamed("k", "p"), "p").groupBy("k").count().agg(F.max("count")).first()[0] or 0
+def stacks(intervals: DataFrame, key: str, payload: str) -> DataFrame:
+    """The key and ``stack`` of each of the unique prefixes ``key``: its payload and those of all that enclose it, outermost first.
+
+    Every beginning of a key is looked up among the keys, so the work is the length of the rules.
+    """
+    keys = intervals.select(F.col(key).alias("__k"), F.col(payload).alias("__load"))
+    begins = keys.select("__k", F.explode(F.sequence(F.lit(0), F.length("__k"))).alias("__n")).select("__k", "__n", F.expr("substr(__k, 1, __n)").alias("__p"))
+    found = begins.join(keys.select(F.col("__k").alias("__p"), "__load"), "__p").groupBy("__k").agg(F.array_sort(F.collect_list(F.struct("__n", "__load"))).alias("__x"))
+    return found.select(F.col("__k").alias(key), F.transform("__x", lambda x: x["__load"]).alias("stack"))
 
 
-def sweep(points: DataFrame, intervals: DataFrame, point_key: str, interval_key: str, payload: str, stack: str, lanes: int, lane_by: Column) -> DataFrame:
+def sweep(points: DataFrame, intervals: DataFrame, point_key: str, interval_key: str, payload: str, stack: str, ranges: int, mix: Column) -> DataFrame:
     """``points`` with the array ``stack``: the payloads of all intervals around each, outermost first.
 
-    ``intervals`` are key prefixes, unique, and fewer than the points by far; each end goes to every lane.
+    ``intervals`` are unique key prefixes; ``mix`` parts points of equal keys.
     """
-    depth = max(1, nesting(intervals, interval_key))
-    kind = intervals.schema[payload].dataType
-    nothing = F.lit(None).cast(kind)
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("__lane")
-    prefix = F.col(interval_key)
-    point = F.struct(*points.columns)
+    nested = stacks(intervals, interval_key, payload)
+    kind = nested.schema["stack"].dataType
+    prefix, active = F.col(interval_key), F.col("stack")
+    nobody = F.lit(None).cast(T.StructType(points.schema.fields)).alias("__point")
+    now = lambda column: F.struct(column.alias("stack")).alias("__now")
     events = [
-        points.select(F.pmod(lane_by, F.lit(lanes)).cast("int").alias("__lane"), F.col(point_key).cast("binary").alias("__at"), F.lit(1).alias("__order"), F.lit(0).alias("__step"), nothing.alias("__load"), point.alias("__point")),
-        intervals.select(everywhere, prefix.cast("binary").alias("__at"), F.lit(0).alias("__order"), F.lit(1).alias("__step"), F.col(payload).alias("__load"), F.lit(None).cast(T.StructType(points.schema.fields)).alias("__point")),
-        intervals.select(everywhere, _below(prefix).alias("__at"), F.lit(2).alias("__order"), F.lit(-1).alias("__step"), nothing.alias("__load"), F.lit(None).cast(T.StructType(points.schema.fields)).alias("__point")),
+        points.select(F.col(point_key).cast("binary").alias("__at"), F.lit(1).alias("__order"), mix.cast("long").alias("__mix"), F.lit(None).cast(T.StructType([T.StructField("stack", kind)])).alias("__now"), F.struct(*points.columns).alias("__point")),
+        nested.select(prefix.cast("binary").alias("__at"), F.lit(0).alias("__order"), F.lit(0).cast("long").alias("__mix"), now(active), nobody),
+        nested.select(_below(prefix).alias("__at"), F.lit(2).alias("__order"), F.lit(0).cast("long").alias("__mix"), now(F.slice(active, 1, F.greatest(F.size(active) - 1, F.lit(0)))), nobody),
     ]
     merged = events[0].unionByName(events[1]).unionByName(events[2])
-    so_far = Window.partitionBy("__lane").orderBy("__at", "__order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = merged.withColumn("__depth", F.sum("__step").over(so_far))
-    slots = {f"__slot{d}": F.last(F.when((F.col("__step") == 1) & (F.col("__depth") == d), F.col("__load")), ignorenulls=True).over(so_far) for d in range(1, depth + 1)}
-    swept = swept.withColumns(slots).where("__step = 0")
-    active = F.slice(F.array(*slots), F.lit(1), F.col("__depth").cast("int"))
-    return swept.select("__point.*", active.alias(stack))
-
-
-def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", lanes: int | None = None) -> DataFrame:
+    # written once: the ranges of a second evaluation could be others
+    dealt = durable(merged.repartitionByRange(ranges, "__at", "__order", "__mix").withColumn("__range", F.spark_partition_id()))
+    last = dealt.where("__now is not null").groupBy("__range").agg(F.max_by("__now", F.struct("__at", "__order")).alias("__last"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    every = dealt.sparkSession.range(ranges).select(F.col("id").cast("int").alias("__range"))
+    carried = every.join(last, "__range", "left").select("__range", F.last("__last", ignorenulls=True).over(before).alias("__open"))  # a row for each range
+    so_far = Window.partitionBy("__range").orderBy("__at", "__order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = dealt.withColumn("__now", F.last("__now", ignorenulls=True).over(so_far)).where("__point is not null")
+    swept = swept.join(F.broadcast(carried), "__range")
+    inside = F.coalesce(F.col("__now.stack"), F.col("__open.stack"), F.array().cast(kind))
+    return swept.select("__point.*", inside.alias(stack))
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: int | None = None) -> DataFrame:
     """page_id, host, path, rule and verdict for every row of ``pages`` (page_id, url)."""
     spark = pages.sparkSession
-    lanes = lanes or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     clean = rules.select(F.translate(F.coalesce("host", F.lit("")), _UPPER, _LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action").where("host <> ''")
     clean = clean.groupBy("host", "path").agg(F.max("action").alias("action"))  # block sorts behind allow
     clean = clean.withColumn("rule", F.concat("host", "path"))
     # equal rows are judged once and come out as often as they came in
-    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).groupBy("page_id", "host", "path").agg(F.count("*").alias("copies"))
+    urls = picked(pages, "page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).groupBy("page_id", "host", "path").agg(F.count("*").alias("copies"))
     urls = urls.withColumn("mix", F.xxhash64("page_id", "host", "path"))
 
-    fitting = sweep(urls, clean.select(F.col("path").alias("rule_path")).distinct(), "path", "rule_path", "rule_path", "paths", lanes, F.col("mix"))
+    fitting = sweep(urls, clean.select(F.col("path").alias("rule_path")).distinct(), "path", "rule_path", "rule_path", "paths", ranges, F.col("mix"))
     # a url without any fitting path stays as one row with a null path
     asked = fitting.select("*", F.explode_outer("paths").alias("rule_path")).drop("paths")
     key = F.concat(F.hex(F.encode("rule_path", "utf-8")), F.lit("|"), reversed_host(F.col("host")))
     asked = asked.withColumn("key", F.coalesce(key, F.lit("")))
-    ranges = clean.select(F.concat(F.hex(F.encode("path", "utf-8")), F.lit("|"), reversed_host(F.col("host"))).alias("range_key"), F.struct(F.length("rule").alias("size"), F.length("host").alias("host_size"), "rule", "action").alias("load"))
-    found = sweep(asked, ranges, "key", "range_key", "load", "hosts", lanes, F.xxhash64("mix", "rule_path"))
+    rule_keys = clean.select(F.concat(F.hex(F.encode("path", "utf-8")), F.lit("|"), reversed_host(F.col("host"))).alias("range_key"), F.struct(F.length("rule").alias("size"), F.length("host").alias("host_size"), "rule", "action").alias("load"))
+    found = sweep(asked, rule_keys, "key", "range_key", "load", "hosts", ranges, F.xxhash64("mix", "rule_path"))
     best = F.max(F.try_element_at("hosts", F.lit(-1)))
     judged = found.groupBy("page_id", "host", "path", "copies").agg(best.alias("best")).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
