@@ -56,6 +56,14 @@ def picked(df: DataFrame, *needed: str) -> DataFrame:
     return boxed(df, *needed).select(*needed)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Keys with more than one row in this many are joined by broadcast, so there are at most this many of them.
 HOT_KEYS = 20_000
 #: A key with fewer rows is never hot: one task reads them in a moment.

@@ -11,7 +11,9 @@ into numbered pages by a running total over the counts of its row sizes. A row l
 shard or page of its own.
 
 Defined results: a null key hashes as the empty string; a null text has 0 bytes; an empty table has no
-shards; repeated rows may share a shard or a chain.
+shards; repeated rows may share a shard or a chain; a text longer than the limit has a shard or page of its own;
+rows of equal size in a chain are interchangeable; other columns may have any name and type, and where one is
+called shard or page the folders' names get an underscore.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from concord.llm.common import boxed, free_name
 from concord.session import durable
 
 MAX_BYTES = 256 << 20
@@ -69,14 +72,15 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bytes: i
     ``shard`` is the bucket's bits (empty while everything fits one); ``page`` is 0 but for the pages of
     an overflowing bucket. The totals are those of the bucket.
     """
-    rows = docs.select(F.col(key), _bytes(F.col(text)), address(F.col(key)).alias("address"))
+    own = boxed(docs, key, text)
+    rows = own.select(F.col(f"`{key}`").alias("__key"), _bytes(F.col(f"`{text}`")), address(F.col(f"`{key}`")).alias("address"))
     rounds = directory(rows, max_bytes, step)
     placed = _placed(rows, rounds, step)
     if rounds[-1][0] == HASH_BITS:
         placed = _chained(placed, max_bytes)
     else:
         placed = placed.withColumn("page", F.lit(0).cast("long"))
-    return placed.select(key, F.col("bytes").alias("n_bytes"), F.col("bucket.shard").alias("shard"), F.col("bucket.depth").alias("depth"), "page", F.col("bucket.shard_bytes").alias("shard_bytes"), F.col("bucket.shard_rows").alias("shard_rows"))
+    return placed.select(F.col("__key").alias(key), F.col("bytes").alias("n_bytes"), F.col("bucket.shard").alias("shard"), F.col("bucket.depth").alias("depth"), "page", F.col("bucket.shard_bytes").alias("shard_bytes"), F.col("bucket.shard_rows").alias("shard_rows"))
 
 
 def _bytes(text: Column) -> Column:
@@ -107,6 +111,8 @@ def _chained(placed: DataFrame, max_bytes: int) -> DataFrame:
     chain = chain.withColumns({"first": F.coalesce(F.sum(F.col("bytes") * F.col("n")).over(before), F.lit(0)), "number": F.coalesce(F.sum("n").over(before), F.lit(0))})
     span = F.lit(1 << 14).cast("long")  # numbers are unfolded in two steps, so no array is long
     chain = chain.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, span)).alias("low"))
+    # a long chain is dealt to all tasks before it is unfolded
+    chain = chain.repartition("address", "bytes", "low")
     chain = chain.select("*", F.explode(F.sequence("low", F.least(F.col("low") + span, F.col("n")) - 1)).alias("i"))
     paged = chain.select(*placed.columns, _page(half).alias("page"))
     return placed.where("not bucket.chained").withColumn("page", F.lit(0).cast("long")).unionByName(paged)
@@ -139,12 +145,14 @@ def write_shards(docs: DataFrame, path: str, max_bytes: int = MAX_BYTES, step: i
     The texts of a file have at most ``max_bytes`` bytes, or it holds a single row. Rows of equal keys share a
     shard; an overflowing shard has several pages, any other only page 0.
     """
-    rows = docs.select(F.struct("*").alias("row"), _bytes(F.col("text")), address(F.col("doc_id")).alias("address"))
+    own = boxed(docs, "doc_id", "text")
+    rows = own.select(F.struct("*").alias("row"), _bytes(F.col("text")), address(F.col("doc_id")).alias("address"))
     rounds = directory(rows.select("bytes", "address"), max_bytes, step)
     placed = _placed(rows, rounds, step)
     if rounds[-1][0] == HASH_BITS:
         paged = placed.where("not bucket.chained").withColumn("page", F.lit(0).cast("long")).unionByName(_chained_rows(placed, max_bytes))
     else:
         paged = placed.withColumn("page", F.lit(0).cast("long"))
-    moved = paged.select("row.*", F.concat(F.lit("s"), F.col("bucket.shard")).alias("shard"), "page")
-    moved.repartition("shard", "page").write.partitionBy("shard", "page").mode("overwrite").parquet(path)
+    folders = [free_name(docs, n) for n in ("shard", "page")]
+    moved = paged.select("row.*", F.concat(F.lit("s"), F.col("bucket.shard")).alias("__shard"), F.col("page").alias("__page")).toDF(*docs.columns, *folders)
+    moved.repartition(*folders).write.partitionBy(*folders).mode("overwrite").parquet(path)

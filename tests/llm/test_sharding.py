@@ -59,5 +59,20 @@ def test_odd_rows(spark, odd, empty, crowded_names, tmp_path):
     assert s.shard(odd).count() == 10 and s.shard(empty).count() == 0
     assert s.shard(crowded_names, max_bytes=100).count() == 10
     assert {r["shard"] for r in s.shard(odd).collect()} == {""}
+    named = odd.selectExpr("*", "doc_id as shard", "lang as PAGE", "1 as `a.b`")
+    s.write_shards(named, str(tmp_path / "named"), 1 << 10)
+    read = spark.read.parquet(str(tmp_path / "named"))
+    assert read.count() == 10 and {"shard", "PAGE", "shard_", "page_", "a.b"} <= set(read.columns)
     s.write_shards(odd.dropDuplicates(), str(tmp_path / "out"), 1 << 10)
     assert spark.read.parquet(str(tmp_path / "out")).count() == odd.dropDuplicates().count()
+
+
+def test_a_long_chain_is_unfolded_by_many_tasks(spark, documents):
+    docs = documents((7, "y" * 10)).selectExpr("*", "explode(sequence(1, 50000)) as k")
+    found = s.shard(docs, max_bytes=100_000)
+    assert found.count() == 50_000 and found.groupBy("page").agg(F.sum("n_bytes").alias("b")).where("b > 100000").isEmpty()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
