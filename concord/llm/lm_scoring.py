@@ -1,39 +1,49 @@
 """Stupid-backoff scores of every document under the n-gram model of the whole corpus.
 
-The model is two count tables, of words and of word pairs, over all documents. They are partitioned by
+The model is a count table of all n-grams of up to ``order`` words over all documents. It is partitioned by
 n-gram hash and joined to the exploded n-grams of the documents, and the logarithms are summed by document:
 
-    S(w | v) = c(v w) / c(v)  if c(v w) >= min_count,  else  backoff * c(w) / N
+    S(w | u v) = c(u v w) / c(u v)  if c(u v w) >= min_count,  else  backoff * S(w | v);   S(w) = c(w) / N
 
 To keep a frequent n-gram from crowding one task, and to shuffle little, documents are first gathered into
-blocks of about ``block_words`` words: a block explodes to each of its distinct n-grams once, with its own
-count. One hash bucket then holds an n-gram once for each block at most, sums the corpus count, and sends
-it back to the blocks that asked; a block adds up its documents. Rows are columnar slices (sorted hashes
-of one block in one bucket, delta-coded), so an exploded n-gram costs about six bytes in each direction.
+blocks of words: a block counts each of its distinct n-grams once. Its n-grams travel in slices, arrays of the
+hashes and counts of one part of the hash space, and are exploded there to rows (part, hash, block, n). The count
+table is an aggregate of those rows by hash, and an equi-join gives each row its count in the corpus; both need no
+further shuffle, as all rows of a hash are in one part, and both spill. The counts travel back in slices, and a
+block adds up its documents. N is the sum of the words scored.
 
-Buckets are sized by the number of exploded n-grams, so memory stays bounded as the corpus grows; blocks
-and buckets are both parameters. Nothing is pruned or sampled.
+Sizes follow the input: parts hold about ``bucket_ngrams`` rows, and blocks grow until a slice holds 512
+n-grams, up to ``max_block_words``; beyond that parts grow instead and the sorts spill more. So there are never
+more slices than a 512th of the n-grams. Nothing is pruned or sampled. An n-gram is known by 64 bits of hash:
+of k distinct n-grams about k / 2^64 times k / 2 pairs share one, 3 pairs in ten billion n-grams.
 
 Defined results: a null or empty text has 0 words, score 0 and a null per-word score; the first word of a
-text is scored by its own frequency; repeated rows each count and are each scored.
+text is scored by its own frequency; repeated rows each count and are each scored, alike; a very long text is one
+document of one block, whole; an empty table gives no rows; other columns may have any name and type. The table is
+read twice where a task is lost, so rows must come from a written table, as those of files do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm.common import byte_texts
+from concord.llm.common import byte_texts, picked
 from concord.session import durable
 
 BACKOFF = 0.4
+#: Words of the model. Two, as each further word adds two thirds of what two words shuffle.
+ORDER = 2
+#: N-grams that a slice should hold at least.
+SLICE = 512
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -56,7 +66,7 @@ def narrow(values: np.ndarray) -> np.ndarray:
 
 
 def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """64-bit hashes of word pairs from the hashes of their words."""
+    """64-bit hashes of an n-gram from those of its beginning and its last word."""
     x = (left * _A) ^ ((right ^ (right >> np.uint64(29))) * _B)
     x ^= x >> np.uint64(32)
     x *= _A
@@ -64,44 +74,49 @@ def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The distinct n-grams of a run of documents: words by local number, ordered by first appearance."""
-
-    def __init__(self, lengths: np.ndarray, words: np.ndarray, vocabulary: np.ndarray):
-        self.lengths, self.words = lengths, words.astype(np.int64)
-        starts = np.zeros(len(self.words), bool)
-        starts[np.cumsum(lengths)[:-1][np.cumsum(lengths)[:-1] < len(self.words)]] = True
-        if len(starts):
-            starts[0] = True
-        self.inside = np.flatnonzero(~starts)  # positions with a word before them in the same document
-        before, size = self.words[self.inside - 1], len(vocabulary)
-        distinct, self.pair = np.unique(before * size + self.words[self.inside], return_inverse=True)
-        self.n_words = size
-        hashes = np.concatenate((vocabulary, pair_hashes(vocabulary[distinct // size], vocabulary[distinct % size]))) if size else vocabulary
-        self.order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[self.order]
-        counts = np.concatenate((np.bincount(self.words, minlength=size), np.bincount(self.pair, minlength=len(distinct))))
-        self.counts = counts[self.order].astype(np.uint64)
-
-    def scores(self, totals: np.ndarray, corpus: int, backoff: float, min_count: int) -> np.ndarray:
-        """The log score of each document, given the corpus count of each of ``hashes``."""
+    """The distinct n-grams of a run of documents. ``grams[k - 1]`` numbers the n-gram of k words that ends at each position."""
+
+    def __init__(self, lengths: np.ndarray, words: np.ndarray, vocabulary: np.ndarray, order: int):
+        self.lengths, words = lengths, words.astype(np.int64)
+        starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.place = np.arange(len(words)) - starts  # of each word in its document
+        self.grams, hashes, counts = [words], [vocabulary], [np.bincount(words, minlength=len(vocabulary))]
+        for k in range(2, order + 1):
+            at = np.flatnonzero(self.place >= k - 1)
+            distinct, number = np.unique(self.grams[-1][at - 1] * max(1, len(vocabulary)) + words[at], return_inverse=True)
+            ending = np.full(len(words), -1, np.int64)
+            ending[at] = number
+            self.grams.append(ending)
+            hashes.append(pair_hashes(hashes[-1][distinct // max(1, len(vocabulary))], vocabulary[distinct % max(1, len(vocabulary))]))
+            counts.append(np.bincount(number, minlength=len(distinct)))
+        self.sizes = [len(h) for h in hashes]
+        together = np.concatenate(hashes)
+        self.order = np.argsort(together, kind="stable")
+        self.hashes, self.counts = together[self.order], np.concatenate(counts)[self.order].astype(np.int64)
+
+    def scores(self, totals: np.ndarray, backoff: float, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each document its log score as if N were 1, and how many of its words are scored by their own frequency."""
         count = np.empty(len(totals), np.float64)
         count[self.order] = totals
-        word, pair = np.log(count[: self.n_words]), count[self.n_words :]
-        position = np.log(backoff) + word[self.words] - np.log(corpus)
-        first = np.ones(len(self.words), bool)
-        first[self.inside] = False
-        position[first] -= np.log(backoff)
-        seen = pair[self.pair] >= min_count
-        at = self.inside[seen]
-        position[at] = np.log(pair[self.pair[seen]]) - word[self.words[at - 1]]
+        by_order = np.split(count, np.cumsum(self.sizes)[:-1])
+        value = np.log(by_order[0])[self.grams[0]] if self.sizes[0] else np.empty(0)
+        alone = np.ones(len(value), bool)
+        for k in range(2, len(self.grams) + 1):
+            at = np.flatnonzero(self.place >= k - 1)
+            own, context = by_order[k - 1][self.grams[k - 1][at]], by_order[k - 2][self.grams[k - 2][at - 1]]
+            seen = own >= min_count
+            value[at] = np.where(seen, np.log(own) - np.log(context), np.log(backoff) + value[at])
+            alone[at[seen]] = False
         ends = np.cumsum(self.lengths)
-        sums = np.concatenate(([0.0], np.cumsum(position)))
-        exact = [float(np.sum(position[e - n : e])) for e, n in zip(ends, self.lengths)]
-        return np.array(exact) if len(exact) else sums[:0]
+        total = [float(np.sum(value[e - n : e])) for e, n in zip(ends, self.lengths)]
+        return np.array(total, np.float64), np.array([int(alone[e - n : e].sum()) for e, n in zip(ends, self.lengths)], np.int64)
+
+
+ENCODED = "block long, ids array<{id_type}>, lengths binary, words binary, vocabulary binary"
 
 
 def blocks(docs: DataFrame, block_words: int) -> DataFrame:
-    """block, ids, n, lengths, words, vocabulary: consecutive documents with their words as local numbers."""
+    """block, ids, lengths, words, vocabulary: consecutive documents with their words as local numbers."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +126,8 @@ def blocks(docs: DataFrame, block_words: int) -> DataFrame:
         def block() -> pa.RecordBatch:
             vocabulary = np.fromiter((xxhash.xxh64_intdigest(w) for w in local), np.uint64, len(local))
             flat = np.concatenate(words) if words else np.empty(0, np.uint32)
-            columns = [pa.array([number]), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)), pa.array([total]), *(pa.array([packed(x)], pa.binary()) for x in (narrow(np.array(lengths, np.uint64)), narrow(flat), vocabulary))]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "n", "lengths", "words", "vocabulary"])
+            columns = [pa.array([number]), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)), *(pa.array([packed(x)], pa.binary()) for x in (narrow(np.array(lengths, np.uint64)), narrow(flat), vocabulary))]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "lengths", "words", "vocabulary"])
 
         for batch in batches:
             since = 0
@@ -131,61 +146,80 @@ def blocks(docs: DataFrame, block_words: int) -> DataFrame:
         if lengths:
             yield block()
 
-    return docs.select("doc_id", "text").mapInArrow(encode, f"block long, ids array<{id_type}>, n long, lengths binary, words binary, vocabulary binary")
-
+    return docs.select("doc_id", "text").mapInArrow(encode, ENCODED.format(id_type=id_type))
 
-def _opened(lengths: bytes, words: bytes, vocabulary: bytes) -> Block:
-    return Block(unpacked(lengths).astype(np.int64), unpacked(words), unpacked(vocabulary).astype(np.uint64))
 
+def _opened(row: dict, order: int) -> Block:
+    return Block(unpacked(row["lengths"]).astype(np.int64), unpacked(row["words"]), unpacked(row["vocabulary"]).astype(np.uint64), order)
 
-def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range of hashes begins and ends in sorted ``hashes``."""
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=np.uint64)
-    return np.concatenate(([0], np.searchsorted(hashes, edges), [len(hashes)]))
 
-
-def exploded(encoded: DataFrame, buckets: int) -> DataFrame:
-    """bucket, block, hashes, counts: each block's distinct n-grams, sliced by hash range."""
+def slices(encoded: DataFrame, parts: int, order: int) -> DataFrame:
+    """part, block, hashes, counts: each block's distinct n-grams in the order of their hashes, cut by part of the hash space."""
+    width = -(-(1 << 64) // parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                own = _opened(row["lengths"], row["words"], row["vocabulary"])
-                cuts = _cuts(own.hashes, buckets)
-                slices = [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-                steps = [packed(np.diff(own.hashes[a:b], prepend=np.uint64(0))) for _, a, b in slices]
-                counts = [packed(narrow(own.counts[a:b])) for _, a, b in slices]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in slices], pa.int64()), pa.array([row["block"]] * len(slices), pa.int64()), pa.array(steps, pa.binary()), pa.array(counts, pa.binary())], names=["bucket", "block", "hashes", "counts"])
+                own = _opened(row, order)
+                part = (own.hashes // np.uint64(width)).astype(np.int64) if parts > 1 else np.zeros(len(own.hashes), np.int64)
+                cuts = np.flatnonzero(np.diff(part, prepend=-1))
+                offsets = pa.array(np.append(cuts, len(part)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (own.hashes.view(np.int64), own.counts.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(np.full(len(cuts), row["block"], np.int64)), *lists], names=["part", "block", "hashes", "counts"])
 
-    return encoded.select("block", "lengths", "words", "vocabulary").mapInArrow(run, "bucket long, block long, hashes binary, counts binary")
+    return encoded.mapInArrow(run, "part long, block long, hashes array<bigint>, counts array<int>")
 
 
-def corpus_counts(bucket: pa.Table) -> pa.Table:
-    """One bucket's count table, joined back to the n-grams that each block has sent."""
-    hashes = [np.cumsum(unpacked(x.as_py()), dtype=np.uint64) for x in bucket["hashes"]]
-    counts = np.concatenate([unpacked(x.as_py()).astype(np.float64) for x in bucket["counts"]])
-    _, which = np.unique(np.concatenate(hashes), return_inverse=True)
-    totals = np.bincount(which, weights=counts).astype(np.uint64)[which]
-    parts = np.split(totals, np.cumsum([len(h) for h in hashes])[:-1])
-    return pa.table({"bucket": bucket["bucket"], "block": bucket["block"], "totals": pa.array([packed(narrow(p)) for p in parts], pa.binary())})
+def counted(exploded: DataFrame) -> DataFrame:
+    """part, hash, total: the corpus count of every n-gram, from rows (part, hash, block, n)."""
+    # the block is read although every row has one: the rows' two readers then ask for the same columns, so the
+    # planner shuffles the slices once for both
+    return exploded.groupBy("part", "hash").agg(F.sum(F.when(F.col("block").isNotNull(), F.col("n"))).alias("total"))
 
 
-def score(docs: DataFrame, backoff: float = BACKOFF, min_count: int = 2, block_words: int = 1_000_000, bucket_ngrams: int = 2_000_000) -> DataFrame:
-    """doc_id, n_words, log_score and per_word for every row of ``docs``."""
-    encoded = durable(blocks(docs, block_words))
-    corpus = encoded.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-2 * corpus // bucket_ngrams))
-    totals = exploded(encoded, buckets).groupBy("bucket").applyInArrow(corpus_counts, "bucket long, block long, totals binary")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def gathered(rows: pa.Table) -> pa.Table:
+    """The corpus counts of one block's n-grams in one part, in the order of their slice."""
+    order = np.argsort(rows["at"].to_numpy(), kind="stable")
+    totals = rows["total"].to_numpy()[order].astype(np.uint64)
+    return pa.table({"part": rows["part"].slice(0, 1), "block": rows["block"].slice(0, 1), "totals": pa.array([packed(narrow(totals))], pa.binary())})
+
+
+@contextmanager
+def _joins_by_part(spark: SparkSession):
+    """Inside, a join by (part, hash) takes tables that are partitioned by part as they are."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    def finish(own: pa.Table, found: pa.Table) -> pa.Table:
-        row = own.to_pylist()[0]
-        block = _opened(row["lengths"], row["words"], row["vocabulary"])
-        order = np.argsort(found["bucket"].to_numpy())
-        parts = [unpacked(found["totals"][int(i)].as_py()) for i in order]
-        scores = block.scores(np.concatenate(parts).astype(np.float64), corpus, backoff, min_count) if parts else np.zeros(len(block.lengths))
-        n = block.lengths
-        per_word = pa.array(np.where(n > 0, scores / np.maximum(n, 1), 0.0), mask=n == 0)
-        return pa.table({"doc_id": own["ids"].combine_chunks().flatten(), "n_words": pa.array(n, pa.int64()), "log_score": pa.array(scores, pa.float64()), "per_word": per_word})
-
-    return encoded.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(finish, f"doc_id {id_type}, n_words long, log_score double, per_word double")
+
+def score(docs: DataFrame, backoff: float = BACKOFF, min_count: int = 2, order: int = ORDER, block_words: int | None = None, bucket_ngrams: int = 2_000_000, max_block_words: int = 8_000_000) -> DataFrame:
+    """doc_id, n_words, log_score and per_word for every row of ``docs``."""
+    spark, own = docs.sparkSession, picked(docs, "doc_id", "text")
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ngrams = order * max(1, size // 6)  # about
+    block_words = block_words or min(max_block_words, max(1_000_000, SLICE * ngrams // order // bucket_ngrams))
+    parts = max(1, min(-(-ngrams // bucket_ngrams), block_words * order // SLICE))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ngrams // (order * 16_000_000)))
+    encoded = blocks(own, block_words).repartition(tasks, "block")
+    dealt = slices(encoded, parts, order).repartition(max(parts, 1), "part")
+    exploded = dealt.select("part", "block", F.posexplode(F.arrays_zip("hashes", "counts")).alias("at", "x")).select("part", "block", "at", F.col("x.hashes").alias("hash"), F.col("x.counts").cast("long").alias("n"))
+    found = exploded.select("part", "block", "at", "hash").join(counted(exploded), ["part", "hash"])
+    totals = found.select("part", "block", "at", "total").groupBy("part", "block").applyInArrow(gathered, "part long, block long, totals binary")
+    id_type = own.schema["doc_id"].dataType.simpleString()
+
+    def finish(mine: pa.Table, back: pa.Table) -> pa.Table:
+        row = mine.to_pylist()[0]
+        block = _opened(row, order)
+        parts_of = [unpacked(back["totals"][int(i)].as_py()) for i in np.argsort(back["part"].to_numpy())]
+        logs, alone = block.scores(np.concatenate(parts_of) if parts_of else np.empty(0), backoff, min_count)
+        return pa.table({"doc_id": mine["ids"].combine_chunks().flatten(), "n_words": pa.array(block.lengths, pa.int64()), "logs": pa.array(logs, pa.float64()), "alone": pa.array(alone, pa.int64())})
+
+    with _joins_by_part(spark):
+        scored = durable(encoded.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(finish, f"doc_id {id_type}, n_words long, logs double, alone long"))
+    corpus = scored.agg(F.sum("n_words")).first()[0] or 1
+    log_score = F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(F.col("logs") - F.col("alone") * F.log(F.lit(float(max(1, corpus)))))
+    return scored.select("doc_id", "n_words", log_score.alias("log_score"), F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("per_word"))

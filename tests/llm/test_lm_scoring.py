@@ -8,30 +8,58 @@ import pytest
 from concord.llm import lm_scoring as m
 
 
-def brute(texts, backoff=0.4, min_count=2):
-    docs = [(t or "").encode().lower().split() for t in texts]
-    one, two = Counter(w for d in docs for w in d), Counter(x for d in docs for x in zip(d, d[1:]))
-    n = sum(one.values())
-    out = []
-    for d in docs:
-        total = math.log(one[d[0]] / n) if d else 0.0
-        for pair in zip(d, d[1:]):
-            total += math.log(two[pair] / one[pair[0]]) if two[pair] >= min_count else math.log(backoff * one[pair[1]] / n)
-        out.append((len(d), total))
-    return out
-
-
-@pytest.mark.parametrize("options", [{}, {"block_words": 30, "bucket_ngrams": 100}, {"block_words": 1}, {"backoff": 0.2, "min_count": 3}])
-def test_against_brute_force(documents, options):
+def brute(texts, backoff=0.4, min_count=2, order=2):
+    docs = [tuple((t or "").encode().lower().split()) for t in texts]
+    counts = Counter(d[i : i + k] for d in docs for k in range(1, order + 1) for i in range(len(d) - k + 1))
+    n = sum(map(len, docs))
+
+    def log(gram):
+        if len(gram) == 1:
+            return math.log(counts[gram] / n)
+        if counts[gram] >= min_count:
+            return math.log(counts[gram] / counts[gram[:-1]])
+        return math.log(backoff) + log(gram[1:])
+
+    return [(len(d), sum(log(d[max(0, i - order + 1) : i + 1]) for i in range(len(d)))) for d in docs]
+
+
+@pytest.mark.parametrize("options", [{}, {"block_words": 30, "bucket_ngrams": 100}, {"block_words": 1}, {"backoff": 0.2, "min_count": 3}, {"order": 3, "block_words": 40, "bucket_ngrams": 50}, {"order": 1}, {"order": 4, "min_count": 1}])
+def test_against_brute_force(documents, monkeypatch, options):
     rng = random.Random(1)
+    monkeypatch.setattr(m, "SLICE", 4)
     texts = [None, "", "one", "ONE one", *[" ".join(rng.choice("a b c d e É é f-g h".split()) for _ in range(rng.randrange(30))) for _ in range(80)]]
-    model = {k: v for k, v in options.items() if k in ("backoff", "min_count")}
+    model = {k: v for k, v in options.items() if k in ("backoff", "min_count", "order")}
     found = {r["doc_id"]: r for r in m.score(documents(*enumerate(texts)), **options).collect()}
     for i, (n, total) in enumerate(brute(texts, **model)):
         assert found[i]["n_words"] == n and found[i]["log_score"] == pytest.approx(total, abs=1e-9)
         assert found[i]["per_word"] == (pytest.approx(total / n) if n else None)
 
 
+def test_the_count_table_is_that_of_the_corpus(spark, documents):
+    texts = ["a b a b c", "b a", "c", None, ""]
+    encoded = m.blocks(documents(*enumerate(texts)), 3)
+    rows = m.slices(encoded, 5, 2).selectExpr("part", "block", "inline(arrays_zip(hashes, counts)) as (hash, n)")
+    found = sorted(r["total"] for r in m.counted(rows).collect())
+    words = [(t or "").split() for t in texts]
+    wanted = Counter(w for d in words for w in d) + Counter(p for d in words for p in zip(d, d[1:]))
+    assert found == sorted(wanted.values())
+    assert rows.groupBy("hash").agg({"part": "min", "hash": "count"}).count() == len(wanted)
+
+
+def test_joins_need_no_shuffle_of_rows(spark, documents, monkeypatch):
+    """Exploded rows are aggregated, joined and gathered where their slices arrived."""
+    plans = []
+    real = m.durable
+    monkeypatch.setattr(m, "durable", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m.score(documents(*[(i, f"a b c {i}") for i in range(50)]), block_words=600, bucket_ngrams=50).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plans[0] and "hash#" not in "".join(x for x in plans[0].splitlines() if "Exchange" in x)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
 def test_packing_round_trip():
     rng = np.random.default_rng(1)
     for values in (np.empty(0, np.uint64), np.array([0, 2**64 - 1], np.uint64), rng.integers(0, 2**63, 1000).astype(np.uint64), np.arange(70_000, dtype=np.uint64)):
