@@ -196,7 +196,7 @@ def _joins_by_part(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def score(docs: DataFrame, backoff: float = BACKOFF, min_count: int = 2, order: int = ORDER, block_words: int | None = None, bucket_ngrams: int = 2_000_000, max_block_words: int = 8_000_000) -> DataFrame:
+def score(docs: DataFrame, backoff: float = BACKOFF, min_count: int = 2, order: int = ORDER, block_words: int | None = None, bucket_ngrams: int = 1_000_000, max_block_words: int = 8_000_000) -> DataFrame:
     """doc_id, n_words, log_score and per_word for every row of ``docs``."""
     spark, own = docs.sparkSession, picked(docs, "doc_id", "text")
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -207,8 +207,9 @@ def score(docs: DataFrame, backoff: float = BACKOFF, min_count: int = 2, order:
     encoded = blocks(own, block_words).repartition(tasks, "block")
     dealt = slices(encoded, parts, order).repartition(max(parts, 1), "part")
     exploded = dealt.select("part", "block", F.posexplode(F.arrays_zip("hashes", "counts")).alias("at", "x")).select("part", "block", "at", F.col("x.hashes").alias("hash"), F.col("x.counts").cast("long").alias("n"))
-    found = exploded.select("part", "block", "at", "hash").join(counted(exploded), ["part", "hash"])
-    totals = found.select("part", "block", "at", "total").groupBy("part", "block").applyInArrow(gathered, "part long, block long, totals binary")
+    found = exploded.select("part", "block", "at", "hash").join(counted(exploded), ["hash", "part"])
+    # sorts look at the first column first, and rows of a task differ in hash and block, not in part
+    totals = found.select("part", "block", "at", "total").groupBy("block", "part").applyInArrow(gathered, "part long, block long, totals binary")
     id_type = own.schema["doc_id"].dataType.simpleString()
 
     def finish(mine: pa.Table, back: pa.Table) -> pa.Table:
