@@ -32,7 +32,7 @@ import re
 import sys
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Callable, Hashable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 from typing import Any
@@ -60,6 +60,7 @@ THREATS = frozenset("kill murder destroy hurt strangle stab shoot burn beat tuer
 WEAK, PLAIN, STRONG, THREAT, TARGET, NEGATION, REPORT, OTHER = "123TGNRo"
 INSULT = WEAK + PLAIN + STRONG
 SYMBOLS = INSULT + THREAT + TARGET + NEGATION + REPORT + OTHER
+_HITS = frozenset(INSULT + THREAT)
 STRENGTH = {WEAK: 1.0, PLAIN: 2.0, STRONG: 3.0}
 TARGET_REACH, NEGATION_REACH = 4, 3
 LIFT, RIDGE = 4.0, 2e-5
@@ -109,7 +110,7 @@ class Transducer:
 
     arcs: list[dict[str, tuple[int, float]]]
 
-    def weight(self, symbols: str) -> float:
+    def weight(self, symbols: Iterable[str]) -> float:
         """The sum of the weights along the path of ``symbols``."""
         state, total = 0, 0.0
         for symbol in symbols:
@@ -213,31 +214,33 @@ class Grammar:
         """The weight of one clause: that of its path through the machine."""
         return self.machine.weight("".join(map(self.symbol, words)))
 
-    def evidence(self, text: str) -> float:
-        clauses, words = [], []
+    def evidence(self, text: str, symbol: Callable[[str], str] | None = None) -> float:
+        """The clauses' weights, the strongest whole and the others with falling shares; ``symbol`` may remember words."""
+        look, clauses, path = symbol or self.symbol, [], []
         for token in [*tokens(text), "."]:
             if token not in CLAUSE_ENDS:
-                words.append(token)
-            elif words:
-                if weight := self.clause_weight(words):
+                path.append(look(token))
+            elif path:
+                # every weight of the patterns hangs on an insult or a threat
+                if not _HITS.isdisjoint(path) and (weight := self.machine.weight(path)):
                     clauses.append(weight)
-                words = []
+                path = []
         return sum(weight / (1 + 0.5 * k) for k, weight in enumerate(sorted(clauses, reverse=True)))
 
     def score(self, evidence: float) -> float:
         return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, self.slope * evidence + self.offset))))
 
 
-class Screen(dict):
-    """word -> whether it is an insult or threat; a bounded memory that fills itself."""
+class Symbols(dict):
+    """word -> symbol; a bounded memory that fills itself."""
 
     def __init__(self, model: Grammar):
         self.model = model
 
-    def __missing__(self, word: str) -> bool:
+    def __missing__(self, word: str) -> str:
         if len(self) > 400_000:
             self.clear()
-        found = self[word] = self.model.symbol(word) in INSULT + THREAT
+        found = self[word] = self.model.symbol(word)
         return found
 
 
@@ -256,12 +259,13 @@ def tokens(text: str) -> list[str]:
 
 def scorer(model: Grammar) -> Callable[[bytes | None], float]:
     """The evidence of a text. Texts without any insult or threat are told apart by word look-ups alone."""
-    screen = Screen(model)
+    symbols = Symbols(model)
+    symbol = symbols.__getitem__
 
     def one(text: bytes | None) -> float:
-        if not text or not any([screen[w] for w in spaced_words(text)]):
+        if not text or _HITS.isdisjoint(map(symbol, spaced_words(text))):
             return 0.0
-        return model.evidence(text.decode("utf-8", "replace"))
+        return model.evidence(text.decode("utf-8", "replace"), symbol)
 
     return one
 
