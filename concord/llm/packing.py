@@ -71,31 +71,29 @@ class CachedTokenizer:
             size += len(text or b"")
             if size >= SPAN or i == len(texts) - 1:
                 split = [runs_of(t) if self.split else [t] if t else [] for t in texts[start : i + 1]]
-                known = self.look_up(set().union(*split))
+                known = self.look_up(set().union(*split)).__getitem__
                 for runs in split:
-                    yield b"".join(map(known.__getitem__, runs)) + _END
+                    yield b"".join(map(known, runs)) + _END
                 start, size = i + 1, 0
 
     def look_up(self, runs: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of each of ``runs``, which become part of the young generation."""
-        found, missing = {}, []
-        for run in runs:
-            ids = self.young.get(run)
-            if ids is None:
-                ids = self.old.get(run)
-            if ids is None:
-                missing.append(run)
-            else:
-                found[run] = ids
-        for start in range(0, len(missing), 10_000):
-            part = missing[start : start + 10_000]
-            for run, encoded in zip(part, self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in part], add_special_tokens=False)):
-                found[run] = array("I", encoded.ids).tobytes()
+        """A table that has the ids of each of ``runs``: the young generation, or one of their own for whole texts."""
         if not self.split:
-            return found  # whole texts do not come again as a rule
+            return self.encoded(runs)  # whole texts do not come again as a rule
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
-        self.young.update(found)
+        missing = runs - self.young.keys()
+        again = missing & self.old.keys()
+        self.young.update(zip(again, map(self.old.__getitem__, again)))
+        self.young |= self.encoded(missing - again)
+        return self.young
+
+    def encoded(self, runs: set[bytes]) -> dict[bytes, bytes]:
+        todo, found = list(runs), {}
+        for start in range(0, len(todo), 10_000):
+            part = todo[start : start + 10_000]
+            ids = self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in part], add_special_tokens=False)
+            found.update(zip(part, [array("I", x.ids).tobytes() for x in ids]))
         return found
 
 
