@@ -52,6 +52,10 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.split = drops_white_space(vocabulary)
+        if self.split:
+            known, suffix = self.tokenizer.get_vocab(), json.loads(vocabulary)["model"]["end_of_word_suffix"]
+            self.ends_word = np.zeros(max(known.values()) + 1, bool)
+            self.ends_word[[i for token, i in known.items() if token.endswith(suffix)]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -89,13 +93,27 @@ class CachedTokenizer:
         return self.young
 
     def encoded(self, runs: set[bytes]) -> dict[bytes, bytes]:
-        todo, found = list(runs), {}
-        for start in range(0, len(todo), 10_000):
-            part = todo[start : start + 10_000]
+        """The ids of each of ``runs``; runs of letters alone are words to the vocabulary and are encoded as one text."""
+        found: dict[bytes, bytes] = {}
+        letters = [r for r in runs if r.isalpha() or not r.isascii() and r.decode("utf-8", "replace").isalpha()] if self.split else []
+        for start in range(0, len(letters), 10_000):
+            found |= self.words(letters[start : start + 10_000])
+        rest = [r for r in runs if r not in found]
+        for start in range(0, len(rest), 10_000):
+            part = rest[start : start + 10_000]
             ids = self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in part], add_special_tokens=False)
             found.update(zip(part, [array("I", x.ids).tobytes() for x in ids]))
         return found
 
+    def words(self, part: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words, told apart by the ids that end a word; empty if they are not one word each after all."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(part):
+            return {}
+        raw, cuts = ids.tobytes(), (4 * ends).tolist()
+        return {r: raw[a:b] for r, a, b in zip(part, [0, *cuts], cuts)}
+
 
 _TOKENIZERS: dict[int, CachedTokenizer] = {}
 

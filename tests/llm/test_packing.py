@@ -34,6 +34,18 @@ def test_cache_generations_change_nothing(monkeypatch, reference):
     assert [np.frombuffer(x, "<u4").tolist() for x in tokens.batch([t.encode() for t in texts])] == [reference(t) for t in texts]
 
 
+def test_words_are_told_apart_or_not_at_all(reference):
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        tokens = p.CachedTokenizer(f.read())
+    rng = random.Random(6)
+    plain = list({"".join(rng.choice("abcéßñ漢АΣ") for _ in range(rng.randrange(1, 12))).encode() for _ in range(3000)})
+    odd = ["İ".encode(), "ªº".encode(), "ﬁ".encode(), "ǅ".encode(), "a1".encode(), b"it's"]
+    for runs in (plain, plain + odd, odd):
+        found = tokens.encoded(set(runs))
+        assert {r: np.frombuffer(x, "<u4").tolist() for r, x in found.items()} == {r: reference(r.decode())[:-1] for r in runs}
+    assert len(tokens.words(plain)) == len(plain) and tokens.words([*plain[:5], "İ".encode()]) == {}
+
+
 def naive(lengths, capacity):
     """The sum of squares tried out for every open gap; a new bin only where none is wide enough."""
     gaps, out = [], []
