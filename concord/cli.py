@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import shlex
 import sys
 import time
 from pathlib import Path
@@ -20,13 +21,13 @@ from pyspark.sql import functions as F
 from concord.model import RESULT_SCHEMA, Pair, get_pair, load_pairs
 from concord.operators import catalog, diff, repair, watch
 from concord.plans import checks
-from concord.sources import readers, sinks
+from concord.sources import readers, sinks, tools
 from concord.streaming import delta
 
 #: Former names of commands: the command that has their meaning now, and the options that give it.
 ALIASES = {
     "hops": ("doctor", {}), "setup-target": ("schema", {}), "convert-schema": ("schema", {"convert": True}), "gen-migration": ("schema", {"migration": "migrations"}), "repair": ("sync", {}),
-    "replicate": ("move", {}), "tail": ("watch", {"follow": True}), "sample-diff": ("check", {"sample": 500}), "ui": ("report", {"serve": True}), "state": ("history", {}), "monitor": ("watch", {"rerun": True}),
+    "replicate": ("move", {"replicate": True}), "tail": ("watch", {"follow": True}), "sample-diff": ("check", {"sample": 500}), "ui": ("report", {"serve": True}), "state": ("history", {}), "monitor": ("watch", {"rerun": True}),
 }
 
 
@@ -53,6 +54,9 @@ def _reports(args: argparse.Namespace) -> str:
 def doctor(args: argparse.Namespace) -> int:
     """The configured pairs, whether both sides are set and, with ``--reach``, whether their tables can be listed."""
     bad = 0
+    if args.tools:
+        for program, place in tools.inventory().items():
+            print(f"{program}\t{place or 'not installed'}")
     for name, pair in load_pairs(args.config).items():
         state = "ok" if pair.source.configured and pair.target.configured else "not configured"
         if state == "ok" and args.reach:
@@ -139,6 +143,8 @@ def _run_checks(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if unknown:
         raise SystemExit(f"unknown checks: {', '.join(sorted(unknown))}; known: {', '.join(checks.CHECKS)}")
     if args.consistent:
+        # the log positions before the first read: what came later is in flight
+        print("\t".join(["snapshot", *(f"{side}={place}" for side in ("src", "dst") if (place := checks.position(pair, side)))]))
         pair = checks.snapshot(pair)
     old = _summary(spark, args)
     clean = {t for t in pair.tables if (mine := [r for r in old if r["scope"].split(" ")[0] == t]) and all(r["status"] in ("ok", "skip") for r in mine)}
@@ -278,8 +284,17 @@ def move(args: argparse.Namespace) -> int:
     """Copy tables by ranges of their integer key, resuming where an earlier run stopped."""
     spark = _session()
     pair = _pair(args, spark)
-    Path(args.reports, args.name).mkdir(parents=True, exist_ok=True)
-    done = sinks.MoveCheckpoint(f"{_reports(args)}/move.json")
+    if args.via:
+        if not sinks.mover_supported(pair.engine, args.via):
+            raise SystemExit(f"{args.via} does not serve {pair.engine}")
+        for command in tools.move_commands(pair, args.db, args.via):
+            print(shlex.join(command) + ("" if tools.which(command[0]) else "  # not installed here"))
+        return 0
+    if args.replicate:
+        for side, statement in tools.replication_statements(pair, args.db):
+            print(f"{side}: {statement}")
+        return 0
+    done = sinks.MoveCheckpoint(f"{_reports(args)}/move.json", spark)
     for table, state in sinks.move_plan(pair, done):
         print(f"{table}: {state}")
         if not args.go or state == "done":
@@ -409,6 +424,7 @@ def parser() -> argparse.ArgumentParser:
             continue
         if real == "doctor":
             c.add_argument("--reach", action="store_true")
+            c.add_argument("--tools", action="store_true")
             continue
         if real == "assess":
             c.add_argument("name", nargs="?", default="")
@@ -432,8 +448,9 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--migration", default="")
         c.add_argument("--ddl", default="schema.sql")
         c.add_argument("--changes", default="")
+        c.add_argument("--via", default="", choices=["", *sinks.MOVERS])
         c.add_argument("--sample", type=int, default=0)
-        for flag in ("go", "metrics", "serve", "deep", "drill", "consistent", "resume", "convert", "rerun", "follow"):
+        for flag in ("go", "metrics", "serve", "deep", "drill", "consistent", "resume", "convert", "rerun", "follow", "replicate"):
             c.add_argument(f"--{flag}", action="store_true")
         c.set_defaults(**preset)
     return p

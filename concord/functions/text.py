@@ -40,6 +40,15 @@ def canonical_ddl(ddl: Column) -> Column:
     return F.trim(_rewritten(ddl, DDL_NOISE))
 
 
+def ignored(line: Column, patterns: list[str]) -> Column:
+    """Whether a line of a definition matches one of the patterns that a pair's ignore file lists, one a line."""
+    found = F.lit(False)
+    for pattern in (p.strip() for p in patterns):
+        if pattern and not pattern.startswith("#"):
+            found = found | line.rlike(pattern)
+    return found
+
+
 def normalized_expression(expression: Column) -> Column:
     """An expression without white space and case, for comparison."""
     return F.lower(F.regexp_replace(expression, r"[\s()`\"]+", ""))

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from concord.functions.text import normalized_expression
 from concord.operators.diff import set_difference
@@ -222,9 +223,12 @@ def open_transactions(sessions: DataFrame, allowed_s: float = 3600.0) -> DataFra
 
 
 def name_lists(entries: DataFrame, group: str, name: str, shown: int = 10) -> DataFrame:
-    """The group, n and its first names in order, as one text."""
-    grouped = entries.groupBy(group).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(name)).alias("names"))
-    return grouped.select(group, "n", F.array_join(F.slice("names", 1, shown), ", ").alias("names"))
+    """The group, n and its first names in order, as one text; no task gathers more than ``shown`` names of a group."""
+    sizes = entries.groupBy(group).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(name))
+    first = entries.select(group, name).distinct().withColumn("__rank", rank).where(F.col("__rank") <= shown)
+    names = first.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list(name)), ", ").alias("names"))
+    return sizes.join(names, group)
 
 
 def references(constraints: DataFrame) -> DataFrame:

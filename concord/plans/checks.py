@@ -168,6 +168,28 @@ def catalog_results(pair: Pair, only: tuple[str, ...]) -> list[tuple]:
         out.append(("params", pair.name, r["status"], f"{r['n_different']} differ, {r['n_critical']} of them critical", "", "align the critical settings" if r["n_critical"] else ""))
     if both := sides("autoinc", "counters"):
         out += _counter_results(pair, *both)
+    if "deep" in only and pair.facts:
+        out += _deep_catalog(pair)
+    return out
+
+
+def _deep_catalog(pair: Pair) -> list[tuple]:
+    """Columns, extensions and permissions, of engines whose catalogs tell them."""
+    out: list[tuple] = []
+    both = lambda kind: [pair.facts(side, kind) for side in ("src", "dst")]
+    columns = both("columns")
+    if None not in columns:
+        # lengths and precisions as the catalog declares them, which a table's own schema may not carry
+        named = [c.select(F.concat_ws(".", "table_name", "column_name").alias("column"), "type", F.coalesce("char_length", F.lit(0)).cast("long").alias("char_length"), F.coalesce("num_scale", F.lit(0)).cast("long").alias("scale"), F.coalesce("num_precision", F.lit(0)).cast("long").alias("precision"), F.lit(False).alias("unsigned")) for c in columns]
+        out += [("deep", f"{pair.name} narrowing", "diff", f"{r['column']}: {r['reason']}", "", "widen the target's column") for r in drift.narrowed(*named).orderBy("column").collect()]
+        shaped = [c.select(F.col("table_name").alias("table"), F.col("column_name").alias("column"), "type", F.col("is_nullable").alias("nullable"), F.col("column_default").alias("default")) for c in columns]
+        out += [("deep", f"{pair.name} columns", "diff", f"{r['table']}.{r['column']} {r['attribute']}: {r['src_value']} -> {r['dst_value']}", "", "align the target's columns") for r in catalog.columns_drift(*shaped).orderBy("table", "column").collect()]
+    extensions = both("extensions")
+    if None not in extensions:
+        out += [("deep", f"{pair.name} extensions", "diff", f"{r['name']}: {r['kind']}", "", "install it on the target") for r in catalog.extensions_difference(*extensions).where("kind <> 'extra'").orderBy("name").collect()]
+    grants = both("grants")
+    if None not in grants:
+        out += [("deep", f"{pair.name} grants", "diff", f"{r['grantee']}: {r['n']} permissions missing", "", "users prints the statements") for r in catalog.grants_by_grantee(catalog.missing_grants(*grants)).orderBy("grantee").collect()]
     return out
 
 
@@ -194,6 +216,12 @@ def _counter_results(pair: Pair, src: DataFrame, dst: DataFrame) -> list[tuple]:
     return out or [("autoinc", pair.name, "ok", "no counters", "", "")]
 
 
+def position(pair: Pair, side: str) -> str:
+    """Where a side's log of changes stands, for engines that tell; noted beside a snapshot."""
+    facts = pair.facts(side, "position") if pair.facts else None
+    return "" if facts is None else str(facts.first()["position"])
+
+
 def snapshot(pair: Pair) -> Pair:
     """``pair`` with every table read once and written to the shared folder, so that all checks see the same rows."""
     kept: dict[tuple[str, str], DataFrame] = {}

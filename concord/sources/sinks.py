@@ -223,6 +223,31 @@ def copy_table(src: DataFrame, path: str) -> None:
     src.write.mode("overwrite").parquet(path)
 
 
+def write_jdbc(df: DataFrame, end, url: str, table: str, batch: int = 5000) -> None:
+    """Append rows to a table of a live engine in batches; null and '' are two values to the driver."""
+    df.write.format("jdbc").option("url", url).option("dbtable", table).option("user", end.user).option("password", end.password).option("batchsize", batch).mode("append").save()
+
+
+def move_into(src: DataFrame, key: str, end, url: str, table: str, checkpoint: MoveCheckpoint, chunk: int, clear: Callable[[int, int], None], write: Callable[..., None] = write_jdbc) -> int:
+    """Copy ``src`` by ranges of an integer key into a live table. Returns the number of ranges copied now.
+
+    ``clear(last, end)`` deletes the target's rows with last < key <= end before a range is written, so a range
+    that was begun before is not doubled.
+    """
+    bounds = src.agg(F.min(key), F.max(key)).first()
+    last = (checkpoint.state.get(table) or {}).get("last")
+    last = (bounds[0] or 0) - 1 if last is None else last
+    copied = 0
+    while bounds[0] is not None and last < bounds[1]:
+        to = min(last + chunk, bounds[1])
+        clear(last, to)
+        write(src.where((F.col(key) > last) & (F.col(key) <= to)), end, url, table)
+        last, copied = to, copied + 1
+        checkpoint.save(table, last, False)
+    checkpoint.save(table, last, True)
+    return copied
+
+
 def pick_mover(engine: str, has: Callable[[str], bool], table: str = "") -> str:
     """The bulk tool for whole databases where it is installed; single tables go through the builtin copy."""
     if table:

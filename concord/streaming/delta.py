@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from concord.functions.text import lsn_number
+from concord.model import result
 from concord.operators.diff import matched, restricted
 from concord.session import remove
 
@@ -67,6 +68,21 @@ def history_kept(oldest: str, cursor: str) -> bool:
     return place(oldest) <= place(cursor)
 
 
+#: Changes that one window of a verification takes; the rest waits for the next one.
+WINDOW = 20_000
+
+
+def window(changes: DataFrame, limit: int = WINDOW) -> tuple[DataFrame, bool]:
+    """The first ``limit`` changes by log position (a parameter of the window, not a cut: the cursor moves no further), and whether more wait."""
+    ordered = changes.orderBy(lsn_number(F.col("lsn")))
+    return ordered.limit(limit), changes.limit(limit + 1).count() > limit
+
+
+def unsupported(spark: SparkSession, engine: str, scope: str) -> DataFrame:
+    """The result of a verification of changes on an engine that keeps no log of them."""
+    return result(spark, "delta", scope, "error", f"{engine} keeps no log of changes; compare whole", "", "run check --only data")
+
+
 def touched_keys(changes: DataFrame) -> DataFrame:
     """table, key: each changed key once."""
     return changes.where("key is not null").select("table", "key").distinct()

@@ -186,3 +186,57 @@ def test_definitions_of_the_other_dialect():
     assert "numeric(20, 0)" in convert("create table t (b bigint unsigned)") and "CHECK" not in convert("create table t (b int)")
     assert convert("create table t (v varchar(10) comment 'a, b) c' not null) engine=x comment='; y'") == "CREATE TABLE t (v varchar(10) not null)"
     assert convert("create table t (f float, g double precision, n datetime(3) not null default current_timestamp(3) on update current_timestamp(3))") == "CREATE TABLE t (f real, g double precision, n timestamp(3) not null default current_timestamp(3))"
+
+
+def test_commands_of_movers_and_replication(monkeypatch, tmp_path):
+    from concord.sources import tools
+
+    ends = [Endpoint(h, 5432, "u", "p4ss", {}) for h in "ab"]
+    pair = Pair("p", "postgres", *ends, db_map={"x": "y"})
+    dump, restore = tools.move_commands(pair, "x", "pgdump")
+    assert dump[0] == "pg_dump" and dump[-1] == "x" and "--dbname=y" in restore
+    texts = [str(tools.move_commands(pair, "x", v)) for v in ("pgdump", "mydumper", "pgloader", "mongodump")] + [str(tools.replication_statements(pair, "x"))]
+    assert not any("p4ss" in x for x in texts)
+    with pytest.raises(ValueError):
+        tools.move_commands(pair, "x", "builtin")
+    program = tmp_path / "pg_dump"
+    program.write_text("")
+    program.chmod(0o755)
+    monkeypatch.setenv("CONCORD_TOOLS", str(tmp_path))
+    assert tools.inventory("postgres")["pg_dump"] == str(program) and set(tools.inventory()) > {"mydumper"}
+
+
+def test_a_move_into_a_live_table_clears_what_it_writes(spark, tmp_path):
+    live: dict[int, int] = {3: 0}
+    state = sinks.MoveCheckpoint(str(tmp_path / "m.json"))
+    clear = lambda last, to: [live.pop(k) for k in list(live) if last < k <= to]
+    write = lambda df, end, url, table: [live.__setitem__(r["id"], 1) for r in df.collect()]
+    assert sinks.move_into(spark.range(10), "id", None, "", "t", state, 4, clear, write) == 3
+    assert live == dict.fromkeys(range(10), 1) and state.state["t"]["done"]
+
+
+def test_windows_of_changes(spark):
+    from concord.streaming import delta
+
+    changes = spark.createDataFrame([(f"0/{i:X}", "t", "INSERT", str(i)) for i in range(30)], "lsn string, table string, op string, key string")
+    first, more = delta.window(changes, 20)
+    assert more and {r["key"] for r in first.collect()} == {str(i) for i in range(20)} and not delta.window(changes, 30)[1]
+    assert delta.unsupported(spark, "redis", "db0").first()["status"] == "error"
+
+
+def test_lines_that_a_pair_ignores(spark):
+    from concord.functions.text import ignored
+
+    lines = spark.createDataFrame([("-- comment",), ("OWNER TO x",), ("a int",)], "line string")
+    assert rows(lines.where(~ignored(F.col("line"), ["^--", "# not this: a int", "OWNER"]))) == [("a int",)]
+
+
+def test_catalogs_of_an_export(spark, tmp_path):
+    for side, kind in (("a", "varchar"), ("b", "text")):
+        spark.range(3).write.parquet(str(tmp_path / side / "t.parquet"))
+        facts = [("t", "c", kind, "YES", None, 100 if side == "a" else 50, None, None)]
+        spark.createDataFrame(facts, "table_name string, column_name string, type string, is_nullable string, column_default string, char_length long, num_precision long, num_scale long").write.option("ignoreNullFields", "false").json(str(tmp_path / side / "_catalog/columns.json"))
+        spark.createDataFrame([("app", "t", "SELECT")] if side == "a" else [("ro", "t", "SELECT")], "grantee string, object string, privilege string").write.json(str(tmp_path / side / "_catalog/grants.json"))
+    pair = readers.bind(spark, Pair("p", "parquet", *[Endpoint(options={"path": str(tmp_path / x)}) for x in "ab"], meta={"t": TableMeta(key=("id",))}))
+    found = {r["scope"]: r["detail"] for r in checks.check(spark, pair, ("deep",)).collect() if r["status"] == "diff"}
+    assert found == {"p narrowing": "t.c: char 100 -> 50", "p columns": "t.c type: varchar -> text", "p grants": "app: 1 permissions missing"}
