@@ -1,5 +1,8 @@
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from concord.llm import decontamination, language_id, quality_rules, simhash
+from concord.llm.queries import vocabulary_path
 from concord.session import table
 
 
@@ -24,6 +27,61 @@ def test_stages_follow_each_other(spark, sf_dir):
     assert {r["doc_id"] for r in run.collect()} == ids and run.columns == five.columns
 
 
+def test_a_run_against_brute_force(spark, sf_dir):
+    """What a run packs, worked out document by document with the plain rules that hold each operator in its own test."""
+    from tests.llm import test_decontamination, test_packing, test_quality_rules, test_simhash  # noqa: F401
+
+    docs = table(spark, sf_dir, "documents").orderBy("doc_id").collect()
+    items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").collect()]
+    kept = []
+    for r in docs:
+        words, _, _, _, hit = test_quality_rules.brute(r["text"])
+        if words >= 50 and 100 * hit <= 50 * words:
+            kept.append(r)  # the few labels of the smallest tables certify no cutoff
+    one = spark.createDataFrame(kept, table(spark, sf_dir, "documents").schema)
+    model = language_id.train(one)
+    known = []
+    for r in kept:
+        lang, score = model.predict(r["text"].encode())
+        if lang != "und" and score >= 0.5:
+            known.append(r)
+    roots = test_simhash.brute_components([test_simhash.brute_fingerprint(r["text"]) for r in known])
+    first = [r for i, r in enumerate(known) if roots[i] == i]
+    wanted = {r["doc_id"] for r in first if not test_decontamination.brute(r["text"], items)[4]}
+    found = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r["doc_id"] for r in found} == wanted and len(known) > len(first) >= len(wanted) > 50
+    tokenizer = Tokenizer.from_file(vocabulary_path())
+    for r in first:
+        if r["doc_id"] in wanted:
+            n = len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1
+            mine = sorted((x["piece"], x["start"], x["length"]) for x in found if x["doc_id"] == r["doc_id"])
+            assert mine == [(k, 2048 * k, min(2048, n - 2048 * k)) for k in range(-(-n // 2048))]
+    places: dict[int, list] = {}
+    for r in found:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for rows in places.values():
+        at = 0
+        for offset, length in sorted(rows):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_a_run_leaves_only_what_its_result_reads(spark, sf_dir):
+    from concord.session import ensure_checkpoint_dir, remove
+
+    def folders():
+        path = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        return {s.getPath().getName() for s in system.listStatus(path) if s.getPath().getName().split("-")[0] in ("pipeline", "table")}
+
+    before = folders()
+    corpus_pipeline.run(spark, sf_dir)
+    left = folders() - before
+    assert len(left) == 1 and next(iter(left)).startswith("pipeline-")
+    remove(spark, f"{ensure_checkpoint_dir(spark)}/{left.pop()}")
+
+
 def test_stages_take_odd_rows(spark, odd, empty, sf_dir):
     for docs in (odd, empty):
         for _, stage in corpus_pipeline.STAGES:
