@@ -19,6 +19,7 @@ may have any name and type.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -163,6 +164,14 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
     width = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # lists of runs hold no cycles; searching them for some again and again costs a twentieth of the time
+        gc.disable()
+        try:
+            yield from cut_up(batches)
+        finally:
+            gc.enable()
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = CachedTokenizer.shared(shared.value)
         serial = TaskContext.get().partitionId() << 36
         for batch in batches:
