@@ -29,7 +29,7 @@ def test_stages_follow_each_other(spark, sf_dir):
 
 def test_a_run_against_brute_force(spark, sf_dir):
     """What a run packs, worked out document by document with the plain rules that hold each operator in its own test."""
-    from tests.llm import test_decontamination, test_packing, test_quality_rules, test_simhash  # noqa: F401
+    from tests.llm import test_decontamination, test_quality_rules, test_simhash
 
     docs = table(spark, sf_dir, "documents").orderBy("doc_id").collect()
     items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").collect()]
