@@ -336,8 +336,8 @@ def repairable(results: DataFrame) -> DataFrame:
     return results.groupBy("check", "scope").agg(rank.alias("status")).where("status in ('diff', 'error')")
 
 
-def heterogeneous(src: DataFrame, dst: DataFrame, key: list[str]) -> DataFrame:
-    """only_in_src, only_in_dst, updated, status of two tables of different engines, on common types."""
+def heterogeneous(src: DataFrame, dst: DataFrame, key: list[str], pairs: bool = False) -> DataFrame:
+    """only_in_src, only_in_dst, updated, status of two tables of different engines, on common types; counts of keys, or of ``pairs``."""
     a, b = diff.cast_to_common(src, dst)
-    counts = diff.summary(a, b, key)
+    counts = diff.summary(a, b, key, pairs=pairs)
     return counts.select(F.col("missing").alias("only_in_src"), F.col("extra").alias("only_in_dst"), F.col("changed").alias("updated"), F.when(F.col("missing") + F.col("extra") + F.col("changed") == 0, "ok").otherwise("diff").alias("status"))

@@ -110,9 +110,9 @@ def apply_changes(target: DataFrame, changes: DataFrame, key: Sequence[str], ord
     return kept.unionByName(last.where("op <> 'DELETE'").select(*target.columns))
 
 
-def verify_touched(src: DataFrame, dst: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The key columns and kind of touched keys that differ."""
-    return restricted(src, dst, keys, key).where("kind <> 'same'")
+def verify_touched(src: DataFrame, dst: DataFrame, keys: DataFrame, key: Sequence[str], pairs: bool = False) -> DataFrame:
+    """The key columns and kind of touched keys that differ, or of their ``pairs``."""
+    return restricted(src, dst, keys, key, pairs=pairs).where("kind <> 'same'")
 
 
 def batch_verifier(read_src: Callable[[], DataFrame], read_dst: Callable[[], DataFrame], key: Sequence[str], report: str | None = None) -> Callable[[DataFrame, int], None]:
