@@ -4,6 +4,9 @@ Large-star and small-star rounds (Kiveris et al., 2014) rewrite the edges until
 smallest node of its component. Every round is two shuffles of the edge table; nothing but the edge count
 and a checksum reaches the driver, and each round is cut by a checkpoint. The edges of a node that has very
 many are not shuffled to one task: such nodes are few, by arithmetic, and are looked up by broadcast.
+
+A round is written in as many files as its edges need, however many partitions a shuffle has: the last rounds
+have few edges, and a file for each of many empty partitions would cost more than they do.
 """
 
 from __future__ import annotations
@@ -15,6 +18,10 @@ from concord.llm.common import HOT_ROWS, joined
 from concord.session import durable
 
 
+#: A task writes about so many edges of a round.
+TASK_EDGES = 100_000
+
+
 def _star(edges: DataFrame, large: bool, total: int, hot_edges: int) -> DataFrame:
     """One star round over ``total`` undirected edges (u, v)."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -40,7 +47,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, hot_edges: int
             break
         before = (now["n"], now["h"])
         # a star round never has more edges than it was given, but for one to each node's least
-        current = durable(_star(_star(current, True, now["n"], hot_edges), False, now["n"], hot_edges))
+        tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-now["n"] // TASK_EDGES))
+        current = durable(_star(_star(current, True, now["n"], hot_edges), False, now["n"], hot_edges).coalesce(tasks))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

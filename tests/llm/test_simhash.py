@@ -165,3 +165,21 @@ def test_random_pairs_meet_in_every_block_split(spark):
         keys.setdefault(r["fp"], set()).add(r["key"])
     assert {len(v) for v in keys.values()} <= set(range(129, 132))  # 131 variants, some of them equal
     assert all(keys[a] & keys[b] for a, b in pairs)
+
+
+def test_a_round_of_few_edges_is_few_files(spark, monkeypatch):
+    files, plain = [], components.durable
+    monkeypatch.setattr(components, "durable", lambda df: files.append((out := plain(df)).rdd.getNumPartitions()) or out)
+    for key, value in (("spark.sql.shuffle.partitions", 97), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(key, value)
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
+        assert {r["root"] for r in components.connected_components(edges).collect()} == {0}
+        assert len(files) > 2 and max(files[1:]) <= spark.sparkContext.defaultParallelism
+        files.clear()
+        monkeypatch.setattr(components, "TASK_EDGES", 10)
+        assert {r["root"] for r in components.connected_components(edges).collect()} == {0}
+        assert max(files[1:]) >= 30
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
