@@ -49,9 +49,13 @@ def restore(after: DataFrame, repair: RowRepair, key: Sequence[str]) -> DataFram
 
 
 def row_plan(differing: DataFrame, key: Sequence[str], policy: str = SOURCE_WINS) -> DataFrame:
-    """kind, operation, n: what a repair would do, without doing it."""
+    """kind, operation, n: what a repair would do, without doing it.
+
+    ``differing`` has a row for each key, or the counts of ``diff.paired``, which are added up.
+    """
     operation = F.when(F.col("kind") == "missing", "insert").when(F.col("kind") == "extra", "delete").when(F.lit(policy == KEEP_TARGET), "keep").otherwise("replace")
-    return differing.groupBy("kind").agg(F.count("*").alias("n")).withColumn("operation", operation)
+    n = F.sum("__n") if "__n" in differing.columns else F.count("*")
+    return differing.groupBy("kind").agg(n.alias("n")).withColumn("operation", operation)
 
 
 def sync_tool_fits(key: Sequence[str], n_keys: int) -> bool:
