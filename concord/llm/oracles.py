@@ -58,4 +58,38 @@ select doc.doc_id, cast(len(w) as bigint) as n_words, round(coalesce(s, 0.0), 4)
 from doc left join summed on doc.doc_id = summed.doc_id
 """
 
-ORACLE_SQL = {"op7_lm_scoring": LM_SCORING, "op2_url_filters": URL_FILTERS, "op4_sharding": SHARDING, "op10_decontamination": DECONTAMINATION}
+#: All pairs of equal words at most a quarter of the text apart; crc32 bit by bit, as DuckDB has none.
+PERIODIC_RUNS = r"""
+with cut as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda b: list_concat([cast(ascii(b) as bigint)], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+      lambda c, x: case when x >= 0 then xor(c, x) when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c
+  from documents
+), planted as (
+  select doc_id, w, len(w) as n, xor(c, 4294967295) as h, xor(c, 4294967295) // 10 as g from cut
+), spec as (
+  select doc_id, w, n, h % 10 = 0 and n > 0 as yes, case when n > 0 then g % n else 0 end as a, 3 + g % 8 as k from planted
+), word as (
+  select doc_id, n, i, w[1 + case when yes and i >= a then a + (i - a) % (1 + (n - a) // k) else i end] as word
+  from (select *, unnest(range(0, n)) as i from spec where n > 0)
+), same as (
+  select x.doc_id, y.i - x.i as q, x.i from word x join word y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i and 4 * (y.i - x.i) <= x.n
+), island as (
+  select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as island from same
+), stretch as (
+  select doc_id, q, min(i) as s, count(*) + q as len from island group by doc_id, q, island having count(*) + q >= greatest(6, 4 * q)
+), run as (
+  select * from stretch x where not exists (select 1 from stretch y where y.doc_id = x.doc_id and y.q < x.q and y.s <= x.s and y.s + y.len >= x.s + x.len)
+), listed as (
+  select doc_id, count(*) as n_runs, min((-len, s, q)) as best, string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q) as runs from run group by doc_id
+), dropped as (
+  select distinct doc_id, i from (select doc_id, unnest(range(s + q, s + len)) as i from run)
+), kept as (
+  select doc_id, string_agg(word, ' ' order by i) as words from word x where not exists (select 1 from dropped d where d.doc_id = x.doc_id and d.i = x.i) group by doc_id
+)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, best[2] as start, -best[1] as length, best[3] as period, -1000 * best[1] // best[3] as exponent_milli,
+  sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(words, '')) as collapsed_sha256
+from documents d left join listed l on l.doc_id = d.doc_id left join kept k on k.doc_id = d.doc_id
+"""
+
+ORACLE_SQL = {"op7_lm_scoring": LM_SCORING, "op2_url_filters": URL_FILTERS, "op4_sharding": SHARDING, "op10_decontamination": DECONTAMINATION, "op12_periodic_runs": PERIODIC_RUNS}
