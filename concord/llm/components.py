@@ -53,3 +53,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, hot_edges: int
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def least_ids(nodes: DataFrame, roots: DataFrame, salts: int = 32) -> DataFrame:
+    """node, component_id for every row of ``nodes`` (node, least): the smallest ``least`` of its component.
+
+    ``roots`` are those of ``connected_components``; a node that it lacks is a component of its own. Members are
+    salted, as one component may hold many of them.
+    """
+    found = durable(nodes.join(roots, "node", "left"))
+    linked = found.where("root is not null")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    several = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(named, ["root", "salt"]).select("node", "component_id")
+    return found.where("root is null").select("node", F.col("least").alias("component_id")).unionByName(several)

@@ -92,4 +92,21 @@ select d.doc_id, coalesce(n_runs, 0) as n_runs, best[2] as start, -best[1] as le
 from documents d left join listed l on l.doc_id = d.doc_id left join kept k on k.doc_id = d.doc_id
 """
 
-ORACLE_SQL = {"op7_lm_scoring": LM_SCORING, "op2_url_filters": URL_FILTERS, "op4_sharding": SHARDING, "op10_decontamination": DECONTAMINATION, "op12_periodic_runs": PERIODIC_RUNS}
+#: Every posting of an item's term, weighted and summed, and the ten best of each item.
+RANKED_SEARCH = r"""
+with doc as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), sized as (select doc_id, w, len(w) as n from doc where len(w) > 0
+), corpus as (select count(*) as docs, cast(coalesce(sum(n), 0) as bigint) as total from sized
+), item as (
+  select item_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as term from benchmark) group by all
+), posting as (select doc_id, n, term, count(*) as tf from (select doc_id, n, unnest(w) as term from sized) where term in (select term from item) group by all
+), weight as (select term, cast(floor(1000 * ln((2.0::double * docs + 2) / (2 * df + 1))) as bigint) as w from (select term, count(*) as df from posting group by term), corpus
+), scored as (
+  select item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total)))) as bigint) as score
+  from item join posting using (term) join weight using (term), corpus group by item_id, doc_id
+), ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
+"""
+
+ORACLE_SQL = {"op7_lm_scoring": LM_SCORING, "op2_url_filters": URL_FILTERS, "op4_sharding": SHARDING, "op10_decontamination": DECONTAMINATION, "op12_periodic_runs": PERIODIC_RUNS, "op13_ranked_search": RANKED_SEARCH}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontamination, language_id, lm_scoring, packing, periodic_runs, quality_rules, sharding, simhash, toxicity, url_filter, warc
+from concord.llm import decontamination, jaccard_join, language_id, lm_scoring, packing, periodic_runs, quality_rules, ranked_search, sharding, simhash, toxicity, url_filter, warc
 from concord.llm.oracles import ORACLE_SQL
 from concord.session import table
 
@@ -61,8 +61,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("starts", "ends", "items")
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_quality_rules, op4_sharding, op5_language_id, op6_simhash, op7_lm_scoring, op8_warc, op9_best_fit_packing, op10_decontamination, op12_periodic_runs)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_quality_rules, op4_sharding, op5_language_id, op6_simhash, op7_lm_scoring, op8_warc, op9_best_fit_packing, op10_decontamination, op11_jaccard_join, op12_periodic_runs, op13_ranked_search)}
