@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.model import RESULT_SCHEMA, Pair, get_pair, load_pairs
-from concord.operators import catalog, diff, repair, watch
+from concord.functions import dialects
+from concord.operators import align, catalog, diff, repair, watch
 from concord.plans import checks
 from concord.sources import readers, sinks, tools
 from concord.streaming import delta
@@ -95,13 +96,28 @@ def assess(args: argparse.Namespace) -> int:
     return int(failed)
 
 
+def _target_engine(pair: Pair) -> str:
+    return readers.engine_of(pair.options["target_engine"] if pair.engine == "hetero" else pair.engine)
+
+
+def _declared(pair: Pair) -> dict[tuple[str, str], str]:
+    """The source catalog's own types by table and column, where both sides speak one dialect and it tells them."""
+    found = pair.facts("src", "columns") if pair.facts and pair.engine != "hetero" else None
+    if found is None:
+        return {}
+    size = lambda r: f"({r['char_length']})" if r["char_length"] and r["char_length"] > 0 and "char" in r["type"] else f"({r['num_precision']},{r['num_scale']})" if r["type"] in ("numeric", "decimal") and r["num_precision"] else ""
+    return {(r["table_name"], r["column_name"]): r["type"] + size(r) for r in found.collect()}
+
+
 def _schema_actions(pair: Pair) -> list[dict]:
-    """Statements that add the columns which the target lacks; one row for each such column."""
-    actions = []
+    """Statements that add the columns which the target lacks, in its dialect and by the source catalog's types; one for each such column."""
+    missing, declared = [], _declared(pair)
     for table in pair.kept_tables():
-        src, dst = (catalog.schema_table(pair.table(side, table), table) for side in ("src", "dst"))
-        actions += [r.asDict() for r in repair.schema_actions(src.join(dst, ["table", "column"], "left_anti")).collect()]
-    return actions
+        src, dst = (pair.table(side, table) for side in ("src", "dst"))
+        known = align.matches(src.columns, dst.columns)
+        missing += [(pair.names.get(table, table), f.name, declared.get((table, f.name), f.dataType)) for f in src.schema if f.name not in known]
+    engine = _target_engine(pair)
+    return repair.schema_actions(missing, engine if engine in dialects.DIALECTS else "duckdb")
 
 
 def schema(args: argparse.Namespace) -> int:
@@ -167,7 +183,8 @@ def _drill(pair: Pair, args: argparse.Namespace, tables: set[str]) -> None:
     for table in sorted(tables & set(pair.kept_tables())):
         key = list(pair.meta[table].key) if table in pair.meta else []
         if key:
-            src, dst = pair.table("src", table), pair.table("dst", table)
+            both = checks.sides(pair, table)
+            src, dst = both.src, both.dst
             sinks.write_keys(diff.differences(src, dst, key), f"{_reports(args)}/keys", table)
             sinks.write_evidence(diff.sample_compare(src, dst, key), args.reports.rstrip("/"), args.name, args.db or "default", f"data-{table}")
 
@@ -193,7 +210,8 @@ def _probe(spark: SparkSession, args: argparse.Namespace) -> int:
     for table in pair.kept_tables():
         key = list(pair.meta[table].key) if table in pair.meta else []
         if key:
-            found = {r["kind"]: r["n"] for r in diff.probe(pair.table("src", table), pair.table("dst", table), key, args.sample).collect()}
+            both = checks.sides(pair, table)
+            found = {r["kind"]: r["n"] for r in diff.probe(both.src, both.dst, key, args.sample).collect()}
             bad, looked = bad + sum(n for k, n in found.items() if k != "same"), looked + 1
             print(f"{table}\t" + " ".join(f"{k}={n}" for k, n in sorted(found.items())))
     return int(bad > 0 or not looked)
@@ -230,9 +248,10 @@ def _sync(spark: SparkSession, pair: Pair, args: argparse.Namespace, kind: str)
         plan = repair.sequence_repair(src, dst, checks.counter_maxima(pair, dst), pair.engine)
         for r in plan.orderBy("table").collect():
             print(f"{r['table']}: {r['action']} {r['undo_value']} -> {r['target_value']}")
-        actions = [r.asDict() for r in repair.sequence_actions(plan).collect()]
+        actions = repair.sequence_actions(plan, _target_engine(pair))
     for action in actions:
-        print("\n".join(action["statements"]))
+        print("\n".join(action["statements"] or [f"{action['scope']}: {action['note']}"]))
+    actions = [action for action in actions if action["statements"]]
     if args.go and actions:
         print(*sinks.migration_files(actions, f"{_reports(args)}/migrations", int(time.time()), kind))
     return 0

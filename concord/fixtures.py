@@ -40,6 +40,14 @@ PAIRS = {
     "conversations_dst": "select conv_id, turn, role, case when turn = 1 and conv_id % 5 = 0 then concat(text, '!') else text end as text from {conversations} where not (conv_id % 7 = 0 and turn = 0)",
     "log": "select event_type as topic, user_id % 4 as part, row_number() over (partition by event_type, user_id % 4 order by event_id) - 1 as off, event_id as key, props as v from {events}",
     "ticks": "select 'events' as series, cast(floor(event_id / 100) as bigint) as tick, count(*) as n from {events} group by 2",
+    "counters_src": """select 'orders' as counter, max(o_orderkey) as last_value, 1 as increment, true as is_called, true as owned from {orders}
+        union all select 'part', max(p_partkey), 1, true, true from {part} union all select 'customer', max(c_custkey), 1, true, true from {customer}
+        union all select 'supplier', max(s_suppkey), 1, true, false from {supplier} union all select 'events', max(event_id), 1, true, true from {events}""",
+    "counters_dst": """select 'orders' as counter, min(o_orderkey) as last_value, 1 as increment, false as is_called, true as owned from {orders}
+        union all select 'part', max(p_partkey), 1, true, true from {part} union all select 'customer', max(c_custkey) - 5, 1, true, true from {customer}
+        union all select 'supplier', min(s_suppkey), 1, false, false from {supplier}""",
+    "counter_maxima": """select 'orders' as counter, max(o_orderkey + case when o_orderkey % 101 = 0 then 1000000 else 0 end) as high from {orders}
+        union all select 'part', max(p_partkey) from {part} union all select 'customer', max(c_custkey) from {customer} union all select 'supplier', max(s_suppkey) from {supplier}""",
     "docs_json": "select event_id as id, props as doc from {events}",
     "docs_json_dst": "select event_id as id, case when event_id % 50 = 0 then '{{\"k\": null}}' when event_id % 77 = 0 then '{{}}' when event_id % 3 = 0 then '{{\"k\": \"x\"}}' else props end as doc from {events} where event_id % 91 <> 0",
 }
@@ -82,6 +90,21 @@ def duck_number(md5: str) -> str:
     return f"cast(cast('0x' || substr({md5}, 1, 16) as ubigint) as hugeint)"
 
 
+@dataclass(frozen=True)
+class Derived:
+    """A derived table whose column ``given`` is called ``name``, a word that one of the two dialects keeps for itself."""
+
+    table: str
+    given: str
+    name: str
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return pair(spark, sf_dir, self.table).withColumnRenamed(self.given, self.name)
+
+    def sql(self) -> str:
+        return f'(select {self.given} as "{self.name}", * exclude ({self.given}) from {duck(self.table)})'
+
+
 @dataclass(frozen=True)
 class Rows:
     """Literal rows with a DDL schema."""

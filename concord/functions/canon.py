@@ -2,8 +2,10 @@
 
 Doubles are written with all the digits that tell them apart, timestamps as epoch microseconds, booleans and
 integers by their digits, nulls as a token. The default row text prefixes each text with its length and ends
-each number, so no separator can be forged. A ``scale`` rounds doubles instead, for pairs of engines that
-store them with fewer digits; nothing rounds unless it is asked to.
+each number, so no separator can be forged. Arrays, maps and structs are written by the same rules at every
+level, between marks of their kind: an array in its order, a map by its sorted entries, a struct with its names.
+A ``scale`` rounds doubles instead, for pairs of engines that store them with fewer digits; nothing rounds
+unless it is asked to.
 """
 
 from __future__ import annotations
@@ -16,12 +18,17 @@ from pyspark.sql import types as T
 
 NULL = "~"
 _PLAIN = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType)
+_NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 _LIMB = (1 << 22) - 1
 
 
 def canonical(name: str, kind: T.DataType, scale: int | None = None) -> Column:
     """One column as canonical text, null for null. Doubles are exact unless ``scale`` rounds them."""
-    column = F.col(f"`{name}`")
+    return text_of(F.col(f"`{name}`"), kind, scale)
+
+
+def text_of(column: Column, kind: T.DataType, scale: int | None = None) -> Column:
+    """A value as canonical text, null for null; values of nested types end where their closing mark is."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         if scale is not None:
             return F.coalesce(column.try_cast(f"decimal(38,{scale})").cast("string"), column.cast("string"))
@@ -35,18 +42,45 @@ def canonical(name: str, kind: T.DataType, scale: int | None = None) -> Column:
         return F.when(column, F.lit("t")).when(~column, F.lit("f"))
     if isinstance(kind, T.BinaryType):
         return F.lower(F.hex(column))
-    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(column, {"ignoreNullFields": "false"})
+    if isinstance(kind, T.ArrayType):
+        return _between("[]", F.array_join(F.transform(column, lambda x: part_of(x, kind.elementType, scale)), ""))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(column), lambda e: F.concat(part_of(e["key"], kind.keyType, scale), part_of(e["value"], kind.valueType, scale)))
+        return _between("{}", F.array_join(F.array_sort(entries), ""))
+    if isinstance(kind, T.StructType):
+        fields = [x for f in kind.fields for x in (measured(F.lit(f.name)), part_of(column.getField(f.name), f.dataType, scale))]
+        return F.when(column.isNotNull(), _between("()", F.concat(F.lit(""), *fields)))
     if isinstance(kind, T.VariantType):
-        return F.to_json(column)
+        # its writer sorts the names of objects
+        return _between("<>", measured(F.to_json(column)))
     return column.cast("string")
 
 
+def _between(marks: str, text: Column) -> Column:
+    return F.concat(F.lit(marks[0]), text, F.lit(marks[1]))
+
+
+def part_of(column: Column, kind: T.DataType, scale: int | None = None) -> Column:
+    """A value as a part of a longer text, never null: it tells where it ends, and no value of another kind reads like it."""
+    text = text_of(column, kind, scale)
+    if isinstance(kind, _NESTED):
+        return F.coalesce(text, F.lit(NULL))
+    # the text of a number holds no mark, so a mark ends it; only other texts need their length
+    return F.coalesce(F.concat(text, F.lit(";")), F.lit(NULL)) if isinstance(kind, _PLAIN) else measured(text)
+
+
 def fields_of(df: DataFrame, columns: Sequence[str] | None = None, scale: int | None = None) -> list[Column]:
     kinds = {f.name: f.dataType for f in df.schema}
     return [canonical(c, kinds[c], scale) for c in columns or df.columns]
 
 
+def marked_fields(df: DataFrame, columns: Sequence[str] | None = None, scale: int | None = None) -> list[Column]:
+    """Each column's text behind = or, for nested types, behind their own mark; ~ for null. For hashes of single columns."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    names = list(columns or df.columns)
+    return [F.coalesce(x if isinstance(kinds[c], _NESTED) else F.concat(F.lit("="), x), F.lit(NULL)) for c, x in zip(names, fields_of(df, names, scale))]
+
+
 def measured(*texts: Column) -> Column:
     """Texts in one, each behind its length and null as a token: no two lists of texts give the same one."""
     return F.concat(*[F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit(NULL)) for x in texts])
@@ -54,11 +88,10 @@ def measured(*texts: Column) -> Column:
 
 def row_text(df: DataFrame, columns: Sequence[str] | None = None, mode: str = "length", scale: int | None = None) -> Column:
     """The text of a row. Modes: ``length`` (default, injective), ``pipe`` (| and ~), ``hash`` (# and ~null~), ``json``."""
-    parts = fields_of(df, columns, scale)
     if mode == "length":
         kinds = {f.name: f.dataType for f in df.schema}
-        # the text of a number holds no mark, so a mark ends it; only other texts need their length
-        return F.concat(*[F.coalesce(F.concat(p, F.lit(";")), F.lit(NULL)) if isinstance(kinds[c], _PLAIN) else measured(p) for p, c in zip(parts, columns or df.columns)])
+        return F.concat(*[part_of(F.col(f"`{c}`"), kinds[c], scale) for c in columns or df.columns])
+    parts = fields_of(df, columns, scale)
     if mode == "pipe":
         return F.concat_ws("|", *[F.coalesce(p, F.lit(NULL)) for p in parts])
     if mode == "hash":

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from concord.functions.canon import fields_of, key_text, limbs, row_ids, row_text
+from concord.functions.canon import fields_of, key_text, limbs, marked_fields, row_ids, row_text
+from concord.operators.align import align
 from concord.session import spread
 
 
@@ -131,7 +132,7 @@ def column_drift(src: DataFrame, dst: DataFrame, key: Sequence[str], columns: Se
     shape = "column string, n_diff long"
     if not names:
         return src.sparkSession.createDataFrame([], shape)
-    hashed = lambda df: [F.xxhash64(F.coalesce(F.concat(F.lit("="), x), F.lit("~"))) for x in fields_of(df, names, scale)]
+    hashed = lambda df: [F.xxhash64(x) for x in marked_fields(df, names, scale)]
     rows = _both(src, dst, key, {f"__h{i}": pair for i, pair in enumerate(zip(hashed(src), hashed(dst)))})
     sums = [F.sum(x * F.col("__side")).alias(f"__d{i}_{j}") for i in range(len(names)) for j, x in enumerate(limbs(F.col(f"__h{i}")))]
     found = rows.groupBy(*[f"__k{i}" for i in range(len(key))]).agg(*_rows_of_each(), *sums)
@@ -241,21 +242,6 @@ def line_difference(src: list[str], dst: list[str]) -> list[str]:
 
 
 def cast_to_common(src: DataFrame, dst: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables with shared columns in one type, for pairs of different engines: numbers meet in DECIMAL or DOUBLE, the rest in STRING."""
-    a, b = {f.name: f.dataType.simpleString() for f in src.schema}, {f.name: f.dataType.simpleString() for f in dst.schema}
-    left, right = [], []
-    for name in (c for c in src.columns if c in b):
-        kinds = {a[name], b[name]}
-        if len(kinds) == 1:
-            kind = a[name]
-        elif kinds <= {"tinyint", "smallint", "int", "bigint", "boolean"}:
-            kind = "bigint"
-        elif all(k in ("float", "double", "tinyint", "smallint", "int", "bigint") or k.startswith("decimal") for k in kinds):
-            kind = "double"
-        elif all(k.startswith(("timestamp", "date")) for k in kinds):
-            kind = "timestamp"
-        else:
-            kind = "string"
-        left.append(F.col(f"`{name}`").cast(kind).alias(name))
-        right.append(F.col(f"`{name}`").cast(kind).alias(name))
-    return src.select(*left), dst.select(*right)
+    """Both tables with their shared columns in one type, for pairs of different engines."""
+    both = align(src, dst)
+    return both.src, both.dst

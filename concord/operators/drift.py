@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concord.functions.canon import canonical
 from concord.functions.text import normalized_expression
@@ -20,7 +21,7 @@ CHARSET_WIDTH = {"utf8mb4": 4, "utf8mb3": 3, "utf8": 3, "latin1": 1, "ascii": 1}
 
 
 def all_not_null(columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    return reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns])
 
 
 def orphans(child: DataFrame, columns: Sequence[str], parent: DataFrame, parent_columns: Sequence[str]) -> DataFrame:
@@ -127,8 +128,9 @@ def replacement_excess(src: DataFrame, dst: DataFrame, columns: Sequence[str] |
 
 def collapsing(df: DataFrame, column: str, collation: str | None = None) -> DataFrame:
     """folded, n: values that become equal under a looser collation; ``None`` folds by lower()."""
-    folded = F.lower(F.col(column)) if collation is None else F.collate(F.col(column), collation)
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v"), folded.alias("folded"))
+    value = F.col(f"`{column}`")
+    folded = F.lower(value) if collation is None else F.collate(value, collation)
+    values = df.where(value.isNotNull()).select(value.alias("v"), folded.alias("folded"))
     return values.groupBy("folded").agg(F.count("*").alias("n")).where("n > 1").select(F.col("folded").cast("string").alias("folded"), "n")
 
 
@@ -163,7 +165,7 @@ def charset_downgrade(src: DataFrame, dst: DataFrame) -> DataFrame:
 
 def generated_mismatch(df: DataFrame, column: str, expression: str) -> DataFrame:
     """Rows whose stored value is not what the expression gives, nulls compared as values."""
-    return df.where(~F.col(column).eqNullSafe(F.expr(expression)))
+    return df.where(~F.col(f"`{column}`").eqNullSafe(F.expr(expression)))
 
 
 def generation_drift(src: DataFrame, dst: DataFrame) -> DataFrame:
@@ -177,10 +179,47 @@ def partition_drift(src: DataFrame, dst: DataFrame) -> DataFrame:
     return set_difference(src, dst, "table", "bound")
 
 
+def merged_bounds(bounds: Sequence[tuple]) -> list[tuple]:
+    """The declared ranges [low, high), in order, with those that overlap or touch in one; empty ranges hold nothing."""
+    out: list[list] = []
+    for low, high in sorted((a, b) for a, b in bounds if a < b):
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(high, out[-1][1])
+        else:
+            out.append([low, high])
+    return [tuple(x) for x in out]
+
+
+def _place(value: Column, kind: T.DataType) -> Column | None:
+    """A value on a line of doubles that keeps its order, or None for types that have no distances."""
+    if isinstance(kind, T.NumericType):
+        return value.cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(value.cast("timestamp")).cast("double")
+    return None
+
+
 def stranded(df: DataFrame, column: str, bounds: Sequence[tuple]) -> DataFrame:
-    """Rows that no declared range [low, high) holds, so they lie in the default partition."""
-    held = reduce(lambda a, b: a | b, [(F.col(column) >= low) & (F.col(column) < high) for low, high in bounds], F.lit(False))
-    return df.where(~F.coalesce(held, F.lit(False)))
+    """Rows that no declared range [low, high) holds, so they lie in the default partition.
+
+    An interval join: the line from the least to the greatest bound is cut into as many cells as there are
+    ranges, a range is listed under the cells that it covers, which are three for each range at most on the
+    whole, and a row looks its cell up. The plan stays the same however many ranges there are.
+    """
+    spark, value, kind = df.sparkSession, F.col(f"`{column}`"), df.schema[column].dataType
+    ranges = merged_bounds(bounds)
+    place = _place(value, kind)
+    if not ranges:
+        return df
+    if place is None:  # texts: few ranges, as lists of partitions have
+        held = reduce(lambda a, b: a | b, [(value >= low) & (value < high) for low, high in ranges])
+        return df.where(~F.coalesce(held, F.lit(False)))
+    table = spark.createDataFrame([(str(a), str(b)) for a, b in ranges], "low string, high string").select(F.col("low").cast(kind).alias("__low"), F.col("high").cast(kind).alias("__high"))
+    first, last = table.agg(F.min(_place(F.col("__low"), kind)).alias("a"), F.max(_place(F.col("__high"), kind)).alias("b")).first()
+    width = (last - first) / len(ranges)
+    cell = lambda x: F.floor((x - F.lit(first)) / F.lit(width))
+    cells = table.withColumn("__cell", F.explode(F.sequence(cell(_place(F.col("__low"), kind)), cell(_place(F.col("__high"), kind)))))
+    return df.withColumn("__at", cell(place)).join(F.broadcast(cells), (F.col("__at") == F.col("__cell")) & (value >= F.col("__low")) & (value < F.col("__high")), "left_anti").drop("__at")
 
 
 def boundary(src: DataFrame, dst: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from concord.model import ACTION_SCHEMA
+from concord.functions import dialects
 from concord.operators.diff import differences, matched
 from concord.session import durable
 
@@ -64,39 +65,49 @@ def sync_tool_fits(key: Sequence[str], n_keys: int) -> bool:
 
 
 def sequence_repair(src: DataFrame, dst: DataFrame, maxima: DataFrame, engine: str = "postgres") -> DataFrame:
-    """table, target_value, undo_value, action for each counter.
+    """table, target_value, undo_value, undo_called, action for each counter.
 
     postgres: up to the larger of the source's value and the target's largest key; refused if an owned
     counter's target already holds keys beyond the source. mysql: only raised. Others: set to the source.
+    ``undo_called`` is false for a counter that has given no number yet.
     """
     j = src.select("table", F.col("last_value").alias("s"), F.coalesce("owned", F.lit(False)).alias("owned")).join(dst.select("table", F.col("last_value").alias("d"), F.coalesce("is_called", F.lit(True)).alias("called")), "table").join(maxima, "table", "left")
     high = F.coalesce("high", F.lit(0))
     if engine == "postgres":
         target = F.greatest("s", high)
-        action = F.when(F.col("owned") & (high > F.col("s")), "refused").when((target == 0) | (target == F.col("d")), "none").otherwise("set")
-        undo = F.when(F.col("called"), F.col("d")).otherwise(F.lit(1))
+        action = F.when(F.col("owned") & (high > F.col("s")), "refused").when((target == 0) | (F.col("called") & (target == F.col("d"))), "none").otherwise("set")
     elif engine == "mysql":
         target = F.greatest("s", high + 1)
         action = F.when(target > F.col("d"), "set").otherwise("none")
-        undo = F.col("d")
     else:
-        target, undo = F.col("s"), F.col("d")
-        action = F.when(F.col("s") == F.col("d"), "none").otherwise("set")
-    return j.select("table", target.cast("long").alias("target_value"), undo.cast("long").alias("undo_value"), action.alias("action"))
+        target = F.col("s")
+        action = F.when(F.col("called") & (F.col("s") == F.col("d")), "none").otherwise("set")
+    return j.select("table", target.cast("long").alias("target_value"), F.col("d").cast("long").alias("undo_value"), F.col("called").alias("undo_called"), action.alias("action"))
 
 
-def sequence_actions(plan: DataFrame) -> DataFrame:
-    """The repair actions of a counter plan, with their undo."""
-    call = lambda value: F.array(F.concat(F.lit("SELECT setval('"), F.col("table"), F.lit("', "), F.col(value).cast("string"), F.lit(")")))
-    rows = plan.where("action = 'set'").select(F.col("table").alias("scope"), F.lit("sequences").alias("kind"), call("target_value").alias("statements"), call("undo_value").alias("undo"), F.lit("").alias("note"))
-    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ACTION_SCHEMA])
+def sequence_actions(plan: DataFrame, engine: str = "postgres") -> list[dict]:
+    """The repair actions of a counter plan in the engine's own statements, each with its exact undo; refused ones as notes.
 
-
-def schema_actions(missing: DataFrame, table: str = "table") -> DataFrame:
-    """ALTER statements for columns that the target lacks, with their reverse."""
-    forward = F.array(F.concat(F.lit("ALTER TABLE "), F.col(table), F.lit(" ADD COLUMN "), F.col("column"), F.lit(" "), F.col("type")))
-    backward = F.array(F.concat(F.lit("ALTER TABLE "), F.col(table), F.lit(" DROP COLUMN "), F.col("column")))
-    return missing.select(F.concat_ws(".", table, "column").alias("scope"), F.lit("schema").alias("kind"), forward.alias("statements"), backward.alias("undo"), F.lit("").alias("note"))
+    A plan has a row for each counter of a catalog, so it is read whole.
+    """
+    actions = []
+    for r in plan.where("action in ('set', 'refused')").orderBy("table").collect():
+        if r["action"] == "refused":
+            actions.append({"scope": r["table"], "kind": "sequences", "statements": [], "undo": [], "note": f"REFUSED: the target's largest key {r['target_value']} is beyond the source"})
+            continue
+        do = dialects.counter_statements(engine, r["table"], r["target_value"])
+        undo = dialects.counter_statements(engine, r["table"], r["undo_value"], r["undo_called"])
+        actions.append({"scope": r["table"], "kind": "sequences", "statements": do, "undo": undo, "note": f"{r['undo_value']} -> {r['target_value']}"})
+    return actions
+
+
+def schema_actions(missing: list[tuple[str, str, str | T.DataType]], engine: str = "postgres") -> list[dict]:
+    """Statements that add columns (table, column, type), with their reverse. A type is the catalog's own text, or Spark's."""
+    actions = []
+    for table, column, kind in missing:
+        do, undo = dialects.add_column(engine, table, column, kind)
+        actions.append({"scope": f"{table}.{column}", "kind": "schema", "statements": [do], "undo": [undo], "note": ""})
+    return actions
 
 
 def login_plan(difference: DataFrame) -> DataFrame:

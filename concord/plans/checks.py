@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.model import RESULT_SCHEMA, Pair, TableMeta
-from concord.operators import catalog, diff, drift, fingerprint
+from concord.operators import align, catalog, diff, drift, fingerprint
 from concord.session import durable
 
 CHECKS = ("schema", "objects", "params", "counts", "autoinc", "data", "deep")
@@ -35,38 +35,50 @@ def fused(df: DataFrame, key: list[str] | None = None) -> DataFrame:
     texts = drift.text_columns(df)
     aggregates = [F.count("*").alias("n"), hash_sum(row_hash(df)).alias("checksum")]
     if key and len(key) == 1:
-        aggregates += [F.min(key[0]).cast("string").alias("low"), F.max(key[0]).cast("string").alias("high")]
+        bound = F.col(f"`{key[0]}`")
+        aggregates += [F.min(bound).cast("string").alias("low"), F.max(bound).cast("string").alias("high")]
     for c in texts:
         aggregates += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"nulls_{c}"), F.count_if(F.col(f"`{c}`") == "").alias(f"empties_{c}"), F.coalesce(F.sum(F.length(F.col(f"`{c}`")) - F.length(F.replace(F.col(f"`{c}`"), F.lit(drift.REPLACEMENT), F.lit("")))), F.lit(0)).alias(f"fffd_{c}")]
     return df.agg(*aggregates)
 
 
+def sides(pair: Pair, table: str) -> align.Aligned:
+    """Both sides of a table in comparable form: under the source's names, and for two engines in types that meet."""
+    src, dst = pair.table("src", table), pair.table("dst", table)
+    if pair.engine == "hetero":
+        return align.align(src, dst)
+    names = align.matches(src.columns, dst.columns)
+    shared = [c for c in src.columns if c in names]
+    alone = sorted({*src.columns} - {*names} | {*dst.columns} - {*names.values()})
+    return align.Aligned(src.select(*[F.col(f"`{c}`") for c in shared]), dst.select(*[F.col(f"`{names[c]}`").alias(c) for c in shared]), alone, [])
+
+
 def check_table(pair: Pair, table: str, only: tuple[str, ...] = CHECKS) -> list[tuple]:
     """Results of one table as rows of the result schema."""
     out = []
-    src, dst = pair.table("src", table), pair.table("dst", table)
+    both = sides(pair, table)
+    src, dst = both.src, both.dst
     meta = pair.meta.get(table) or TableMeta()
-    shared = [c for c in src.columns if c in dst.columns]
-    key = list(meta.key) if all(k in shared for k in meta.key) else []
-    lines = lambda df: [f"{f.name} {f.dataType.simpleString()}" for f in df.schema]
-    changed = diff.line_difference(lines(src), lines(dst))
+    key = list(meta.key) if all(k in src.columns for k in meta.key) else []
     if "schema" in only:
+        lines = lambda side: [f"{f.name} {f.dataType.simpleString()}" for f in pair.table(side, table).schema]
+        # two engines name their types in their own ways: only columns that do not meet are differences
+        changed = [*(f"{c} on one side" for c in both.alone), *both.apart] if pair.engine == "hetero" else diff.line_difference(lines("src"), lines("dst"))
         out.append(("schema", table, "diff" if changed else "ok", "; ".join(changed[:10]), "", "align the target's columns" if changed else ""))
     if not {"counts", "data", "deep"} & set(only):
         return out
-    if not shared:
+    if not src.columns:
         return [*out, ("data", table, "error", "the sides share no column", "", "align the target's columns")]
-    a, b = fused(src.select(*shared), key).first(), fused(dst.select(*shared), key).first()
+    a, b = fused(src, key).first(), fused(dst, key).first()
     if "counts" in only:
         out.append(("counts", table, "ok" if a["n"] == b["n"] else "diff", f"src={a['n']} dst={b['n']}", "", "" if a["n"] == b["n"] else "copy the missing rows"))
     if "data" in only:
-        result = _data_result(pair, table, src.select(*shared), dst.select(*shared), key, a, b)
-        uneven = sorted({*src.columns} ^ {*dst.columns})
-        if uneven:  # equal in what both have, but not the same table
-            result = ("data", table, "diff", f"columns of one side: {','.join(uneven)}; shared columns: {result[3]}", "", "align the target's columns")
+        result = _data_result(pair, table, src, dst, key, a, b)
+        if both.alone:  # equal in what both have, but not the same table
+            result = ("data", table, "diff", f"columns of one side: {','.join(both.alone)}; shared columns: {result[3]}", "", "align the target's columns")
         out.append(result)
     if "deep" in only:
-        out += _deep_results(pair, table, src.select(*shared), dst.select(*shared), meta, key, a, b)
+        out += _deep_results(pair, table, src, dst, meta, key, a, b)
     return out
 
 
@@ -113,7 +125,8 @@ def _deep_results(pair: Pair, table: str, src: DataFrame, dst: DataFrame, meta:
         moved = a[f"nulls_{c}"] != b[f"nulls_{c}"] and a[f"nulls_{c}"] + a[f"empties_{c}"] == b[f"nulls_{c}"] + b[f"empties_{c}"]
         found("nullempty", moved, f"{c}: null {a[f'nulls_{c}']} -> {b[f'nulls_{c}']}", "load nulls as nulls")
         found("encoding", b[f"fffd_{c}"] > a[f"fffd_{c}"], f"{c}: {b[f'fffd_{c}'] - a[f'fffd_{c}']} replacement characters more", "load with the source's charset")
-    for r in drift.narrowed(drift.type_facts(src), drift.type_facts(dst)).collect():
+    declared = [drift.type_facts(pair.table(side, table)) for side in ("src", "dst")]
+    for r in drift.narrowed(*declared).collect() if pair.engine != "hetero" else ():
         found("narrowing", True, f"{r['column']}: {r['reason']}", "widen the target's column")
     if len(key) == 1 and a["low"] is not None and b["low"] is not None and dict(dst.dtypes)[key[0]] in ("tinyint", "smallint", "int", "bigint"):
         found("boundary", int(b["high"]) > int(a["high"]), f"largest key {a['high']} -> {b['high']}", "find out who writes to the target")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.fixtures import COLUMNS, Rows, duck, duck_fields, duck_number, duck_row_hash, pair
+from concord.fixtures import COLUMNS, Derived, Rows, duck, duck_fields, duck_number, duck_row_hash, pair
 from concord.functions import text
 from concord.operators import catalog, diff, drift, fingerprint, repair, stores, watch
 from concord.model import Endpoint, Pair, TableMeta
@@ -597,38 +597,35 @@ def role_gap(spark, sf_dir):
 
 # ---- counters and repair
 
-_COUNTER = "table string, last_value long, increment long, is_called boolean, owned boolean"
-_SRC_SEQ = Rows(_COUNTER, (("a", 1000, 1, True, True), ("b", 50, 1, True, True), ("c", 7, 1, True, False), ("d", 0, 1, False, False), ("e", 5, 1, True, True)))
-_DST_SEQ = Rows(_COUNTER, (("a", 1, 1, False, True), ("b", 50, 1, True, True), ("c", 7, 1, True, False), ("d", 0, 1, False, False)))
-_MAXIMA = Rows("table string, high long", (("a", 1000), ("b", 90), ("c", 7), ("d", 0)))
+_SRC_SEQ, _DST_SEQ, _MAXIMA = (Derived(name, "counter", "table") for name in ("counters_src", "counters_dst", "counter_maxima"))
 
 
 @query(f"select *, case when max_value > 0 and next_value <= max_value then 'diff' else 'ok' end as status from (select c.\"table\", case when is_called then last_value + increment else last_value end as next_value, high as max_value from {_DST_SEQ.sql()} c join {_MAXIMA.sql()} m on c.\"table\" = m.\"table\")")
 def sequence_usable(spark, sf_dir):
-    return catalog.counters_usable(_DST_SEQ.df(spark), _MAXIMA.df(spark))
+    return catalog.counters_usable(_DST_SEQ.df(spark, sf_dir), _MAXIMA.df(spark, sf_dir))
 
 
 @query(f"select *, case when max_value > 0 and next_value <= max_value then 'diff' else 'ok' end as status from (select c.\"table\", last_value as next_value, high as max_value from {_DST_SEQ.sql()} c join {_MAXIMA.sql()} m on c.\"table\" = m.\"table\")")
 def sequence_usable_next(spark, sf_dir):
-    return catalog.counters_usable(_DST_SEQ.df(spark), _MAXIMA.df(spark), "mysql")
+    return catalog.counters_usable(_DST_SEQ.df(spark, sf_dir), _MAXIMA.df(spark, sf_dir), "mysql")
 
 
 @query(f"select s.\"table\", cast(s.last_value as varchar) as src_value, coalesce(cast(d.last_value as varchar), 'MISSING') as dst_value, case when s.last_value = d.last_value then 'ok' else 'diff' end as status from {_SRC_SEQ.sql()} s left join {_DST_SEQ.sql()} d on s.\"table\" = d.\"table\"")
 def sequence_parity(spark, sf_dir):
-    return catalog.counters_parity(_SRC_SEQ.df(spark), _DST_SEQ.df(spark))
+    return catalog.counters_parity(_SRC_SEQ.df(spark, sf_dir), _DST_SEQ.df(spark, sf_dir))
 
 
 _SEQ_JOIN = f"{_SRC_SEQ.sql()} s join {_DST_SEQ.sql()} d on s.\"table\" = d.\"table\" left join {_MAXIMA.sql()} m on s.\"table\" = m.\"table\""
 
 
-@query(f"select s.\"table\", greatest(s.last_value, coalesce(high, 0)) as target_value, case when d.is_called then d.last_value else 1 end as undo_value, case when s.owned and coalesce(high, 0) > s.last_value then 'refused' when greatest(s.last_value, coalesce(high, 0)) in (0, d.last_value) then 'none' else 'set' end as action from {_SEQ_JOIN}")
+@query(f"select s.\"table\", greatest(s.last_value, coalesce(high, 0)) as target_value, d.last_value as undo_value, d.is_called as undo_called, case when s.owned and coalesce(high, 0) > s.last_value then 'refused' when greatest(s.last_value, coalesce(high, 0)) = 0 or d.is_called and greatest(s.last_value, coalesce(high, 0)) = d.last_value then 'none' else 'set' end as action from {_SEQ_JOIN}")
 def sequence_repair_plan(spark, sf_dir):
-    return repair.sequence_repair(_SRC_SEQ.df(spark), _DST_SEQ.df(spark), _MAXIMA.df(spark))
+    return repair.sequence_repair(_SRC_SEQ.df(spark, sf_dir), _DST_SEQ.df(spark, sf_dir), _MAXIMA.df(spark, sf_dir))
 
 
-@query(f"select s.\"table\", greatest(s.last_value, coalesce(high, 0) + 1) as target_value, d.last_value as undo_value, case when greatest(s.last_value, coalesce(high, 0) + 1) > d.last_value then 'set' else 'none' end as action from {_SEQ_JOIN}")
+@query(f"select s.\"table\", greatest(s.last_value, coalesce(high, 0) + 1) as target_value, d.last_value as undo_value, d.is_called as undo_called, case when greatest(s.last_value, coalesce(high, 0) + 1) > d.last_value then 'set' else 'none' end as action from {_SEQ_JOIN}")
 def counter_raise_plan(spark, sf_dir):
-    return repair.sequence_repair(_SRC_SEQ.df(spark), _DST_SEQ.df(spark), _MAXIMA.df(spark), "mysql")
+    return repair.sequence_repair(_SRC_SEQ.df(spark, sf_dir), _DST_SEQ.df(spark, sf_dir), _MAXIMA.df(spark, sf_dir), "mysql")
 
 
 _ROWS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, epoch_us(o_orderdate) as ordered_us, o_orderpriority"

@@ -12,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from concord.model import SYSTEM_PREFIXES, Endpoint, Pair, TableMeta
+from concord.operators import align
 from concord.sources import catalogs
 
 #: Other names of the same engines.
@@ -193,7 +194,12 @@ def bind(spark: SparkSession, pair: Pair, database: str = "") -> Pair:
     if not pair.tables:
         given = pair.options.get("tables")
         pair.tables = tuple(given or list_tables(spark, ends["src"], kinds["src"], database))
-        pair.target_tables = None if given else tuple(list_tables(spark, ends["dst"], kinds["dst"], pair.side_db("dst", database)))
+        there = None if given and engine != "hetero" else tuple(list_tables(spark, ends["dst"], kinds["dst"], pair.side_db("dst", database)))
+        if engine == "hetero":
+            pair.names = align.resolve(pair.tables, there)
+            back = {theirs: ours for ours, theirs in pair.names.items()}
+            there = tuple(back.get(t, t) for t in there)
+        pair.target_tables = None if given else there
     if kinds["src"] in JDBC:
         pair.meta = catalogs.table_meta(ask["src"], ends["src"], database, kinds["src"]) | pair.meta
     elif kinds["src"] == "sqlite":
