@@ -15,7 +15,8 @@ extended to 2 m + 3 tokens, for then they hold more than one common token:
 A combination that many sets have, as in large groups of near copies, is not paired out: each of its sets is
 compared with the one that has the fewest rare tokens, the likely origin of the others. Those that turn out in
 another component than that one are then compared with all sets of the combination that they are not yet linked
-with, in cells of a bounded number of sets. So no link is missed that would join two components.
+with, in cells of a bounded number of sets, by bitmaps; a cell takes several combinations of one hub, so that a
+pair which shares them is found once. So no link is missed that would join two components.
 
 Candidates are first held against parity bitmaps of their sets, which bound the overlap from above, then compared
 token by token. A token that is frequent within a task is known to be frequent, and its rows are dealt out by set;
@@ -324,27 +325,44 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(own("v"), "v").join(own("u"), "u").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
-def _matrix(bits: list[bytes], to: int) -> np.ndarray:
-    """Bitmaps folded to ``to`` bits, as rows of words."""
-    rows = [folded(int.from_bytes(x, "little"), 8 * len(x), to).to_bytes(to // 8, "little") for x in bits]
-    return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), to // 64)
+def _matrices(bits: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Bitmaps by their width in words: the places of their rows, and the bitmaps as rows of words."""
+    sizes = np.array([len(x) // 8 for x in bits])
+    found = {int(w): np.flatnonzero(sizes == w) for w in np.unique(sizes)}
+    return {w: (at, np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), w)) for w, at in found.items()}
+
+
+def _narrowed(rows: np.ndarray, words: int) -> np.ndarray:
+    """Rows of words folded to fewer words, as ``folded`` does it."""
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
 
 
 def compared(odd: pa.Table, cell: pa.Table) -> pa.Table:
-    """u, v: pairs of an odd set and one of the cell that are in different components and not ruled out by their bitmaps."""
-    u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    by_width = lambda t: {w: t.filter(pa.array([len(x) == w for x in t["bits"].to_pylist()], pa.bool_())) for w in {len(x) for x in t["bits"].to_pylist()}}
-    for w, left in by_width(odd).items():
-        for w2, right in by_width(cell).items():
-            to = 8 * min(w, w2)
-            (fp, n, root), (fp2, n2, root2) = ([t[c].to_numpy() for c in ("fp", "n", "root")] for t in (left, right))
-            mine, theirs = (_matrix(t["bits"].to_pylist(), to) for t in (left, right))
-            for k in range(len(fp)):
-                shared = (n[k] + n2 - np.bitwise_count(theirs ^ mine[k]).sum(axis=1, dtype=np.int64)) // 2
-                at = np.flatnonzero((root2 != root[k]) & ((100 + SIMILARITY) * shared >= SIMILARITY * (n[k] + n2)))
-                u.append(np.minimum(fp[k], fp2[at]))
-                v.append(np.maximum(fp[k], fp2[at]))
-    return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
+    """u, v: of the combinations of a hub, pairs of an odd set and one of the cell that are in different components and not ruled out by their bitmaps."""
+    pairs = [np.empty((2, 0), np.int64)]
+    left, right = ({c: t[c].to_numpy() for c in ("key", "fp", "n", "root")} for t in (odd, cell))
+    for w, (at, mine) in _matrices(odd["bits"].to_pylist()).items():
+        for w2, (at2, theirs) in _matrices(cell["bits"].to_pylist()).items():
+            a, b = _narrowed(mine, min(w, w2)), _narrowed(theirs, min(w, w2))
+            order = np.argsort(right["key"][at2], kind="stable")
+            keys, at2_sorted, b = right["key"][at2][order], at2[order], b[order]
+            lows, highs = (np.searchsorted(keys, left["key"][at], side) for side in ("left", "right"))
+            for k, low, high in zip(range(len(at)), lows.tolist(), highs.tolist()):
+                i, near = at[k], at2_sorted[low:high]
+                shared = (left["n"][i] + right["n"][near] - np.bitwise_count(b[low:high] ^ a[k]).sum(axis=1, dtype=np.int64)) // 2
+                near = near[(right["root"][near] != left["root"][i]) & ((100 + SIMILARITY) * shared >= SIMILARITY * (left["n"][i] + right["n"][near]))]
+                if len(near):
+                    other = right["fp"][near]
+                    pairs.append(np.stack([np.minimum(left["fp"][i], other), np.maximum(left["fp"][i], other)]))
+    u, v = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    return pa.table({"u": u, "v": v})
+
+
+#: Combinations of a hub whose cells are one: a pair that shares several of them is found once.
+TOGETHER = 64
 
 
 def left_over(combos: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -353,13 +371,15 @@ def left_over(combos: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFram
     rows = combos.join(of, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     at_hub = rows.where("fp = hub").select("key", F.col("root").alias("__root"), F.col("many").alias("weight"))
     rows = joined(rows, at_hub, "key", "weight", rows.count()).withColumn("odd", F.col("root") != F.col("__root"))
-    counted = rows.groupBy("key").agg(F.count_if("odd").alias("n_odd"), F.count("*").alias("weight")).where("n_odd > 0")
-    rows = durable(joined(rows, counted, "key", "weight", rows.count()).join(sizes.select("fp", "bits"), "fp"))
-    cells = F.ceil(F.col("many") / CELL).cast("int")
-    members = rows.withColumn("cell", F.pmod(F.xxhash64("fp"), cells).cast("int"))
-    odd = rows.where("odd").withColumn("cell", F.explode(F.sequence(F.lit(0), cells - 1)))
-    columns = ["key", "cell", "fp", "n", "root", "bits"]
-    found = odd.select(*columns).groupBy("key", "cell").cogroup(members.select(*columns).groupBy("key", "cell")).applyInArrow(compared, "u long, v long")
+    counted = durable(rows.groupBy("key").agg(F.first("hub").alias("h"), F.count_if("odd").alias("n_odd"), F.count("*").alias("weight")).where("n_odd > 0"))
+    by_hub = counted.groupBy(F.col("h").alias("hub")).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("chunks"), F.ceil(F.max("weight") / CELL).cast("int").alias("cells"), F.sum("weight").alias("weight"))
+    total = rows.count()
+    rows = joined(joined(rows, counted.select("key", "weight"), "key", "weight", total), by_hub, "hub", "weight", total)
+    rows = durable(rows.join(sizes.select("fp", "bits"), "fp").withColumn("chunk", F.pmod("key", "chunks")))
+    members = rows.withColumn("cell", F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int"))
+    odd = rows.where("odd").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    by, columns = ["hub", "chunk", "cell"], ["key", "fp", "n", "root", "bits"]
+    found = odd.select(*by, *columns).groupBy(*by).cogroup(members.select(*by, *columns).groupBy(*by)).applyInArrow(compared, "u long, v long")
     return found.distinct()
 
 
