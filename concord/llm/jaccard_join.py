@@ -294,8 +294,8 @@ def plausible(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.select("u", "v", "nu", "bu", "nv", "bv").mapInArrow(run, "u long, v long")
 
 
-def sets_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """fp, tokens: the whole sets of the classes ``fp`` of ``needed``, built again from the texts."""
+def sets_of(docs: DataFrame, needed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """fp, tokens: the whole sets of the classes ``fp`` of ``needed``, built again from the text of one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -305,7 +305,11 @@ def sets_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in tokens], pa.int64()), pa.array([x.tobytes() for x in tokens], pa.binary())], names=["fp", "tokens"])
 
     few = needed.count() <= FEW_SETS
-    built = docs.select("text").mapInArrow(run, "fp long, tokens binary").join(F.broadcast(needed) if few else needed, "fp", "left_semi")
+    near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    ids = sizes.join(needed, "fp", "left_semi").select(F.col("least").alias("__id")).distinct()
+    chosen = docs.join(near(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # texts of other classes under the same id go here
+    built = chosen.select("text").mapInArrow(run, "fp long, tokens binary").join(near(needed), "fp", "left_semi")
     return built.groupBy("fp").agg(F.first("tokens").alias("tokens"))
 
 
@@ -391,7 +395,7 @@ def links(docs: DataFrame, sizes: DataFrame, marks: DataFrame, rare: int = RARE)
     stars = combos.where("fp <> hub").select(F.least("fp", "hub").alias("u"), F.greatest("fp", "hub").alias("v"))
     pairs = durable(plausible(near.unionByName(stars).distinct(), sizes))
     needed = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).union(combos.select("fp")).distinct()
-    sets = durable(sets_of(docs, durable(needed)))
+    sets = durable(sets_of(docs, durable(needed), sizes))
     edges = durable(verified(pairs, sets))
     roots = connected_components(edges)
     if combos.isEmpty():
