@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from concord.fixtures import duck, pair
+from concord.fixtures import COLUMNS, duck, duck_row_hash, pair
+from concord.functions import dialects
 from concord.model import Endpoint, Pair, TableMeta
 from concord.operators import diff
 from concord.plans import checks
 from concord.registry import query
+from concord.sources import pushdown
 
 
 def _multisets(key: str, src: str, dst: str) -> str:
@@ -64,3 +67,23 @@ def hetero_check(spark, sf_dir):
 
     two = Pair("two", "hetero", Endpoint(host="a"), Endpoint(host="b"), tables=("sales.orders",), meta={"sales.orders": TableMeta(key=("o_orderkey",))}, read=read)
     return checks.check(spark, two, ("schema", "counts", "data")).select("check", "scope", "status", "detail")
+
+
+# ---- fingerprints by the engine, and the descent
+
+_ORDERS_SCHEMA = T.StructType([T.StructField(n, {"i": T.LongType(), "s": T.StringType(), "d": T.DoubleType(), "t": T.TimestampType()}[k]) for n, k in COLUMNS["orders"].items()])
+_ORDER_HASH = duck_row_hash(COLUMNS["orders"])
+_PUSHED = pushdown.fingerprint_sql(dialects.DUCKDB, "orders_dst", _ORDERS_SCHEMA, "o_orderkey", 4096)
+
+
+@query(f"with orders_dst as {duck('orders_dst')} {_PUSHED}")
+def pushed_fingerprint(spark, sf_dir):
+    """Ranges as Spark sums them; the SQL is the statement that an engine is sent for the same."""
+    return pushdown.FrameSide(pair(spark, sf_dir, "orders_dst").select(*COLUMNS["orders"]), "o_orderkey").chunks(4096)
+
+
+@query(f"select * from ({_multisets('o_orderkey', *(f'select o_orderkey, {_ORDER_HASH} as v from {t}' for t in ('orders', duck('orders_dst'))))})")
+def descent_diff(spark, sf_dir):
+    """The keys that differ, from rows of ranges that differ alone."""
+    src, dst = (pushdown.FrameSide(pair(spark, sf_dir, t).select(*COLUMNS["orders"]), "o_orderkey") for t in ("orders", "orders_dst"))
+    return pushdown.differences(src, dst, "o_orderkey")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sqlite3
 from collections.abc import Iterator
+from contextlib import closing, contextmanager
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from concord.model import SYSTEM_PREFIXES, Endpoint, Pair, TableMeta
+from concord.functions import dialects
 from concord.operators import align
-from concord.sources import catalogs
+from concord.sources import catalogs, pushdown
 
 #: Other names of the same engines.
 ALIASES = {"postgresql": "postgres", "pg": "postgres", "mariadb": "mysql", "mongo": "mongodb", "sqlserver": "mssql", "sqlite3": "sqlite", "files": "parquet", "valkey": "redis", "redpanda": "kafka"}
@@ -33,9 +35,10 @@ def engine_of(name: str) -> str:
 
 
 class SQLiteSource(DataSource):
-    """``spark.read.format("sqlite")`` with options ``path``, ``table`` and ``partitions``; read only.
+    """``spark.read.format("sqlite")`` with options ``path``, ``table``, ``partitions`` and ``where``; read only.
 
-    Partitions are ranges of rowid, each read by its own task through its own connection.
+    Partitions are ranges of rowid, each read by its own task through its own connection; a table without rowids
+    is one. A column is what it was declared as if all its values are, else a column of texts.
     """
 
     @classmethod
@@ -43,28 +46,37 @@ class SQLiteSource(DataSource):
         return "sqlite"
 
     def schema(self) -> str:
-        kinds = {"INTEGER": "bigint", "INT": "bigint", "BIGINT": "bigint", "REAL": "double", "FLOAT": "double", "DOUBLE": "double", "BLOB": "binary"}
-        with _sqlite(self.options["path"]) as db:
-            columns = db.execute(f'pragma table_info("{self.options["table"]}")').fetchall()
-        return ", ".join(f"`{c[1]}` {kinds.get(c[2].upper().split('(')[0], 'string')}" for c in columns)
+        whole, real = ("bigint", "integer"), ("double", "real")
+        kinds = {"INTEGER": whole, "INT": whole, "BIGINT": whole, "REAL": real, "FLOAT": real, "DOUBLE": real, "BLOB": ("binary", "blob")}
+        table = _name(self.options["table"])
+        with sqlite_connection(self.options["path"]) as db:
+            columns = [(c[1], kinds.get(c[2].upper().split("(")[0])) for c in db.execute(f"pragma table_info({table})")]
+            typed = [(name, kind) for name, kind in columns if kind]
+            odd = db.execute("select " + ", ".join(f"max(typeof({_name(n)}) not in ('{k[1]}', 'null'{', ' + repr('integer') if k == real else ''}))" for n, k in typed) + f" from {table}").fetchone() if typed else ()
+        mixed = {name for (name, _), x in zip(typed, odd) if x}
+        return ", ".join(f"`{name}` {kind[0] if kind and name not in mixed else 'string'}" for name, kind in columns)
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return SQLiteReader(dict(self.options), schema)
 
 
 class _Range(InputPartition):
-    def __init__(self, low: int, high: int):
+    def __init__(self, low: int | None, high: int | None):
         self.low, self.high = low, high
 
 
 class SQLiteReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.options, self.names = options, [f.name for f in schema.fields]
-        self.strings = [f.dataType.typeName() == "string" for f in schema.fields]
+        cast = {"string": str, "double": float}
+        self.casts = [cast.get(f.dataType.typeName(), lambda v: v) for f in schema.fields]
 
     def partitions(self) -> list[_Range]:
-        with _sqlite(self.options["path"]) as db:
-            low, high = db.execute(f'select min(rowid), max(rowid) from "{self.options["table"]}"').fetchone()
+        with sqlite_connection(self.options["path"]) as db:
+            try:
+                low, high = db.execute(f"select min(rowid), max(rowid) from {_name(self.options['table'])}").fetchone()
+            except sqlite3.OperationalError:  # a table without rowids
+                return [_Range(None, None)]
         if low is None:
             return [_Range(0, 0)]
         n = max(1, int(self.options.get("partitions", 1)))
@@ -72,23 +84,34 @@ class SQLiteReader(DataSourceReader):
         return [_Range(a, min(a + width, high + 1)) for a in range(low, high + 1, width)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        columns = ", ".join(f'"{n}"' for n in self.names)
-        with _sqlite(self.options["path"]) as db:
-            for row in db.execute(f'select {columns} from "{self.options["table"]}" where rowid >= ? and rowid < ?', (partition.low, partition.high)):
-                yield tuple(str(v) if s and v is not None else v for v, s in zip(row, self.strings))
+        columns = ", ".join(map(_name, self.names))
+        sql, values = f"select {columns} from {_name(self.options['table'])}", ()
+        conditions = [f"({self.options['where']})"] if self.options.get("where") else []
+        if partition.low is not None:
+            conditions, values = [*conditions, "rowid >= ? and rowid < ?"], (partition.low, partition.high)
+        with sqlite_connection(self.options["path"]) as db:
+            for row in db.execute(sql + (" where " + " and ".join(conditions) if conditions else ""), values):
+                yield tuple(None if v is None else cast(v) for v, cast in zip(row, self.casts))
 
 
-def _sqlite(path: str) -> sqlite3.Connection:
-    return sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)
+def _name(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+@contextmanager
+def sqlite_connection(path: str) -> Iterator[sqlite3.Connection]:
+    """A read-only connection that is closed at the end."""
+    with closing(sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)) as db:
+        yield db
 
 
 def sqlite_tables(path: str) -> list[str]:
-    with _sqlite(path) as db:
+    with sqlite_connection(path) as db:
         return [r[0] for r in db.execute("select name from sqlite_master where type = 'table' and name not like 'sqlite_%' order by name")]
 
 
 def sqlite_counters(path: str) -> dict[str, int]:
-    with _sqlite(path) as db:
+    with sqlite_connection(path) as db:
         known = db.execute("select 1 from sqlite_master where name = 'sqlite_sequence'").fetchone()
         return dict(db.execute("select name, seq from sqlite_sequence")) if known else {}
 
@@ -116,19 +139,23 @@ def read_query(spark: SparkSession, end: Endpoint, database: str, kind: str, sql
     return read_jdbc(spark, Endpoint(end.host, end.port, end.user, end.password, {**end.options, "query": sql}), database, "", kind)
 
 
+def _quoted(kind: str, column: str) -> str:
+    return dialects.dialect(kind).column(column) if kind in dialects.DIALECTS else column
+
+
 def read_by_key(spark: SparkSession, end: Endpoint, database: str, table: str, kind: str, key: tuple[str, ...], slice_rows: int, workers: int) -> DataFrame:
     """A table read in ranges of its key, if that is one integer column; the ranges come from its least and largest key."""
     if len(key) == 1:
-        low, high = read_query(spark, end, database, kind, f"select min({key[0]}) as low, max({key[0]}) as high from {table}").first()
+        low, high = read_query(spark, end, database, kind, f"select min({_quoted(kind, key[0])}) as low, max({_quoted(kind, key[0])}) as high from {table}").first()
         if isinstance(low, int) and high > low:
             ranges = max(workers, -(-(high - low + 1) // slice_rows))
             return read_jdbc(spark, end, database, table, kind, key[0], (low, high + 1), min(ranges, MAX_RANGES))
     return read_jdbc(spark, end, database, table, kind)
 
 
-def read_sqlite(spark: SparkSession, end: Endpoint, database: str, table: str, partitions: int = 4) -> DataFrame:
+def read_sqlite(spark: SparkSession, end: Endpoint, database: str, table: str, partitions: int = 4, where: str = "") -> DataFrame:
     spark.dataSource.register(SQLiteSource)
-    return spark.read.format("sqlite").option("path", end.options["path"]).option("table", table).option("partitions", partitions).load()
+    return spark.read.format("sqlite").option("path", end.options["path"]).option("table", table).option("partitions", partitions).option("where", where).load()
 
 
 def read_documents(spark: SparkSession, end: Endpoint, database: str, table: str) -> DataFrame:
@@ -190,7 +217,20 @@ def bind(spark: SparkSession, pair: Pair, database: str = "") -> Pair:
             return file_facts(spark, ends[side], db, kind)
         return catalogs.facts(spark, ask[side], ends[side], db, kinds[side], kind)
 
-    pair.read, pair.facts = read, facts
+    def push(side: str, table: str, key: str) -> pushdown.SqlSide | None:
+        """The side as an engine that sums it up itself; None where it has no SQL."""
+        kind, db, end = kinds[side], pair.side_db(side, database), ends[side]
+        table = pair.names.get(table, table) if side == "dst" else table
+        if kind == "sqlite":
+            query, rows = pushdown.sqlite_ask(spark, end.options["path"]), lambda where: read_sqlite(spark, end, db, table, where=where)
+        elif kind in dialects.DIALECTS:
+            query = lambda sql: [tuple(r) for r in ask[side](end, db, sql).collect()]
+            rows = lambda where: read_query(spark, end, db, kind, f"select * from {dialects.dialect(kind).name_of(table)} where {where}")
+        else:
+            return None
+        return pushdown.SqlSide(dialects.dialect(kind), table, read(side, table).schema, key, query, rows)
+
+    pair.read, pair.facts, pair.push = read, facts, push
     if not pair.tables:
         given = pair.options.get("tables")
         pair.tables = tuple(given or list_tables(spark, ends["src"], kinds["src"], database))
@@ -238,11 +278,11 @@ def sqlite_facts(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
         rows = [(t, n, 1, True, True) for t, n in sqlite_counters(path).items()]
         return spark.createDataFrame(rows, "table string, last_value long, increment long, is_called boolean, owned boolean")
     if kind == "objects":
-        with _sqlite(path) as db:
+        with sqlite_connection(path) as db:
             rows = db.execute("select type, name from sqlite_master where name not like 'sqlite_%'").fetchall()
         return spark.createDataFrame(rows, "obj_type string, obj_name string")
     if kind == "params":
-        with _sqlite(path) as db:
+        with sqlite_connection(path) as db:
             rows = [(p, str(db.execute(f"pragma {p}").fetchone()[0])) for p in ("encoding", "user_version", "application_id", "page_size")]
         return spark.createDataFrame(rows, "name string, value string")
     return None
@@ -251,7 +291,7 @@ def sqlite_facts(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
 def sqlite_meta(path: str) -> dict[str, TableMeta]:
     """Keys and references of each table, as its own catalog has them."""
     found = {}
-    with _sqlite(path) as db:
+    with sqlite_connection(path) as db:
         for table in sqlite_tables(path):
             key = tuple(c[1] for c in sorted(db.execute(f'pragma table_info("{table}")').fetchall(), key=lambda c: c[5]) if c[5])
             references: dict[int, list] = {}
