@@ -59,7 +59,7 @@ def doctor(args: argparse.Namespace) -> int:
         for program, place in tools.inventory().items():
             print(f"{program}\t{place or 'not installed'}")
     for name, pair in load_pairs(args.config).items():
-        state = "ok" if pair.source.configured and pair.target.configured else "not configured"
+        state = "not configured" if pair.source.missing(pair.side_engine("source")) or pair.target.missing(pair.side_engine("target")) else "ok"
         if state == "ok" and args.reach:
             try:
                 state = f"ok\t{len(readers.bind(_session(), pair).tables)} tables"
@@ -126,11 +126,11 @@ def schema(args: argparse.Namespace) -> int:
     ``--convert`` reads definitions from ``--ddl`` instead and prints them in the target's dialect.
     """
     if args.convert:
-        from concord.functions.ddl import convert
+        from concord.functions.ddl import convert, notes
 
         for statement in Path(args.ddl).read_text().split(";\n"):
             if statement.strip():
-                print(convert(statement.strip().rstrip(";")) + ";")
+                print("".join(f"-- {note}\n" for note in notes(statement)) + convert(statement.strip().rstrip(";")) + ";")
         return 0
     spark = _session()
     pair = _pair(args, spark)

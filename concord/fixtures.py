@@ -48,6 +48,16 @@ PAIRS = {
         union all select 'supplier', min(s_suppkey), 1, false, false from {supplier}""",
     "counter_maxima": """select 'orders' as counter, max(o_orderkey + case when o_orderkey % 101 = 0 then 1000000 else 0 end) as high from {orders}
         union all select 'part', max(p_partkey) from {part} union all select 'customer', max(c_custkey) from {customer} union all select 'supplier', max(s_suppkey) from {supplier}""",
+    "order_lines": """select concat('0/', hex(o_orderkey)) as lsn, case when o_orderkey % 13 = 0 then concat('BEGIN ', o_orderkey)
+        when o_orderkey % 11 = 0 then concat('table public.plain: INSERT: note[text]:', chr(39), o_orderpriority, chr(39))
+        when o_orderkey % 5 = 0 then concat('table public.keyed: INSERT: cust[integer]:', o_custkey, ' prio[text]:', chr(39), o_orderstatus, chr(39), chr(39), o_orderpriority, chr(39), ' v[text]:', chr(39), 'cust[integer]:7', chr(39))
+        else concat('table public.orders: ', case o_orderkey % 3 when 0 then 'DELETE' when 1 then 'UPDATE' else 'INSERT' end, ': o_orderkey[bigint]:', o_orderkey, ' note[text]:', chr(39), o_orderpriority, chr(39)) end as line from {orders}""",
+    "order_positions": "select 'src' as side, concat('0/', hex(max(o_orderkey))) as lsn from {orders} union all select 'dst', concat('0/', hex(min(o_orderkey))) from {orders}",
+    "order_versions": "select o_orderpriority as tbl, o_orderkey as version from {orders}",
+    "order_images": "select case when o_orderkey % 7 <> 0 then o_orderkey end as before_id, case when o_orderkey % 5 = 0 then null when o_orderkey % 3 = 0 then o_orderkey + 1000000000 else o_orderkey end as after_id from {orders}",
+    "event_feed": """select concat('{{"_id": {{"_data": "', event_id, '"}}, "operationType": "', case when event_id % 9 = 0 then 'drop' when event_id % 2 = 0 then 'insert' else 'delete' end, '", "documentKey": {{"_id": ', case when event_id % 3 = 0 then concat('{{"$oid": "', user_id, '"}}') else concat('"', user_id, '"') end, '}}}}') as line from {events}""",
+    "secret_lines": "select concat('postgresql://u', c_custkey, ':p', c_custkey, '@h/db password=', c_custkey, ' next') as line from {customer}",
+    "order_seconds": "select o_orderkey, o_totalprice as s from {orders}",
     "docs_json": "select event_id as id, props as doc from {events}",
     "docs_json_dst": "select event_id as id, case when event_id % 50 = 0 then '{{\"k\": null}}' when event_id % 77 = 0 then '{{}}' when event_id % 3 = 0 then '{{\"k\": \"x\"}}' else props end as doc from {events} where event_id % 91 <> 0",
 }

@@ -6,24 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from concord.functions.ddl import convert
-
-#: What a definition says about its owner or counters, not about its meaning.
-DDL_NOISE = (
-    (r"(?i)\s*\bAUTO_INCREMENT=\d+", ""),
-    (r"(?i)\s*\bDEFINER\s*=\s*\S+", ""),
-    (r"(?i)\s*\bSQL SECURITY \w+", ""),
-    (r"(?i)\s*\b(?:DEFAULT )?(?:CHARSET|CHARACTER SET)[= ]\w+", ""),
-    (r"(?i)\s*\bCOLLATE[= ]\w+", ""),
-    (r"[ \t]+", " "),
-)
-
-
-def _rewritten(column: Column, rules: tuple) -> Column:
-    for pattern, replacement in rules:
-        column = F.regexp_replace(column, pattern, replacement)
-    return column
-
+from concord.functions.ddl import convert, plain
 
 def rewrite_ddl(ddl: Column) -> Column:
     """Definitions in the other dialect; catalog text, a row for each table, so Python may read it."""
@@ -36,8 +19,13 @@ def rewrite_ddl(ddl: Column) -> Column:
 
 
 def canonical_ddl(ddl: Column) -> Column:
-    """A definition without counters, owners, security clauses and charset noise."""
-    return F.trim(_rewritten(ddl, DDL_NOISE))
+    """A definition's words without counters, owners, security clauses and charsets; catalog text, too."""
+
+    @F.pandas_udf("string")
+    def plainly(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else plain(x))
+
+    return plainly(ddl)
 
 
 def ignored(line: Column, patterns: list[str]) -> Column:

@@ -816,19 +816,7 @@ def duplicate_ids(spark, sf_dir):
 
 # ---- change logs
 
-_LINES = Rows(
-    "lsn string, line string",
-    (
-        ("0/1A", "BEGIN 123"),
-        ("0/1B", "table public.orders: UPDATE: id[bigint]:5 note[text]:'a b''c' amount[numeric]:1.50"),
-        ("0/1C", "table public.orders: DELETE: id[bigint]:9"),
-        ("0/1D", "table public.pair: INSERT: a[integer]:1 b[text]:'it''s' v[text]:'x'"),
-        ("0/1E", "table public.nopk: INSERT: v[text]:'y'"),
-        ("0/1F", "COMMIT 123"),
-        ("1/02", "table public.orders: INSERT: id[bigint]:5 note[text]:'id[bigint]:7'"),
-    ),
-)
-_LOG_KEYS = {"public.orders": ["id"], "public.pair": ["a", "b"], "public.nopk": []}
+_LOG_KEYS = {"public.orders": ["o_orderkey"], "public.keyed": ["cust", "prio"], "public.plain": []}
 _HEAD = "^table (\\S+): (INSERT|UPDATE|DELETE):"
 
 
@@ -837,27 +825,27 @@ def _value_sql(column: str) -> str:
     return f"case when regexp_extract({body}, '{pattern}', 2) <> '' then regexp_extract({body}, '{pattern}', 2) else replace(regexp_extract({body}, '{pattern}', 1), '''''', '''') end"
 
 
-_PARSED = f"(select lsn, regexp_extract(line, '{_HEAD}', 1) as \"table\", regexp_extract(line, '{_HEAD}', 2) as op, case regexp_extract(line, '{_HEAD}', 1) when 'public.orders' then {_value_sql('id')} when 'public.pair' then {_value_sql('a')} || chr(9) || {_value_sql('b')} end as key from {_LINES.sql()} where regexp_matches(line, '{_HEAD}'))"
+_PARSED = f"(select lsn, regexp_extract(line, '{_HEAD}', 1) as \"table\", regexp_extract(line, '{_HEAD}', 2) as op, case regexp_extract(line, '{_HEAD}', 1) when 'public.orders' then {_value_sql('o_orderkey')} when 'public.keyed' then {_value_sql('cust')} || chr(9) || {_value_sql('prio')} end as key from {duck('order_lines')} where regexp_matches(line, '{_HEAD}'))"
 
 
 @query(f"select * from {_PARSED}")
 def change_log_parse(spark, sf_dir):
-    return delta.parse_changes(_LINES.df(spark), _LOG_KEYS)
+    return delta.parse_changes(pair(spark, sf_dir, "order_lines"), _LOG_KEYS)
 
 
 @query(f"select distinct \"table\", key from {_PARSED} where key is not null")
 def change_log_touched(spark, sf_dir):
-    return delta.touched_keys(delta.parse_changes(_LINES.df(spark), _LOG_KEYS))
+    return delta.touched_keys(delta.parse_changes(pair(spark, sf_dir, "order_lines"), _LOG_KEYS))
 
 
 @query(f"select distinct \"table\" from {_PARSED} where key is null")
 def change_log_keyless(spark, sf_dir):
-    return delta.keyless_changes(delta.parse_changes(_LINES.df(spark), _LOG_KEYS))
+    return delta.keyless_changes(delta.parse_changes(pair(spark, sf_dir, "order_lines"), _LOG_KEYS))
 
 
-@query("select '1/02' as lsn")
+@query(f"select concat('0/', hex(max(cast('0x' || substr(lsn, 3) as bigint)))) as lsn from {_PARSED}")
 def change_log_position(spark, sf_dir):
-    return delta.last_position(delta.parse_changes(_LINES.df(spark), _LOG_KEYS))
+    return delta.last_position(delta.parse_changes(pair(spark, sf_dir, "order_lines"), _LOG_KEYS))
 
 
 _LOG = "select o_orderkey, o_custkey, o_orderstatus, {0} as o_totalprice, o_orderdate, o_orderpriority, {1} as op, cast({2} as bigint) as lsn from {{orders}} where o_orderkey % {3} = 0"
@@ -878,37 +866,28 @@ def delta_touched_verify(spark, sf_dir):
     return delta.verify_touched(src, dst, keys, ["o_orderkey"], pairs=True)
 
 
-_APPLIED = Rows("side string, lsn string", (("src", "1/10"), ("dst", "0/FFFFFFFF")))
-
-
-@query("select 'src' as side, true as passed union all select 'dst', false")
+@query(f"select side, cast('0x' || substr(lsn, 3) as bigint) >= 4096 as passed from {duck('order_positions')}")
 def fence_passed(spark, sf_dir):
-    return delta.fence_passed(_APPLIED.df(spark), "1/0A")
+    return delta.fence_passed(pair(spark, sf_dir, "order_positions"), "0/1000")
 
 
-_VERSIONS = Rows("table string, version long", (("a", 1), ("a", 5), ("a", 6), ("b", 2)))
+_VERSIONS = Derived("order_versions", "tbl", "table")
 
 
-@query(f"select \"table\", count(*) as n from {_VERSIONS.sql()} where version > 4 group by 1")
+@query(f"select \"table\", count(*) as n from {_VERSIONS.sql()} where version > 4000 group by 1")
 def versions_changed(spark, sf_dir):
-    return delta.versions_changed(_VERSIONS.df(spark), 4)
-
-
-_IMAGES = Rows("before_id long, after_id long, v string", ((1, 1, "update"), (2, 3, "moved"), (None, 4, "insert"), (5, None, "delete")))
+    return delta.versions_changed(_VERSIONS.df(spark, sf_dir), 4000)
 
 
-@query(f"select distinct id from (select before_id as id from {_IMAGES.sql()} union all select after_id from {_IMAGES.sql()}) where id is not null")
+@query(f"select distinct id from (select before_id as id from {duck('order_images')} union all select after_id from {duck('order_images')}) where id is not null")
 def row_event_keys(spark, sf_dir):
     image = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("id")))
-    return delta.row_event_keys(_IMAGES.df(spark).select(image("before_id").alias("before"), image("after_id").alias("after")), ["id"])
+    return delta.row_event_keys(pair(spark, sf_dir, "order_images").select(image("before_id").alias("before"), image("after_id").alias("after")), ["id"])
 
 
-_FEED = Rows("line string", tuple((x,) for x in ('{"_id": {"_data": "01"}, "operationType": "insert", "documentKey": {"_id": {"$oid": "a1"}}}', '{"_id": {"_data": "02"}, "operationType": "delete", "documentKey": {"_id": "b2"}}', '{"_id": {"_data": "03"}, "operationType": "drop"}')))
-
-
-@query("select * from (values ('a1', 'insert', '01'), ('b2', 'delete', '02')) t(id, op, token)")
+@query("select cast(user_id as varchar) as id, case when event_id % 2 = 0 then 'insert' else 'delete' end as op, cast(event_id as varchar) as token from events where event_id % 9 <> 0")
 def document_events(spark, sf_dir):
-    return delta.document_events(_FEED.df(spark))
+    return delta.document_events(pair(spark, sf_dir, "event_feed"))
 
 
 _CLOCKS = Rows("src_s double, dst_s double", ((0.0, 0.5), (10.0, 11.0)))
@@ -1003,51 +982,20 @@ def assess_levels(spark, sf_dir):
     return checks.level_counts(assess_rules(spark, sf_dir))
 
 
-_DDL = Rows(
-    "ddl string",
-    (
-        ("CREATE TABLE t (id BIGINT UNSIGNED AUTO_INCREMENT, ok TINYINT(1) DEFAULT 1, at DATETIME(6), x DOUBLE, body LONGTEXT COLLATE utf8mb4_bin, PRIMARY KEY (id)) ENGINE=InnoDB AUTO_INCREMENT=7",),
-        ("create table `a b` (`n` int unsigned not null comment 'how, many', p decimal(12,2), k enum('x','y') default 'x', u timestamp not null default current_timestamp on update current_timestamp, key by_n (`n`, p), unique key q (k(10)))",),
-        ("CREATE DEFINER=`u`@`h` SQL SECURITY INVOKER VIEW v AS SELECT 1",),
-    ),
-)
-_CONVERTED = (
-    "CREATE TABLE t (id bigint GENERATED BY DEFAULT AS IDENTITY, ok boolean DEFAULT true, at timestamp(6), x double precision, body text, PRIMARY KEY (id))",
-    "CREATE TABLE \"a b\" (\"n\" bigint not null, p numeric(12, 2), k text default 'x' CHECK (k IN ('x', 'y')), u timestamp with time zone not null default current_timestamp, UNIQUE (k));\nCREATE INDEX by_n ON \"a b\" (\"n\", p)",
-    "CREATE VIEW v AS SELECT 1",
-)
-
-
-def _noise(column: str) -> str:
-    for pattern, replacement in text.DDL_NOISE:
-        column = f"regexp_replace({column}, '{pattern.replace('(?i)', '')}', '{replacement}', 'gi')"
-    return column
-
-
-@query(f"select rewritten, trim({_noise('d.ddl')}) as canonical from {_DDL.sql()} d join {Rows('ddl string, rewritten string', tuple((d[0], c) for d, c in zip(_DDL.rows, _CONVERTED))).sql()} c on d.ddl = c.ddl")
-def ddl_rewrites(spark, sf_dir):
-    return _DDL.df(spark).select(text.rewrite_ddl(F.col("ddl")).alias("rewritten"), text.canonical_ddl(F.col("ddl")).alias("canonical"))
-
-
-_SECRETS = Rows("line string", (("postgresql://u:p4ss@h/db password=abc next",), ("TOKEN: 'x y' rest",)))
-
-
-@query("select * from (values ('postgresql://u:***@h/db password=*** next'), ('TOKEN: *** rest')) t(line)")
+@query("select 'postgresql://u' || c_custkey || ':***@h/db password=*** next' as line from customer")
 def redacted_lines(spark, sf_dir):
-    return _SECRETS.df(spark).select(text.redacted(F.col("line")).alias("line"))
-
-
-_LSNS = Rows("lsn string", (("0/1F",), ("1/0",), ("16/B374D848",)))
+    return pair(spark, sf_dir, "secret_lines").select(text.redacted(F.col("line")).alias("line"))
 
 
-@query("select * from (values ('0/1F', '31'), ('1/0', '4294967296'), ('16/B374D848', '97500059720')) t(lsn, n)")
+@query(f"select lsn, cast(cast('0x' || substr(lsn, 3) as bigint) as varchar) as n from {duck('order_lines')}")
 def lsn_numbers(spark, sf_dir):
-    return _LSNS.df(spark).select("lsn", text.lsn_number(F.col("lsn")).cast("string").alias("n"))
+    return pair(spark, sf_dir, "order_lines").select("lsn", text.lsn_number(F.col("lsn")).cast("string").alias("n"))
 
 
-_SECONDS = Rows("s double", ((3723.4,), (184.0,), (5.9,)))
+_S = "cast(floor(s) as bigint)"
 
 
-@query("select * from (values ('1h02m', '3,723'), ('3m04s', '184'), ('5s', '6')) t(human, counted)")
+@query(f"""select o_orderkey, case when {_S} >= 3600 then {_S} // 3600 || 'h' || lpad(cast({_S} % 3600 // 60 as varchar), 2, '0') || 'm' when {_S} >= 60 then {_S} // 60 || 'm' || lpad(cast({_S} % 60 as varchar), 2, '0') || 's' else {_S} || 's' end as human,
+    format('{{:,}}', o_orderkey) as counted from {duck('order_seconds')}""")
 def human_units(spark, sf_dir):
-    return _SECONDS.df(spark).select(text.human_duration(F.col("s")).alias("human"), text.human_count(F.col("s")).alias("counted"))
+    return pair(spark, sf_dir, "order_seconds").select("o_orderkey", text.human_duration(F.col("s")).alias("human"), text.human_count(F.col("o_orderkey")).alias("counted"))

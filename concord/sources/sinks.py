@@ -6,6 +6,7 @@ import html
 import json
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,22 @@ from concord.session import remove
 
 #: Order of checks in reports.
 CHECK_ORDER = ("schema", "objects", "params", "counts", "autoinc", "data", "deep")
-#: Which bulk tool serves which engine; "builtin" serves all.
-MOVERS = {"pgdump": ("postgres",), "mydumper": ("mysql",), "pgloader": ("hetero",), "mongodump": ("mongodb",), "debezium": ("postgres", "mysql", "hetero")}
-MOVER_PROGRAMS = {"pgdump": ("pg_dump", "pg_restore"), "mydumper": ("mydumper", "myloader"), "pgloader": ("pgloader",), "mongodump": ("mongodump", "mongorestore")}
+@dataclass(frozen=True)
+class Mover:
+    """A bulk tool: the programs that it needs here, if any, and the kinds of pairs that it serves."""
+
+    serves: tuple[str, ...]
+    programs: tuple[str, ...] = ()
+
+
+#: Bulk tools; "builtin" serves all.
+MOVERS = {
+    "pgdump": Mover(("postgres",), ("pg_dump", "pg_restore")),
+    "mydumper": Mover(("mysql",), ("mydumper", "myloader")),
+    "pgloader": Mover(("hetero",), ("pgloader",)),
+    "mongodump": Mover(("mongodb",), ("mongodump", "mongorestore")),
+    "debezium": Mover(("postgres", "mysql", "hetero")),
+}
 
 
 def write_evidence(df: DataFrame, root: str, pair: str, database: str, check: str) -> str:
@@ -252,14 +266,12 @@ def pick_mover(engine: str, has: Callable[[str], bool], table: str = "") -> str:
     """The bulk tool for whole databases where it is installed; single tables go through the builtin copy."""
     if table:
         return "builtin"
-    for via, programs in MOVER_PROGRAMS.items():
-        if engine in MOVERS[via] and all(has(p) for p in programs):
-            return via
-    return "builtin"
+    fit = [via for via, mover in MOVERS.items() if mover.programs and engine in mover.serves and all(map(has, mover.programs))]
+    return fit[0] if fit else "builtin"
 
 
 def mover_supported(engine: str, via: str) -> bool:
-    return via not in MOVERS or engine in MOVERS[via]
+    return via not in MOVERS or engine in MOVERS[via].serves
 
 
 def comparison_json(counts: DataFrame, objects: DataFrame) -> DataFrame:
