@@ -23,7 +23,7 @@ from concord.functions import dialects
 from concord.operators import align, catalog, diff, repair, watch
 from concord.plans import checks
 from concord.sources import readers, sinks, tools
-from concord.streaming import delta
+from concord.streaming import delta, source
 
 #: Former names of commands: the command that has their meaning now, and the options that give it.
 ALIASES = {
@@ -351,15 +351,26 @@ def _rerun(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def _follow(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Verify the keys that a folder of change events touches; the cursor moves only after a clean cycle."""
+    """Verify the keys that a change log touches; the cursor moves only after a clean cycle.
+
+    The folder of changes holds segments of a log or Parquet files with the table's key columns. A log that no
+    longer reaches back to the cursor ends in status 2: compare whole, then start anew.
+    """
     pair = _pair(args, spark)
     if not args.table or not args.changes:
-        raise SystemExit("following changes needs --table and --changes, a folder of Parquet files with the table's key columns")
+        raise SystemExit("following changes needs --table and --changes, a folder of a log's segments or of Parquet files with the table's key columns")
     key, code = list(pair.meta[args.table].key), 0
-    shape = pair.table("src", args.table).select(*key).schema
+    shape = pair.table("src", args.table).select(*[F.col(f"`{k}`") for k in key]).schema
+    cursor = f"{_reports(args)}/cursor/{args.table}"
     verifier = delta.batch_verifier(lambda: pair.table("src", args.table), lambda: pair.table("dst", args.table), key, f"{_reports(args)}/delta/{args.table}")
     for cycle in range(args.cycles):
-        clean, said = delta.verification_cycle(spark.readStream.schema(shape).parquet(args.changes), verifier, f"{_reports(args)}/cursor/{args.table}")
+        try:
+            clean, said = delta.verification_cycle(_changes(spark, args, key, shape, cursor), verifier, cursor)
+        except Exception as error:
+            if "LostHistory" not in str(error):
+                raise
+            print(f"{cycle}\t{args.table}\thistory lost: {str(error).split('LostHistory')[1].splitlines()[0].strip(': ')}")
+            return 2
         print(f"{cycle}\t{args.table}\t{said}")
         code = int(not clean)
         if cycle + 1 < args.cycles:
@@ -367,6 +378,17 @@ def _follow(spark: SparkSession, args: argparse.Namespace) -> int:
     return code
 
 
+def _changes(spark: SparkSession, args: argparse.Namespace, key: list[str], shape, cursor: str) -> DataFrame:
+    """The keys that changes touch, as a stream."""
+    if not any(name.endswith(".log") for name in readers.folder(spark, args.changes)):
+        return spark.readStream.schema(shape).parquet(args.changes)
+    spark.dataSource.register(source.ChangeLogSource)
+    lines = spark.readStream.format("changelog").option("path", str(Path(args.changes).resolve()) if "://" not in args.changes else args.changes).option("checkpoint", str(Path(cursor).resolve()) if "://" not in cursor else cursor).load()
+    touched = delta.parse_changes(lines, {args.table: key}).where((F.col("table") == args.table) & F.col("key").isNotNull())
+    parts = F.split("key", "\t")
+    return touched.select(*[parts[i].try_cast(f.dataType).alias(f.name) for i, f in enumerate(shape)])
+
+
 def watch_(args: argparse.Namespace) -> int:
     """Sample counts and give the cutover verdict; ``--rerun`` repeats the checks, ``--follow`` verifies touched keys."""
     spark = _session()
