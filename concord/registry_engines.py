@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.fixtures import COLUMNS, duck, duck_row_hash, pair
 from concord.functions import dialects
 from concord.model import Endpoint, Pair, TableMeta
-from concord.operators import diff
+from concord.operators import diff, keys, sketch
 from concord.plans import checks
-from concord.registry import query
+from concord.registry import ORACLE_SQL, query
 from concord.sources import pushdown
 
 
@@ -87,3 +89,30 @@ def descent_diff(spark, sf_dir):
     """The keys that differ, from rows of ranges that differ alone."""
     src, dst = (pushdown.FrameSide(pair(spark, sf_dir, t).select(*COLUMNS["orders"]), "o_orderkey") for t in ("orders", "orders_dst"))
     return pushdown.differences(src, dst, "o_orderkey")
+
+
+# ---- sketches and keys
+
+
+@query(ORACLE_SQL["descent_diff"])
+def sketch_diff(spark, sf_dir):
+    """The keys that differ, from two tables of cells."""
+    src, dst = (pair(spark, sf_dir, t).select(*COLUMNS["orders"]) for t in ("orders", "orders_dst"))
+    return sketch.reconcile(src, dst, ["o_orderkey"])
+
+
+_KEYED = {"orders": ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"], "lineitem": ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"], "conversations": ["conv_id", "turn", "role"]}
+
+
+def _keys_sql(table: str, columns: list[str]) -> str:
+    """The sets of up to three columns that are keys and of which no part is, by counting each."""
+    sets = [s for k in (1, 2, 3) for s in combinations(columns, k)]
+    is_key = "\n union all ".join(f"select '{','.join(s)}' as columns, {len(s)} as width, [{', '.join(repr(c) for c in s)}] as names, (select count(*) from (select distinct {', '.join(s)} from {table})) = (select count(*) from {table}) as ok" for s in sets)
+    return f"(with k as ({is_key}) select '{table}' as table_name, columns from k where ok and not exists (select 1 from k p where p.ok and p.width < k.width and list_has_all(k.names, p.names)))"
+
+
+@query(" union all ".join(f"select * from {_keys_sql(t, c)}" for t, c in _KEYED.items()))
+def minimal_keys(spark, sf_dir):
+    """The smallest sets of columns that tell the rows of a table apart."""
+    rows = [(t, ",".join(s)) for t, c in _KEYED.items() for s in keys.minimal_keys(pair(spark, sf_dir, t), c)]
+    return spark.createDataFrame(rows, "table_name string, columns string")
