@@ -22,7 +22,7 @@ from concord.model import RESULT_SCHEMA, Pair, get_pair, load_pairs
 from concord.functions import dialects
 from concord.operators import align, catalog, diff, repair, watch
 from concord.plans import checks
-from concord.sources import readers, sinks, tools
+from concord.sources import readers, sinks, tools, writer
 from concord.streaming import delta, source
 
 #: Former names of commands: the command that has their meaning now, and the options that give it.
@@ -257,9 +257,19 @@ def _sync(spark: SparkSession, pair: Pair, args: argparse.Namespace, kind: str)
     return 0
 
 
+def _live(pair: Pair) -> writer.SQLiteTarget | None:
+    """The target as one that changes can be applied to; None for files, which get new versions instead."""
+    return writer.SQLiteTarget(pair.target.options["path"]) if _target_engine(pair) == "sqlite" else None
+
+
+def _parents(pair: Pair) -> dict[str, list[str]]:
+    return {t: [parent for _, parent, _ in meta.foreign] for t, meta in pair.meta.items()}
+
+
 def _sync_rows(spark: SparkSession, pair: Pair, args: argparse.Namespace) -> int:
-    store = sinks.StateStore(spark, f"{_reports(args)}/state")
-    progress = sinks.MoveCheckpoint(f"{_reports(args)}/sync.json") if args.go else None
+    """Row repairs of keyed tables: a live target is changed in one transaction, of files a new version is written."""
+    store, live, wanted = sinks.StateStore(spark, f"{_reports(args)}/state"), _live(pair), {}
+    progress = sinks.MoveCheckpoint(f"{_reports(args)}/sync.json", spark) if args.go and not live else None
     for table in pair.kept_tables():
         key = list(pair.meta[table].key) if table in pair.meta else []
         if not key:
@@ -268,15 +278,20 @@ def _sync_rows(spark: SparkSession, pair: Pair, args: argparse.Namespace) -> int
         if args.resume and progress and (progress.state.get(table) or {}).get("done"):
             print(f"{table}: done before")
             continue
-        src, dst = pair.table("src", table), pair.table("dst", table)
+        both = checks.sides(pair, table)
+        src, dst = (both.src, both.dst) if live else (pair.table("src", table), pair.table("dst", table))
         plan = repair.row_plan(diff.differences(src, dst, key), key, args.on_conflict).collect()
         print(f"{table}: " + (", ".join(f"{r['operation']} {r['n']}" for r in plan) or "nothing to do"))
-        if args.go and plan:
+        if args.go and plan and live:
+            wanted[table] = (writer.changes(src, dst, key, args.on_conflict), key)
+        elif args.go and plan:
             done = repair.repair_rows(src, dst, key, args.on_conflict)
             store.save(args.name, args.db, {f"{table}.preimage": done.preimage, f"{table}.touched": done.touched}, args.tag)
             done.repaired.write.mode("overwrite").parquet(f"{_reports(args)}/repaired/{table}")
         if progress:
             progress.save(table, None, True)
+    if wanted:
+        print(f"applied; rollback --tag {writer.apply(live, wanted, _parents(pair), f'{_reports(args)}/staging', args.tag)} undoes it")
     return 0
 
 
@@ -313,6 +328,8 @@ def move(args: argparse.Namespace) -> int:
         for side, statement in tools.replication_statements(pair, args.db):
             print(f"{side}: {statement}")
         return 0
+    if live := _live(pair):
+        return _move_live(pair, args, live)
     done = sinks.MoveCheckpoint(f"{_reports(args)}/move.json", spark)
     for table, state in sinks.move_plan(pair, done):
         print(f"{table}: {state}")
@@ -328,6 +345,20 @@ def move(args: argparse.Namespace) -> int:
     return 0
 
 
+def _move_live(pair: Pair, args: argparse.Namespace, live: writer.SQLiteTarget) -> int:
+    """Copy whole keyed tables into a live target that has them, all in one transaction, rows of the same keys replaced."""
+    wanted = {}
+    for table in pair.kept_tables():
+        key = list(pair.meta[table].key) if table in pair.meta else []
+        print(f"{table}: {'whole' if key else 'no key, create one first'}")
+        if key:
+            both = checks.sides(pair, table)
+            wanted[table] = (both.src.select(F.lit(writer.PUT).alias("__do"), *[F.col(f"`{c}`") for c in both.src.columns]), key)
+    if args.go and wanted:
+        print(f"applied; rollback --tag {writer.apply(live, wanted, _parents(pair), f'{_reports(args)}/staging', args.tag)} undoes it")
+    return 0
+
+
 def sample(pair: Pair, database: str) -> tuple:
     """One watch sample: counts of both sides and of each source table."""
     counts = {t: (pair.table("src", t).count(), pair.table("dst", t).count()) for t in pair.kept_tables()}
@@ -431,9 +462,16 @@ def history(args: argparse.Namespace) -> int:
 
 
 def rollback(args: argparse.Namespace) -> int:
-    """Bring back the rows that a sync touched, from its restore point."""
+    """Bring back the rows that a sync touched: from the journal of a live target, or from a restore point."""
     spark = _session()
     pair = _pair(args, spark)
+    if live := _live(pair):
+        tags = [args.tag] if args.tag else live.tags()[-1:]
+        for tag in tags:
+            print(f"{tag}: {', '.join(live.journalled(tag)) or 'nothing noted'}")
+            if args.go:
+                writer.undo(live, tag, {t: meta.key for t, meta in pair.meta.items()}, _parents(pair))
+        return 0
     store = sinks.StateStore(spark, f"{_reports(args)}/state")
     for table in pair.kept_tables():
         points: DataFrame = store.points(args.name).where(F.array_contains("tables", f"{table}.preimage"))
