@@ -52,7 +52,7 @@ SIMILARITY = 80
 #: A token in more prefixes than this is frequent.
 RARE = 16
 #: Sets that are compared with the odd ones of a combination at once.
-CELL = 4096
+CELL = 1024
 #: Candidates that are looked up by broadcast, 16 bytes each; more are joined by shuffle.
 FEW_SETS = 500_000
 #: Tokens whose frequency a task knows at once; words and classes that it remembers.
@@ -366,7 +366,7 @@ def compared(odd: pa.Table, cell: pa.Table) -> pa.Table:
 
 
 #: Combinations of a hub whose cells are one: a pair that shares several of them is found once.
-TOGETHER = 64
+TOGETHER = 32
 
 
 def left_over(combos: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame:
