@@ -124,3 +124,17 @@ def test_a_block_is_freed_before_the_next(spark, documents, monkeypatch):
     found = d.contamination(documents(*docs), benchmark, max_bytes=250)
     assert sorted(map(tuple, found.collect()), key=str) == whole
     assert len(made) > 3 and freed == list(range(1, len(made)))
+
+
+def test_items_that_share_a_window_are_not_sent(spark, documents, monkeypatch):
+    """Three thousand items of one text make one window, and their ids stay where they are."""
+    sent = []
+    context = type(spark.sparkContext)
+    real = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: (sent.append(value), real(self, value))[1])
+    benchmark = spark.range(3000).selectExpr("id as item_id", "'the' as text")
+    found = d.contamination(documents((1, "see the dog"), (2, "the cat"), (3, "none")), benchmark).collect()
+    assert [len(x) for x in sent] == [1]
+    names = sorted(map(str, range(3000)))
+    assert {r["doc_id"]: r["n_items"] for r in found} == {1: 3000, 2: 3000, 3: 0}
+    assert {r["items_sha256"] for r in found if r["doc_id"] < 3} == {d.digest(names)} and {r["doc_id"]: list(r["items"]) for r in found}[1] == names
