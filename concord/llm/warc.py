@@ -6,15 +6,21 @@ WARC-Refers-To with the response's id, its target URI and date, and the source's
 block digests of their own. Ids are derived from the source's id and digest, so a repeated task writes the
 same records. Rows are independent: one pass, no shuffle.
 
-WARC files are read through Spark's own file reader: a file is one task's input, its gzip members and records are
-read one after the other, and each response yields its derivatives. Records are written by Spark's text writer
+A payload is read as its headers say: chunks are joined, gzip, deflate and zstd undone, and the charset is that of
+the header, of a byte order mark or of a meta tag, in this order, else UTF-8. Only text has a conversion: pages lose
+their tags, plain texts do not; images, archives and contents in an unknown encoding yield their metadata alone.
+
+WARC files are read by streams: a compressed file is one task's, its members and records come one after the other
+and one record is in memory at a time. Plain files are first looked through by hopping from header to header, and
+are then read in runs of whole records by as many tasks as they are long. Records are written by Spark's text writer
 with the record separator of the format, so the output goes through the cluster's own file system and commit
 protocol; every part file is one WARC file. ``gzip_members`` gives each record as a gzip member of its own, for
 stores that fetch single records.
 
 Defined results: a page without a url has no target URI, and its records carry no such field; null html is a
 response with an empty payload, whose conversion is empty; null ids hash as empty; repeated pages give repeated
-records; a very long page is read whole; a page's links keep their order, ties and repeats included; other
+records; an empty table gives none; a very long page is read whole; a body whose chunks or compression break off is
+read as far as it goes; a page's links keep their order, ties and repeats included; other
 columns may have any name and type. Header names are read in any case, with or without a space behind the colon;
 a line that begins with white space continues the field before it.
 """
@@ -22,15 +28,23 @@ a line that begins with white space continues the field before it.
 from __future__ import annotations
 
 import base64
+import codecs
+import contextlib
 import gzip
 import hashlib
 import html as entities
+import io
+import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
+import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,13 +163,98 @@ def parse_response(record: bytes) -> dict:
     return response_of(fields, block[: int(fields["content-length"])])
 
 
+#: What browsers read where these names stand.
+CHARSETS = {"iso-8859-1": "cp1252", "latin1": "cp1252", "us-ascii": "cp1252", "ascii": "cp1252", "utf8": "utf-8", "shift-jis": "cp932", "shift_jis": "cp932", "gb2312": "gb18030", "gbk": "gb18030", "ks_c_5601-1987": "cp949", "euc-kr": "cp949", "x-sjis": "cp932", "iso-8859-9": "cp1254", "tis-620": "cp874"}
+_MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+_META = re.compile(rb"""(?is)<meta\b[^>]*?\bcharset\s*=\s*["']?\s*([\w.:-]+)""")
+_CHARSET = re.compile(r"""(?i)\bcharset\s*=\s*["']?\s*([\w.:-]+)""")
+#: Types whose payload is a page, and the other ones that are text.
+PAGES = ("text/html", "application/xhtml+xml", "application/xml", "text/xml", "")
+
+
+def joined_chunks(body: bytes) -> bytes:
+    """The data of a chunked body, as far as its chunks are whole; a body that has no chunks is its own data."""
+    out, at = [], 0
+    while (end := body.find(b"\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0].strip(), 16)
+        except ValueError:
+            break
+        if size == 0:
+            return b"".join(out)
+        out.append(body[end + 1 : end + 1 + size])
+        at = end + 1 + size
+        at += 2 if body[at : at + 2] == b"\r\n" else 1
+    return b"".join(out) if out else body
+
+
+def uncompressed(body: bytes, encoding: str) -> bytes | None:
+    """A body without one content encoding, as far as it goes; None for an encoding that is not known."""
+    if encoding in ("", "identity"):
+        return body
+    if encoding in ("gzip", "x-gzip", "deflate"):
+        for wbits in (31,) if "gzip" in encoding else (15, -15):  # some servers leave out deflate's own header
+            found = _inflated_body(body, wbits)
+            if found or not body:
+                return found
+        return body if "gzip" in encoding and body[:2] != b"\x1f\x8b" else b""  # crawlers may have undone it
+    if encoding == "zstd":
+        with contextlib.suppress(zstandard.ZstdError):
+            return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+        return b""
+    return None
+
+
+def _inflated_body(body: bytes, wbits: int) -> bytes:
+    member, out = zlib.decompressobj(wbits), []
+    with contextlib.suppress(zlib.error):
+        for at in range(0, len(body), 1 << 16):
+            out.append(member.decompress(body[at : at + (1 << 16)]))
+    return b"".join(out)
+
+
+def charset_of(content_type: str, body: bytes) -> str:
+    """The name of the codec that a body is read by."""
+    for mark, codec in _MARKS:
+        if body.startswith(mark):
+            return codec
+    declared = _CHARSET.search(content_type)
+    name = declared[1] if declared else (found[1].decode("ascii", "replace") if (found := _META.search(body[:4096])) else "utf-8")
+    name = CHARSETS.get(name.lower(), name.lower())
+    try:
+        codecs.lookup(name)
+    except (LookupError, ValueError):
+        return "utf-8"
+    return name
+
+
+def text_of(headers: dict[str, str], payload: bytes) -> tuple[str, bool] | None:
+    """The text of a payload and whether it is a page with tags; None for what is no text."""
+    content_type = headers.get("content-type", "")
+    kind = content_type.split(";")[0].strip().lower()
+    if kind not in PAGES and not kind.startswith("text/"):
+        return None
+    body: bytes | None = joined_chunks(payload) if "chunked" in headers.get("transfer-encoding", "").lower() else payload
+    for encoding in reversed([e.strip().lower() for e in headers.get("content-encoding", "").split(",")]):
+        body = None if body is None else uncompressed(body, encoding)
+    if body is None or not kind and b"\0" in body[:1024]:
+        return None
+    return body.decode(charset_of(content_type, body), "replace").removeprefix("\ufeff"), kind in PAGES
+
+
 def derivatives(source: dict) -> list[dict]:
-    """The metadata and the conversion record of one response."""
-    page = source["payload"].decode("utf-8", "replace")
-    fields = [("source-" + name, value) for name, value in header_fields(source["headers"].encode("utf-8", "replace")).items()]
-    metadata = "".join(f"{name}: {value}{CRLF}" for name, value in [*page_fields(page), *fields])
+    """The metadata record of one response and, if it is text, its conversion record."""
+    headers = header_fields(source["headers"].encode("utf-8", "replace"))
+    found = text_of(headers, source["payload"])
+    page, tagged = found or ("", False)
+    fields = [("source-" + name, value) for name, value in headers.items()]
+    metadata = "".join(f"{name}: {value}{CRLF}" for name, value in [*(page_fields(page) if tagged else []), *fields])
+    blocks = [("metadata", "application/warc-fields", metadata)]
+    if found:
+        text = plain_text(page) if tagged else "\n".join(line.rstrip() for line in page.splitlines())
+        blocks.append(("conversion", "text/plain; charset=utf-8", text))
     out = []
-    for kind, content_type, block in (("metadata", "application/warc-fields", metadata), ("conversion", "text/plain; charset=utf-8", plain_text(page))):
+    for kind, content_type, block in blocks:
         data = block.encode("utf-8", "replace")
         out.append({"warc_type": kind, "record_id": urn(kind, source["record_id"], source["payload_digest"]), "refers_to": source["record_id"], "target_uri": source["target_uri"], "warc_date": source["date"], "content_type": content_type, "content_length": len(data), "block_digest": digest(data), "source_payload_digest": source["payload_digest"], "source_headers": source["headers"], "block": block})
     return out
@@ -186,23 +285,119 @@ def build(pages: DataFrame) -> DataFrame:
     return own.mapInArrow(run, schema)
 
 
-def build_from_files(spark: SparkSession, path: str) -> DataFrame:
+#: Bytes of whole records of a plain file that one task reads.
+RUN_BYTES = 64 << 20
+
+
+def build_from_files(spark: SparkSession, path: str, run_bytes: int = RUN_BYTES) -> DataFrame:
     """The derivative records of every response record in the WARC files at ``path``, with the file's name as ``source_file``.
 
-    A file is read by one task, as crawls keep them at a gigabyte or so; other record types are left alone.
+    Other record types are left alone. A file is read through a stream, a record at a time.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path")  # the contents are not read here
     schema = "source_file string, " + RECORD.split(", ", 1)[1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for fields, block in read_warc(inflated(data.as_buffer())):
-                    if fields.get("warc-type", "").lower() == "response":
-                        made = derivatives(response_of(fields, block))
-                        yield _batch(pa.array([name] * len(made), pa.string()), "source_file", made)
+            runs = [(name, *run) for name in batch.column(0).to_pylist() for run in record_runs(name, run_bytes)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.string()), *(pa.array([r[i] for r in runs], pa.int64()) for i in (1, 2))], names=["path", "first", "last"])
 
-    return files.mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, first, last in zip(*(c.to_pylist() for c in batch.columns)):
+                with opened(name) as stream:
+                    if first:
+                        stream.seek(first)
+                    for fields, block in records_of(stream, last):
+                        if fields.get("warc-type", "").lower() == "response":
+                            made = derivatives(response_of(fields, block))
+                            yield _batch(pa.array([name] * len(made), pa.string()), "source_file", made)
+
+    spread = spark.sparkContext.defaultParallelism
+    runs = files.repartition(spread).mapInArrow(cut, "path string, first long, last long")
+    return runs.repartition(spread, "path", "first").mapInArrow(run, schema)
+
+
+@contextlib.contextmanager
+def opened(path: str) -> Iterator[BinaryIO]:
+    """A file of any file system that its workers reach as a stream of its records, gzip members undone."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        name = "/" + rest.lstrip("/")
+        system, name = fs.LocalFileSystem(), name if os.path.exists(name) else unquote(name)
+    else:
+        system, name = fs.FileSystem.from_uri(quote(path, safe=":/%@?=&"))
+    with system.open_input_file(name) as raw:
+        packed = raw.read(2) == b"\x1f\x8b"
+        raw.seek(0)
+        with io.BufferedReader(gzip.GzipFile(fileobj=raw) if packed else _Raw(raw), 1 << 20) as stream:
+            yield stream
+
+
+class _Raw(io.RawIOBase):
+    """A file of a file system as one that can be buffered."""
+
+    def __init__(self, file):
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        data = self.file.read(len(into))
+        into[: len(data)] = data
+        return len(data)
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        return self.file.seek(at, whence)
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+
+def record_runs(path: str, run_bytes: int) -> Iterator[tuple[int, int | None]]:
+    """Where runs of whole records of about ``run_bytes`` begin and end in a file; a compressed one is one run."""
+    with opened(path) as stream:
+        if isinstance(stream.raw, gzip.GzipFile):
+            yield 0, None
+            return
+        first = 0
+        while True:
+            fields = _header(stream)
+            if fields is None:
+                break
+            stream.seek(int(fields["content-length"]), 1)
+            if stream.tell() - first >= run_bytes:
+                yield first, stream.tell()
+                first = stream.tell()
+        yield first, None
+
+
+def _header(stream: BinaryIO) -> dict[str, str] | None:
+    """The fields of the next record's header; None at the end."""
+    line = stream.readline()
+    while line in (b"\n", b"\r\n", b"\r"):  # what separates records
+        line = stream.readline()
+    if not line:
+        return None
+    lines = [line]
+    while (line := stream.readline()) not in (b"\n", b"\r\n"):
+        if not line:
+            raise ValueError("a record has no end of its header")
+        lines.append(line)
+    return header_fields(b"".join(lines))
+
+
+def records_of(stream: BinaryIO, last: int | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The header fields, by lower-cased name, and the block of each record from where a stream is, up to ``last``."""
+    while last is None or stream.tell() < last:
+        fields = _header(stream)
+        if fields is None:
+            return
+        yield fields, stream.read(int(fields["content-length"]))
 
 
 def inflated(data: bytes | memoryview | pa.Buffer) -> bytes:
@@ -258,16 +453,4 @@ def gzip_members(records: DataFrame) -> DataFrame:
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """The header fields, by lower-cased name, and the block of each record of one uncompressed WARC file."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 1] in (b"\r", b"\n"):  # what separates records
-            at += 1
-            continue
-        ends = [(e, len(mark)) for mark in (b"\r\n\r\n", b"\n\n") if (e := data.find(mark, at)) >= 0]
-        if not ends:
-            raise ValueError(f"a record that begins at byte {at} has no end of its header")
-        end, size = min(ends)
-        fields = header_fields(data[at:end])
-        length = int(fields["content-length"])
-        yield fields, data[end + size : end + size + length]
-        at = end + size + length
+    return records_of(io.BytesIO(data))

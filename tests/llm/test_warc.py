@@ -180,3 +180,59 @@ def test_broken_pages_are_read_in_a_moment():
             w.plain_text(page), w.page_fields(page)
             assert time.perf_counter() - began < 2, part
     assert w.plain_text("a<!-- never closed <p>b") == "a never closed\nb"
+
+
+def made(headers, payload):
+    """The records of a response with these HTTP headers, by their kind."""
+    source = {"record_id": "<urn:x>", "target_uri": "http://a", "date": w.DATE, "headers": "HTTP/1.1 200 OK\r\n" + headers, "payload": payload, "payload_digest": w.digest(payload)}
+    return {r["warc_type"]: r["block"] for r in w.derivatives(source)}
+
+
+def test_charsets():
+    cafe = "<p>café – 5 €"
+    assert made("Content-Type: text/html; charset=iso-8859-1", cafe.encode("cp1252"))["conversion"] == "café – 5 €"
+    russian = '<html><head><meta http-equiv="Content-Type" content="text/html; charset=windows-1251"></head><p>Привет'
+    assert made("Content-Type: text/html", russian.encode("cp1251"))["conversion"] == "Привет"
+    assert made('Content-Type: text/html; charset="Shift_JIS"', "<p>日本".encode("cp932"))["conversion"] == "日本"
+    assert made("Content-Type: text/html; charset=latin1", "\ufeff<p>é".encode("utf-16"))["conversion"] == "é"  # the mark counts first
+    assert made("Content-Type: text/html; charset=no-such", "<p>é".encode())["conversion"] == "é"
+    assert made("", "<meta charset=utf8><p>é".encode())["conversion"] == "é"
+
+
+def test_transfer_and_content_encodings():
+    import zlib
+
+    page = b"<p>hello world</p>" * 20
+    chunked = b"".join(b"%x;ext=1\r\n%s\r\n" % (len(page[i : i + 33]), page[i : i + 33]) for i in range(0, len(page), 33)) + b"0\r\n\r\n"
+    want = "\n".join(["hello world"] * 20)
+    html = "Content-Type: text/html\r\n"
+    assert made(html + "Transfer-Encoding: chunked", chunked)["conversion"] == want
+    assert made(html + "Transfer-Encoding: chunked", page)["conversion"] == want  # whoever stored it had joined the chunks
+    assert made(html + "Transfer-Encoding: chunked", chunked[: len(chunked) // 2])["conversion"].startswith("hello world\nhello")
+    for name, data in (("gzip", gzip.compress(page)), ("x-gzip", gzip.compress(page)), ("deflate", zlib.compress(page)), ("deflate", zlib.compress(page)[2:-4]), ("zstd", w.zstandard.compress(page)), ("identity", page), ("gzip", page)):
+        assert made(html + f"Content-Encoding: {name}", data)["conversion"] == want, name
+    assert made(html + "Content-Encoding: gzip", gzip.compress(page * 500)[:200])["conversion"].startswith("hello")
+    both = b"%x\r\n%s\r\n0\r\n\r\n" % (len(gzip.compress(page)), gzip.compress(page))
+    assert made(html + "Transfer-Encoding: chunked\r\nContent-Encoding: gzip", both)["conversion"] == want
+    assert set(made(html + "Content-Encoding: br", b"\x0b\x02\x80")) == {"metadata"}
+
+
+def test_only_text_has_a_conversion():
+    assert set(made("Content-Type: image/png", b"\x89PNG\r\n\x1a\n")) == {"metadata"}
+    assert set(made("Content-Type: application/pdf", b"%PDF")) == set(made("", b"\0\1\2")) == {"metadata"}
+    assert made("Content-Type: text/plain", b"a < b <p>\r\n  c  \n")["conversion"] == "a < b <p>\n  c"
+    assert "title" not in made("Content-Type: text/plain", b"<title>x</title>")["metadata"]
+
+
+def test_plain_files_are_read_in_runs(spark, tmp_path):
+    sources = [w.response(i, f"http://a/{i}", b"<p>" + b"x%d " % i * (i * 40)) for i in range(30)]
+    data = b""
+    for s in sources:
+        block = s["headers"].encode() + b"\r\n\r\n" + s["payload"]
+        data += f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {s['record_id']}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    (tmp_path / "a b.warc").write_bytes(data)
+    runs = list(w.record_runs(f"file:{tmp_path}/a%20b.warc", 2000))
+    assert len(runs) > 5 and runs[0][0] == 0 and runs[-1][1] is None and all(a[1] == b[0] for a, b in zip(runs, runs[1:]))
+    found = w.build_from_files(spark, str(tmp_path), run_bytes=2000).collect()
+    assert sorted(r["refers_to"] for r in found) == sorted([s["record_id"] for s in sources] * 2)
+    assert len({r["record_id"] for r in found}) == 60
