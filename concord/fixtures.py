@@ -56,29 +56,36 @@ PAIRS = {
     "order_versions": "select o_orderpriority as tbl, o_orderkey as version from {orders}",
     "order_images": "select case when o_orderkey % 7 <> 0 then o_orderkey end as before_id, case when o_orderkey % 5 = 0 then null when o_orderkey % 3 = 0 then o_orderkey + 1000000000 else o_orderkey end as after_id from {orders}",
     "event_feed": """select concat('{{"_id": {{"_data": "', event_id, '"}}, "operationType": "', case when event_id % 9 = 0 then 'drop' when event_id % 2 = 0 then 'insert' else 'delete' end, '", "documentKey": {{"_id": ', case when event_id % 3 = 0 then concat('{{"$oid": "', user_id, '"}}') else concat('"', user_id, '"') end, '}}}}') as line from {events}""",
+    "docs_nested": """select conv_id as id, concat('{{"turn": ', turn, ', "a.b": {{"role": "', role, '", "n": [', length(text), ', {{"deep": ', case when turn % 2 = 0 then 'true' else 'null' end, '}}]}}, "x": ', case when conv_id % 3 = 0 then '1.5' else '2' end, '}}') as doc from {conversations}""",
+    "docs_nested_dst": """select conv_id as id, concat('{{"turn": "', turn, '", "a.b": {{"role": "', role, '", "n": [', length(text), ', {{"deep": ', case when turn % 2 = 0 then '1' else 'null' end, '}}]}}', case when conv_id % 5 = 0 then ', "new": {{}}' else '' end, ', "x": 2}}') as doc from {conversations}""",
     "secret_lines": "select concat('postgresql://u', c_custkey, ':p', c_custkey, '@h/db password=', c_custkey, ' next') as line from {customer}",
     "order_seconds": "select o_orderkey, o_totalprice as s from {orders}",
     "docs_json": "select event_id as id, props as doc from {events}",
-    "docs_json_dst": "select event_id as id, case when event_id % 50 = 0 then '{{\"k\": null}}' when event_id % 77 = 0 then '{{}}' when event_id % 3 = 0 then '{{\"k\": \"x\"}}' else props end as doc from {events} where event_id % 91 <> 0",
+    "docs_json_dst": "select event_id as id, case when event_id % 50 = 0 then '{{\"k\": null}}' when event_id % 77 = 0 then '{{}}' when event_id % 3 <> 0 then '{{\"k\": \"x\"}}' else props end as doc from {events} where event_id % 91 <> 0",
 }
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations")
 
 
+def run_text(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A select over tables in braces, in Spark."""
+    used = {n: table(spark, sf_dir, n) for n in NAMES if "{" + n + "}" in text}
+    # the code point function is named differently in Spark, whose chr() takes its argument modulo 256
+    return spark.sql(text.replace("chr(65533)", "'\ufffd'"), **used)
+
+
+def duck_text(text: str) -> str:
+    """The same select in DuckDB."""
+    return re.sub(r"(?<!\{)\{(\w+)\}(?!\})", r"\1", text).replace("{{", "{").replace("}}", "}")
+
+
 def pair(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table, or a driver table under its own name."""
-    if name not in PAIRS:
-        return table(spark, sf_dir, name)
-    sql = PAIRS[name]
-    used = {n: table(spark, sf_dir, n) for n in NAMES if "{" + n + "}" in sql}
-    # the code point function is named differently in Spark, whose chr() takes its argument modulo 256
-    return spark.sql(sql.replace("chr(65533)", "'�'"), **used)
+    return run_text(spark, sf_dir, PAIRS[name]) if name in PAIRS else table(spark, sf_dir, name)
 
 
 def duck(name: str) -> str:
     """The same table as a DuckDB subquery."""
-    if name not in PAIRS:
-        return f"(select * from {name})"
-    return "(" + re.sub(r"(?<!\{)\{(\w+)\}(?!\})", r"\1", PAIRS[name]).replace("{{", "{").replace("}}", "}") + ")"
+    return f"({duck_text(PAIRS[name])})" if name in PAIRS else f"(select * from {name})"
 
 
 def duck_fields(columns: dict[str, str], prefix: str = "") -> list[str]:
@@ -113,35 +120,3 @@ class Derived:
 
     def sql(self) -> str:
         return f'(select {self.given} as "{self.name}", * exclude ({self.given}) from {duck(self.table)})'
-
-
-@dataclass(frozen=True)
-class Rows:
-    """Literal rows with a DDL schema."""
-
-    schema: str
-    rows: tuple
-
-    def df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.rows), self.schema)
-
-    def sql(self) -> str:
-        kinds = {"string": "varchar", "long": "bigint", "int": "integer", "double": "double", "boolean": "boolean", "array<string>": "varchar[]", "map<string,long>": "map(varchar, bigint)"}
-        columns = [c.strip().split(" ", 1) for c in re.split(r",(?![^<]*>)", self.schema)]
-        body = ", ".join("(" + ", ".join(f"cast({_literal(v)} as {kinds[k.replace(' ', '')]})" for v, (_, k) in zip(row, columns)) + ")" for row in self.rows)
-        names = ", ".join(f'"{n}"' for n, _ in columns)
-        return f"(select * from (values {body}) t({names}))"
-
-
-def _literal(value) -> str:
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, str):
-        return "'" + value.replace("'", "''") + "'"
-    if isinstance(value, (list, tuple)):
-        return "[" + ", ".join(map(_literal, value)) + "]"
-    if isinstance(value, dict):
-        return "map {" + ", ".join(f"{_literal(k)}: {_literal(v)}" for k, v in value.items()) + "}"
-    return repr(value)

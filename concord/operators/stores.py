@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -141,3 +145,70 @@ def documents_difference(src: DataFrame, dst: DataFrame, identity: str = "id", c
 def duplicate_ids(shards: DataFrame) -> DataFrame:
     """id, n: identities that more than one shard holds."""
     return shards.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+# ---- nested documents
+
+
+def path_types(docs: DataFrame, column: str = "doc") -> DataFrame:
+    """path, type, n: the types of the values at each path of JSON documents, nested ones too, and of how many documents.
+
+    A path is a JSON path: $ is the document, [*] the elements of an array, and a name that is no plain word stands
+    in brackets and quotes. Documents are first counted by their shape, which is one text for all of them, so a
+    shape that fills the table is taken apart once for each task. Texts that are no JSON have the type none.
+    """
+    shape = F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(column))), F.lit("NONE"))
+    counted = docs.where(F.col(column).isNotNull()).groupBy(shape.alias("shape")).agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(path, kind, n) for text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for path, kind in shape_paths(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["path", "type", "n"])
+
+    return counted.mapInArrow(run, "path string, type string, n long").groupBy("path", "type").agg(F.sum("n").alias("n"))
+
+
+_WORD = re.compile(r"[A-Za-z_]\w*$")
+_SHAPE = re.compile(r"`(?:[^`]|``)*`|[A-Za-z_][\w]*(?:\(\d+,\s*\d+\))?|[<>:,]|\S")
+
+
+def shape_paths(shape: str) -> list[tuple[str, str]]:
+    """The path and type of every part of a shape such as OBJECT<a: ARRAY<BIGINT>>, the whole first."""
+    words, out = _SHAPE.findall(shape), []
+
+    def part(at: int, path: str) -> int:
+        kind = words[at]
+        name = TYPE_NAMES.get(kind, "double" if kind.startswith(("DECIMAL", "FLOAT")) else kind.lower())
+        out.append((path, name))
+        at += 1
+        if kind not in ("OBJECT", "ARRAY") or at >= len(words) or words[at] != "<":
+            return at
+        at += 1
+        if kind == "ARRAY":
+            return part(at, f"{path}[*]") + 1
+        while words[at] != ">":
+            field = words[at][1:-1].replace("``", "`") if words[at][0] == "`" else words[at]
+            at = part(at + 2, path + (f".{field}" if _WORD.match(field) else "['" + field.replace("'", "\\'") + "']"))
+            at += words[at] == ","
+        return at + 1
+
+    part(0, "$")
+    return out
+
+
+#: Types that another one holds: whole numbers among doubles, and nothing at all among anything.
+WIDER = {("int", "double"): "double"}
+
+
+def merged_types(types: DataFrame) -> DataFrame:
+    """path, type, n: one type for each path that holds all of its types: null gives way, int widens to double, others are mixed."""
+    kinds = F.array_sort(F.collect_set(F.when(F.col("type") != "null", F.col("type"))))
+    wider = F.create_map(*[F.lit(x) for pair, wide in WIDER.items() for x in (",".join(sorted(pair)), wide)])
+    whole = F.when(F.size("kinds") == 0, "null").when(F.size("kinds") == 1, F.get("kinds", F.lit(0))).otherwise(F.coalesce(F.element_at(wider, F.array_join("kinds", ",")), F.lit("mixed")))
+    return types.groupBy("path").agg(kinds.alias("kinds"), F.sum("n").alias("n")).select("path", whole.alias("type"), "n")
+
+
+def path_drift(src: DataFrame, dst: DataFrame, column: str = "doc") -> DataFrame:
+    """path, src_type, dst_type of every path whose merged type differs or that one side alone has, elements and nested names included."""
+    a, b = (merged_types(path_types(df, column)).select("path", F.col("type").alias(name)) for df, name in ((src, "src_type"), (dst, "dst_type")))
+    return a.join(b, "path", "full_outer").where(~F.col("src_type").eqNullSafe(F.col("dst_type")))

@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.fixtures import COLUMNS, Derived, Rows, duck, duck_fields, duck_number, duck_row_hash, pair
+from concord.facts import FACTS, Facts
+from concord.fixtures import COLUMNS, Derived, duck, duck_fields, duck_number, duck_row_hash, pair
 from concord.functions import text
 from concord.operators import catalog, diff, drift, fingerprint, repair, stores, watch
 from concord.model import Endpoint, Pair, TableMeta
@@ -231,19 +232,19 @@ def cross_engine_diff(spark, sf_dir):
     return checks.heterogeneous(src, dst.withColumn("o_custkey", F.col("o_custkey").cast("int")), ["o_orderkey"], pairs=True)
 
 
-_SRC_TABLES = Rows("schema string, name string", (("public", "orders"), ("public", "customer"), ("audit", "log")))
-_DST_TABLES = Rows("schema string, name string", (("public", "orders"), ("audit", "log"), ("public", "temp")))
+_SRC_TABLES = FACTS["_SRC_TABLES"]
+_DST_TABLES = FACTS["_DST_TABLES"]
 
 
 @query(f"select *, 'src' as side from (select * from {_SRC_TABLES.sql()} except select * from {_DST_TABLES.sql()}) union all select *, 'dst' as side from (select * from {_DST_TABLES.sql()} except select * from {_SRC_TABLES.sql()})")
 def table_set_diff(spark, sf_dir):
-    return diff.set_difference(_SRC_TABLES.df(spark), _DST_TABLES.df(spark), "schema", "name")
+    return diff.set_difference(_SRC_TABLES.df(spark, sf_dir), _DST_TABLES.df(spark, sf_dir), "schema", "name")
 
 
-@query(f"select schema, name from {_SRC_TABLES.sql()} where not (name = 'log' or name like 'cust%')")
+@query(f"select schema, name from {_SRC_TABLES.sql()} where not (name = 't77' or name like 't1%')")
 def excluded_tables(spark, sf_dir):
-    names = _SRC_TABLES.df(spark)
-    return names.where(~text.exclusion(F.concat_ws(".", "schema", "name"), ("audit.log", "cust*")))
+    names = _SRC_TABLES.df(spark, sf_dir)
+    return names.where(~text.exclusion(F.concat_ws(".", "schema", "name"), ("t77", "t1*")))
 
 
 # ---- silent damage
@@ -293,8 +294,8 @@ def collation_collapse_ci(spark, sf_dir):
 
 
 _META = "column string, type string, char_length long, scale long, precision long, unsigned boolean"
-_SRC_META = Rows(_META, (("t.name", "varchar", 100, 0, 0, False), ("t.price", "numeric", 0, 4, 12, False), ("t.total", "decimal", 0, 2, 18, False), ("t.big", "bigint", 0, 0, 64, False), ("t.u", "int", 0, 0, 10, True), ("t.note", "text", 0, 0, 0, False), ("t.gone", "int", 0, 0, 10, False)))
-_DST_META = Rows(_META, (("t.name", "varchar", 50, 0, 0, False), ("t.price", "numeric", 0, 2, 12, False), ("t.total", "decimal", 0, 2, 12, False), ("t.big", "integer", 0, 0, 32, False), ("t.u", "int", 0, 0, 10, False), ("t.note", "varchar", 200, 0, 0, False)))
+_SRC_META = FACTS["_SRC_META"]
+_DST_META = FACTS["_DST_META"]
 _WIDTH = "(case lower({0}) when 'tinyint' then 1 when 'smallint' then 2 when 'mediumint' then 3 when 'int' then 4 when 'integer' then 4 when 'bigint' then 8 end)"
 
 
@@ -307,17 +308,17 @@ _WIDTH = "(case lower({0}) when 'tinyint' then 1 when 'smallint' then 2 when 'me
     from {_SRC_META.sql()} s join {_DST_META.sql()} d on s."column" = d."column") where reason is not null"""
 )
 def narrowing_report(spark, sf_dir):
-    return drift.narrowed(_SRC_META.df(spark), _DST_META.df(spark))
+    return drift.narrowed(_SRC_META.df(spark, sf_dir), _DST_META.df(spark, sf_dir))
 
 
-_SRC_SETS = Rows("column string, charset string", (("t.a", "utf8mb4"), ("t.b", "utf8mb3"), ("t.c", "latin1")))
-_DST_SETS = Rows("column string, charset string", (("t.a", "latin1"), ("t.b", "utf8"), ("t.c", "utf8mb4")))
+_SRC_SETS = FACTS["_SRC_SETS"]
+_DST_SETS = FACTS["_DST_SETS"]
 _BYTES = "(case lower({0}) when 'utf8mb4' then 4 when 'utf8mb3' then 3 when 'utf8' then 3 when 'latin1' then 1 when 'ascii' then 1 end)"
 
 
 @query(f"select s.\"column\", s.charset as src_charset, d.charset as dst_charset from {_SRC_SETS.sql()} s join {_DST_SETS.sql()} d on s.\"column\" = d.\"column\" where {_BYTES.format('d.charset')} < {_BYTES.format('s.charset')}")
 def charset_downgrade(spark, sf_dir):
-    return drift.charset_downgrade(_SRC_SETS.df(spark), _DST_SETS.df(spark))
+    return drift.charset_downgrade(_SRC_SETS.df(spark, sf_dir), _DST_SETS.df(spark, sf_dir))
 
 
 @query(f"select l_orderkey, l_linenumber, net from {duck('net')} where net is distinct from l_extendedprice * (1 - l_discount)")
@@ -325,14 +326,14 @@ def generated_mismatch(spark, sf_dir):
     return drift.generated_mismatch(pair(spark, sf_dir, "net"), "net", "l_extendedprice * (1 - l_discount)").select("l_orderkey", "l_linenumber", "net")
 
 
-_SRC_GEN = Rows("table string, column string, expression string", (("t", "s", "(a * 2)"), ("t", "u", "upper(b)"), ("t", "gone", "a + 1")))
-_DST_GEN = Rows("table string, column string, expression string", (("t", "s", "a*3"), ("t", "u", "UPPER( b )")))
+_SRC_GEN = FACTS["_SRC_GEN"]
+_DST_GEN = FACTS["_DST_GEN"]
 _NORM = "lower(regexp_replace({0}, '[\\s()`\"]+', '', 'g'))"
 
 
 @query(f"select coalesce(s.\"table\", d.\"table\") as \"table\", coalesce(s.\"column\", d.\"column\") as \"column\", s.expression as src_expr, d.expression as dst_expr from {_SRC_GEN.sql()} s full outer join {_DST_GEN.sql()} d on s.\"table\" = d.\"table\" and s.\"column\" = d.\"column\" where {_NORM.format('s.expression')} is distinct from {_NORM.format('d.expression')}")
 def generation_drift(spark, sf_dir):
-    return drift.generation_drift(_SRC_GEN.df(spark), _DST_GEN.df(spark))
+    return drift.generation_drift(_SRC_GEN.df(spark, sf_dir), _DST_GEN.df(spark, sf_dir))
 
 
 _BOUNDS = ((0, 2000), (2000, 5000), (6000, 9000))
@@ -343,13 +344,13 @@ def partition_stranded(spark, sf_dir):
     return drift.stranded(pair(spark, sf_dir, "events"), "event_id", _BOUNDS).select("event_id", "event_type")
 
 
-_SRC_PARTS = Rows("table string, bound string", (("events", "2025"), ("events", "2026"), ("events", "default")))
-_DST_PARTS = Rows("table string, bound string", (("events", "2025"), ("events", "default"), ("events", "2024")))
+_SRC_PARTS = FACTS["_SRC_PARTS"]
+_DST_PARTS = FACTS["_DST_PARTS"]
 
 
 @query(f"select *, 'src' as side from (select * from {_SRC_PARTS.sql()} except select * from {_DST_PARTS.sql()}) union all select *, 'dst' as side from (select * from {_DST_PARTS.sql()} except select * from {_SRC_PARTS.sql()})")
 def partition_drift(spark, sf_dir):
-    return drift.partition_drift(_SRC_PARTS.df(spark), _DST_PARTS.df(spark))
+    return drift.partition_drift(_SRC_PARTS.df(spark, sf_dir), _DST_PARTS.df(spark, sf_dir))
 
 
 @query(f"select 'orders' as \"table\", s as src_max, d as dst_max, case when d > s then 'diff' else 'ok' end as status, case when d > s then 'ahead' when d = s then 'level' else 'behind' end as position from (select (select max(o_orderkey) from orders) as s, (select max(o_orderkey) from {duck('orders_dst')}) as d)")
@@ -419,43 +420,43 @@ def check_damaged_pair(spark, sf_dir):
 # ---- catalogs
 
 _OBJ = "obj_type string, obj_name string"
-_SRC_OBJ = Rows(_OBJ, (("table", "a"), ("table", "b"), ("view", "v"), ("index", "i1"), ("invalid_index", "ix"), ("function", "f")))
-_DST_OBJ = Rows(_OBJ, (("table", "a"), ("view", "v"), ("view", "w"), ("index", "i1"), ("function", "f")))
+_SRC_OBJ = FACTS["_SRC_OBJ"]
+_DST_OBJ = FACTS["_DST_OBJ"]
 
 
 @query(f"select obj_type, count(*) filter (where d is null) as missing, count(*) filter (where s is null) as extra, count(*) filter (where s is not null and d is not null) as same from (select coalesce(a.obj_type, b.obj_type) as obj_type, a.obj_name as s, b.obj_name as d from {_SRC_OBJ.sql()} a full outer join {_DST_OBJ.sql()} b on a.obj_type = b.obj_type and a.obj_name = b.obj_name) where obj_type <> 'invalid_index' group by 1")
 def objects_diff(spark, sf_dir):
-    return catalog.objects_difference(_SRC_OBJ.df(spark), _DST_OBJ.df(spark))
+    return catalog.objects_difference(_SRC_OBJ.df(spark, sf_dir), _DST_OBJ.df(spark, sf_dir))
 
 
-_SRC_DEF = Rows("obj_type string, obj_name string, definition string", (("view", "v", "SELECT a FROM t"), ("view", "w", "select 1"), ("trigger", "tr", "before insert")))
-_DST_DEF = Rows("obj_type string, obj_name string, definition string", (("view", "v", "select  a from T"), ("view", "w", "select 2"), ("view", "x", "select 3")))
+_SRC_DEF = FACTS["_SRC_DEF"]
+_DST_DEF = FACTS["_DST_DEF"]
 
 
 @query(f"select * from (select coalesce(s.obj_type, d.obj_type) as obj_type, coalesce(s.obj_name, d.obj_name) as obj_name, case when d.definition is null then 'missing' when s.definition is null then 'extra' when {_NORM.format('s.definition')} <> {_NORM.format('d.definition')} then 'changed' end as kind from {_SRC_DEF.sql()} s full outer join {_DST_DEF.sql()} d on s.obj_type = d.obj_type and s.obj_name = d.obj_name) where kind is not null")
 def definitions_diff(spark, sf_dir):
-    return catalog.definitions_difference(_SRC_DEF.df(spark), _DST_DEF.df(spark))
+    return catalog.definitions_difference(_SRC_DEF.df(spark, sf_dir), _DST_DEF.df(spark, sf_dir))
 
 
 _COL = "table string, column string, type string, nullable boolean, default string"
-_SRC_COL = Rows(_COL, (("t", "a", "int", False, None), ("t", "b", "text", True, "''"), ("t", "c", "date", True, None)))
-_DST_COL = Rows(_COL, (("t", "a", "bigint", False, None), ("t", "b", "text", False, None), ("t", "d", "date", True, None)))
+_SRC_COL = FACTS["_SRC_COL"]
+_DST_COL = FACTS["_DST_COL"]
 
 
 @query(" union all ".join(f"select s.\"table\", s.\"column\", '{a}' as attribute, cast(s.\"{a}\" as varchar) as src_value, cast(d.\"{a}\" as varchar) as dst_value from {_SRC_COL.sql()} s join {_DST_COL.sql()} d on s.\"table\" = d.\"table\" and s.\"column\" = d.\"column\" where s.\"{a}\" is distinct from d.\"{a}\"" for a in ("type", "nullable", "default")))
 def column_meta_drift(spark, sf_dir):
-    return catalog.columns_drift(_SRC_COL.df(spark), _DST_COL.df(spark))
+    return catalog.columns_drift(_SRC_COL.df(spark, sf_dir), _DST_COL.df(spark, sf_dir))
 
 
-_SRC_SET = Rows("name string, value string", (("TimeZone", "UTC"), ("DateStyle", "ISO, MDY"), ("work_mem", "4MB"), ("wal_level", "logical"), ("only_here", "1"), ("same", " x")))
-_DST_SET = Rows("name string, value string", (("TimeZone", "Asia/Bangkok"), ("DateStyle", "ISO, MDY"), ("work_mem", "8MB"), ("wal_level", "replica"), ("only_there", "2"), ("same", "x"), ("search_path", "public")))
+_SRC_SET = FACTS["_SRC_SET"]
+_DST_SET = FACTS["_DST_SET"]
 _CRITICAL = ", ".join(f"'{x.lower()}'" for x in catalog.CRITICAL_SETTINGS["postgres"])
 _SETTINGS = f"(select coalesce(s.name, d.name) as name, s.value as src_value, d.value as dst_value, s.name is not null as has_s, d.name is not null as has_d from {_SRC_SET.sql()} s full outer join {_DST_SET.sql()} d on s.name = d.name)"
 
 
 @query(f"select name, src_value, dst_value, lower(name) in ({_CRITICAL}) as critical from {_SETTINGS} where src_value is distinct from dst_value")
 def params_diff(spark, sf_dir):
-    return catalog.settings_difference(_SRC_SET.df(spark), _DST_SET.df(spark), catalog.CRITICAL_SETTINGS["postgres"])
+    return catalog.settings_difference(_SRC_SET.df(spark, sf_dir), _DST_SET.df(spark, sf_dir), catalog.CRITICAL_SETTINGS["postgres"])
 
 
 @query(f"select n_different, n_critical, case when n_critical > 0 then 'diff' else 'ok' end as status from (select count(*) as n_different, count(*) filter (where critical) as n_critical from ({ORACLE_SQL['params_diff']}))")
@@ -465,134 +466,134 @@ def params_status(spark, sf_dir):
 
 @query(f"select * from (select name, case when has_s and has_d and trim(coalesce(src_value, '')) = trim(coalesce(dst_value, '')) then null when has_s and has_d and lower(name) in ('wal_level') then 'B' when has_s and has_d and lower(name) in ({_CRITICAL}) then 'A_value' when has_s and has_d then 'C_value' when lower(name) in ({_CRITICAL}) then 'A_presence' when has_s then 'C_only_src' else 'C_only_dst' end as class from {_SETTINGS}) where class is not null")
 def params_classes(spark, sf_dir):
-    return catalog.settings_classes(_SRC_SET.df(spark), _DST_SET.df(spark), catalog.CRITICAL_SETTINGS["postgres"], ["wal_level"])
+    return catalog.settings_classes(_SRC_SET.df(spark, sf_dir), _DST_SET.df(spark, sf_dir), catalog.CRITICAL_SETTINGS["postgres"], ["wal_level"])
 
 
 _GRANT = "grantee string, object string, privilege string"
-_SRC_GRANT = Rows(_GRANT, (("app", "t", "SELECT"), ("app", "t", "UPDATE"), ("ghost", "t", "SELECT"), ("ro", "s", "USAGE")))
-_DST_GRANT = Rows(_GRANT, (("app", "t", "SELECT"), ("ro", "t", "SELECT")))
-_SRC_ROLE, _DST_ROLE = Rows("role string", (("app",), ("ghost",), ("ro",))), Rows("role string", (("app",), ("ro",)))
+_SRC_GRANT = FACTS["_SRC_GRANT"]
+_DST_GRANT = FACTS["_DST_GRANT"]
+_SRC_ROLE, _DST_ROLE = FACTS["_SRC_ROLE"], FACTS["_DST_ROLE"]
 _GONE = f"(select * from {_SRC_GRANT.sql()} except select * from {_DST_GRANT.sql()})"
 
 
 @query(f"select * from (select *, 'src' as side from {_GONE} union all select *, 'dst' as side from (select * from {_DST_GRANT.sql()} except select * from {_SRC_GRANT.sql()})) where grantee in (select role from {_SRC_ROLE.sql()} intersect select role from {_DST_ROLE.sql()})")
 def grants_diff(spark, sf_dir):
-    return catalog.grants_difference(_SRC_GRANT.df(spark), _DST_GRANT.df(spark), _SRC_ROLE.df(spark), _DST_ROLE.df(spark))
+    return catalog.grants_difference(_SRC_GRANT.df(spark, sf_dir), _DST_GRANT.df(spark, sf_dir), _SRC_ROLE.df(spark, sf_dir), _DST_ROLE.df(spark, sf_dir))
 
 
 @query(f"select 'GRANT ' || privilege || ' ON ' || object || ' TO ' || grantee || ';' as statement, 'REVOKE ' || privilege || ' ON ' || object || ' FROM ' || grantee || ';' as undo from {_GONE}")
 def grant_statements(spark, sf_dir):
-    return catalog.grant_statements(catalog.missing_grants(_SRC_GRANT.df(spark), _DST_GRANT.df(spark)))
+    return catalog.grant_statements(catalog.missing_grants(_SRC_GRANT.df(spark, sf_dir), _DST_GRANT.df(spark, sf_dir)))
 
 
 @query(f"select grantee, count(*) as n from {_GONE} group by 1")
 def missing_grants_by_grantee(spark, sf_dir):
-    return catalog.grants_by_grantee(catalog.missing_grants(_SRC_GRANT.df(spark), _DST_GRANT.df(spark)))
+    return catalog.grants_by_grantee(catalog.missing_grants(_SRC_GRANT.df(spark, sf_dir), _DST_GRANT.df(spark, sf_dir)))
 
 
-_SRC_EXT, _DST_EXT = Rows("name string, version string", (("pg_trgm", "1.6"), ("uuid", "1.1"), ("same", "1"))), Rows("name string, version string", (("uuid", "1.0"), ("same", "1"), ("extra", "2")))
+_SRC_EXT, _DST_EXT = FACTS["_SRC_EXT"], FACTS["_DST_EXT"]
 
 
 @query(f"select * from (select coalesce(s.name, d.name) as name, case when d.version is null then 'missing' when s.version is null then 'extra' when s.version <> d.version then 'version' end as kind, s.version as src_version, d.version as dst_version from {_SRC_EXT.sql()} s full outer join {_DST_EXT.sql()} d on s.name = d.name) where kind is not null")
 def extension_diff(spark, sf_dir):
-    return catalog.extensions_difference(_SRC_EXT.df(spark), _DST_EXT.df(spark))
+    return catalog.extensions_difference(_SRC_EXT.df(spark, sf_dir), _DST_EXT.df(spark, sf_dir))
 
 
 _IDX = "table string, index string, is_unique boolean, ttl long, partial string, collation string"
-_SRC_IDX = Rows(_IDX, (("t", "a", True, None, None, None), ("t", "b", False, 3600, None, None), ("t", "c", False, None, "x > 1", "en"), ("t", "d", True, None, None, None)))
-_DST_IDX = Rows(_IDX, (("t", "a", False, None, None, None), ("t", "b", False, None, None, None), ("t", "c", False, None, "x > 1", "en")))
+_SRC_IDX = FACTS["_SRC_IDX"]
+_DST_IDX = FACTS["_DST_IDX"]
 _REASONS = ", ".join(f"case when d.\"index\" is not null and s.{x} is distinct from d.{x} then '{x}' end" for x in ("is_unique", "ttl", "partial", "collation"))
 
 
 @query(f"select * from (select s.\"table\", s.\"index\", concat_ws(',', case when d.\"index\" is null then 'missing' end, {_REASONS}) as reason from {_SRC_IDX.sql()} s left join {_DST_IDX.sql()} d on s.\"table\" = d.\"table\" and s.\"index\" = d.\"index\") where reason <> ''")
 def indexes_diff(spark, sf_dir):
-    return catalog.indexes_difference(_SRC_IDX.df(spark), _DST_IDX.df(spark))
+    return catalog.indexes_difference(_SRC_IDX.df(spark, sf_dir), _DST_IDX.df(spark, sf_dir))
 
 
 _CON = "table string, constraint string, deferrable boolean, deferred boolean"
-_SRC_CON, _DST_CON = Rows(_CON, (("t", "fk1", True, False), ("t", "fk2", False, False))), Rows(_CON, (("t", "fk1", False, False), ("t", "fk2", False, False)))
+_SRC_CON, _DST_CON = FACTS["_SRC_CON"], FACTS["_DST_CON"]
 
 
 @query(f"select * from (select s.\"table\", s.\"constraint\", s.deferrable || '/' || s.deferred as src_flags, d.deferrable || '/' || d.deferred as dst_flags from {_SRC_CON.sql()} s join {_DST_CON.sql()} d on s.\"table\" = d.\"table\" and s.\"constraint\" = d.\"constraint\") where src_flags <> dst_flags")
 def deferrable_drift(spark, sf_dir):
-    return catalog.deferrable_drift(_SRC_CON.df(spark), _DST_CON.df(spark))
+    return catalog.deferrable_drift(_SRC_CON.df(spark, sf_dir), _DST_CON.df(spark, sf_dir))
 
 
-_TRIG = Rows("table string, name string, enabled boolean, validated boolean", (("t", "a", True, True), ("t", "b", False, True), ("u", "c", True, False)))
+_TRIG = FACTS["_TRIG"]
 
 
 @query(f"select \"table\", name from {_TRIG.sql()} where not enabled or not validated")
 def flagged_objects(spark, sf_dir):
-    return catalog.flagged(_TRIG.df(spark), "not enabled or not validated", "table", "name")
+    return catalog.flagged(_TRIG.df(spark, sf_dir), "not enabled or not validated", "table", "name")
 
 
-_RLS, _POL = Rows("table string, row_security boolean", (("secret", True), ("open", False), ("guarded", True))), Rows("table string, policy string", (("guarded", "p1"), ("guarded", "p2")))
+_RLS, _POL = FACTS["_RLS"], FACTS["_POL"]
 
 
-@query(f"select r.\"table\", count(p.policy) as n_policies, true as blind from {_RLS.sql()} r left join {_POL.sql()} p on r.\"table\" = p.\"table\" where r.row_security group by 1")
+@query(f"select r.\"table\", count(p.policy) as n_policies, count(*) > 0 as blind from {_RLS.sql()} r left join {_POL.sql()} p on r.\"table\" = p.\"table\" where r.row_security group by 1")
 def row_security(spark, sf_dir):
-    return catalog.row_security(_RLS.df(spark), _POL.df(spark))
+    return catalog.row_security(_RLS.df(spark, sf_dir), _POL.df(spark, sf_dir))
 
 
 _CAP = "collection string, capped boolean, size long"
-_SRC_CAP, _DST_CAP = Rows(_CAP, (("a", True, 100000), ("b", True, 5000), ("c", False, 0))), Rows(_CAP, (("a", True, 20000), ("b", False, 0), ("c", False, 0)))
+_SRC_CAP, _DST_CAP = FACTS["_SRC_CAP"], FACTS["_DST_CAP"]
 
 
 @query(f"select * from (select s.collection, case when not d.capped then 'flag lost' when d.size < s.size then 'smaller' end as reason from {_SRC_CAP.sql()} s join {_DST_CAP.sql()} d on s.collection = d.collection where s.capped) where reason is not null")
 def capped_drift(spark, sf_dir):
-    return catalog.capped_drift(_SRC_CAP.df(spark), _DST_CAP.df(spark))
+    return catalog.capped_drift(_SRC_CAP.df(spark, sf_dir), _DST_CAP.df(spark, sf_dir))
 
 
-_SRC_TOPIC, _DST_TOPIC = Rows("topic string, partitions long", (("a", 3), ("b", 1), ("c", 2))), Rows("topic string, partitions long", (("a", 3), ("b", 2), ("d", 1)))
+_SRC_TOPIC, _DST_TOPIC = FACTS["_SRC_TOPIC"], FACTS["_DST_TOPIC"]
 
 
 @query(f"select * from (select coalesce(s.topic, d.topic) as topic, case when d.partitions is null then 'missing' when s.partitions is null then 'extra' when s.partitions <> d.partitions then 'partitions' end as kind from {_SRC_TOPIC.sql()} s full outer join {_DST_TOPIC.sql()} d on s.topic = d.topic) where kind is not null")
 def topics_diff(spark, sf_dir):
-    return catalog.topics_difference(_SRC_TOPIC.df(spark), _DST_TOPIC.df(spark))
+    return catalog.topics_difference(_SRC_TOPIC.df(spark, sf_dir), _DST_TOPIC.df(spark, sf_dir))
 
 
 _TS = "topic string, name string, value string"
-_SRC_TS, _DST_TS = Rows(_TS, (("a", "cleanup.policy", "compact"), ("a", "segment.ms", "1"), ("a", "other", "1"))), Rows(_TS, (("a", "cleanup.policy", "delete"), ("a", "segment.ms", "1"), ("a", "other", "2")))
+_SRC_TS, _DST_TS = FACTS["_SRC_TS"], FACTS["_DST_TS"]
 
 
 @query(f"select s.topic, s.name, s.value as src_value, d.value as dst_value from {_SRC_TS.sql()} s join {_DST_TS.sql()} d on s.topic = d.topic and s.name = d.name where s.value <> d.value and s.name in ({', '.join(repr(x) for x in catalog.CRITICAL_TOPIC_SETTINGS)})")
 def topic_settings_diff(spark, sf_dir):
-    return catalog.topic_settings_difference(_SRC_TS.df(spark), _DST_TS.df(spark))
+    return catalog.topic_settings_difference(_SRC_TS.df(spark, sf_dir), _DST_TS.df(spark, sf_dir))
 
 
-_KEYCOLS = Rows("table string, index string, nullable boolean", (("a", "pk", False), ("b", "u", True), ("b", "u", False), ("c", None, None), ("d", "u1", True), ("d", "u2", False)))
+_KEYCOLS = FACTS["_KEYCOLS"]
 
 
 @query(f"select distinct \"table\" from {_KEYCOLS.sql()} where \"table\" not in (select \"table\" from (select \"table\", \"index\" from {_KEYCOLS.sql()} where \"index\" is not null group by 1, 2 having count(*) filter (where nullable) = 0))")
 def keyless_tables(spark, sf_dir):
-    return catalog.keyless_tables(_KEYCOLS.df(spark))
+    return catalog.keyless_tables(_KEYCOLS.df(spark, sf_dir))
 
 
-_ROUT = Rows("schema string, obj_type string, name string", (("a", "function", "f"), ("a", "function", "g"), ("a", "view", "v"), ("b", "trigger", "t")))
+_ROUT = FACTS["_ROUT"]
 
 
 @query(f"select schema, obj_type, count(*) as n from {_ROUT.sql()} group by 1, 2")
 def routine_counts(spark, sf_dir):
-    return catalog.routines_by_kind(_ROUT.df(spark))
+    return catalog.routines_by_kind(_ROUT.df(spark, sf_dir))
 
 
 _LOGIN = "login string, secret string, roles array<string>"
-_SRC_LOGIN = Rows(_LOGIN, (("a", "h1", ["r", "w"]), ("b", "h2", ["r"]), ("c", "h3", ["r"]), ("e", "h5", ["x"])))
-_DST_LOGIN = Rows(_LOGIN, (("a", "h1", ["w", "r"]), ("b", "hX", ["r"]), ("d", "h4", ["r"]), ("e", "h5", ["root"])))
+_SRC_LOGIN = FACTS["_SRC_LOGIN"]
+_DST_LOGIN = FACTS["_DST_LOGIN"]
 
 
 @query(f"select * from (select coalesce(s.login, d.login) as login, case when d.login is null then 'missing' when s.login is null then 'extra' when s.secret is distinct from d.secret then 'password' when list_sort(s.roles) is distinct from list_sort(d.roles) then 'roles' end as kind from {_SRC_LOGIN.sql()} s full outer join {_DST_LOGIN.sql()} d on s.login = d.login) where kind is not null")
 def logins_diff(spark, sf_dir):
-    return catalog.logins_difference(_SRC_LOGIN.df(spark), _DST_LOGIN.df(spark))
+    return catalog.logins_difference(_SRC_LOGIN.df(spark, sf_dir), _DST_LOGIN.df(spark, sf_dir))
 
 
-_SRC_ROLES = Rows("login string, roles array<string>", (("a", ["read", "write", "vendor"]), ("b", ["read"]), ("c", ["x", "y"])))
-_DST_ROLES = Rows("login string, roles array<string>", (("a", ["read"]), ("b", ["root"]), ("c", ["x"])))
+_SRC_ROLES = FACTS["_SRC_ROLES"]
+_DST_ROLES = FACTS["_DST_ROLES"]
 
 
 @query(f"select login, array_to_string(gap, ',') as missing from (select s.login, list_sort(list_filter(s.roles, lambda x: not list_contains(d.roles, x) and x <> 'vendor')) as gap, list_contains(d.roles, 'root') or list_contains(d.roles, '__system') as covered from {_SRC_ROLES.sql()} s join {_DST_ROLES.sql()} d on s.login = d.login) where not covered and len(gap) > 0")
 def role_gap(spark, sf_dir):
-    return catalog.role_gap(_SRC_ROLES.df(spark), _DST_ROLES.df(spark), ["vendor"])
+    return catalog.role_gap(_SRC_ROLES.df(spark, sf_dir), _DST_ROLES.df(spark, sf_dir), ["vendor"])
 
 
 # ---- counters and repair
@@ -657,18 +658,17 @@ def row_repair_plan(spark, sf_dir):
     return repair.row_plan(found.where("kind <> 'same'"), ["o_orderkey"])
 
 
-_SIZES = Rows("constraint string, size long", (("positive", 10), ("known", 20)))
+_SIZES = FACTS["_SIZES"]
 
 
 @query(f"select c.\"constraint\", size, n, case when n = 0 then 'validate' else 'fix rows' end as step from {_SIZES.sql()} c join ({ORACLE_SQL['constraint_violations']}) v on c.\"constraint\" = v.\"constraint\"")
 def validation_plan(spark, sf_dir):
-    return repair.validation_plan(_SIZES.df(spark), constraint_violations(spark, sf_dir))
+    return repair.validation_plan(_SIZES.df(spark, sf_dir), constraint_violations(spark, sf_dir))
 
 
 # ---- progress
 
-_SAMPLE = "db string, ts long, src_rows long, dst_rows long, src_tables map<string,long>"
-_SAMPLES = Rows(_SAMPLE, (("d", 0, 100, 10, {"t": 100}), ("d", 10, 112, 60, {"t": 112}), ("d", 20, 112, 112, {"t": 112}), ("d", 30, 112, 112, {"t": 112}), ("d", 40, 115, 112, {"t": 115}), ("d", 50, 115, 115, {"t": 115}), ("e", 0, 50, 50, {"u": 50}), ("e", 10, 50, 50, {"u": 50}), ("e", 20, 60, 50, None)))
+_SAMPLES = FACTS["_SAMPLES"]
 _LAGGED = f"(select *, lag(src_rows) over w as p_src, lag(dst_rows) over w as p_dst, lag(ts) over w as p_ts, lag(src_tables) over w as p_map from {_SAMPLES.sql()} window w as (partition by db order by ts))"
 _GREW = f"(select *, coalesce(p_map is not null and len(list_filter(map_entries(src_tables), lambda e: e.value > coalesce(p_map[e.key], e.value))) > 0, false) as hot, coalesce(src_rows > p_src, false) or coalesce(p_map is not null and len(list_filter(map_entries(src_tables), lambda e: e.value > coalesce(p_map[e.key], e.value))) > 0, false) as grew from {_LAGGED})"
 _STABLE = f"(select *, row_number() over (partition by db, island order by ts) - case when island > 0 then 1 else 0 end as stable from (select *, sum(grew::int) over (partition by db order by ts) as island from {_GREW}))"
@@ -676,22 +676,22 @@ _STABLE = f"(select *, row_number() over (partition by db, island order by ts) -
 
 @query(f"select db, ts, (dst_rows - p_dst) / nullif(cast(ts - p_ts as double), 0) as rate, case when (dst_rows - p_dst) > 0 then greatest(src_rows - dst_rows, 0) / ((dst_rows - p_dst) / nullif(cast(ts - p_ts as double), 0)) end as eta_s, cast(floor(dst_rows * 100 / src_rows) as bigint) as pct from {_LAGGED}")
 def watch_rate_eta(spark, sf_dir):
-    return watch.rates(_SAMPLES.df(spark))
+    return watch.rates(_SAMPLES.df(spark, sf_dir))
 
 
 @query(f"select db, ts, cast(stable as bigint) as stable from {_STABLE}")
 def stable_cycles(spark, sf_dir):
-    return watch.stable_cycles(_SAMPLES.df(spark))
+    return watch.stable_cycles(_SAMPLES.df(spark, sf_dir))
 
 
 @query(f"select db, ts, case when hot then 'NOT SAFE' when dst_rows >= src_rows and src_rows > 0 and stable >= 2 then 'SAFE' when dst_rows >= src_rows then 'converging' else '' end as verdict from {_STABLE}")
 def cutover_verdict(spark, sf_dir):
-    return watch.verdicts(_SAMPLES.df(spark))
+    return watch.verdicts(_SAMPLES.df(spark, sf_dir))
 
 
 @query(f"select db, ts, \"table\", added from (select *, n - lag(n) over (partition by db, \"table\" order by ts) as added from (select db, ts, unnest(map_entries(src_tables)).key as \"table\", unnest(map_entries(src_tables)).value as n from {_SAMPLES.sql()})) where added > 0")
 def hot_tables(spark, sf_dir):
-    return watch.hot_tables(_SAMPLES.df(spark))
+    return watch.hot_tables(_SAMPLES.df(spark, sf_dir))
 
 
 @query(f"select series, tick, n, cast(sum(n) over (order by tick) as bigint) as running, n - lag(n) over (order by tick) as change from {duck('ticks')}")
@@ -699,29 +699,29 @@ def tick_rates(spark, sf_dir):
     return watch.tick_rates(pair(spark, sf_dir, "ticks"))
 
 
-_EVENTS = Rows("hop string, ts long, event string", tuple(("h" + str(i % 2), i, "e" + str(i)) for i in range(40)))
+_EVENTS = FACTS["_EVENTS"]
 
 
 @query(f"select hop, ts, event from (select *, row_number() over (partition by hop order by ts desc, event desc) as k from {_EVENTS.sql()}) where k <= 15 order by ts desc, hop, event desc limit 12")
 def newest_events(spark, sf_dir):
-    return watch.newest(_EVENTS.df(spark))
+    return watch.newest(_EVENTS.df(spark, sf_dir))
 
 
-_POINTS = Rows("hop string, db string, tag string, ts long", (("h", "a", "x", 1), ("h", "a", "x", 3), ("h", "b", "y", 5)))
+_POINTS = FACTS["_POINTS"]
 
 
 @query(f"select * from {_POINTS.sql()} where hop = 'h' and db = 'a' order by ts desc limit 1")
 def latest_state(spark, sf_dir):
-    return watch.latest_state(_POINTS.df(spark), hop="h", db="a")
+    return watch.latest_state(_POINTS.df(spark, sf_dir), hop="h", db="a")
 
 
-_CYCLES = Rows("check string, scope string, cycle long, status string", (("data", "t", 1, "ok"), ("data", "t", 2, "diff"), ("data", "t", 3, "diff"), ("data", "t", 4, "ok"), ("deep", "t", 1, "skip"), ("deep", "t", 2, "ok")))
+_CYCLES = FACTS["_CYCLES"]
 _BAD = "{0} not in ('ok', 'skip')"
 
 
 @query(f"select \"check\", scope, cycle, case when p is null then 'first' when {_BAD.format('p')} and {_BAD.format('status')} then 'persists' when {_BAD.format('p')} then 'healed' when {_BAD.format('status')} then 'broke' else 'clean' end as change from (select *, lag(status) over (partition by \"check\", scope order by cycle) as p from {_CYCLES.sql()})")
 def heal_or_persist(spark, sf_dir):
-    return watch.heal_or_persist(_CYCLES.df(spark))
+    return watch.heal_or_persist(_CYCLES.df(spark, sf_dir))
 
 
 # ---- logs, entries, documents
@@ -737,49 +737,48 @@ def log_counts(spark, sf_dir):
     return stores.log_counts(pair(spark, sf_dir, "log").withColumn("off", F.col("off").cast("long")))
 
 
-_ENDS, _BASE = Rows("topic string, part long, off long", (("a", 0, 10), ("a", 1, 5), ("b", 0, 7))), Rows("topic string, part long, off long", (("a", 0, 4), ("b", 0, 7)))
-_SRC_GROUPS, _DST_GROUPS = Rows("grp string, topic string, part long, off long", (("g", "a", 0, 9), ("g", "a", 1, 5), ("x", "b", 0, 1))), Rows("grp string, lag long", (("g", 20000),))
+_ENDS, _BASE = FACTS["_ENDS"], FACTS["_BASE"]
+_SRC_GROUPS, _DST_GROUPS = FACTS["_SRC_GROUPS"], FACTS["_DST_GROUPS"]
 
 
 @query(f"select e.topic, e.part, e.off - coalesce(b.off, 0) as n from {_ENDS.sql()} e left join {_BASE.sql()} b on e.topic = b.topic and e.part = b.part")
 def new_records(spark, sf_dir):
-    return stores.new_records(_ENDS.df(spark), _BASE.df(spark))
+    return stores.new_records(_ENDS.df(spark, sf_dir), _BASE.df(spark, sf_dir))
 
 
 @query(f"select s.grp, s.lag as src_lag, d.lag as dst_lag, case when d.lag is null then 'missing' when d.lag > s.lag + 10000 then 'diff' else 'ok' end as status from (select grp, cast(sum(greatest(0, e.off - c.off)) as bigint) as lag from {_SRC_GROUPS.sql()} c join {_ENDS.sql()} e on c.topic = e.topic and c.part = e.part group by 1) s left join {_DST_GROUPS.sql()} d on s.grp = d.grp")
 def consumer_lag(spark, sf_dir):
-    return stores.group_lag_status(stores.group_lag(_ENDS.df(spark), _SRC_GROUPS.df(spark)), _DST_GROUPS.df(spark))
+    return stores.group_lag_status(stores.group_lag(_ENDS.df(spark, sf_dir), _SRC_GROUPS.df(spark, sf_dir)), _DST_GROUPS.df(spark, sf_dir))
 
 
-_ENTRY = "key string, type string, str string, items array<string>"
-_SRC_KV = Rows(_ENTRY, (("a", "string", "1", None), ("b", "set", None, ["x", "y"]), ("c", "list", None, ["x", "y"]), ("d", "string", "v", None), ("e", "string", "v", None)))
-_DST_KV = Rows(_ENTRY, (("a", "string", "1", None), ("b", "set", None, ["y", "x"]), ("c", "list", None, ["y", "x"]), ("d", "set", None, ["v"]), ("f", "string", "z", None)))
+_SRC_KV = FACTS["_SRC_KV"]
+_DST_KV = FACTS["_DST_KV"]
 _KV_TEXT = "case type when 'string' then str when 'set' then array_to_string(list_transform(list_sort(items), lambda x: length(x) || ':' || x), '') when 'list' then array_to_string(list_transform(items, lambda x: length(x) || ':' || x), '') end"
 
 
-def _entries(rows: Rows, spark) -> DataFrame:
-    return rows.df(spark).withColumns({"hash": F.lit(None).cast("map<string,string>"), "scores": F.lit(None).cast("map<string,double>")})
+def _entries(rows: Facts, spark, sf_dir) -> DataFrame:
+    return rows.df(spark, sf_dir).withColumns({"hash": F.lit(None).cast("map<string,string>"), "scores": F.lit(None).cast("map<string,double>")})
 
 
 @query(f"select * from (select coalesce(s.key, d.key) as key, case when d.type is null then 'missing' when s.type is null then 'extra' when s.type <> d.type then 'type' when s.v is distinct from d.v then 'changed' end as kind from (select *, {_KV_TEXT} as v from {_SRC_KV.sql()}) s full outer join (select *, {_KV_TEXT} as v from {_DST_KV.sql()}) d on s.key = d.key) where kind is not null")
 def kv_value_diff(spark, sf_dir):
-    return stores.entries_difference(_entries(_SRC_KV, spark), _entries(_DST_KV, spark))
+    return stores.entries_difference(_entries(_SRC_KV, spark, sf_dir), _entries(_DST_KV, spark, sf_dir))
 
 
-_SRC_TTL, _DST_TTL = Rows("key string, ttl long", (("a", 600000), ("b", 600000), ("c", -1), ("d", 3600000))), Rows("key string, ttl long", (("a", -1), ("b", 630000), ("c", -1), ("d", 3000000)))
+_SRC_TTL, _DST_TTL = FACTS["_SRC_TTL"], FACTS["_DST_TTL"]
 
 
 @query(f"select * from (select s.key, case when s.ttl > 0 and not (coalesce(d.ttl, -1) > 0) then 'lost' when s.ttl > 0 and abs(s.ttl - d.ttl) > greatest(60000.0, 0.1 * s.ttl) then 'drift' end as kind, s.ttl as src_ttl, d.ttl as dst_ttl from {_SRC_TTL.sql()} s join {_DST_TTL.sql()} d on s.key = d.key) where kind is not null")
 def kv_ttl_drift(spark, sf_dir):
-    return stores.ttl_drift(_SRC_TTL.df(spark), _DST_TTL.df(spark))
+    return stores.ttl_drift(_SRC_TTL.df(spark, sf_dir), _DST_TTL.df(spark, sf_dir))
 
 
-_BIG = Rows("key string, bytes long", tuple((f"k{i}", i * 7 % 11) for i in range(11)))
+_BIG = FACTS["_BIG"]
 
 
 @query(f"select * from {_BIG.sql()} order by bytes desc, key limit 5")
 def largest_entries(spark, sf_dir):
-    return stores.largest_entries(_BIG.df(spark))
+    return stores.largest_entries(_BIG.df(spark, sf_dir))
 
 
 _KIND = "case json_type(doc, '$.' || f) when 'UBIGINT' then 'int' when 'BIGINT' then 'int' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'bool' when 'NULL' then 'null' when 'ARRAY' then 'array' else 'object' end"
@@ -890,33 +889,33 @@ def document_events(spark, sf_dir):
     return delta.document_events(pair(spark, sf_dir, "event_feed"))
 
 
-_CLOCKS = Rows("src_s double, dst_s double", ((0.0, 0.5), (10.0, 11.0)))
+_CLOCKS = FACTS["_CLOCKS"]
 
 
-@query(f"select n_rows, n_bad, true as clock_ok, n_rows > 0 and n_bad = 0 as passed from (select cast(sum(n) as bigint) as n_rows, cast(coalesce(sum(n) filter (where kind <> 'same'), 0) as bigint) as n_bad from ({ORACLE_SQL['random_probe']}))")
+@query(f"select n_rows, n_bad, clock_ok, n_rows > 0 and n_bad = 0 and clock_ok as passed from (select max(abs(dst_s - src_s)) < 2 and max(dst_s - src_s) - min(dst_s - src_s) < 5 as clock_ok from {_CLOCKS.sql()}) c, (select cast(sum(n) as bigint) as n_rows, cast(coalesce(sum(n) filter (where kind <> 'same'), 0) as bigint) as n_bad from ({ORACLE_SQL['random_probe']}))")
 def spot_check(spark, sf_dir):
-    return diff.spot_check(random_probe(spark, sf_dir), _CLOCKS.df(spark))
+    return diff.spot_check(random_probe(spark, sf_dir), _CLOCKS.df(spark, sf_dir))
 
 
-_TABLE_SIZES = Rows("table string, n long", tuple((f"t{i}", i * i % 13) for i in range(12)))
+_TABLE_SIZES = FACTS["_TABLE_SIZES"]
 
 
 @query(f"with top as (select \"table\", n from {_TABLE_SIZES.sql()} order by n desc, \"table\" limit 4) select * from top union all (select \"table\", n from {_TABLE_SIZES.sql()} where \"table\" not in (select \"table\" from top) order by md5('probe' || \"table\") limit 4)")
 def tables_to_probe(spark, sf_dir):
-    return diff.tables_to_probe(_TABLE_SIZES.df(spark))
+    return diff.tables_to_probe(_TABLE_SIZES.df(spark, sf_dir))
 
 
-_SESSIONS = Rows("id long, age_s double", ((1, 10.0), (2, 7200.0)))
+_SESSIONS = FACTS["_SESSIONS"]
 
 
-@query("select cast(2 as bigint) as n, cast(7200 as double) as longest_s, 'warn' as level")
+@query(f"select count(*) as n, max(age_s) as longest_s, case when max(age_s) > 3600 then 'warn' else 'pass' end as level from {_SESSIONS.sql()}")
 def open_transactions(spark, sf_dir):
-    return catalog.open_transactions(_SESSIONS.df(spark))
+    return catalog.open_transactions(_SESSIONS.df(spark, sf_dir))
 
 
 @query(f"select schema, count(*) as n, array_to_string(list_slice(list_sort(list_distinct(list(name))), 1, 2), ', ') as names from {_ROUT.sql()} group by 1")
 def name_lists(spark, sf_dir):
-    return catalog.name_lists(_ROUT.df(spark), "schema", "name", 2)
+    return catalog.name_lists(_ROUT.df(spark, sf_dir), "schema", "name", 2)
 
 
 @query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey > 100 and o_orderkey <= 900")
@@ -926,55 +925,55 @@ def copy_range(spark, sf_dir):
 
 # ---- results
 
-_RESULT = "check string, scope string, status string, detail string, report string, fix_hint string"
-_RESULTS = Rows(_RESULT, (("counts", "app", "ok", "", "", ""), ("data", "app t1", "diff", "x", "", ""), ("data", "app t2", "ok", "", "", ""), ("deep", "app t1", "error", "", "", ""), ("deep", "other", "skip", "", "", ""), ("schema", "app t1", "diff", "", "", "")))
-_RERUN = Rows(_RESULT, (("data", "app t1", "ok", "fixed", "", ""), ("data", "app t3", "ok", "", "", "")))
+_RESULTS = FACTS["_RESULTS"]
+_RERUN = FACTS["_RERUN"]
 _RANK = "case status when 'ok' then 0 when 'skip' then 1 when 'diff' then 2 else 3 end"
 
 
 @query(f"select db, \"check\", case r when 0 then 'ok' when 1 then 'skip' when 2 then 'diff' else 'error' end as status from (select split_part(scope, ' ', 1) as db, \"check\", max({_RANK}) as r from {_RESULTS.sql()} group by 1, 2)")
 def status_matrix(spark, sf_dir):
-    return sinks.status_matrix(_RESULTS.df(spark))
+    return sinks.status_matrix(_RESULTS.df(spark, sf_dir))
 
 
 @query(f"select n_pass, n_total, n_pass = n_total as all_clean from (select count(*) filter (where status in ('ok', 'skip')) as n_pass, count(*) as n_total from {_RESULTS.sql()})")
 def check_pass_total(spark, sf_dir):
-    return sinks.pass_total(_RESULTS.df(spark))
+    return sinks.pass_total(_RESULTS.df(spark, sf_dir))
 
 
 @query(f"select * from {_RESULTS.sql()} where \"check\" not in (select \"check\" from {_RERUN.sql()}) union all select * from {_RERUN.sql()}")
 def summary_merge(spark, sf_dir):
-    return sinks.merged_summary(_RESULTS.df(spark), _RERUN.df(spark))
+    return sinks.merged_summary(_RESULTS.df(spark, sf_dir), _RERUN.df(spark, sf_dir))
 
 
 @query(f"select 'concord_check_ok{{pair=\"p\",check=\"' || \"check\" || '\",scope=\"' || scope || '\"}} ' || case when status in ('ok', 'skip') then '1' else '0' end as line from {_RESULTS.sql()}")
 def metric_lines(spark, sf_dir):
-    return sinks.metrics(_RESULTS.df(spark), "p")
+    return sinks.metrics(_RESULTS.df(spark, sf_dir), "p")
 
 
-_DRILLED = Rows("scope string, n long", (("app t1", 0),))
+_DRILLED = FACTS["_DRILLED"]
 
 
 @query(f"select \"check\", r.scope, case when \"check\" = 'data' and status = 'diff' and n = 0 then 'ok' else status end as status, detail, report, fix_hint from {_RESULTS.sql()} r left join {_DRILLED.sql()} d on r.scope = d.scope")
 def settled_results(spark, sf_dir):
-    return checks.reclassified(_RESULTS.df(spark), _DRILLED.df(spark)).select("check", "scope", "status", "detail", "report", "fix_hint")
+    return checks.reclassified(_RESULTS.df(spark, sf_dir), _DRILLED.df(spark, sf_dir)).select("check", "scope", "status", "detail", "report", "fix_hint")
 
 
-_TRUSTED = Rows(_RESULT, (*_RESULTS.rows, ("structural", "app t1", "ok", "", "", "")))
+_TRUSTED = FACTS["_TRUSTED"]
 
 
 @query(f"select r.\"check\", r.scope, case when r.\"check\" = 'schema' and r.status = 'diff' and r.scope in (select scope from {_TRUSTED.sql()} where \"check\" = 'structural' and status = 'ok') then 'ok' else status end as status from {_TRUSTED.sql()} r")
 def schema_authority(spark, sf_dir):
-    return checks.authority(_TRUSTED.df(spark)).select("check", "scope", "status")
+    return checks.authority(_TRUSTED.df(spark, sf_dir)).select("check", "scope", "status")
 
 
-_FACTS = Rows("name string, value string", (("wal_level", "replica"), ("is_replica", "false"), ("inactive_slots", "2"), ("encoding", "utf8")))
+_FACTS = FACTS["_FACTS"]
+#: What each rule asks of its fact, and what it says where that is not so.
+_RULES = {"wal_level": ("value = 'logical'", "fail", "set wal_level to logical"), "inactive_slots": ("cast(value as int) = 0", "warn", "drop inactive slots, they hold the log"), "longest_transaction_s": ("cast(value as double) < 3600", "warn", "end long transactions before the copy"), "tables_without_key": ("cast(value as int) = 0", "warn", "such tables are compared whole"), "invalid_indexes": ("cast(value as int) = 0", "fail", "rebuild invalid indexes")}
 
 
-@query("select * from (values ('wal_level', 'fail', 'set wal_level to logical'), ('is_replica', 'pass', ''), ('inactive_slots', 'warn', 'drop inactive slots, they hold the log'), ('encoding', 'pass', '')) t(rule, level, detail)")
+@query(" union all ".join(f"select '{name}' as rule, case when {test} then 'pass' else '{level}' end as level, case when {test} then '' else '{advice}' end as detail from {_FACTS.sql()} where name = '{name}'" for name, (test, level, advice) in _RULES.items()))
 def assess_rules(spark, sf_dir):
-    known = {r[0] for r in _FACTS.rows}
-    return checks.assess(_FACTS.df(spark), [r for r in checks.READINESS if r[0] in known])
+    return checks.assess(_FACTS.df(spark, sf_dir), [r for r in checks.READINESS if r[0] in _RULES])
 
 
 @query(f"select level, count(*) as n from ({ORACLE_SQL['assess_rules']}) group by 1")

@@ -10,10 +10,11 @@ from pyspark.sql import types as T
 from concord.fixtures import COLUMNS, duck, duck_row_hash, pair
 from concord.functions import dialects
 from concord.model import Endpoint, Pair, TableMeta
-from concord.operators import diff, keys, sketch
+from concord.operators import diff, keys, sketch, stores
 from concord.plans import checks
 from concord.registry import ORACLE_SQL, query
 from concord.sources import pushdown
+from concord.streaming import delta
 
 
 def _multisets(key: str, src: str, dst: str) -> str:
@@ -116,3 +117,72 @@ def minimal_keys(spark, sf_dir):
     """The smallest sets of columns that tell the rows of a table apart."""
     rows = [(t, ",".join(s)) for t, c in _KEYED.items() for s in keys.minimal_keys(pair(spark, sf_dir, t), c)]
     return spark.createDataFrame(rows, "table_name string, columns string")
+
+
+# ---- keys as multisets, as checks and repairs compare them
+
+_V, _X = "coalesce(length(v) || ':' || v, '~')", "coalesce(cast(x + 0 as varchar) || ';', '~')"
+_BAGS, _BAGS_DST = duck("bags_src"), duck("bags_dst")
+_PART = COLUMNS["part"]
+_PART_ROWS = f"select p_partkey, {duck_row_hash(_PART)} as v from {{0}}"
+
+
+def _bag(table: str, text: str) -> str:
+    return f"(select k, count(*) as n, string_agg({text}, chr(10) order by {text}) as t from {table} group by k)"
+
+
+@query(f"""select coalesce(s.k, d.k) as k, case when d.n is null then 'missing' when s.n is null then 'extra' when s.t <> d.t then 'changed' else 'same' end as kind
+    from {_bag(_BAGS, f'{_V} || {_X}')} s full outer join {_bag(_BAGS_DST, f'{_V} || {_X}')} d on s.k is not distinct from d.k where coalesce(s.k, d.k) % 3 = 0""")
+def restricted_multisets(spark, sf_dir):
+    """Kinds of the given keys, under each of which both sides hold many rows."""
+    src, dst = pair(spark, sf_dir, "bags_src"), pair(spark, sf_dir, "bags_dst")
+    return diff.restricted(src, dst, src.union(dst).select("k").where("k % 3 = 0"), ["k"])
+
+
+@query(" union all ".join(f"select * from (select '{c}' as \"column\", count(*) as n_diff from {_bag(_BAGS, t)} s join {_bag(_BAGS_DST, t)} d on s.k is not distinct from d.k where s.t <> d.t or s.n <> d.n) where n_diff > 0" for c, t in (("v", _V), ("x", _X))))
+def column_drift_multisets(spark, sf_dir):
+    """In how many keys that both sides have the values of a column differ, null keys and repeated ones included."""
+    return diff.column_drift(pair(spark, sf_dir, "bags_src"), pair(spark, sf_dir, "bags_dst"), ["k"])
+
+
+def _ranked(table: str) -> str:
+    return f"(select k, v, cast(x + 0 as varchar) as x, row_number() over (partition by k order by {_V} || {_X}) as r from {table})"
+
+
+_CHANGED = f"(select s.k from {_bag(_BAGS, f'{_V} || {_X}')} s join {_bag(_BAGS_DST, f'{_V} || {_X}')} d on s.k is not distinct from d.k where s.t <> d.t)"
+
+
+@query(" union all ".join(f"select coalesce(cast(s.k as varchar), '\\N') as key, '{c}' as \"column\", s.{c} as src_value, d.{c} as dst_value from {_ranked(_BAGS)} s join {_ranked(_BAGS_DST)} d on s.k is not distinct from d.k and s.r = d.r where s.{c} is distinct from d.{c} and exists (select 1 from {_CHANGED} c where c.k is not distinct from s.k)" for c in ("v", "x")))
+def sample_compare_multisets(spark, sf_dir):
+    """Differing values of repeated keys, whose rows are paired in the order of their texts."""
+    return diff.sample_compare(pair(spark, sf_dir, "bags_src"), pair(spark, sf_dir, "bags_dst"), ["k"])
+
+
+_PART_KINDS = f"select s.p_partkey, case when s.v <> d.v then 'changed' else 'same' end as kind from ({_PART_ROWS.format('part')}) s join ({_PART_ROWS.format(duck('part_dst'))}) d on s.p_partkey = d.p_partkey"
+
+
+@query(f"select kind, count(*) as n from ({_PART_KINDS}) where p_partkey in (select p_partkey from part order by md5('probe' || cast(p_partkey as varchar)) limit 300) group by 1")
+def probe_multisets(spark, sf_dir):
+    return diff.probe(pair(spark, sf_dir, "part").select(*_PART), pair(spark, sf_dir, "part_dst").select(*_PART), ["p_partkey"], 300)
+
+
+@query(f"select * from ({_PART_KINDS}) where kind <> 'same' and p_partkey % 4 <> 1")
+def touched_multisets(spark, sf_dir):
+    src, dst = (pair(spark, sf_dir, t).select(*_PART) for t in ("part", "part_dst"))
+    return delta.verify_touched(src, dst, src.select("p_partkey").where("p_partkey % 4 <> 1"), ["p_partkey"])
+
+
+# ---- nested documents
+
+_DEEP = {"$": "'object'", "$.turn": "'int'", "$['a.b']": "'object'", "$['a.b'].role": "'string'", "$['a.b'].n": "'array'", "$.x": "case when conv_id % 3 = 0 then 'double' else 'int' end"}
+
+
+@query(" union all ".join(f"select '{path.replace(chr(39), chr(39) * 2)}' as path, {kind} as type, count(*) as n from conversations group by 2" for path, kind in _DEEP.items()) + " union all select '$[''a.b''].n[*]', 'variant', count(*) from conversations")
+def nested_paths(spark, sf_dir):
+    """Types by path of documents made of conversations: nested objects, arrays of mixed elements, names with dots."""
+    return stores.path_types(pair(spark, sf_dir, "docs_nested"))
+
+
+@query("select * from (values ('$.turn', 'int', 'string'), ('$.x', case when (select count(*) from conversations where conv_id % 3 = 0) > 0 then 'double' else 'int' end, 'int'), ('$.new', null, case when (select count(*) from conversations where conv_id % 5 = 0) > 0 then 'object' end)) t(path, src_type, dst_type) where src_type is distinct from dst_type")
+def nested_path_drift(spark, sf_dir):
+    return stores.path_drift(pair(spark, sf_dir, "docs_nested"), pair(spark, sf_dir, "docs_nested_dst"))
