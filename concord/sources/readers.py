@@ -16,6 +16,7 @@ from concord.model import SYSTEM_PREFIXES, Endpoint, Pair, TableMeta
 from concord.functions import dialects
 from concord.operators import align
 from concord.sources import catalogs, pushdown
+from concord.sources.retry import retried
 
 #: Other names of the same engines.
 ALIASES = {"postgresql": "postgres", "pg": "postgres", "mariadb": "mysql", "mongo": "mongodb", "sqlserver": "mssql", "sqlite3": "sqlite", "files": "parquet", "valkey": "redis", "redpanda": "kafka"}
@@ -200,7 +201,7 @@ def bind(spark: SparkSession, pair: Pair, database: str = "") -> Pair:
     if engine == "hetero":
         kinds = {"src": engine_of(pair.options["source_engine"]), "dst": engine_of(pair.options["target_engine"])}
     ends = {"src": pair.source, "dst": pair.target}
-    ask = {side: (lambda end, db, sql, kind=kinds[side]: read_query(spark, end, db, kind, sql)) for side in ends}
+    ask = {side: (lambda end, db, sql, kind=kinds[side]: retried(lambda: read_query(spark, end, db, kind, sql))) for side in ends}
 
     def read(side: str, table: str) -> DataFrame:
         kind, db = kinds[side], pair.side_db(side, database)

@@ -23,6 +23,7 @@ from pyspark.sql.types import StructType
 
 from concord.functions.dialects import Dialect, dialect
 from concord.operators.diff import differences, matched
+from concord.sources.retry import retried
 
 #: What a staged row does: takes the rows of its key away, and with ``put`` is there itself.
 TAKE, PUT = "take", "put"
@@ -221,7 +222,7 @@ def apply(target: SQLiteTarget, wanted: dict[str, tuple[DataFrame, Sequence[str]
     names = gathered(staged, f"{folder}/{tag}/all.db")
     ordered = [Change(t, tuple(c for c in wanted[t][0].columns if c != "__do"), tuple(wanted[t][1]), f"staged0.{names[t]}") for t in parents_first(list(wanted), foreign) if t in names]
     if ordered:
-        target.run(apply_statements(target.own, tag, ordered), [f"{folder}/{tag}/all.db"])
+        retried(lambda: target.run(apply_statements(target.own, tag, ordered), [f"{folder}/{tag}/all.db"]))
     return tag
 
 
