@@ -36,12 +36,24 @@ def _session() -> SparkSession:
     return SparkSession.builder.appName("concord").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def _pair(args: argparse.Namespace, spark: SparkSession) -> Pair:
+def _databases(args: argparse.Namespace, spark: SparkSession) -> list[str]:
+    """The databases of a run: the one asked for, else all of the pair's; * stands for all that the source's catalog lists."""
+    pair = get_pair(args.config, args.name)
+    if args.db or not pair.databases:
+        return [args.db]
+    if "*" not in pair.databases:
+        return list(pair.databases)
+    listed = readers.bind(spark, pair, "").facts("src", "databases")
+    names = [] if listed is None else [r["name"] for r in listed.collect()]
+    return sorted(n for n in names if n not in readers.SYSTEM_DATABASES and not pair.excluded(n))
+
+
+def _pair(args: argparse.Namespace, spark: SparkSession, database: str | None = None) -> Pair:
     pair = get_pair(args.config, args.name)
     if args.exclude:
         pair.exclude = (*pair.exclude, *args.exclude.split(","))
     pair.validate()
-    bound = readers.bind(spark, pair, args.db)
+    bound = readers.bind(spark, pair, args.db if database is None else database)
     if args.table:
         bound.tables = tuple(t for t in bound.tables if t == args.table)
         bound.target_tables = None if bound.target_tables is None else tuple(t for t in bound.target_tables if t == args.table)
@@ -151,42 +163,52 @@ def _summary(spark: SparkSession, args: argparse.Namespace) -> list:
 
 
 def _run_checks(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """One run of the wanted checks, merged into the pair's summary."""
-    pair = _pair(args, spark)
+    """One run of the wanted checks over all databases, merged into the pair's summary.
+
+    Where there are several databases, each scope begins with its database.
+    """
     only = tuple(args.only.split(",")) if args.only else checks.CHECKS
     only = (*only, "deep") if args.deep and "deep" not in only else only
     unknown = set(only) - set(checks.CHECKS)
     if unknown:
         raise SystemExit(f"unknown checks: {', '.join(sorted(unknown))}; known: {', '.join(checks.CHECKS)}")
-    if args.consistent:
-        # the log positions before the first read: what came later is in flight
-        print("\t".join(["snapshot", *(f"{side}={place}" for side in ("src", "dst") if (place := checks.position(pair, side)))]))
-        pair = checks.snapshot(pair)
-    old = _summary(spark, args)
-    clean = {t for t in pair.tables if (mine := [r for r in old if r["scope"].split(" ")[0] == t]) and all(r["status"] in ("ok", "skip") for r in mine)}
-    found = checks.check(spark, pair, only, frozenset(clean if args.resume else ())).collect()
-    if args.resume:
-        found += [r for r in old if r["scope"].split(" ")[0] in clean and r["check"] in only]
-    found = spark.createDataFrame(found, RESULT_SCHEMA)
+    old, databases, rows, bound = _summary(spark, args), _databases(args, spark), [], {}
+    for database in databases:
+        mark = f"{database} " if len(databases) > 1 else ""
+        bound[mark] = pair = _pair(args, spark, database)
+        if args.consistent:
+            # the log positions before the first read: what came later is in flight
+            print("\t".join([f"{mark}snapshot", *(f"{side}={place}" for side in ("src", "dst") if (place := checks.position(pair, side)))]))
+            pair = checks.snapshot(pair)
+        mine = [r for r in old if r["scope"].startswith(mark)]
+        table = lambda r: r["scope"][len(mark) :].split(" ")[0]  # noqa: B023, E731
+        clean = {t for t in pair.tables if (seen := [r["status"] for r in mine if table(r) == t]) and set(seen) <= {"ok", "skip"}}
+        for r in checks.check(spark, pair, only, frozenset(clean if args.resume else ())).collect():
+            rows.append((r["check"], mark + r["scope"], *r[2:]))
+        if args.resume:
+            rows += [tuple(r) for r in mine if table(r) in clean and r["check"] in only]
+    found = spark.createDataFrame(rows, RESULT_SCHEMA)
     if old:
         found = sinks.merged_summary(spark.createDataFrame(old, RESULT_SCHEMA), found)
     rows = found.orderBy("check", "scope").collect()
     kept = spark.createDataFrame(rows, RESULT_SCHEMA)
     kept.coalesce(1).write.mode("overwrite").json(f"{_reports(args)}/summary")
     if args.drill:
-        _drill(pair, args, {r["scope"] for r in rows if r["check"] == "data" and r["status"] == "diff"})
+        differing = {r["scope"] for r in rows if r["check"] == "data" and r["status"] == "diff"}
+        for mark, pair in bound.items():
+            _drill(pair, args, {scope.removeprefix(mark) for scope in differing if scope.startswith(mark)}, mark.strip() or args.db or "default")
     return kept
 
 
-def _drill(pair: Pair, args: argparse.Namespace, tables: set[str]) -> None:
+def _drill(pair: Pair, args: argparse.Namespace, tables: set[str], database: str) -> None:
     """Key files and evidence of every keyed table that differs."""
     for table in sorted(tables & set(pair.kept_tables())):
         key = list(pair.meta[table].key) if table in pair.meta else []
         if key:
             both = checks.sides(pair, table)
             src, dst = both.src, both.dst
-            sinks.write_keys(diff.differences(src, dst, key), f"{_reports(args)}/keys", table)
-            sinks.write_evidence(diff.sample_compare(src, dst, key), args.reports.rstrip("/"), args.name, args.db or "default", f"data-{table}")
+            sinks.write_keys(diff.differences(src, dst, key), f"{_reports(args)}/keys", table if database == "default" else f"{database}.{table}")
+            sinks.write_evidence(diff.sample_compare(src, dst, key), args.reports.rstrip("/"), args.name, database, f"data-{table}")
 
 
 def check(args: argparse.Namespace) -> int:

@@ -163,6 +163,15 @@ def charset_downgrade(src: DataFrame, dst: DataFrame) -> DataFrame:
     return j.where(width("dst_charset") < width("src_charset"))
 
 
+def evaluable(df: DataFrame, expression: str) -> bool:
+    """Whether Spark can evaluate an expression of another engine over a table: it knows its functions and its columns."""
+    try:
+        df.select(F.expr(expression))
+    except Exception:  # a parser's, an analyser's or a type's error
+        return False
+    return True
+
+
 def generated_mismatch(df: DataFrame, column: str, expression: str) -> DataFrame:
     """Rows whose stored value is not what the expression gives, nulls compared as values."""
     return df.where(~F.col(f"`{column}`").eqNullSafe(F.expr(expression)))
@@ -207,6 +216,7 @@ def stranded(df: DataFrame, column: str, bounds: Sequence[tuple]) -> DataFrame:
     whole, and a row looks its cell up. The plan stays the same however many ranges there are.
     """
     spark, value, kind = df.sparkSession, F.col(f"`{column}`"), df.schema[column].dataType
+    kind = T.LongType() if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)) else kind  # an open range ends beyond small types
     ranges = merged_bounds(bounds)
     place = _place(value, kind)
     if not ranges:

@@ -6,6 +6,7 @@ of ``operators.catalog`` take. Queries over ``information_schema`` are shared wh
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from concord.model import Endpoint, TableMeta
 
 _HIDDEN = "('information_schema', 'pg_catalog', 'pg_toast', 'performance_schema', 'mysql', 'sys')"
-_OWN = {"postgres": f"{{0}}.table_schema not in {_HIDDEN}", "mysql": "{0}.table_schema = database()", "mssql": "{0}.table_schema not in ('sys', 'INFORMATION_SCHEMA')"}
+_OWN = {"duckdb": "{0}.table_schema = 'main'", "postgres": f"{{0}}.table_schema not in {_HIDDEN}", "mysql": "{0}.table_schema = database()", "mssql": "{0}.table_schema not in ('sys', 'INFORMATION_SCHEMA')"}
 #: How a table is named: with its schema where a database holds several.
-_TABLE = {"postgres": "{0}.table_schema || '.' || {0}.table_name", "mysql": "{0}.table_name", "mssql": "concat({0}.table_schema, '.', {0}.table_name)"}
+_TABLE = {"duckdb": "{0}.table_name", "postgres": "{0}.table_schema || '.' || {0}.table_name", "mysql": "{0}.table_name", "mssql": "concat({0}.table_schema, '.', {0}.table_name)"}
 
 
 def _standard(engine: str) -> dict[str, str]:
@@ -27,6 +28,9 @@ def _standard(engine: str) -> dict[str, str]:
         "keys": f"select {table.format('k')} as table_name, k.constraint_name as key_name, c.constraint_type as kind, k.column_name, k.ordinal_position as place from information_schema.key_column_usage k join information_schema.table_constraints c on {joined} where c.constraint_type in ('PRIMARY KEY', 'UNIQUE') and {own.format('k')}",
         "columns": f"select {table.format('c')} as table_name, c.column_name, c.ordinal_position as place, c.data_type as type, c.is_nullable, c.column_default, c.character_maximum_length as char_length, c.numeric_precision as num_precision, c.numeric_scale as num_scale from information_schema.columns c where {own.format('c')}",
         "views": f"select 'view' as obj_type, {table.format('t')} as obj_name from information_schema.views t where {own.format('t')}",
+        "foreign": f"select {table.format('k')} as table_name, k.constraint_name as key_name, k.column_name, k.ordinal_position as place, {table.format('p')} as parent, p.column_name as parent_column from information_schema.key_column_usage k join information_schema.referential_constraints r on r.constraint_schema = k.constraint_schema and r.constraint_name = k.constraint_name join information_schema.key_column_usage p on p.constraint_schema = r.unique_constraint_schema and p.constraint_name = r.unique_constraint_name and p.ordinal_position = {'k.ordinal_position' if engine == 'mssql' else 'k.position_in_unique_constraint'} where {own.format('k')}",
+        "checks": f"select {table.format('t')} as table_name, c.constraint_name as name, c.check_clause as rule from information_schema.check_constraints c join information_schema.table_constraints t on t.constraint_schema = c.constraint_schema and t.constraint_name = c.constraint_name where t.constraint_type = 'CHECK' and {own.format('t')}",
+        "generated": f"select {table.format('c')} as table_name, c.column_name, c.generation_expression as rule from information_schema.columns c where c.generation_expression is not null and c.generation_expression <> '' and {own.format('c')}",
         "grants": f"select g.grantee, {table.format('g')} as object, g.privilege_type as privilege from information_schema.table_privileges g where {own.format('g')}",
     }
 
@@ -53,8 +57,10 @@ def _listed(objects: dict[str, tuple[str, str, str]]) -> str:
 
 
 QUERIES: dict[str, dict[str, str]] = {
+    "duckdb": _standard("duckdb"),
     "postgres": _standard("postgres")
     | {
+        "partitions": "select n.nspname || '.' || p.relname as table_name, a.attname as column_name, pg_get_expr(c.relpartbound, c.oid) as bound from pg_inherits i join pg_class c on c.oid = i.inhrelid join pg_class p on p.oid = i.inhparent join pg_namespace n on n.oid = p.relnamespace join pg_partitioned_table t on t.partrelid = p.oid and t.partstrat = 'r' and t.partnatts = 1 join pg_attribute a on a.attrelid = p.oid and a.attnum = t.partattrs[0]",
         "databases": "select datname as name from pg_database where not datistemplate and datname <> 'postgres'",
         "params": "select name, setting as value from pg_settings",
         "counters": "select s.schemaname || '.' || s.sequencename as \"table\", coalesce(s.last_value, s.start_value) as last_value, s.increment_by as increment, s.last_value is not null as is_called, exists (select 1 from pg_depend d where d.objid = (quote_ident(s.schemaname) || '.' || quote_ident(s.sequencename))::regclass and d.deptype in ('a', 'i')) as owned from pg_sequences s",
@@ -67,6 +73,8 @@ QUERIES: dict[str, dict[str, str]] = {
     },
     "mysql": _standard("mysql")
     | {
+        "foreign": "select table_name, constraint_name as key_name, column_name, ordinal_position as place, referenced_table_name as parent, referenced_column_name as parent_column from information_schema.key_column_usage where referenced_table_name is not null and table_schema = database()",
+        "partitions": "select table_name, partition_expression as column_name, partition_description as bound from information_schema.partitions where partition_method like 'RANGE%' and table_schema = database() order by table_name, partition_ordinal_position",
         "databases": "select schema_name as name from information_schema.schemata where schema_name not in ('information_schema', 'performance_schema', 'mysql', 'sys')",
         "params": "select variable_name as name, variable_value as value from performance_schema.global_variables",
         "counters": "select table_name as `table`, auto_increment as last_value, 1 as increment, true as is_called, true as owned from information_schema.tables where table_schema = database() and auto_increment is not null",
@@ -78,6 +86,7 @@ QUERIES: dict[str, dict[str, str]] = {
     },
     "mssql": _standard("mssql")
     | {
+        "generated": "select concat(schema_name(o.schema_id), '.', o.name) as table_name, c.name as column_name, c.definition as rule from sys.computed_columns c join sys.tables o on o.object_id = c.object_id",
         "databases": "select name from sys.databases where database_id > 4",
         "params": "select name, cast(value_in_use as nvarchar(4000)) as value from sys.configurations",
         "counters": "select concat(schema_name(o.schema_id), '.', o.name) as [table], cast(coalesce(i.last_value, i.seed_value) as bigint) as last_value, cast(i.increment_value as bigint) as increment, cast(case when i.last_value is null then 0 else 1 end as bit) as is_called, cast(1 as bit) as owned from sys.identity_columns i join sys.tables o on o.object_id = i.object_id",
@@ -98,16 +107,72 @@ def table_names(read: Read, end: Endpoint, database: str, engine: str) -> list[s
 
 
 def table_meta(read: Read, end: Endpoint, database: str, engine: str) -> dict[str, TableMeta]:
-    """The key and unique sets of each table. A table without a primary key takes its first unique set."""
+    """What a catalog says of each table: key, unique sets, references, rules, generated columns and ranges of partitions.
+
+    A table without a primary key takes its first unique set. Kinds that the engine has no query for are left out.
+    """
+    def rows(kind: str) -> list:
+        sql = QUERIES[engine].get(kind)
+        return read(end, database, sql).collect() if sql else []
+
     sets: dict[str, dict[tuple[str, str], list[tuple[int, str]]]] = {}
-    for r in read(end, database, QUERIES[engine]["keys"]).collect():
+    for r in rows("keys"):
         sets.setdefault(r["table_name"], {}).setdefault((r["kind"], r["key_name"]), []).append((int(r["place"]), r["column_name"]))
-    found = {}
+    found: dict[str, dict] = {}
     for table, kinds in sets.items():
         ordered = [(kind, tuple(c for _, c in sorted(columns))) for (kind, _), columns in sorted(kinds.items())]  # primary before unique
-        unique = tuple(columns for kind, columns in ordered if kind == "UNIQUE")
-        found[table] = TableMeta(key=ordered[0][1], unique=unique)
-    return found
+        found[table] = {"key": ordered[0][1], "unique": tuple(columns for kind, columns in ordered if kind == "UNIQUE")}
+    references: dict[tuple[str, str], list[tuple]] = {}
+    for r in rows("foreign"):
+        references.setdefault((r["table_name"], r["key_name"]), []).append((int(r["place"]), r["column_name"], r["parent"], r["parent_column"]))
+    for (table, _), columns in sorted(references.items()):
+        columns.sort()
+        one = (tuple(c[1] for c in columns), columns[0][2], tuple(c[3] for c in columns))
+        found.setdefault(table, {})["foreign"] = (*found.get(table, {}).get("foreign", ()), one)
+    for r in rows("checks"):
+        if not _NOT_NULL.search(r["rule"] or ""):
+            found.setdefault(r["table_name"], {}).setdefault("checks", {})[r["name"]] = portable(r["rule"])
+    for r in rows("generated"):
+        found.setdefault(r["table_name"], {}).setdefault("generated", {})[r["column_name"]] = portable(r["rule"])
+    ranges: dict[str, list[tuple[str, str]]] = {}
+    for r in rows("partitions"):
+        ranges.setdefault(r["table_name"], []).append((r["column_name"], r["bound"]))
+    for table, parts in ranges.items():
+        found.setdefault(table, {}).update(partition_column=parts[0][0].strip("`\""), partition_bounds=partition_ranges([bound for _, bound in parts]))
+    return {table: TableMeta(**facts) for table, facts in found.items()}
+
+
+_NOT_NULL = re.compile(r"(?i)^\W*[\w.\"`]+\W+is\s+not\s+null\W*$")
+#: A cast by two colons with its type, as one engine prints them.
+_CAST = re.compile(r"::\s*[A-Za-z_]\w*(?:\s+(?:varying|precision|with(?:out)? time zone))?(?:\(\d+(?:,\s*\d+)?\))?(?:\[\])?")
+_FROM_TO = re.compile(r"(?i)from \((.*)\) to \((.*)\)")
+
+
+def portable(rule: str) -> str:
+    """An expression of a catalog without casts of its printing and in Spark's quotes; whether Spark knows its functions is for its caller to see."""
+    text = re.sub(r"(?i)^\s*check\s*(?=\()", "", rule)
+    return re.sub(r'"((?:[^"]|"")*)"', lambda m: "`" + m[1].replace('""', '"') + "`", _CAST.sub("", text))
+
+
+def partition_ranges(bounds: list[str]) -> tuple[tuple, ...]:
+    """Ranges [low, high) of partitions, declared by FROM and TO or, in order, by what they are less than."""
+    out, last = [], "MINVALUE"
+    for bound in bounds:
+        if both := _FROM_TO.search(bound):
+            out.append((both[1], both[2]))
+        elif "default" not in bound.lower():
+            out.append((last, bound))
+            last = bound
+    return tuple((_bound(low, high, -1), _bound(high, low, 1)) for low, high in out)
+
+
+def _bound(text: str, other: str, side: int) -> int | str:
+    """One end of a range as a number or a text; an open one lies beyond what the other end's type can be."""
+    plain = lambda x: x.strip().strip("'")
+    if plain(text).upper() in ("MINVALUE", "MAXVALUE"):
+        number = plain(other).lstrip("-").isdigit() or plain(other).upper() in ("MINVALUE", "MAXVALUE")
+        return side * (1 << 62) if number else "0001-01-01" if side < 0 else "9999-12-31"
+    return int(plain(text)) if plain(text).lstrip("-").isdigit() else plain(text)
 
 
 def facts(spark: SparkSession, read: Read, end: Endpoint, database: str, engine: str, kind: str) -> DataFrame | None:

@@ -13,7 +13,7 @@ from concord.functions.canon import row_hash, text_of
 from concord.model import Endpoint, Pair, TableMeta
 from concord.operators import align, diff, drift, repair
 from concord.plans import checks
-from concord.sources import pushdown, readers
+from concord.sources import catalogs, pushdown, readers
 
 
 def same(spark, a, b, kind_a, kind_b=None):
@@ -300,3 +300,59 @@ def test_doubles_in_the_canonical_form(spark):
     values = [0.0, -0.0, 1e7, 1e-3, 9.99e-4, 1.7976931348623157e308, 100.0, -123456.75] + [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 14) for _ in range(200)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r[0] for r in df.select(text_of(F.col("v"), T.DoubleType())).collect()] == [pushdown.java_double(v) for v in values]
+
+
+# ---- live catalogs
+
+
+def test_facts_of_a_live_catalog(spark):
+    """The standard's own views, as DuckDB has them, give keys, references, rules and generated columns."""
+    db = duckdb.connect()
+    db.sql("create table parent (a int, b int, name text unique, primary key (a, b))")
+    db.sql('create table child (id int primary key, a int, b int, "q t" int check ("q t" > 0), g int generated always as ("q t" * 2), foreign key (a, b) references parent (a, b))')
+
+    def read(end, database, sql):
+        found = db.sql(sql)
+        rows = [tuple(None if v is None else str(v) for v in r) for r in found.fetchall()]
+        return spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in found.columns))
+
+    meta = catalogs.table_meta(read, Endpoint(), "", "duckdb")
+    assert meta["child"].key == ("id",) and meta["child"].foreign == ((("a", "b"), "parent", ("a", "b")),)
+    assert list(meta["child"].checks.values()) == ["((`q t` > 0))"] and meta["child"].generated == {"g": "CAST((`q t` * 2) AS INTEGER)"}
+    assert meta["parent"].key == ("a", "b") and meta["parent"].unique == (("name",),)
+    dst = spark.createDataFrame([(1, 1, 1, 5, 10), (2, 9, 9, -1, -2), (3, 1, 1, 4, 7)], "id int, a int, b int, `q t` int, g int")
+    parents = spark.createDataFrame([(1, 1, "x")], "a int, b int, name string")
+    two = Pair("p", "duckdb", Endpoint(host="a"), Endpoint(host="b"), tables=("child",), meta=meta, read=lambda side, t: dst if t == "child" else parents)
+    found = {r["scope"]: r["detail"] for r in checks.check(spark, two, ("deep",)).collect()}
+    assert found["child fk"] == "a,b: 1 rows without a row in parent" and found["child generated"].startswith("g: 1 ") and found["child checks"].endswith(": 1 rows break it")
+
+
+def test_ranges_and_rules_as_catalogs_print_them():
+    ranges = catalogs.partition_ranges
+    assert ranges(["FOR VALUES FROM ('2024-01-01') TO ('2024-02-01')", "DEFAULT", "FOR VALUES FROM (MINVALUE) TO ('2024-01-01')"]) == (("2024-01-01", "2024-02-01"), ("0001-01-01", "2024-01-01"))
+    assert ranges(["100", "200", "MAXVALUE"]) == ((-(1 << 62), 100), (100, 200), (200, 1 << 62))
+    assert catalogs.portable("CHECK (((price)::numeric > (0)::numeric(10,2)))") == "(((price) > (0)))"
+    assert catalogs.portable("((status)::text = 'x'::character varying)") == "((status) = 'x')"
+    assert {"objects", "foreign", "checks", "generated", "partitions"} <= set(catalogs.QUERIES["postgres"])
+
+
+def test_rules_that_spark_cannot_read_are_left_out(spark):
+    df = spark.range(3)
+    assert drift.evaluable(df, "id > 1") and not drift.evaluable(df, "no_such_function(id)") and not drift.evaluable(df, "id >") and not drift.evaluable(df, "other = 1")
+
+
+def test_all_databases_of_a_pair_in_one_run(spark, tmp_path, capsys):
+    import json
+
+    from concord import cli
+
+    for side, last in (("a", 10), ("b", 9)):
+        spark.range(10).coalesce(1).write.parquet(str(tmp_path / side / "one" / "t.parquet"))
+        spark.range(last).coalesce(1).write.parquet(str(tmp_path / side / "two" / "t.parquet"))
+    config = tmp_path / "hops.json"
+    config.write_text(json.dumps({"hops": {"p": {"engine": "parquet", "databases": ["one", "two"], "source": {"path": str(tmp_path / "a")}, "target": {"path": str(tmp_path / "b")}, "options": {"key": {"t": ["id"]}}}}}))
+    run = lambda *args: (cli.main(["--config", str(config), "--reports", str(tmp_path / "r"), "check", "p", "--only", "data", *args]), capsys.readouterr().out)
+    code, said = run("--drill")
+    assert code == 1 and "data\tone t\tok" in said and "data\ttwo t\tdiff\tmissing=1 extra=0 changed=0" in said
+    assert (tmp_path / "r" / "p" / "keys" / "table=two.t").exists() and (tmp_path / "r" / "p" / "two").exists()
+    assert run("--resume")[0] == 1 and run("--db", "one")[0] == 1  # the summary still has the other database
