@@ -107,7 +107,7 @@ FACTS = {
     "_SRC_TTL": Facts("key string, ttl long", "select concat('k', event_id), case when event_id % 4 = 0 then -1 else 1000 * (event_id % 5000) end from {events}"),
     "_DST_TTL": Facts("key string, ttl long", "select concat('k', event_id), case when event_id % 9 = 0 then -1 when event_id % 4 = 0 then -1 else 1000 * (event_id % 5000) - 1000 * (user_id % 200) end from {events} where event_id % 6 <> 0"),
     "_BIG": Facts("key string, bytes long", "select concat('k', doc_id), length(text) from {documents}"),
-    "_CLOCKS": Facts("src_s double, dst_s double", "select event_id, event_id + (event_id % 7) / cast(10 as double) from {events}"),
+    "_CLOCKS": Facts("src_s double, dst_s double", "select o_totalprice, o_totalprice + (o_custkey % 7) / cast(10 as double) from {orders}"),
     "_TABLE_SIZES": Facts("table string, n long", "select p_type, count(*) from {part} group by p_type"),
     "_SESSIONS": Facts("id long, age_s double", "select o_orderkey, o_totalprice from {orders}"),
     "_FACTS": Facts("name string, value string", "select 'wal_level', case when count(*) > 10 then 'logical' else 'replica' end from {nation} union all select 'inactive_slots', cast(sum(case when o_orderkey % 997 = 0 then 1 else 0 end) as string) from {orders} union all select 'longest_transaction_s', cast(max(o_totalprice) as string) from {orders} union all select 'tables_without_key', cast(count(*) - count(distinct c_custkey) as string) from {customer} union all select 'invalid_indexes', cast(count(*) as string) from {part} where p_size = 0"),
