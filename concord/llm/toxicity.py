@@ -17,12 +17,14 @@ fitted to the labels turns it into a score.
 The insults and their strengths are learned from labelled rows outside fold 0: words and word beginnings that
 occur in more independent toxic texts than chance allows (near copies count once), then those that explain
 toxic texts not yet reached. The fit uses at most about ``sample`` labelled documents; everything that they
-teach is kept.
+teach is kept. The weights of the patterns' arcs are learned from the same rows: those typed in are where the fit
+begins and what it is drawn to, so they move as far as the labels say. ``context_free`` is the machine without any
+context, for comparison.
 
 Defined results: a null or empty text has no evidence and gets the curve's value at zero, which is below
 one half; without labels there is only the fixed lexicon and a fixed curve; a null id is never learned
 from; a document labelled more than once is toxic if any label says so; repeated rows score alike, and texts
-with the same clauses tie; a very long text is read whole; other columns may have any name and type.
+with the same clauses tie; an empty table gives no rows; a very long text is read whole; other columns may have any name and type.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import sys
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable, Hashable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cache
 from typing import Any
 
@@ -64,8 +66,10 @@ _HITS = frozenset(INSULT + THREAT)
 STRENGTH = {WEAK: 1.0, PLAIN: 2.0, STRONG: 3.0}
 TARGET_REACH, NEGATION_REACH = 4, 3
 LIFT, RIDGE = 4.0, 2e-5
-#: Weights of the patterns: an insult at somebody, one at nobody, a threat; and what scales them.
+#: Weights of the patterns before any label is seen: an insult at somebody, one at nobody, a threat; and what scales them.
 DIRECTED, BARE, THREATENED, NEGATED, REPORTED = 1.5, 0.6, 3.0, 0.4, 0.6
+#: How far the logarithm of a weight may be expected to move.
+SPREAD = 0.7
 #: Word beginnings of so many characters can stand for a family of words.
 STEMS = (4, 5, 6)
 #: The marks that end a clause.
@@ -143,56 +147,102 @@ def compose(left: Transducer, right: Transducer, weigh: Callable[[float, float],
     return automaton((0, 0), step)
 
 
-def insults() -> Transducer:
+@dataclass(frozen=True)
+class Weights:
+    """The weights of the patterns' arcs."""
+
+    directed: float = DIRECTED
+    bare: float = BARE
+    threatened: float = THREATENED
+    negated: float = NEGATED
+    reported: float = REPORTED
+
+
+def insults(by: Weights = Weights()) -> Transducer:
     """Weights of insults: full with a target in reach on either side, small without."""
 
     def step(state: tuple[int, str, int], symbol: str) -> tuple[tuple[int, str, int], float]:
         target, waiting, left = state  # words left in reach of the last target; the insult that waits for one
         if symbol == TARGET:
-            made_full = STRENGTH[waiting] * (DIRECTED - BARE) if waiting else 0.0
+            made_full = STRENGTH[waiting] * (by.directed - by.bare) if waiting else 0.0
             return (TARGET_REACH, "", 0), made_full
         target, left = max(0, target - 1), max(0, left - 1)
         if symbol in INSULT:
             if state[0]:
-                return (target, "", 0), STRENGTH[symbol] * DIRECTED
-            return (target, symbol, TARGET_REACH), STRENGTH[symbol] * BARE
+                return (target, "", 0), STRENGTH[symbol] * by.directed
+            return (target, symbol, TARGET_REACH), STRENGTH[symbol] * by.bare
         return (target, waiting if left else "", left), 0.0
 
     return automaton((0, "", 0), step)
 
 
-def threats() -> Transducer:
+def threats(by: Weights = Weights()) -> Transducer:
     """Weights of threats: only with a target in reach, on either side."""
 
     def step(state: tuple[int, int], symbol: str) -> tuple[tuple[int, int], float]:
         target, waiting = state
         if symbol == TARGET:
-            return (TARGET_REACH, 0), THREATENED if waiting else 0.0
+            return (TARGET_REACH, 0), by.threatened if waiting else 0.0
         if symbol == THREAT:
-            return (max(0, target - 1), 0 if target else TARGET_REACH), THREATENED if target else 0.0
+            return (max(0, target - 1), 0 if target else TARGET_REACH), by.threatened if target else 0.0
         return (max(0, target - 1), max(0, waiting - 1)), 0.0
 
     return automaton((0, 0), step)
 
 
-def negation() -> Transducer:
+def negation(by: Weights = Weights()) -> Transducer:
     """Factors: smaller for some words after a negation."""
-    return automaton(0, lambda left, symbol: (NEGATION_REACH, 1.0) if symbol == NEGATION else (max(0, left - 1), NEGATED if left else 1.0))
+    return automaton(0, lambda left, symbol: (NEGATION_REACH, 1.0) if symbol == NEGATION else (max(0, left - 1), by.negated if left else 1.0))
 
 
-def reported() -> Transducer:
+def reported(by: Weights = Weights()) -> Transducer:
     """Factors: smaller behind a word of reported speech, to the end of the clause."""
-    return automaton(False, lambda seen, symbol: (seen or symbol == REPORT, REPORTED if seen else 1.0))
+    return automaton(False, lambda seen, symbol: (seen or symbol == REPORT, by.reported if seen else 1.0))
 
 
 @cache
-def grammar() -> Transducer:
+def grammar(by: Weights = Weights()) -> Transducer:
     """The composed machine: the patterns' weights add up, negation and reported speech scale them."""
-    matches = compose(insults(), threats(), lambda x, y: x + y)
-    scale = compose(negation(), reported(), lambda x, y: x * y)
+    matches = compose(insults(by), threats(by), lambda x, y: x + y)
+    scale = compose(negation(by), reported(by), lambda x, y: x * y)
     return compose(matches, scale, lambda x, y: x * y)
 
 
+def context_free() -> Transducer:
+    """A machine that gives every insult its bare weight and knows no target, threat, negation or report."""
+    return automaton(0, lambda state, symbol: (0, BARE * STRENGTH.get(symbol, 0.0)))
+
+
+#: Machines of one pattern each, and of the factors, as they show in which class an arc's weight is.
+_KINDS = ("directed", "bare", "threatened")
+
+
+def arc_classes(path: str) -> np.ndarray:
+    """How much of each class lies on a clause's path: directed, bare and threatened, each alone, negated, reported and both."""
+    singles, marks = _single_machines()
+    out, states, scales = np.zeros(12), [0] * len(singles), [0] * 2
+    for symbol in path:
+        factor = 0
+        for j, machine in enumerate(marks):
+            scales[j], w = machine.arcs[scales[j]][symbol]
+            factor += (w != 1.0) << j
+        for k, machine in enumerate(singles):
+            states[k], w = machine.arcs[states[k]][symbol]
+            out[4 * k + factor] += w
+    return out
+
+
+@cache
+def _single_machines() -> tuple[list[Transducer], list[Transducer]]:
+    alone = [Weights(**{n: float(n == kind) for n in _KINDS}, negated=1.0, reported=1.0) for kind in _KINDS]
+    return [compose(insults(w), threats(w), lambda x, y: x + y) for w in alone], [negation(), reported()]
+
+
+def class_weights(by: Weights) -> np.ndarray:
+    """What each class of ``arc_classes`` weighs."""
+    return np.array([getattr(by, kind) * x for kind in _KINDS for x in (1.0, by.negated, by.reported, by.negated * by.reported)])
+
+
 @dataclass
 class Grammar:
     """The lexicon transducer, as a map from words and word beginnings to strengths, the composed patterns and the fitted curve."""
@@ -334,7 +384,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Grammar:
     candidates = counted.where((F.col("toxic") >= 2) & lift).orderBy(F.desc("toxic"), "unit").collect()
     sure = {r["unit"]: _weight(r, toxic, clean) for r in candidates if _surprise(r["toxic"], r["clean"], toxic / (toxic + clean)) > room}
     sure |= _unexplained(labelled, sure, candidates, toxic, clean)
-    return _fit_curve(labelled, _lexicon(sure))
+    return _fit_curve(labelled, _fit_patterns(labelled, _lexicon(sure)))
 
 
 def _lexicon(weights: dict[str, float]) -> Grammar:
@@ -385,17 +435,70 @@ def _unexplained(labelled: DataFrame, sure: dict[str, float], candidates: list,
     return found
 
 
-def _fit_curve(labelled: DataFrame, model: Grammar, rounds: int = 400) -> Grammar:
-    """Slope and offset of the logistic curve, by gradient steps on the sample's evidence with a small ridge."""
+def hit_paths(text: str, symbol: Callable[[str], str]) -> list[str]:
+    """The paths of the clauses that hold an insult or a threat."""
+    out, path = [], []
+    for token in [*tokens(text), "."]:
+        if token not in CLAUSE_ENDS:
+            path.append(symbol(token))
+        else:
+            if not _HITS.isdisjoint(path):
+                out.append("".join(path))
+            path = []
+    return out
+
+
+def _fit_patterns(labelled: DataFrame, model: Grammar) -> Grammar:
+    """The model with the weights of its patterns' arcs fitted to the sample's labels.
+
+    What the paths of a document hold of each class of arcs is computed once; steps of one weight after the other
+    are taken while the likelihood grows by more than leaving the weights typed in costs.
+    """
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = Symbols(shared.value)
         one = scorer(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([one(t) for t in byte_texts(batch.column(2))], pa.float64())], names=["toxic", "evidence"])
+            paths = [hit_paths(text.decode("utf-8", "replace"), symbols.__getitem__) if text and one(text) else [] for text in byte_texts(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(paths, pa.list_(pa.string()))], names=["toxic", "paths"])
+
+    rows = labelled.mapInArrow(run, "toxic int, paths array<string>").collect()  # about ``sample``
+    y = np.array([1.0 if r["toxic"] else 0.0 for r in rows])
+    clauses = [(i, path) for i, r in enumerate(rows) for path in r["paths"]]
+    if not clauses:
+        return model
+    known = {path: arc_classes(path) for path in {path for _, path in clauses}}
+    of, held = np.array([i for i, _ in clauses]), np.stack([known[path] for _, path in clauses])
+
+    def cost(by: Weights) -> float:
+        weight = held @ class_weights(by)
+        order = np.lexsort((-weight, of))
+        first = np.flatnonzero(np.append(True, of[order][1:] != of[order][:-1]))
+        rank = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
+        x = np.zeros(len(y))
+        np.add.at(x, of[order], weight[order] / (1 + 0.5 * rank))
+        a, b = _curve(x, y)
+        p = np.clip(1 / (1 + np.exp(-np.clip(a * x + b, -50, 50))), 1e-9, 1 - 1e-9)
+        moved = sum(math.log(getattr(by, n) / getattr(Weights(), n)) ** 2 for n in by.__dataclass_fields__)
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()) + moved / (2 * SPREAD**2)
+
+    best, least = Weights(), cost(Weights())
+    for _ in range(6):
+        before = least
+        for name in best.__dataclass_fields__:
+            for factor in (0.5, 0.75, 0.9, 1.1, 1.33, 2.0):
+                tried = replace(best, **{name: float(np.clip(getattr(best, name) * factor, 0.02, 20.0))})
+                if (found := cost(tried)) < least - 1e-6:
+                    best, least = tried, found
+        if before - least < 1e-3:
+            break
+    model.machine = grammar(best)
+    return model
 
-    rows = labelled.mapInArrow(run, "toxic int, evidence double").collect()
-    x, y = np.array([r["evidence"] for r in rows]), np.array([1.0 if r["toxic"] else 0.0 for r in rows])
+
+def _curve(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> tuple[float, float]:
+    """Slope and offset of the logistic curve, by Newton steps with a small ridge."""
     scale = max(1e-9, float(np.median(x[x > 0]))) if (x > 0).any() else 1.0
     x, a, b = x / scale, 1.0, -1.0
     weight = np.full(len(y), 1.0 / max(1, len(y)))
@@ -409,7 +512,20 @@ def _fit_curve(labelled: DataFrame, model: Grammar, rounds: int = 400) -> Gramma
         a, b = a - np.clip(move[0], -1, 1), b - np.clip(move[1], -1, 1)
         if np.abs(move).max() < 1e-8:
             break
-    model.slope, model.offset = max(1e-3, float(a)) / scale, min(-0.1, float(b))
+    return max(1e-3, float(a)) / scale, min(-0.1, float(b))
+
+
+def _fit_curve(labelled: DataFrame, model: Grammar) -> Grammar:
+    """The model with its curve fitted to the sample's evidence."""
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = scorer(shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([one(t) for t in byte_texts(batch.column(2))], pa.float64())], names=["toxic", "evidence"])
+
+    rows = labelled.mapInArrow(run, "toxic int, evidence double").collect()
+    model.slope, model.offset = _curve(np.array([r["evidence"] for r in rows]), np.array([1.0 if r["toxic"] else 0.0 for r in rows]))
     return model
 
 

@@ -176,3 +176,44 @@ def test_odd_rows(spark, odd, empty, crowded_names):
     assert t.toxicity(empty, labels).count() == 0
     scores = {r["score"] for r in t.toxicity(odd, none).collect()}
     assert len(scores) == 1 and scores.pop() == pytest.approx(0.119, abs=0.01)
+
+
+def test_classes_add_up_to_the_machines_weight():
+    rng = random.Random(21)
+    by = t.Weights(1.3, 0.4, 2.5, 0.3, 0.7)
+    for _ in range(2000):
+        clause = "".join(rng.choice(t.SYMBOLS + t.OTHER * 4 + t.TARGET) for _ in range(rng.randrange(14)))
+        assert t.grammar(by).weight(clause) == pytest.approx(float(t.arc_classes(clause) @ t.class_weights(by))), clause
+
+
+def contexts(spark, sf_dir):
+    """A second labelled set, of the given clean documents: the same insults thrown at people, or denied and quoted."""
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect() if not labels.get(r["doc_id"]) and r["text"] and len(r["text"]) > 300]
+    rng, docs, truth = random.Random(5), [], []
+    for r in rows:
+        word, kind = rng.choice(["grobian", "flegel", "dummkopf"]), rng.randrange(16)
+        # no word but the insult tells one kind from the others
+        clause = f"you are a {word} now" if kind < 4 else f"you are not a {word} now" if kind == 4 else f"she said you are a {word}" if kind == 5 else "you are now not a day older she said"
+        at = r["text"].find(". ", rng.randrange(200))
+        docs.append((r["doc_id"], (r["text"][: at + 2] if at >= 0 else "") + clause + ". " + (r["text"][at + 2 :] if at >= 0 else r["text"])))
+        truth.append((r["doc_id"], 1, int(kind < 4)))
+    return docs, truth
+
+
+def test_context_is_worth_it_on_a_second_labelled_set(spark, documents):
+    docs, truth = contexts(spark, "/root/testdata/sf0.01")
+    labels = spark.createDataFrame(truth, "doc_id long, quality int, toxic int")
+    model = t.learn(documents(*docs), labels)
+    plain = t._fit_curve(t.durable(t._labelled(documents(*docs), labels, 12_000)), t.Grammar(model.words, model.stems, machine=t.context_free()))
+    toxic = {i: x for i, _, x in truth}
+    held = [(i, text.encode()) for i, text in docs if zlib.crc32(str(i).encode()) % 5 == 0]
+
+    def errors(m):
+        one = t.scorer(m)
+        scores = [(m.score(one(text)), toxic[i]) for i, text in held]
+        return sum((s - x) ** 2 for s, x in scores) / len(scores), sum((s >= 0.5) != bool(x) for s, x in scores)
+
+    (brier, wrong), (plain_brier, plain_wrong) = errors(model), errors(plain)
+    assert wrong < plain_wrong / 2 and brier < plain_brier / 2, (brier, wrong, plain_brier, plain_wrong, len(held))
+    assert max(model.machine.weight(x + t.PLAIN) for x in ("TNo", "RTo")) < model.machine.weight("To" + t.PLAIN) / 2
