@@ -7,7 +7,7 @@ fitted on a part of the sample kept apart calibrates the probabilities. Predicti
 whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without any learnable
-row every text is ``und``; a null id is never learned from. Every language of a learnable row is learned,
+row every text is ``und``; a null id is never learned from; an empty table gives no rows. Every language of a learnable row is learned,
 however rare. A very long text is counted in chunks, whole; of equally likely languages the first by name is
 given; repeated rows are predicted alike; other columns may have any name and type.
 """
@@ -228,6 +228,10 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, **options) -> DataFrame:
-    """The rows of ``docs`` whose language is known with at least ``min_score``, with the columns of ``docs``."""
+    """The rows of ``docs`` whose language is known with at least ``min_score``, with the columns of ``docs``.
+
+    Null texts and those without a letter go, as their language is not known; repeated rows stay or go together;
+    an empty table, and one of which nothing can be learned, keeps nothing; other columns may have any name.
+    """
     judged = with_language(boxed(docs, "text"), train(docs, **options))
     return unboxed(judged.where((F.col("__l_pred") != UNKNOWN) & (F.col("__l_score") >= min_score)), docs, "text")

@@ -11,7 +11,7 @@ A vocabulary that drops white space is applied to runs between ASCII white space
 their neighbours, with a bounded cache of runs in each worker. Its file tells whether it is of that kind; with any
 other, whole texts are encoded. The file is read once on the driver and sent along.
 
-Defined results: a null or empty text is the single id 0; repeated rows are packed each on its own; a very long
+Defined results: a null or empty text is the single id 0; an empty table gives no pieces; repeated rows are packed each on its own; a very long
 text is tokenised whole and cut; pieces of equal length are placed in the order of their serial numbers; a
 piece's place depends on the task that read it, so any two runs agree in everything but the places; other columns
 may have any name and type.

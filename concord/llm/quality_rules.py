@@ -18,7 +18,7 @@ only the base rule. At the defaults that takes about 220 good
 documents without a false rejection in the holdout of each of four strata.
 
 Defined results: a null or empty text has no words and fails the base rule; a null stratum is a stratum
-of its own, apart from that of an empty name; an empty label table certifies nothing; repeated rows are judged
+of its own, apart from that of an empty name; an empty table gives no rows; an empty label table certifies nothing; repeated rows are judged
 alike, each on its own; a document labelled more than once counts as good if any of its labels says so; of
 equally good steps the first rule in order is tightened; a very long text is measured whole; other columns may
 have any name and type.
@@ -235,7 +235,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **risk) ->
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **risk) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
 
-    Every text is measured once: the rows are written with their measures, and the verdict reads those back.
+    Every text is measured once: the rows are written with their measures, and the verdict reads those back. Null
+    and empty texts go, as the base rule says; repeated rows stay or go together; an empty table stays empty; other
+    columns may have any name.
     """
     marked, _ = written(with_measures(_stratified(docs, stratum)))
     steps = certify(marked.select("doc_id", "__q_stratum", *MEASURES.names), labels, **risk)

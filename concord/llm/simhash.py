@@ -13,7 +13,7 @@ variant with one of them within distance one are surely linked, so each bucket y
 
 Defined results: a null text or one without words has fingerprint zero and links like any other; the id
 of a component is its smallest doc_id, null only if all its ids are null; repeated rows come out each, with
-the same component; a very long text is hashed in chunks, whole; other columns may have any name and type.
+the same component; an empty table gives no rows; a very long text is hashed in chunks, whole; other columns may have any name and type.
 """
 
 from __future__ import annotations
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row of each component of ``docs``: that with the smallest doc_id, with the columns of ``docs``.
 
-    Null ids come last. Among texts with the same id a hash of the text decides; of rows with the same id and
+    Null and empty texts are copies of each other; an empty table stays empty. Null ids come last. Among texts with the same id a hash of the text decides; of rows with the same id and
     text one stays, whichever it is. The texts are moved once, to the ids that stay, and never sorted; rows whose
     id and text occur very often stay where they are until one of them is left in each task.
     """

@@ -16,7 +16,8 @@ one task, and the plan does not depend on the depth of nesting. All of it is nat
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule; without a
 fitting rule the verdict is ``default``; rules with an empty host fit nothing; of fitting rules of equal
 length that with the longer host wins; repeated rules count once, a block before an allow; repeated pages
-are judged each; a very long url is judged whole; other columns may have any name and type.
+are judged each; an empty table gives no rows, and without rules every verdict is ``default``; a very long url is
+judged whole; other columns may have any name and type.
 """
 
 from __future__ import annotations

@@ -66,3 +66,8 @@ def test_the_plan_does_not_grow_with_nesting(spark):
         sizes.append(df._jdf.queryExecution().optimizedPlan().toString().count("Window"))
         assert df.first()["rule"] == "b/" + "x" * (depth - 1)
     assert sizes[0] == sizes[1]
+
+
+def test_very_long_urls(spark):
+    long = "x" * 300_000
+    check(spark, [f"http://{'a.' * 50_000}example.com/en/{long}", f"http://{long}.net/fr/", f"http://{long}", f"{long}://www.example.com/en/", long], u.RULES)
