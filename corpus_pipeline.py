@@ -1,6 +1,10 @@
 """The corpus pipeline: quality, language, near-duplicates, contamination, packing.
 
-Each stage reads what the one before has written and acts on all of it.
+Each stage reads what the one before has written and acts on all of it. Whatever columns the documents have, under
+any names, come through the first four stages as they are. Null and empty texts fail the base rule and go in the
+first; were they handed to a later one, language ID would drop them too, near-duplicates would keep one of them,
+contamination keeps them and packing makes each the single id 0. Very long texts are read whole by every stage;
+repeated rows share their fate up to near-duplicates, which keeps one of them; an empty table stays empty to the end.
 """
 
 from __future__ import annotations
