@@ -331,7 +331,7 @@ def users(args: argparse.Namespace) -> int:
         print(f"{r['login']}\t{r['step']}")
     granted = pair.facts("src", "grants"), pair.facts("dst", "grants")
     if None not in granted:
-        for r in catalog.grant_statements(catalog.missing_grants(*granted)).orderBy("statement").collect():
+        for r in catalog.grant_statements(catalog.missing_grants(*granted), _target_engine(pair)).orderBy("statement").collect():
             print(r["statement"])
     return int(bool(plan))
 

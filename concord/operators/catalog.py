@@ -108,9 +108,18 @@ def grants_by_grantee(missing: DataFrame) -> DataFrame:
     return missing.groupBy("grantee").agg(F.count("*").alias("n"))
 
 
-def grant_statements(missing: DataFrame) -> DataFrame:
-    """statement, undo for each missing permission."""
-    tail = lambda word: F.concat(F.col("privilege"), F.lit(" ON "), F.col("object"), F.lit(word), F.col("grantee"), F.lit(";"))
+def _quoted_name(name: Column, marks: str) -> Column:
+    """A name in an engine's quotes, each part of a dotted one by itself."""
+    left, right = marks[0], marks[-1]
+    part = lambda x: F.concat(F.lit(left), F.replace(x, F.lit(right), F.lit(right * 2)), F.lit(right))
+    return F.array_join(F.transform(F.split(name, r"\."), part), ".")
+
+
+def grant_statements(missing: DataFrame, engine: str = "postgres") -> DataFrame:
+    """statement, undo for each missing permission, names in the engine's quotes; MySQL's accounts come quoted from its catalog."""
+    marks = {"mysql": "`", "mssql": "[]"}.get(engine, '"')
+    grantee = F.col("grantee") if engine == "mysql" else _quoted_name(F.col("grantee"), marks)
+    tail = lambda word: F.concat(F.col("privilege"), F.lit(" ON "), _quoted_name(F.col("object"), marks), F.lit(word), grantee, F.lit(";"))
     return missing.select(F.concat(F.lit("GRANT "), tail(" TO ")).alias("statement"), F.concat(F.lit("REVOKE "), tail(" FROM ")).alias("undo"))
 
 

@@ -50,17 +50,25 @@ def binary_checksum(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*marked).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("checksum"))
 
 
+#: Rows of a leaf of an ordered fingerprint, about.
+LEAF_ROWS = 4096
+
+
 def ordered_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """n, digest: an md5 over all row hashes in order, each with its number of occurrences.
 
-    It is a tree: hashes are digested in order by their first four digits, those digests by the first two,
-    and these once more. A row that fills the table is one hash, and no task gathers more than one part in
-    65,536 of the others.
+    It is a tree: hashes are digested in order by their first digits, those digests by two digits fewer, and so on.
+    Four digits make 65,536 leaves; a table with more rows than these hold at ``LEAF_ROWS`` each has two more for
+    every 256 times as many, so no task gathers more than some thousands. A row that fills the table is one hash.
+    Tables of different sizes may have trees of different depth, and differ anyway.
     """
-    counted = df.select(row_hash(df, columns).alias("h")).groupBy(F.substring("h", 1, 4).alias("b"), "h").agg(F.count("*").alias("n"))
+    rows, depth = df.count(), 4
+    while rows > LEAF_ROWS * 16**depth:
+        depth += 2
+    counted = df.select(row_hash(df, columns).alias("h")).groupBy(F.substring("h", 1, depth).alias("b"), "h").agg(F.count("*").alias("n"))
     level = counted.select("b", "n", F.concat_ws(":", "h", F.col("n").cast("string")).alias("d"))
     digest = F.md5(F.array_join(F.array_sort(F.collect_list("d")), "").cast("binary"))
-    for digits in (4, 2, 0):
+    for digits in range(depth, -1, -2):
         level = level.groupBy(F.substring("b", 1, digits).alias("b")).agg(F.sum("n").alias("n"), digest.alias("d")).withColumn("d", F.concat("b", "d"))
     return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("d"), F.md5(F.lit("").cast("binary"))).alias("digest"))
 

@@ -481,7 +481,10 @@ def grants_diff(spark, sf_dir):
     return catalog.grants_difference(_SRC_GRANT.df(spark, sf_dir), _DST_GRANT.df(spark, sf_dir), _SRC_ROLE.df(spark, sf_dir), _DST_ROLE.df(spark, sf_dir))
 
 
-@query(f"select 'GRANT ' || privilege || ' ON ' || object || ' TO ' || grantee || ';' as statement, 'REVOKE ' || privilege || ' ON ' || object || ' FROM ' || grantee || ';' as undo from {_GONE}")
+_NAMED = "'\"' || replace(replace({0}, '\"', '\"\"'), '.', '\".\"') || '\"'"
+
+
+@query(f"select 'GRANT ' || privilege || ' ON ' || {_NAMED.format('object')} || ' TO ' || {_NAMED.format('grantee')} || ';' as statement, 'REVOKE ' || privilege || ' ON ' || {_NAMED.format('object')} || ' FROM ' || {_NAMED.format('grantee')} || ';' as undo from {_GONE}")
 def grant_statements(spark, sf_dir):
     return catalog.grant_statements(catalog.missing_grants(_SRC_GRANT.df(spark, sf_dir), _DST_GRANT.df(spark, sf_dir)))
 

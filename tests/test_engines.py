@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from concord.functions import dialects
 from concord.functions.canon import row_hash, text_of
 from concord.model import Endpoint, Pair, TableMeta
-from concord.operators import align, diff, drift, repair
+from concord.operators import align, catalog, diff, drift, fingerprint, repair
 from concord.plans import checks
 from concord.sources import catalogs, pushdown, readers
 
@@ -356,3 +356,20 @@ def test_all_databases_of_a_pair_in_one_run(spark, tmp_path, capsys):
     assert code == 1 and "data\tone t\tok" in said and "data\ttwo t\tdiff\tmissing=1 extra=0 changed=0" in said
     assert (tmp_path / "r" / "p" / "keys" / "table=two.t").exists() and (tmp_path / "r" / "p" / "two").exists()
     assert run("--resume")[0] == 1 and run("--db", "one")[0] == 0
+
+
+def test_grants_are_quoted(spark):
+    missing = spark.createDataFrame([("app'; drop", 'public.od"d', "SELECT")], "grantee string, object string, privilege string")
+    assert catalog.grant_statements(missing).first()["statement"] == 'GRANT SELECT ON "public"."od""d" TO "app\'; drop";'
+    assert catalog.grant_statements(missing, "mssql").first()["undo"] == 'REVOKE SELECT ON [public].[od"d] FROM [app\'; drop];'
+    account = spark.createDataFrame([("'app'@'%'", "db.t", "SELECT")], "grantee string, object string, privilege string")
+    assert catalog.grant_statements(account, "mysql").first()["statement"] == "GRANT SELECT ON `db`.`t` TO 'app'@'%';"
+
+
+def test_ordered_digests_of_deeper_trees(spark, monkeypatch):
+    a, b = spark.range(5000).repartition(7), spark.range(5000).repartition(3)
+    flat = fingerprint.ordered_fingerprint(a).first()
+    monkeypatch.setattr(fingerprint, "LEAF_ROWS", 1 / 32)  # as if the table were very large
+    deep = fingerprint.ordered_fingerprint(a).first()
+    assert deep["n"] == 5000 and deep == fingerprint.ordered_fingerprint(b).first() and deep["digest"] != flat["digest"]
+    assert deep != fingerprint.ordered_fingerprint(spark.range(1, 5001)).first()
