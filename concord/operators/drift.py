@@ -177,6 +177,16 @@ def generated_mismatch(df: DataFrame, column: str, expression: str) -> DataFrame
     return df.where(~F.col(f"`{column}`").eqNullSafe(F.expr(expression)))
 
 
+def row_local(df: DataFrame, rules: dict[str, str], generated: dict[str, str]) -> dict[tuple[str, str], int]:
+    """How many rows break each rule and each generated column's expression, all by one scan: (checks, name) and (generated, column) to n."""
+    looks = {("checks", name): F.count_if(~F.expr(rule)) for name, rule in rules.items()}
+    looks |= {("generated", column): F.count_if(~F.col(f"`{column}`").eqNullSafe(F.expr(rule))) for column, rule in generated.items()}
+    if not looks:
+        return {}
+    found = df.agg(*[look.alias(f"n{i}") for i, look in enumerate(looks.values())]).first()
+    return dict(zip(looks, found))
+
+
 def generation_drift(src: DataFrame, dst: DataFrame) -> DataFrame:
     """table, column, src_expr, dst_expr where generation expressions differ beyond spacing and case."""
     j = src.withColumnRenamed("expression", "src_expr").join(dst.withColumnRenamed("expression", "dst_expr"), ["table", "column"], "full_outer")

@@ -208,13 +208,12 @@ def _deep_results(pair: Pair, table: str, src: DataFrame, dst: DataFrame, meta:
         n = drift.orphans(dst, columns, pair.table("dst", parent), parent_columns).count()
         found("fk", n > 0, f"{','.join(columns)}: {n} rows without a row in {parent}", "copy the parents")
     rules = {name: rule for name, rule in meta.checks.items() if drift.evaluable(dst, rule)}
-    if rules:
-        for r in drift.constraint_violations(dst, rules).collect():
-            found("checks", r["n"] > 0, f"{r['constraint']}: {r['n']} rows break it", "fix the rows")
-    for column, expression in meta.generated.items():
-        if column in dst.columns and drift.evaluable(dst, expression):
-            n = drift.generated_mismatch(dst, column, expression).count()
-            found("generated", n > 0, f"{column}: {n} stored values are not what the expression gives", "compute the column again")
+    generated = {column: rule for column, rule in meta.generated.items() if column in dst.columns and drift.evaluable(dst, rule)}
+    for (look, name), n in drift.row_local(dst, rules, generated).items():
+        if look == "checks":
+            found("checks", n > 0, f"{name}: {n} rows break it", "fix the rows")
+        else:
+            found("generated", n > 0, f"{name}: {n} stored values are not what the expression gives", "compute the column again")
     if meta.partition_bounds:
         n = drift.stranded(dst, meta.partition_column, meta.partition_bounds).count()
         found("partitions", n > 0, f"{n} rows lie in no declared range", "add the missing partitions")
