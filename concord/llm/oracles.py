@@ -109,4 +109,19 @@ with doc as (
 select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
 """
 
-ORACLE_SQL = {"op7_lm_scoring": LM_SCORING, "op2_url_filters": URL_FILTERS, "op4_sharding": SHARDING, "op10_decontamination": DECONTAMINATION, "op12_periodic_runs": PERIODIC_RUNS, "op13_ranked_search": RANKED_SEARCH}
+#: All pairs of documents with a shingle in common, the links among them, and what they reach.
+JACCARD_JOIN = r"""
+with recursive doc as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingle as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') as s from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i from doc where len(w) > 0)
+), size as (select doc_id, count(*) as n from shingle group by 1
+), pair as (select a.doc_id as x, b.doc_id as y, count(*) as shared from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+), link as (select x, y from pair join size a on a.doc_id = x join size b on b.doc_id = y where 100 * shared >= 80 * (a.n + b.n - shared)
+), edge as (select x, y from link union all select y, x from link
+), reach(doc_id, r) as (select x, y from edge union select reach.doc_id, edge.y from reach join edge on reach.r = edge.x)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce((select min(r) from reach where reach.doc_id = d.doc_id), d.doc_id)) as component_id
+from documents d left join size on size.doc_id = d.doc_id
+"""
+
+ORACLE_SQL = {"op7_lm_scoring": LM_SCORING, "op2_url_filters": URL_FILTERS, "op4_sharding": SHARDING, "op10_decontamination": DECONTAMINATION, "op11_jaccard_join": JACCARD_JOIN, "op12_periodic_runs": PERIODIC_RUNS, "op13_ranked_search": RANKED_SEARCH}
