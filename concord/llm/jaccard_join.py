@@ -306,8 +306,11 @@ def sets_of(docs: DataFrame, needed: DataFrame, sizes: DataFrame) -> DataFrame:
 
     few = needed.count() <= FEW_SETS
     near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    ids = sizes.join(needed, "fp", "left_semi").select(F.col("least").alias("__id")).distinct()
-    chosen = docs.join(near(ids), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # a null id equals no other, and a table of plain numbers is the smallest to look up: rows without an id are taken all
+    ids = sizes.join(needed, "fp", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    chosen = docs.join(near(ids), "doc_id", "left_semi")
+    if not ids.where("doc_id is null").isEmpty():
+        chosen = chosen.unionByName(docs.where("doc_id is null"))
     # texts of other classes under the same id go here
     built = chosen.select("text").mapInArrow(run, "fp long, tokens binary").join(near(needed), "fp", "left_semi")
     return built.groupBy("fp").agg(F.first("tokens").alias("tokens"))
