@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -11,8 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-#: Paths that ``written`` has made, the newest last.
-_WRITTEN: list[str] = []
+class _Written(threading.local):
+    """Paths that ``written`` has made in a thread, the newest last: two pipelines in two threads have two lists."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_WRITTEN = _Written()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,19 +49,19 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as Parquet in the shared folder, read again, and its path for ``remove``; for wide tables, which later steps read in part."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN.paths.append(path)
     return df.sparkSession.read.parquet(path), path
 
 
 @contextmanager
 def scratch(spark: SparkSession):
     """Removes what ``written`` has written inside, when its readers are done."""
-    before = len(_WRITTEN)
+    before = len(_WRITTEN.paths)
     try:
         yield
     finally:
-        while len(_WRITTEN) > before:
-            remove(spark, _WRITTEN.pop())
+        while len(_WRITTEN.paths) > before:
+            remove(spark, _WRITTEN.paths.pop())
 
 
 def remove(spark: SparkSession, path: str) -> bool:
@@ -64,7 +71,11 @@ def remove(spark: SparkSession, path: str) -> bool:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written copy."""
+    """Write ``df`` to the shared checkpoint folder and continue from the written copy.
+
+    Spark removes the copy when nothing refers to it any more if the context was started with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``; else it stays until the folder is cleared.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
