@@ -91,7 +91,7 @@ class Block:
             counts.append(np.bincount(number, minlength=len(distinct)))
         self.sizes = [len(h) for h in hashes]
         together = np.concatenate(hashes)
-        self.order = np.argsort(together, kind="stable")
+        self.order = np.argsort(together)  # n-grams of one hash have one count in the corpus, in whatever order
         self.hashes, self.counts = together[self.order], np.concatenate(counts)[self.order].astype(np.int64)
 
     def scores(self, totals: np.ndarray, backoff: float, min_count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,6 +112,14 @@ class Block:
         return np.array(total, np.float64), np.array([int(alone[e - n : e].sum()) for e, n in zip(ends, self.lengths)], np.int64)
 
 
+class Numbers(dict):
+    """Words numbered in the order in which they are first asked for; one that is known costs a plain look-up."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 ENCODED = "block long, ids array<{id_type}>, lengths binary, words binary, vocabulary binary"
 
 
@@ -121,7 +129,7 @@ def blocks(docs: DataFrame, block_words: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        ids, lengths, words, local, total = [], [], [], {}, 0
+        ids, lengths, words, local, total = [], [], [], Numbers(), 0
 
         def block() -> pa.RecordBatch:
             vocabulary = np.fromiter((xxhash.xxh64_intdigest(w) for w in local), np.uint64, len(local))
@@ -135,12 +143,12 @@ def blocks(docs: DataFrame, block_words: int) -> DataFrame:
                 found = text.lower().split() if text else []
                 lengths.append(len(found))
                 total += len(found)
-                words.append(np.fromiter((local.setdefault(w, len(local)) for w in found), np.uint32, len(found)))
+                words.append(np.fromiter(map(local.__getitem__, found), np.uint32, len(found)))
                 if total >= block_words:
                     ids.append(batch.column(0).slice(since, row + 1 - since))
                     yield block()
                     number, since = number + 1, row + 1
-                    ids, lengths, words, local, total = [], [], [], {}, 0
+                    ids, lengths, words, local, total = [], [], [], Numbers(), 0
             if since < batch.num_rows:
                 ids.append(batch.column(0).slice(since))
         if lengths:
@@ -177,11 +185,41 @@ def counted(exploded: DataFrame) -> DataFrame:
     return exploded.groupBy("part", "hash").agg(F.sum(F.when(F.col("block").isNotNull(), F.col("n"))).alias("total"))
 
 
-def gathered(rows: pa.Table) -> pa.Table:
-    """The corpus counts of one block's n-grams in one part, in the order of their slice."""
-    order = np.argsort(rows["at"].to_numpy(), kind="stable")
-    totals = rows["total"].to_numpy()[order].astype(np.uint64)
-    return pa.table({"part": rows["part"].slice(0, 1), "block": rows["block"].slice(0, 1), "totals": pa.array([packed(narrow(totals))], pa.binary())})
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, block, totals: the corpus counts of each block's n-grams in each part, in the order of their slice.
+
+    Rows (block, place, total), place being part and at in one number, come in the order of their blocks; one block's
+    rows are held at a time.
+    """
+    held, done = [], []
+
+    def close() -> None:
+        block, place, total = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.argsort(place, kind="stable")
+        part, total = place[order] >> 32, total[order].astype(np.uint64)
+        for cut in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+            done.append((part[cut[0]], block[0], packed(narrow(total[cut]))))
+
+    def closed() -> pa.RecordBatch:
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*done), (pa.int64(), pa.int64(), pa.binary()))]
+        done.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["part", "block", "totals"])
+
+    for batch in batches:
+        rows = [batch.column(name).to_numpy() for name in ("block", "place", "total")]
+        cuts = [0, *(np.flatnonzero(np.diff(rows[0])) + 1), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            if start == end:
+                continue
+            if held and held[-1][0][0] != rows[0][start]:
+                close()
+            held.append([x[start:end] for x in rows])
+        if done:
+            yield closed()
+    if held:
+        close()
+        yield closed()
 
 
 @contextmanager
@@ -206,10 +244,11 @@ def score(docs: DataFrame, backoff: float = BACKOFF, min_count: int = 2, order:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ngrams // (order * 16_000_000)))
     encoded = blocks(own, block_words).repartition(tasks, "block")
     dealt = slices(encoded, parts, order).repartition(max(parts, 1), "part")
-    exploded = dealt.select("part", "block", F.posexplode(F.arrays_zip("hashes", "counts")).alias("at", "x")).select("part", "block", "at", F.col("x.hashes").alias("hash"), F.col("x.counts").cast("long").alias("n"))
+    # every n is above 0: asked for here, it makes both readers of the rows want the counts, so the slices are shuffled once
+    exploded = dealt.select("part", "block", "counts", F.posexplode("hashes").alias("at", "hash")).select("part", "block", "at", "hash", F.col("counts")[F.col("at")].cast("long").alias("n")).where("n > 0")
     found = exploded.select("part", "block", "at", "hash").join(counted(exploded), ["hash", "part"])
-    # sorts look at the first column first, and rows of a task differ in hash and block, not in part
-    totals = found.select("part", "block", "at", "total").groupBy("block", "part").applyInArrow(gathered, "part long, block long, totals binary")
+    # sorted by one number, which takes no comparing of rows; few columns, as each costs time for every row that Python gets
+    totals = found.select("block", (F.shiftleft("part", 32) + F.col("at")).alias("place"), "total").sortWithinPartitions("block").mapInArrow(gathered, "part long, block long, totals binary")
     id_type = own.schema["doc_id"].dataType.simpleString()
 
     def finish(mine: pa.Table, back: pa.Table) -> pa.Table:

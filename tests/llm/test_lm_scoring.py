@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from concord.llm import lm_scoring as m
@@ -73,3 +74,27 @@ def test_odd_rows(odd, empty, crowded_names):
     assert len({(r["n_words"], r["log_score"]) for r in found if r["doc_id"] in (5, 6)}) == 1
     assert m.score(empty).count() == 0
     assert m.score(crowded_names).columns == ["doc_id", "n_words", "log_score", "per_word"]
+
+
+def test_counts_are_gathered_by_block_from_batches_of_any_size():
+    rng = random.Random(2)
+    rows = [(block, part, at, rng.choice([1, 300, 1 << 40])) for block in (7, 3, 9) for part in (2, 5) for at in range(40)]
+    wanted = {(b, p): [t for x, y, _, t in rows if (x, y) == (b, p)] for b, p, _, _ in rows}
+    for size in (1, 33, 80, 1000):
+        mixed = sorted(rows, key=lambda r: ((7, 3, 9).index(r[0]), rng.random()))
+        table = pa.table({"block": [r[0] for r in mixed], "place": [(r[1] << 32) + r[2] for r in mixed], "total": [r[3] for r in mixed]})
+        found = [r for batch in m.gathered(iter([pa.RecordBatch.from_pylist([], table.schema)] + table.to_batches(max_chunksize=size))) for r in batch.to_pylist()]
+        assert {(r["block"], r["part"]): m.unpacked(r["totals"]).tolist() for r in found} == wanted and len(found) == len(wanted)
+    assert list(m.gathered(iter([]))) == []
+
+
+def test_rows_are_sorted_by_one_number_for_python(spark, documents, monkeypatch):
+    """A sort by block and part compares rows, and a group for each costs more than its rows."""
+    plans = []
+    real = m.durable
+    monkeypatch.setattr(m, "durable", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    m.score(documents(*[(i, f"a b c {i}") for i in range(50)]), block_words=60, bucket_ngrams=50).count()
+    lines = plans[0].splitlines()
+    at = next(i for i, x in enumerate(lines) if "MapInArrow gathered" in x)
+    assert "Sort [block#" in lines[at + 1] and lines[at + 1].count(" ASC ") == 1
+    assert "arrays_zip" not in plans[0] and "FlatMapGroupsInArrow" not in plans[0]
